@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import near_dedup
+from textloom.llm import benchmark_decontam, near_dedup, source_mixing, substring_dedup
 from textloom.llm._store import rows_of
 
 
+def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_decontam.matches(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "benchmark"))
+
+
+def op7_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(rows_of(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(rows_of(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(rows_of(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op4_pigeonhole_decontamination, op7_paragraph_minhash_dedup, op9_minhash_near_dedup, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
