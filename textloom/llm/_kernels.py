@@ -147,10 +147,17 @@ class OnePermutation:
         sig = values[np.minimum(at, len(values) - 1)]
         empty = np.flatnonzero(~full)
         if len(empty):
-            drawn = self.tries[empty]
-            hit = full[drawn]
-            pick = drawn[np.arange(len(empty)), hit.argmax(axis=1)]
-            lost = ~hit.any(axis=1)
+            pick = np.full(len(empty), -1)
+            for low, high in ((0, 8), (8, 128), (128, self.tries.shape[1])):  # most are met by the first draws
+                lost = np.flatnonzero(pick < 0)
+                if not len(lost):
+                    break
+                drawn = self.tries[empty[lost], low:high]
+                hit = full[drawn]
+                at = hit.argmax(axis=1)
+                met = hit[np.arange(len(lost)), at]
+                pick[lost[met]] = drawn[np.flatnonzero(met), at[met]]
+            lost = pick < 0
             if lost.any():  # no draw met a full range: the next full one, round about
                 there = np.flatnonzero(full)
                 pick[lost] = there[np.searchsorted(there, empty[lost]) % len(there)]

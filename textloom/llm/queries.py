@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import benchmark_decontam, near_dedup, source_mixing, substring_dedup
 from textloom.llm._store import rows_of
+from textloom.llm.oracle import ORACLE as ORACLE
 
 
 def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +27,3 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op4_pigeonhole_decontamination, op7_paragraph_minhash_dedup, op9_minhash_near_dedup, op10_source_mixing)}
-ORACLE: dict[str, str] = {}

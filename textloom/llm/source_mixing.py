@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 not the documents. Pattern → source arcs carry words at a convex cost of repetition (first pass free, each further pass
 dearer, at most ``repeats``); source → sink arcs carry the sources' targets. The flow says how many words each pattern
 gives to each source; documents are then selected in seeded order: whole passes over a pattern go to all its documents,
-the rest to a prefix of the seeded order that ends nearest to the quota.
+the rest to a prefix of the seeded order that ends nearest to the quota (ids, not rows: equal ids share their order).
 
 The order is the MD5 of seed and id. Its prefix sums are taken in two steps, over ``BUCKETS`` hash ranges of each pattern
 and then inside the one range where the quota ends, so that no task sorts a whole source.
@@ -21,6 +21,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm._store import Scratch
+
 SEED, SHARE, REPEATS, WEIGHTS = 17, 1.5, 2, (3, 1, 2)
 #: Hash ranges of a pattern: the first hex digits of the order key.
 DIGITS = 4
@@ -29,9 +31,9 @@ MAX_PATTERNS = 200_000
 
 
 def n_words(text: str = "text") -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts 0. Each begins where a character of a word follows none."""
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts 0."""
     plain = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(F.split(plain, " "), "")).cast("long")
 
 
 def targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -110,7 +112,7 @@ def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     named = F.transform(F.array_distinct(sources), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))  # "~": null, after every "=..."
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select("*", n_words(text_col).alias("_size"), F.array_join(F.sort_array(named), "\x01").alias("_pattern"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, DIGITS))
-    ranged = rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_sum"))
+    ranged = Scratch(spark, "mix").save(rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_sum")), "ranged")
     patterns = [(r[0], int(r[1])) for r in ranged.groupBy("_pattern").agg(F.sum("_sum")).limit(MAX_PATTERNS + 1).collect()]
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -134,17 +136,16 @@ def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     quotas = F.broadcast(quotas)  # at most MAX_PATTERNS rows
     before = Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ends = ranged.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(quotas.select("_pattern", "_rest"), "_pattern")
-    ends = ends.where("_before < _rest").groupBy("_pattern").agg(F.max("_range").alias("_end"), F.max_by("_before", "_range").alias("_before"))
-    told = rows.join(quotas, "_pattern").join(F.broadcast(ends), "_pattern", "left")  # a row for each pattern
-    # Inside the range where the quota ends the documents are summed one by one: a 16**DIGITS-th of a pattern.
-    inside = F.when(F.col("_range") == F.col("_end"), F.col("_pattern"))
-    rest = told.where(inside.isNull() | F.col("_end").isNull())
-    last = told.where(inside.isNotNull())
-    upto = Window.partitionBy("_pattern").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(upto), F.lit(0)))
-    once = F.col("_sum") + F.col("_size") / 2 <= F.col("_rest")
-    out = rest.withColumn("_once", F.coalesce(F.col("_range") < F.col("_end"), F.lit(False))).unionByName(last.withColumn("_once", once).drop("_sum"))
-    times = F.least(F.col("_base") + F.col("_once").cast("int"), F.lit(repeats))
+    ends = ends.where("_before < _rest").groupBy("_pattern", "_rest").agg(F.max("_range").alias("_end"), F.max_by("_before", "_range").alias("_before"))
+    # Inside the range where the quota ends the ids are summed one by one: a 16**DIGITS-th of a pattern.
+    ends = F.broadcast(ends)  # a row for each pattern
+    inside = rows.join(ends, "_pattern").where("_range = _end").groupBy("_pattern", "_key", "_before", "_rest").agg(F.sum("_size").alias("_sum"))
+    upto = Window.partitionBy("_pattern").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
+    last = inside.where(F.col("_upto") + F.col("_sum") / 2 <= F.col("_rest")).groupBy("_pattern").agg(F.max("_key").alias("_last"))
+    out = rows.join(quotas, "_pattern").join(ends.select("_pattern", "_end"), "_pattern", "left").join(F.broadcast(last), "_pattern", "left")
+    once = F.coalesce((F.col("_range") < F.col("_end")) | (F.col("_key") <= F.col("_last")), F.lit(False))
+    times = F.least(F.col("_base") + once.cast("int"), F.lit(repeats))
     return out.select(*docs.columns, F.col("_size").alias("size"), F.col("_pattern").alias("pattern"), "source_size", "target", (F.col("_size") * times).alias("taken"), times.alias("repeats_taken"))
 
 
