@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import reachable
+
 #: Largest side that is ever broadcast, in bytes of its rows; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 
@@ -50,6 +52,7 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of few rows and bytes, so that long texts stay within a Python worker's memory."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -5,19 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import benchmark_decontam, near_dedup, source_mixing, substring_dedup
+from textloom.llm import benchmark_decontam, chat_format, html_extract, language_id, media_chunks, near_dedup, source_mixing, substring_dedup, toxicity, url_filter
 from textloom.llm._store import rows_of
 from textloom.llm.oracle import ORACLE as ORACLE
 
+HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
+
+
+def op1_url_ratio_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(rows_of(spark, sf_dir, "pages"))
+
+
+def op2_media_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media(rows_of(spark, sf_dir, "documents"))
+
+
+def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = rows_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.formatted(rows))
+
 
 def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_decontam.matches(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "benchmark"))
 
 
+def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents")
+    told = language_id.predicted(docs.select("doc_id", "text"), language_id.trained(docs))
+    return told.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def op6_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents")
+    told = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, rows_of(spark, sf_dir, "labels")))
+    return told.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op7_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(rows_of(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(rows_of(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(rows_of(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -26,4 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(rows_of(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_pigeonhole_decontamination, op7_paragraph_minhash_dedup, op9_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_ratio_filter, op2_media_chunking, op3_chat_masks, op4_pigeonhole_decontamination, op5_kneser_ney_language, op6_convolution_toxicity, op7_paragraph_minhash_dedup, op8_wrapper_induction, op9_minhash_near_dedup, op10_source_mixing)
+}
