@@ -1,8 +1,10 @@
 """Toxicity scores by a convolutional text classifier, trained in numpy.
 
-Words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) are hashed to embeddings; filters of several widths slide
-over the whole text, the maximum of each over all places feeds a logistic layer. The first embedding dimension starts at
-the words' log odds in the training rows, the rest at random; everything is then trained by Adam through the max pool.
+Words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) are hashed to embeddings, to which that of their first
+``STEM`` bytes is added; filters of several widths slide over the whole text, and the maximum of each over all places (of
+one-word filters also the second largest, so that one mention differs from two) feeds a logistic layer. The first embedding
+dimension starts at the log odds in the training rows, the rest at random; everything is then trained by Adam through
+the max pool.
 Thresholds are calibrated by language on rows that training hasn't seen; the language is guessed from the text alone, by a
 naive Bayes model over the same hashed words, so that neither lang nor source nor id enters a score. The score maps each
 language's threshold to ``THRESHOLD``.
@@ -29,7 +31,7 @@ from textloom.llm._store import bounded_batches
 
 THRESHOLD = 0.3
 MOST_TOXIC, MOST_CLEAN, MOST_WORDS, MOST_LANGS = 1500, 2500, 5000, 64
-BITS, DIM, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
+BITS, STEM, DIM, FILTERS, WIDTHS = 16, 4, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 5
 
 _BREAK = np.ones(256, dtype=bool)
@@ -37,20 +39,22 @@ _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 
 def word_ids(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """In blocks of rows: bucket numbers of all words, and the first word of each row. A row without words has one, the padding."""
+    """In blocks of rows: bucket numbers of all words and of their stems, and each row's first and last place (padding, which
+    stands for the word of a row without any)."""
     data, off = K.utf8(column)
     pad = 1 << BITS
     for i, j in K.blocks(off):
         part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
         plain = np.where(_BREAK[part], np.uint8(32), part)
         starts, ends, first = K.word_spans(plain, own)
-        ids = (K.word_hashes(plain, starts, ends) >> np.uint64(64 - BITS)).astype(np.int32)
+        both = [K.word_hashes(plain, starts, x) for x in (ends, np.minimum(ends, starts + STEM))]
+        ids = np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in (both[0], K.mix(both[1] + np.uint64(1)))], axis=1)
         n = np.maximum(np.diff(first), 1)
-        at = np.concatenate(([0], np.cumsum(n + 2)))  # two more of padding: no filter reaches into the next row
-        out = np.full(at[-1], pad, dtype=np.int32)
+        at = np.concatenate(([0], np.cumsum(n + 3)))  # three of padding: no filter reaches into the next row
+        out = np.full((at[-1], 2), pad, dtype=np.int32)
         row = np.repeat(np.arange(j - i), np.diff(first))
         out[at[row] + np.arange(len(ids)) - first[row]] = ids
-        yield out, np.stack([at[:-1], at[:-1] + n], axis=1)
+        yield out, np.stack([at[:-1], at[:-1] + n + 1], axis=1)
 
 
 @dataclass
@@ -69,19 +73,29 @@ class Model:
         return [np.concatenate([self.embed @ w[j] for w in self.filters if len(w) > j], axis=1) for j in range(max(WIDTHS))]
 
     def responses(self, ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        all_ = tables[0][ids]
+        all_ = tables[0][ids[:, 0]] + tables[0][ids[:, 1]]
         for j in range(1, len(tables)):
-            all_[:-j, -tables[j].shape[1] :] += tables[j][ids[j:]]
+            own = all_[:-j, -tables[j].shape[1] :]
+            own += tables[j][ids[j:, 0]]
+            own += tables[j][ids[j:, 1]]
         return all_
 
     def logits(self, ids: np.ndarray, rows: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        most = np.maximum.reduceat(self.responses(ids, tables), rows.ravel(), axis=0)[::2]
-        return np.maximum(most + self.shift, 0) @ self.out + self.bias
+        r, cut = self.responses(ids, tables), rows.ravel()
+        cut = cut[:-1] if cut[-1] == len(r) else cut
+        most = np.maximum.reduceat(r, cut, axis=0)[::2]
+        one = r[:, :FILTERS]
+        n = np.diff(np.append(rows[:, 0], len(r)))
+        top = one == np.repeat(most[:, :FILTERS], n, axis=0)
+        ties = np.add.reduceat(top, cut, axis=0, dtype=np.int32)[::2]
+        one[top] = -np.inf
+        second = np.where(ties > 1, most[:, :FILTERS], np.maximum.reduceat(one, cut, axis=0)[::2])
+        return np.maximum(np.concatenate([most, second], axis=1) + self.shift, 0) @ self.out + self.bias
 
     def languages(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
         if self.language.shape[1] < 2:
             return np.zeros(len(rows), dtype=np.int64)
-        return np.add.reduceat(self.language[ids], rows.ravel(), axis=0)[::2].argmax(axis=1)
+        return np.add.reduceat(self.language[ids[:, 0]], np.minimum(rows, len(ids) - 1).ravel(), axis=0)[::2].argmax(axis=1)
 
     def scores(self, z: np.ndarray, lang: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.thresholds[lang]) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
@@ -96,7 +110,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
         if not held:
             counts[y][np.unique(d)] += 1
         if lang in names:
-            np.add.at(by_lang[:, names.index(lang)], d, 1)
+            np.add.at(by_lang[:, names.index(lang)], d[:, 0], 1)
     n = np.bincount(labels[~fold], minlength=2) + 1
     odds = np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
     seen = counts.sum(axis=0)
@@ -111,7 +125,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
     language = np.log(by_lang / by_lang.sum(axis=0))
     language[-1] = 0
     total = FILTERS * len(WIDTHS)
-    m = Model(embed, filters, np.zeros(total, np.float32), rng.normal(0, 0.1, total).astype(np.float32), 0.0, language.astype(np.float32), np.zeros(len(names)), 1.0)
+    m = Model(embed, filters, np.zeros(total + FILTERS, np.float32), rng.normal(0, 0.1, total + FILTERS).astype(np.float32), 0.0, language.astype(np.float32), np.zeros(len(names)), 1.0)
     m.out[::FILTERS] = 1.0
     params = [m.embed, *m.filters, m.shift, m.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -125,23 +139,26 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
             pick = order[lo : lo + BATCH]
             tables, grads, bias = m.tables(), [np.zeros_like(p) for p in params], 0.0
             for i in pick:
-                d = docs[i]
-                ids = np.concatenate([d, np.full(2, words, dtype=np.int32)])
-                r = m.responses(ids, tables)[: len(d)]
+                ids = np.concatenate([docs[i], np.full((3, 2), words, dtype=np.int32)])
+                r = m.responses(ids, tables)[: len(docs[i]) + 1]
                 at = r.argmax(axis=0)
-                pooled = r[at, np.arange(total)] + m.shift
+                one = r[:, :FILTERS].copy()
+                one[at[:FILTERS], np.arange(FILTERS)] = -np.inf
+                next_ = one.argmax(axis=0)
+                pooled = np.concatenate([r[at, np.arange(total)], one[next_, np.arange(FILTERS)]]) + m.shift
                 on = np.maximum(pooled, 0)
                 g = float(1 / (1 + np.exp(-np.clip(on @ m.out + m.bias, -30, 30))) - labels[i]) * weight[labels[i]] / len(pick)
                 grads[-1] += g * on
                 bias += g
                 back = g * m.out * (pooled > 0)
                 grads[-2] += back
-                for f, (w, gw) in enumerate(zip(m.filters, grads[1:-2], strict=True)):
-                    own = slice(f * FILTERS, (f + 1) * FILTERS)
+                for f, place in [*((f, at[f * FILTERS : (f + 1) * FILTERS]) for f in range(len(WIDTHS))), (-1, next_)]:
+                    w, gw = m.filters[max(f, 0)], grads[1 + max(f, 0)]
+                    own = slice(f * FILTERS, (f + 1) * FILTERS) if f >= 0 else slice(total, None)
                     for j in range(len(w)):
-                        word = ids[at[own] + j]
-                        gw[j] += m.embed[word].T * back[own]
-                        np.add.at(grads[0], word, back[own, None] * w[j].T)
+                        for word in (ids[place + j, 0], ids[place + j, 1]):
+                            gw[j] += m.embed[word].T * back[own]
+                            np.add.at(grads[0], word, back[own, None] * w[j].T)
             grads[0][-1] = 0
             for p, g, (a, b) in zip(params, grads, moments, strict=True):
                 a += 0.1 * (g - a)
@@ -152,7 +169,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
     tables = m.tables()
     z, lang = np.zeros(len(held)), np.zeros(len(held), dtype=np.int64)
     for k, i in enumerate(held):
-        ids, rows = np.concatenate([docs[i], np.full(2, words, dtype=np.int32)]), np.array([[0, len(docs[i])]])
+        ids, rows = np.concatenate([docs[i], np.full((3, 2), words, dtype=np.int32)]), np.array([[0, len(docs[i]) + 1]])
         z[k], lang[k] = m.logits(ids, rows, tables)[0], m.languages(ids, rows)[0]
     y = labels[held]
     every = threshold(z, y, 0.0)
@@ -187,15 +204,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc32(cast(doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [ids[a : min(b, a + MOST_WORDS + 1)].tobytes() for ids, rows in word_ids(batch.column("text")) for a, b in rows]
-            short = pa.array([len(x) <= 4 * MOST_WORDS for x in held], pa.bool_())
+            held = [ids[a : min(b - 1, a + MOST_WORDS + 1)].tobytes() for ids, rows in word_ids(batch.column("text")) for a, b in rows]
+            short = pa.array([len(x) <= 8 * MOST_WORDS for x in held], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), pa.array(held, pa.binary())], ["doc_id", "y", "lang", "ids"]).filter(short)
 
     got = sorted(rows.mapInArrow(run, "doc_id long, y int, lang string, ids binary").collect(), key=lambda r: (r.y, r.doc_id, r.ids))
     labels_ = np.array([r.y for r in got], dtype=np.int64)
     if not len(got) or labels_.min() == labels_.max():
         return None
-    return train([np.frombuffer(r.ids, dtype=np.int32) for r in got], labels_, [r.lang for r in got])
+    return train([np.frombuffer(r.ids, dtype=np.int32).reshape(-1, 2) for r in got], labels_, [r.lang for r in got])
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
