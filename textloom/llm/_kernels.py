@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time (a longer text is one block by itself).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SEEDED = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _SEEDED.integers(1, 1 << 63, 256, dtype=np.uint64)
