@@ -15,6 +15,7 @@ match nothing; repeated rows match alike; further columns are ignored by the sea
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -115,15 +116,16 @@ class Matcher:
         return [(self.items[k][0], d, s, self.items[k][2]) for k, (d, s) in sorted(found.items())]
 
 
-_BUILT: dict[int, Matcher] = {}
+_BUILT: dict[str, Matcher] = {}
 
 
 def _matcher(shared, error_rate: float) -> Matcher:
-    key = shared._jid if hasattr(shared, "_jid") else id(shared)
-    if key not in _BUILT:
+    """The block's automaton, built once in each worker; blocks are told apart by a name of their own, as workers are reused."""
+    name, items = shared.value
+    if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Matcher(shared.value, error_rate)
-    return _BUILT[key]
+        _BUILT[name] = Matcher(items, error_rate)
+    return _BUILT[name]
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -145,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in item_blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = _matcher(shared, error_rate)
@@ -163,7 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
     spark = docs.sparkSession
     bounded_batches(spark)
     for block in item_blocks(benchmark, "item_id", "text"):
-        shared, at = spark.sparkContext.broadcast(block), docs.columns.index(text_col)
+        shared, at = spark.sparkContext.broadcast((uuid.uuid4().hex, block)), docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             find = _matcher(shared, error_rate)

@@ -5,7 +5,7 @@ The URLs that the rules allow and block are the accepted and rejected examples.
 counts are taken over all pages. Two variable-order Markov models of up to ``ORDER`` symbols, smoothed by Witten-Bell
 interpolation, give each gram a log-likelihood difference, kept as whole millionths so that sums don't depend on their
 order. A URL's score is the mean difference per symbol; the cut is calibrated on a fifth of the labelled keys, which the
-models haven't seen: the grid cell with the best sum of both kinds' shares judged right.
+models haven't seen: midway between the two neighbouring grid cells that split it best (the sum of both kinds' shares).
 
 Everything is DataFrame code. Gram tables are bounded by the alphabet (at most 40 ** 4 rows), whatever the number of pages.
 
@@ -91,10 +91,10 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
 
     cells = scores.where("held and (na > 0 or nr > 0)").groupBy("score").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
     up = Window.orderBy("score")  # a row for each grid cell
-    told = cells.select("score", F.sum("nr").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("low"), F.sum("na").over(up.rowsBetween(0, Window.unboundedFollowing)).alias("high"), F.sum("na").over(Window.partitionBy()).alias("all_a"), F.sum("nr").over(Window.partitionBy()).alias("all_r"))
+    told = cells.select("score", F.lag("score").over(up).alias("below"), F.sum("nr").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("low"), F.sum("na").over(up.rowsBetween(0, Window.unboundedFollowing)).alias("high"), F.sum("na").over(Window.partitionBy()).alias("all_a"), F.sum("nr").over(Window.partitionBy()).alias("all_r"))
     right = F.col("high") * F.col("all_r") + F.coalesce("low", F.lit(0)) * F.col("all_a")
-    best = told.where("all_a > 0 and all_r > 0").select("score", right.alias("right")).orderBy(F.desc("right"), F.abs("score"), "score").limit(1).collect()
-    at = int(best[0]["score"]) if best else 0
+    best = told.where("all_a > 0 and all_r > 0").select(F.ceil((F.col("score") + F.coalesce("below", "score")) / 2).cast("long").alias("at"), right.alias("right")).orderBy(F.desc("right"), F.abs("at"), "at").limit(1).collect()
+    at = int(best[0]["at"]) if best else 0
 
     met = ruled.join(small(scores.select("key", "score"), 200), "key", "left")
     verdict = F.when(allows, "allow").when(F.col("rule").isNotNull(), "block").when(F.col("score") >= at, "allow").otherwise("block")
