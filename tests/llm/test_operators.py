@@ -68,6 +68,32 @@ def test_near_duplicates_against_brute_force(spark, frame):
     assert got == jaccard_components(docs, 4, 80)
 
 
+def changed(rnd, words, text, n):
+    out = list(text)
+    for j in rnd.sample(range(len(out)), n):
+        out[j] = rnd.choice(words)
+    return out
+
+
+def template_docs(seeds):
+    """For each seed 40 texts of one template too far apart for a link, and then two that are just alike enough."""
+    words, rnd = vocabulary(11, 3000), random.Random(11)
+    base, out = [rnd.choice(words) for _ in range(400)], []
+    for seed in seeds:
+        rnd = random.Random(seed)
+        one = changed(rnd, words, base, 16)
+        other = changed(rnd, words, one, 11)
+        out += [*(changed(rnd, words, one, 14) for _ in range(40)), one, other]
+    return [doc(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_near_duplicates_of_one_template(spark, frame, monkeypatch):
+    docs = template_docs([290, 374, 649, 1317])  # their pairs share bands, but no three at the distances of joint buckets
+    monkeypatch.setattr(near_dedup, "BLOCK", 20, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(docs, DOCS), k=4).collect()}
+    assert got == jaccard_components(docs, 4, 80)
+
+
 def test_near_duplicates_edge_rows(spark, frame):
     assert near_dedup.near_duplicates(frame([], DOCS)).collect() == []
     rows = near_dedup.near_duplicates(frame([doc(None, "a b c d e f"), doc(1, "a b c d e f"), doc(1, "a b c d e f")], DOCS)).collect()

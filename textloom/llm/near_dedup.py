@@ -6,9 +6,10 @@
    square.
 4. Every pair is confirmed on full sets, rebuilt from the texts of just these documents; pairs whose set sizes rule a link
    out are never joined. Links → connected components in the shared folder.
-5. Joint buckets of three bands each hold fewer and more alike documents. Those whose members the confirmed links don't join
-   in one component get further stars, around ids of the smaller components and only towards other components; pairs are
-   confirmed likewise and the components joined.
+5. In each bucket that still holds several components every pair of ids from different ones is compared, on the sets' hashes
+   cut to 32 bits, which never hides a link: large buckets in blocks, a block pair to a group of rows. Of the pairs that pass, as
+   many as join a group's components are confirmed on full sets. Where one fails there, the buckets are gone over again without
+   it, until none does. So each pair that shares a bucket is linked, in one component, or known to be no link.
 6. Each component keeps its smallest id.
 
 Cases: a null text or one without words has an empty set and is linked with nothing; fewer words than a shingle has make
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _kernels as K
@@ -31,10 +32,8 @@ from textloom.llm._graph import components
 from textloom.llm._store import Scratch, bounded_batches, small
 
 BINS, RECALL = 96, 0.999999
-#: A joint bucket is keyed by a band and the two that follow it at these distances; alike documents share several of these.
-SHIFTS = ((1, 2), (5, 11))
-#: Components drawn as hubs in each joint bucket, besides its largest one.
-DRAWS = 3
+#: Ids of a block: a larger bucket is compared block by block.
+BLOCK = 2048
 
 
 def _profile(k: int, rows: int):
@@ -56,10 +55,10 @@ def _profile(k: int, rows: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, cut: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [s.tobytes() for s in K.shingle_sets(batch.column(1), k)]
+            held = [(short(s) if cut else s).tobytes() for s in K.shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.large_binary()).cast(pa.binary())], ["id", "held"])
 
     return run
@@ -86,17 +85,6 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
 
 
-def joint_keys(bands: str) -> Column:
-    """Keys of the joint buckets of an array of band keys."""
-    n = F.size(bands)
-
-    def lane(near: int, far: int) -> Column:
-        at = lambda i: F.get(bands, i % n)
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(at(i), at(i + near), at(i + far)))
-
-    return F.concat(*(lane(*s) for s in SHIFTS))
-
-
 def star_pairs(buckets: DataFrame) -> DataFrame:
     """``(key, id)``, rows may repeat → distinct pairs ``a < b``: in each bucket each id with the smallest one, and with one drawn by hash."""
     hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("id", "key")).alias("drawn")).where("hub < last").drop("last")
@@ -105,20 +93,112 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def residual_pairs(reps: DataFrame, found: DataFrame) -> DataFrame:
-    """``(id, bands)`` and the components ``found(node, component)`` → further distinct pairs ``a < b`` between components.
+def short(held: np.ndarray) -> np.ndarray:
+    """A set's hashes cut to 32 bits, sorted; equal ones stay, so that no common element is lost."""
+    return (held >> np.uint64(32)).astype(np.uint32)
+
+
+def cross_links(ids: list[int], parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, refuted: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """Pairs ``a < b`` that join all ids of one group whose ``short`` sets may be alike enough, as far as ``parts``, their components, don't.
 
-    A link that touches no hub so far matters only if its ends are in different components, and then one of them is outside
-    the joint bucket's largest component. Of the other components up to ``DRAWS`` are drawn, one id of each, and each meets the
-    bucket's ids of other components: pairs still grow with the bucket's size, and none lies within a component.
+    Every pair of different parts (and of different ``sides``, where there are two) is compared, but for those joined meanwhile.
     """
-    named = reps.join(small(found.withColumnRenamed("node", "id"), 24), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.explode(joint_keys("bands")).alias("key"))
-    parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub"))
-    mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select("key", "main")
-    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("c", "key"), "c"))
-    hubs = parts.join(mixed, "key").where("c <> main").withColumn("turn", drawn).where(F.col("turn") <= DRAWS).select(F.col("key").alias("at"), "hub", F.col("c").alias("hub_c"))
-    met = named.join(hubs, F.expr("key = at and c <> hub_c"))
-    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    out: list[tuple[int, int]] = []
+    m, parts = len(ids), parts.copy()
+    n = np.array([len(s) for s in sets])
+    high = [(s >> np.uint32(16)).astype(np.uint16) for s in sets]
+    every, offsets = np.concatenate(high), np.cumsum(n) - n
+    names, counts = np.unique(parts, return_counts=True)
+    main = parts == names[counts.argmax()]  # of two parts at most one is this: its ids need not look for others
+    two, table, places = sides.min() != sides.max(), np.zeros(1 << 16, dtype=bool), np.arange(m)
+    for x in np.flatnonzero(~main).tolist():
+        near = (parts != parts[x]) & (main | (places > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if two:
+            near &= sides != sides[x]
+        near = np.flatnonzero(near)
+        if not len(near):
+            continue
+        table[high[x]] = True
+        if 8 * len(near) > m:
+            common = np.add.reduceat(table[every], offsets, dtype=np.int64)[near]
+        else:
+            common = np.array([np.count_nonzero(table[high[y]]) for y in near.tolist()])
+        table[high[x]] = False
+        for y in near[100 * common >= percent * (n[near] + n[x] - common)].tolist():
+            pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
+            if parts[x] != parts[y] and pair not in refuted:
+                both = np.count_nonzero(np.isin(sets[y], sets[x]))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    out.append(pair)
+                    parts[parts == parts[y]] = parts[x]
+    return out
+
+
+def _cross(percent: int, refuted: frozenset):
+    """Runs ``cross_links`` over rows that come sorted by ``key, low, high``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def told() -> list[tuple[int, int]]:
+            if len(rows) < 2:
+                return []
+            ids, parts, sides, sets = zip(*rows, strict=True)
+            return cross_links(list(ids), np.array(parts), np.array(sides), list(sets), percent, refuted)
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            names = zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "id", "c", "side")), strict=True)
+            for (key, low, high, i, c, side), held in zip(names, batch.column("held"), strict=True):
+                if (key, low, high) != now:
+                    out += told()
+                    now, rows = (key, low, high), []
+                rows.append((i, c, side, np.frombuffer(held.as_py(), dtype=np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(2)], ["a", "b"])
+        out = told()
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(2)], ["a", "b"])
+
+    return run
+
+
+def joined(found: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """``found(node, component)`` with the components that ``links(u, v)`` join."""
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    merged = found.join(ends, "node", "right").select("node", F.coalesce("component", "node").alias("c"))
+    between = links.join(small(merged.toDF("u", "cu"), 24), "u").join(small(merged.toDF("v", "cv"), 24), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    roots = components(between, scratch, tag)
+    found = found.select("node", "component").union(merged.where("node = c").select("node", "c")).distinct()
+    return found.join(small(roots.toDF("component", "root"), 24), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
+def exhausted(buckets: DataFrame, found: DataFrame, sets_of, confirmed, percent: int, scratch: Scratch) -> DataFrame:
+    """``found(node, component)`` with every link between ids of a bucket of ``buckets(key, id)``, whose rows are distinct.
+
+    ``sets_of(ids)`` gives ``id, held`` (``short`` sets as bytes), ``confirmed(pairs, tag)`` the links ``u, v`` among pairs ``a, b``.
+    Only pairs that agree in 32 bits and not in 64 are ever refuted, so that few are, and a second round is rare.
+    """
+    refuted: frozenset = frozenset()
+    turn = 0
+    while True:
+        named = buckets.join(small(found.withColumnRenamed("node", "id"), 24), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
+        mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), f"mixed-{turn}")
+        met = scratch.save(named.join(small(mixed, 24), "key"), f"met-{turn}")
+        if turn == 0:
+            sets = scratch.save(sets_of(met.select("id").distinct()), "short")
+        met = met.withColumn("side", F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "c", "side").join(sets, "id")
+        dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        pairs = scratch.save(dealt.select("key", "low", "high", "id", "c", "side", "held").mapInArrow(_cross(percent, refuted), "a long, b long").distinct(), f"cross-{turn}")
+        scratch.drop(f"mixed-{turn}", f"met-{turn}")
+        links = confirmed(pairs, f"cross-{turn}")
+        found = scratch.save(joined(found, links, scratch, f"cross-cc-{turn}"), f"found-{turn}")
+        lost = frozenset((r.a, r.b) for r in pairs.join(links.toDF("a", "b"), ["a", "b"], "left_anti").collect())
+        scratch.drop(f"cross-{turn}")
+        if not lost:
+            scratch.drop("short")
+            return found
+        refuted, turn = refuted | lost, turn + 1
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,15 +234,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     stars = scratch.save(first_pairs(buckets), "stars")
     found = components(confirmed(stars, "stars").union(again), scratch, "stars-cc")
-    mates = stars.select("a").union(stars.select("b")).distinct().toDF("id")
-    further = scratch.save(residual_pairs(reps.select("id", "bands").join(small(mates, 24), "id", "left_semi"), found), "further")
-    further = confirmed(further, "further")
-    merged = found.join(further.select(F.col("u").alias("node")).union(further.select(F.col("v").alias("node"))).distinct(), "node", "right").select("node", F.coalesce("component", "node").alias("c"))
-    ends = further.join(small(merged.toDF("u", "cu"), 24), "u").join(small(merged.toDF("v", "cv"), 24), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    roots = components(ends, scratch, "further-cc")
-    found = found.select("node", "component").union(merged.where("node = c").select("node", "c")).distinct()
-    found = found.join(small(roots.toDF("component", "root"), 24), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    scratch.drop("stars", "further", "reps", "profile")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return texts.join(small(ids, 24), "id", "left_semi").mapInArrow(_sets(k, True), "id long, held binary")
+
+    found = exhausted(buckets, found, sets_of, confirmed, percent, scratch)
+    scratch.drop("stars", "reps", "profile")
 
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
