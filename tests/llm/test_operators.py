@@ -75,15 +75,15 @@ def changed(rnd, words, text, n):
     return out
 
 
-def template_docs(seeds):
-    """For each seed 40 texts of one template too far apart for a link, and then two that are just alike enough."""
+def template_docs(seeds, others=40, further=11):
+    """For each seed ``others`` texts of one template too far apart for a link, and then two that are just alike enough."""
     words, rnd = vocabulary(11, 3000), random.Random(11)
     base, out = [rnd.choice(words) for _ in range(400)], []
     for seed in seeds:
         rnd = random.Random(seed)
         one = changed(rnd, words, base, 16)
-        other = changed(rnd, words, one, 11)
-        out += [*(changed(rnd, words, one, 14) for _ in range(40)), one, other]
+        other = changed(rnd, words, one, further)
+        out += [*(changed(rnd, words, one, 14) for _ in range(others)), one, other]
     return [doc(i, " ".join(t)) for i, t in enumerate(out)]
 
 
@@ -131,6 +131,13 @@ def test_repeats(spark, frame):
     assert substring_dedup.removals(frame([], DOCS)).collect() == []
 
 
+def test_repeated_paragraphs_of_one_template(spark, frame):
+    docs = template_docs([1, 2], others=250, further=8)
+    want = jaccard_components(docs, 5, 80)
+    rows = substring_dedup.removals(frame(docs, DOCS)).where("kind = 'paragraph'").collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in rows} == {(i, c) for i, (_, c) in want.items() if i != c} != set()
+
+
 def test_contamination(spark, frame):
     rnd, words = random.Random(7), vocabulary(7)
     item = prose(rnd, words, 20)

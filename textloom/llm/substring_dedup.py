@@ -3,7 +3,8 @@
 Paragraphs are the lines of ``min_words`` words or more. Equal ones form a class by digest, before anything else.
 Each distinct paragraph's five-word shingles give a one-permutation signature, cut into bands tuned for the recall wanted
 at the similarity; colliding paragraphs are joined as stars around each bucket's hubs, verified by exact Jaccard
-similarity on the paragraphs' texts, and clustered by connected components. A cluster keeps its first occurrence (by
+similarity on the paragraphs' texts, and clustered by connected components; then every pair of a bucket's paragraphs that are
+still in different components is compared (``near_dedup.exhausted``). A cluster keeps its first occurrence (by
 doc_id, then place); the others are removals.
 
 A passage that repeats inside differing paragraphs, or across their ends, is found on the document's whole word stream: cuts
@@ -30,7 +31,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from textloom.llm import _kernels as K
 from textloom.llm._graph import components
 from textloom.llm._store import Scratch, bounded_batches, small
-from textloom.llm.near_dedup import star_pairs
+from textloom.llm.near_dedup import exhausted, short, star_pairs
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 22
 #: Passages inside paragraphs: the words that equal pieces must make together, and the window of the cuts.
@@ -113,17 +114,21 @@ def _units(min_words: int, rows: int):
     return run
 
 
-def _text_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the paragraphs at the given places of each text."""
-    for batch in batches:
-        node, held = [], []
-        for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            parts = pa.array([raw[s["start"] : s["end"]] for s in spots], pa.large_binary()).cast(pa.large_string())
-            for s, values in zip(spots, K.shingle_sets(parts, SHINGLE), strict=True):
-                node.append(s["node"])
-                held.append(values.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], ["node", "held"])
+def _text_spans(cut: bool):
+    """Shingle sets (or, ``cut``, the short ones) of the paragraphs at the given places of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, held = [], []
+            for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                parts = pa.array([raw[s["start"] : s["end"]] for s in spots], pa.large_binary()).cast(pa.large_string())
+                for s, values in zip(spots, K.shingle_sets(parts, SHINGLE), strict=True):
+                    node.append(s["node"])
+                    held.append((short(values) if cut else values).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], ["node", "held"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -149,14 +154,24 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT
 
     # Paragraphs: classes of equal ones, then stars of colliding classes.
     paragraphs = units.where("kind = 0")
-    pairs = scratch.save(star_pairs(paragraphs.select(F.explode("bands").alias("key"), F.col("hash").alias("id"))), "pairs")
-    met = pairs.select("a").union(pairs.select("b")).distinct().toDF("hash")
-    spots = paragraphs.join(small(met, 24), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"))
-    by_doc = spots.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.end", F.col("hash").alias("node"))).alias("spots"))
-    by_doc = scratch.save(by_doc, "spots")
-    held = scratch.save(texts.join(small(by_doc, 400), "doc_id").select("text", "spots").mapInArrow(_text_spans, "node long, held binary"), "held")
-    links = pairs.join(held.toDF("b", "held_b"), "b").join(held.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b").mapInArrow(_confirm(percent), "a long, b long")
-    found = components(links.toDF("u", "v"), scratch)
+    buckets = scratch.save(paragraphs.select(F.explode("bands").alias("key"), F.col("hash").alias("id")).distinct(), "buckets")
+
+    def sets_of(ids: DataFrame, tag: str, cut: bool = False) -> DataFrame:
+        """``node, held`` of the paragraphs ``ids(hash)``, from one place of each."""
+        spots = paragraphs.join(small(ids, 24), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"))
+        by_doc = spots.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.end", F.col("hash").alias("node"))).alias("spots"))
+        by_doc = scratch.save(by_doc, f"spots-{tag}")
+        return texts.join(small(by_doc, 400), "doc_id").select("text", "spots").mapInArrow(_text_spans(cut), "node long, held binary")
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        held = scratch.save(sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("hash"), tag), f"held-{tag}")
+        both = pairs.join(held.toDF("b", "held_b"), "b").join(held.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b")
+        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{tag}")
+        scratch.drop(f"held-{tag}", f"spots-{tag}")
+        return links.toDF("u", "v")
+
+    found = components(confirmed(scratch.save(star_pairs(buckets), "pairs"), "stars"), scratch)
+    found = exhausted(buckets, found, lambda ids: sets_of(ids.toDF("hash"), "short", True).toDF("id", "held"), confirmed, percent, scratch)
     cluster = F.coalesce("component", "hash").alias("cluster")
     members = paragraphs.join(found.withColumnRenamed("node", "hash"), "hash", "left").select("doc_id", "start", "end", "n", cluster)
     several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster")
@@ -164,7 +179,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT
     kept = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("kept"))
     gone = members.join(kept, "cluster").where("struct(doc_id, start) <> kept").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("n").alias("n_words"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
     gone = scratch.save(gone, "paragraphs")
-    scratch.drop("held", "spots", "pairs", "members")
+    scratch.drop("buckets", "spots-short", "pairs", "members")
 
     # Pieces: those that occur again outside removed paragraphs, joined to runs.
     pieces = units.where("kind = 1").select("hash", "doc_id", "start", "end", "n")
