@@ -140,16 +140,32 @@ def test_cuts_realign_after_an_insertion():
     assert len(a & b) > 0.7 * len(a)
 
 
-def test_passages_are_cut_alike_in_any_surroundings():
-    rng = np.random.default_rng(4)
-    passage = rng.integers(0, 1 << 60, 51, dtype=np.uint64)
-    for _ in range(50):
-        found = []
+def test_minima_are_the_last_of_their_windows():
+    rng = np.random.default_rng(2)
+    for n in (0, 5, 24, 25, 26, 300):
+        values = rng.integers(0, 9, n, dtype=np.uint64)
+        want = [i + max(range(25), key=lambda j, i=i: (-int(values[i + j]), j)) for i in range(n - 24)]
+        assert D.minima(values, 25).tolist() == want
+
+
+def test_passages_of_fifty_words_share_an_anchor_in_any_surroundings():
+    rng, one = np.random.default_rng(4), K.OnePermutation(36)
+    word = lambda i: f"w{i}"
+    for _ in range(30):
+        passage, found = " ".join(map(word, rng.integers(0, 1 << 40, D.RUN + D.WINDOW - 1))), []
         for _ in range(2):
-            before, after = (rng.integers(0, 1 << 60, rng.integers(0, 40), dtype=np.uint64) for _ in range(2))
-            c = D.cuts(np.concatenate([before, passage, after])) - len(before)
-            found.append({int(x) for x in c if D.WINDOW <= x < 51 - D.WINDOW})
-        assert found[0] == found[1]
+            before, after = (" ".join(map(word, rng.integers(0, 1 << 40, rng.integers(0, 40)))) for _ in range(2))
+            data = np.frombuffer(f"{before} {passage} {after}".encode(), dtype=np.uint8)
+            rows = D.unit_batch(pa.array([1]), pa.array([1]), data, np.array([0, len(data)]), 22, 3, one).to_pylist()
+            found.append(set(rows[0]["a_hash"]))
+        assert found[0] & found[1]
+
+
+def test_many_signatures_are_those_of_each_set():
+    rng, one = np.random.default_rng(5), K.OnePermutation(36)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2 for n in (1, 2, 18, 60, 500)] + [np.full(7, 99, dtype=np.uint64)]
+    got = one.many(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all((g == one(np.unique(s))).all() for g, s in zip(got, sets, strict=True))
 
 
 def test_flow_meets_targets_and_prefers_first_passes():

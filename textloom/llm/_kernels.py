@@ -165,6 +165,29 @@ class OnePermutation:
             sig[empty] = sig[pick]
         return sig
 
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The signatures of several sets at once, a row each; ``values`` holds the sets one after another, repeats allowed."""
+        m = len(sizes)
+        owner = np.repeat(np.arange(m), sizes)
+        cell = owner * self.bins + np.searchsorted(self.edges, values, side="right") - 1
+        sig = np.full(m * self.bins, np.iinfo(np.uint64).max, dtype=np.uint64)
+        np.minimum.at(sig, cell, values)
+        full = np.zeros(m * self.bins, dtype=bool)
+        full[cell] = True
+        sig, full = sig.reshape(m, self.bins), full.reshape(m, self.bins)
+        row, col = np.nonzero(~full)
+        for j in range(16):  # most are met by the first draws
+            if not len(row):
+                return sig
+            drawn = self.tries[col, j]
+            hit = full[row, drawn]
+            sig[row[hit], col[hit]] = sig[row[hit], drawn[hit]]
+            row, col = row[~hit], col[~hit]
+        at = np.cumsum(sizes) - sizes
+        for r in np.unique(row).tolist():
+            sig[r] = self(np.unique(values[at[r] : at[r] + sizes[r]]))
+        return sig
+
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """A key for each band of ``rows`` positions, its number included. ``sig``: one signature or a matrix of them."""

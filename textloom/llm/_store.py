@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.session import reachable
 
@@ -45,15 +46,33 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit in ``limit`` bytes, else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted and measured, fit in ``limit`` bytes, else as it is, so that the join shuffles.
 
+    A row counts 32 bytes and 8 for each column; strings, binaries, arrays and structs what they take as JSON.
+    """
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    size = df.count() * (32 + 8 * len(df.columns))
+    if wide and size <= limit:
+        size += df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in wide)))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows and bytes, so that long texts stay within a Python worker's memory."""
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores added until they clash with none of ``columns``, whatever the case."""
+    held, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so that long texts stay within a Python worker's memory. All operators set the same."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 

@@ -127,7 +127,7 @@ def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     plan = skips.select("id", "sha", "skip", F.lit(False).alias("copy")).union(own.where("id <> first").select("id", "sha", F.lit(None).cast("array<int>"), F.lit(True)).distinct())
     plan = scratch.save(plan, "plan")
     keyed = texts.select(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"), "text")
-    todo = keyed.join(small(plan, 96), ["id", "sha"], "left").where("copy is null or not copy").select("text", "skip")
+    todo = keyed.join(small(plan), ["id", "sha"], "left").where("copy is null or not copy").select("text", "skip")
     packs = todo.mapInArrow(_packs, "sha binary, n_bytes long, chunks array<binary>, frames array<binary>").select(F.monotonically_increasing_id().alias("pack"), "*")
     return recipes.select("id", "sha"), scratch.save(packs, "packs")
 
@@ -140,7 +140,7 @@ def read(packs: DataFrame, scratch: Scratch) -> DataFrame:
     lacking = each.where("c.frames is null").select("pack", "seq", F.col("c.chunks").alias("chunk"))
     wanted = lacking.select("chunk").distinct()
     there = packs.select(F.explode(F.arrays_zip("chunks", "frames")).alias("c")).where("c.frames is not null").select(F.col("c.chunks").alias("chunk"), F.col("c.frames").alias("frame"))
-    frames = scratch.save(there.join(small(wanted, 64), "chunk", "left_semi").dropDuplicates(["chunk"]), "shared")
+    frames = scratch.save(there.join(small(wanted), "chunk", "left_semi").dropDuplicates(["chunk"]), "shared")
     found = lacking.join(frames, "chunk").groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct("seq", "frame"))).alias("found"))
     filled = packs.where(lacks).join(found, "pack").withColumn("frames", F.transform("frames", lambda f, i: F.coalesce(f, F.element_at("found", i))))
     told = "sha binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -2,15 +2,13 @@
 
 1. One pass makes each document's shingle set, its digest, its one-permutation signature and band keys.
 2. Documents of equal sets form a class by digest; only the class's smallest id goes on, so thousands of copies cost one row.
-3. Within each bucket a star is drawn around the smallest id: candidate pairs grow with the bucket's size, never with its
-   square.
-4. Every pair is confirmed on full sets, rebuilt from the texts of just these documents; pairs whose set sizes rule a link
-   out are never joined. Links → connected components in the shared folder.
-5. In each bucket that still holds several components every pair of ids from different ones is compared, on the sets' hashes
-   cut to 32 bits, which never hides a link: large buckets in blocks, a block pair to a group of rows. Of the pairs that pass, as
-   many as join a group's components are confirmed on full sets. Where one fails there, the buckets are gone over again without
-   it, until none does. So each pair that shares a bucket is linked, in one component, or known to be no link.
-6. Each component keeps its smallest id.
+3. In each bucket of several blocks a star is drawn around the smallest id: candidate pairs grow with the bucket's size, never with
+   its square. What passes the comparison on the sets' hashes cut to 32 bits (which never hides a link) is joined.
+4. In every bucket each pair of ids that aren't joined yet is compared likewise: large buckets in blocks, a block pair to a group
+   of rows, and of the pairs that pass only as many come out as join the group's components. So each pair that shares a bucket
+   is in one component, or known to be no link.
+5. All links are confirmed on full sets, rebuilt from the texts of just these documents. Where one fails there, 3 and 4 are gone
+   over again without it, until none does. Links → connected components in the shared folder; each keeps its smallest id.
 
 Cases: a null text or one without words has an empty set and is linked with nothing; fewer words than a shingle has make
 one shingle of the whole sequence; rows of a repeated id are one node; a null id stays, with a null component; an empty
@@ -32,8 +30,8 @@ from textloom.llm._graph import components
 from textloom.llm._store import Scratch, bounded_batches, small
 
 BINS, RECALL = 96, 0.999999
-#: Ids of a block: a larger bucket is compared block by block.
-BLOCK = 2048
+#: Ids of a block, and bytes of their sets: a larger bucket is compared block by block.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def _profile(k: int, rows: int):
@@ -79,18 +77,29 @@ def _confirm(percent: int):
     return run
 
 
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """``(key, id)``, rows may repeat → distinct pairs ``a < b``: in each bucket each id with the smallest one."""
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("key", "a")
-    return buckets.join(hubs, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+def _alike(percent: int):
+    """Pairs whose ``short`` sets may be alike enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=np.uint32))
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("held_a"), batch.column("held_b"), strict=True):
+                x, y = x.as_py(), np.frombuffer(y.as_py(), dtype=np.uint32)
+                if x != last[0]:
+                    last = (x, np.frombuffer(x, dtype=np.uint32))
+                ok.append(may_link(last[1], y, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """``(key, id)``, rows may repeat → distinct pairs ``a < b``: in each bucket each id with the smallest one, and with one drawn by hash."""
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("id", "key")).alias("drawn")).where("hub < last").drop("last")
-    met = buckets.join(hubs, "key")
-    pairs = met.select("id", F.explode(F.array("hub", "drawn")).alias("hub")).where("id <> hub")
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether ``short`` sets can belong to linked sets; no link is ever hidden."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def short(held: np.ndarray) -> np.ndarray:
@@ -105,6 +114,9 @@ def cross_links(ids: list[int], parts: np.ndarray, sides: np.ndarray, sets: list
     """
     out: list[tuple[int, int]] = []
     m, parts = len(ids), parts.copy()
+    if m == 2:  # most groups are
+        pair = (min(ids), max(ids))
+        return [pair] if parts[0] != parts[1] and pair not in refuted and may_link(*sets, percent) else []
     n = np.array([len(s) for s in sets])
     high = [(s >> np.uint32(16)).astype(np.uint16) for s in sets]
     every, offsets = np.concatenate(high), np.cumsum(n) - n
@@ -127,8 +139,7 @@ def cross_links(ids: list[int], parts: np.ndarray, sides: np.ndarray, sets: list
         for y in near[100 * common >= percent * (n[near] + n[x] - common)].tolist():
             pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
             if parts[x] != parts[y] and pair not in refuted:
-                both = np.count_nonzero(np.isin(sets[y], sets[x]))
-                if 100 * both >= percent * (n[x] + n[y] - both):
+                if may_link(sets[x], sets[y], percent):
                     out.append(pair)
                     parts[parts == parts[y]] = parts[x]
     return out
@@ -164,40 +175,55 @@ def _cross(percent: int, refuted: frozenset):
 def joined(found: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """``found(node, component)`` with the components that ``links(u, v)`` join."""
     ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
-    merged = found.join(ends, "node", "right").select("node", F.coalesce("component", "node").alias("c"))
-    between = links.join(small(merged.toDF("u", "cu"), 24), "u").join(small(merged.toDF("v", "cv"), 24), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = scratch.save(found.join(ends, "node", "right").select("node", F.coalesce("component", "node").alias("c")), f"{tag}-ends")
+    between = links.join(merged.toDF("u", "cu"), "u").join(merged.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     roots = components(between, scratch, tag)
     found = found.select("node", "component").union(merged.where("node = c").select("node", "c")).distinct()
-    return found.join(small(roots.toDF("component", "root"), 24), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return found.join(small(roots.toDF("component", "root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def exhausted(buckets: DataFrame, found: DataFrame, sets_of, confirmed, percent: int, scratch: Scratch) -> DataFrame:
-    """``found(node, component)`` with every link between ids of a bucket of ``buckets(key, id)``, whose rows are distinct.
+def linked(buckets: DataFrame, known: DataFrame | None, sets_of, confirmed, percent: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` of all ids that have a link to another id of one of their buckets, or one of the links ``known(u, v)``.
 
-    ``sets_of(ids)`` gives ``id, held`` (``short`` sets as bytes), ``confirmed(pairs, tag)`` the links ``u, v`` among pairs ``a, b``.
-    Only pairs that agree in 32 bits and not in 64 are ever refuted, so that few are, and a second round is rare.
+    ``buckets`` has rows ``key, id, size``; ``sets_of(ids)`` gives ``id, held`` (``short`` sets as bytes) and
+    ``confirmed(pairs, tag)`` the links ``u, v`` among pairs ``a, b``, judged on full sets. Only pairs that agree in 32 bits and not
+    in 64 are ever refuted, so that few are, and a second round is rare.
     """
+    spark = buckets.sparkSession
+    of = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, 4 * F.col("total") / BLOCK_BYTES)).cast("int")
+    hubs = scratch.save(of.where("hub < last").select("key", "hub", blocks.alias("n")), "hubs")
+    met = scratch.save(buckets.select("key", "id").join(small(hubs), "key"), "met")
+    sets = scratch.save(sets_of(scratch.save(met.select("id").distinct(), "ids")), "short")
+    scratch.drop("hubs", "ids")
+    stars = met.where("n > 1 and hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    both = stars.join(sets.toDF("b", "held_b"), "b").join(sets.toDF("a", "held_a"), "a")
+    least, most = F.least(F.length("held_a"), F.length("held_b")), F.greatest(F.length("held_a"), F.length("held_b"))
+    stars = scratch.save(both.where(100 * least.cast("long") >= percent * most.cast("long")).select("a", "b", "held_a", "held_b").mapInArrow(_alike(percent), "a long, b long"), "stars")
+    none = spark.createDataFrame([], "a long, b long")
     refuted: frozenset = frozenset()
     turn = 0
     while True:
-        named = buckets.join(small(found.withColumnRenamed("node", "id"), 24), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
-        mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), f"mixed-{turn}")
-        met = scratch.save(named.join(small(mixed, 24), "key"), f"met-{turn}")
-        if turn == 0:
-            sets = scratch.save(sets_of(met.select("id").distinct()), "short")
-        met = met.withColumn("side", F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "c", "side").join(sets, "id")
-        dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        pairs = scratch.save(dealt.select("key", "low", "high", "id", "c", "side", "held").mapInArrow(_cross(percent, refuted), "a long, b long").distinct(), f"cross-{turn}")
-        scratch.drop(f"mixed-{turn}", f"met-{turn}")
-        links = confirmed(pairs, f"cross-{turn}")
-        found = scratch.save(joined(found, links, scratch, f"cross-cc-{turn}"), f"found-{turn}")
-        lost = frozenset((r.a, r.b) for r in pairs.join(links.toDF("a", "b"), ["a", "b"], "left_anti").collect())
-        scratch.drop(f"cross-{turn}")
+        gone = spark.createDataFrame(sorted(refuted), "a long, b long") if refuted else none
+        kept = stars.join(F.broadcast(gone), ["a", "b"], "left_anti") if refuted else stars
+        edges = kept.toDF("u", "v")
+        found = scratch.save(components(edges if known is None else edges.union(known), scratch, f"cc-{turn}"), f"parts-{turn}")
+        named = met.join(small(found.toDF("id", "c")), "id", "left").select("key", "n", "id", F.coalesce("c", "id").alias("c"))
+        large = scratch.save(named.where("n > 1"), f"large-{turn}")  # of these, only buckets of several components
+        mixed = large.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select("key")
+        mixed = scratch.save(mixed, f"mixed-{turn}")
+        todo = named.where("n = 1").union(large.join(small(mixed), "key", "left_semi").select("key", "n", "id", "c"))
+        todo = todo.withColumn("side", F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        todo = todo.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "c", "side").join(sets, "id")
+        dealt = todo.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        cross = scratch.save(dealt.select("key", "low", "high", "id", "c", "side", "held").mapInArrow(_cross(percent, refuted), "a long, b long").distinct(), f"cross-{turn}")
+        pairs = scratch.save(kept.union(cross).distinct(), f"pairs-{turn}")
+        links = confirmed(pairs, f"{turn}")
+        lost = frozenset((r.a, r.b) for r in pairs.join(links.toDF("a", "b"), ["a", "b"], "left_anti").collect())  # chance agreements of 32 bits
         if not lost:
-            scratch.drop("short")
-            return found
+            out = scratch.save(joined(found, cross.toDF("u", "v"), scratch, f"all-{turn}"), "linked")
+            scratch.drop("met", "short", "stars", f"parts-{turn}", f"large-{turn}", f"mixed-{turn}", f"cross-{turn}", f"pairs-{turn}")
+            return out
         refuted, turn = refuted | lost, turn + 1
 
 
@@ -214,32 +240,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     profile = scratch.save(texts.mapInArrow(_profile(k, rows), "id long, n long, digest binary, bands array<long>"), "profile")
 
     classes = profile.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = scratch.save(classes, "classes")
     member = scratch.save(profile.select("id", "n", "digest").join(classes, "digest", "left"), "member")
     again = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
     again = again.select("id", "u").union(again.select("id", "v")).toDF("u", "v")
 
-    reps = profile.join(classes, "digest").where("id = rep").groupBy("id", "digest").agg(F.first("bands").alias("bands"))
+    reps = profile.join(classes, "digest").where("id = rep").groupBy("id", "digest").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     reps = scratch.save(reps.drop("digest"), "reps")
-    buckets = reps.select(F.explode("bands").alias("key"), "id")
+    buckets = reps.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-        sets = scratch.save(texts.join(small(wanted, 24), "id", "left_semi").mapInArrow(_sets(k), "id long, held binary"), f"sets-{tag}")
-        both = pairs.join(sets.toDF("b", "held_b"), "b").join(sets.toDF("a", "held_a"), "a")
-        least, most = F.least(F.length("held_a"), F.length("held_b")), F.greatest(F.length("held_a"), F.length("held_b"))
-        both = both.where(100 * least.cast("long") >= percent * most.cast("long")).select("a", "b", "held_a", "held_b")
-        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{tag}")
-        scratch.drop(f"sets-{tag}")
+        wanted = scratch.save(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), f"wanted-{tag}")
+        sets = scratch.save(texts.join(small(wanted), "id", "left_semi").mapInArrow(_sets(k), "id long, held binary"), f"sets-{tag}")
+        both = pairs.join(sets.toDF("b", "held_b"), "b").join(sets.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b")
+        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"links-{tag}")
+        scratch.drop(f"sets-{tag}", f"wanted-{tag}")
         return links.toDF("u", "v")
 
-    stars = scratch.save(first_pairs(buckets), "stars")
-    found = components(confirmed(stars, "stars").union(again), scratch, "stars-cc")
-
     def sets_of(ids: DataFrame) -> DataFrame:
-        return texts.join(small(ids, 24), "id", "left_semi").mapInArrow(_sets(k, True), "id long, held binary")
+        return texts.join(small(ids), "id", "left_semi").mapInArrow(_sets(k, True), "id long, held binary")
 
-    found = exhausted(buckets, found, sets_of, confirmed, percent, scratch)
-    scratch.drop("stars", "reps", "profile")
+    found = linked(buckets, again, sets_of, confirmed, percent, scratch)
+    scratch.drop("reps", "profile", "classes")
 
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
@@ -249,4 +271,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component keeps another one; of rows with the same id and text one stays."""
     gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small(gone, 24), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])

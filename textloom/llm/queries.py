@@ -44,7 +44,7 @@ def op6_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removals(rows_of(spark, sf_dir, "documents"))
+    return substring_dedup.removals(rows_of(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

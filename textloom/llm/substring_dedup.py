@@ -1,21 +1,23 @@
 """Substring deduplication by paragraph MinHash banding, and exact removal of repeated passages inside paragraphs.
 
 Paragraphs are the lines of ``min_words`` words or more. Equal ones form a class by digest, before anything else.
-Each distinct paragraph's five-word shingles give a one-permutation signature, cut into bands tuned for the recall wanted
-at the similarity; colliding paragraphs are joined as stars around each bucket's hubs, verified by exact Jaccard
-similarity on the paragraphs' texts, and clustered by connected components; then every pair of a bucket's paragraphs that are
-still in different components is compared (``near_dedup.exhausted``). A cluster keeps its first occurrence (by
-doc_id, then place); the others are removals.
-
-A passage that repeats inside differing paragraphs, or across their ends, is found on the document's whole word stream: cuts
-at the hash minima of every window of ``WINDOW`` words depend on nothing but the words nearby, so a repeated passage
-is cut alike everywhere, whatever surrounds it. Equal pieces are joined by digest; all but the first occurrence that no
-paragraph removal holds go, if adjacent pieces make ``PASSAGE_WORDS`` words. Any passage of ``PASSAGE_WORDS + 2 * WINDOW``
-words (51 at the defaults) is met for certain; up to ``WINDOW`` words at either end of it may stay.
-
-Cases: null and empty texts, and shorter paragraphs, have no removals; rows with a null id are ignored by the search and
-kept by the filter; rows of a repeated id count by their own text, and of equal rows one occurrence; an empty table gives
-an empty result; further columns are kept by the filter.
+Each class's five-word shingles give a one-permutation signature, cut into bands tuned for the recall wanted at the similarity;
+colliding paragraphs are joined, compared and clustered by connected components (``near_dedup.linked``: stars in large
+buckets, then every pair of a bucket that isn't joined yet), verified by exact Jaccard similarity on the paragraphs' texts. A
+cluster keeps its first occurrence (by doc_id, then place); the others are removals.
+
+A passage that repeats inside differing paragraphs, or across their ends, is found on the document's whole word stream by
+winnowing: of every ``WINDOW`` runs of ``RUN`` words the one of least hash is an anchor, which depends on nothing but these words. So
+each passage of ``RUN + WINDOW - 1`` words (50) that occurs again has an equal anchor in both places, whatever surrounds it.
+Anchors are joined by hash with their first occurrence outside removed paragraphs, those of one displacement are joined to
+runs, and each run is extended word by word at both ends as far as the two texts agree. (Beyond the last anchor no more than
+``WINDOW - 1`` words can agree; that many of the kept text's words go to the run.) Runs of ``PASSAGE_WORDS`` words or more are
+removals, whole.
+
+A row is known by its id and a hash of its text. Cases: null and empty texts, and shorter paragraphs, have no removals; rows with
+a null id are ignored by the search and kept by the filter; rows of a repeated id are judged each by its own text, and equal
+rows as one; where a text repeats itself without a gap, what overlaps the kept place stays; of equal places the first is
+kept; an empty table gives an empty result; further columns, whatever their names, are kept by the filter.
 """
 
 from __future__ import annotations
@@ -29,23 +31,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from textloom.llm import _kernels as K
-from textloom.llm._graph import components
-from textloom.llm._store import Scratch, bounded_batches, small
-from textloom.llm.near_dedup import exhausted, short, star_pairs
+from textloom.llm._store import Scratch, bounded_batches, fresh, small
+from textloom.llm.near_dedup import _confirm, linked, short
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 22
-#: Passages inside paragraphs: the words that equal pieces must make together, and the window of the cuts.
-PASSAGE_WORDS, WINDOW = 13, 19
+#: Words of an anchor, anchors to choose one from, and words of a passage that goes.
+RUN, WINDOW, PASSAGE_WORDS = 26, 25, 50
 BINS, RECALL = 36, 0.999
 
+UNITS = "doc_id long, th long, p_word array<int>, p_n array<int>, p_start array<int>, p_end array<int>, p_hash array<long>, p_bands array<array<long>>, a_hash array<long>, a_word array<int>"
 
-def cuts(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions that are the last minimum of some window of so many words: the gap between two is at most ``window``."""
-    n = len(words) - window + 1
+
+def minima(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each window of so many values the place of its last minimum."""
+    n = len(values) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(words, window)
-    return np.unique(np.arange(n) + window - 1 - views[:, ::-1].argmin(axis=1))
+    best, place, width = values, np.arange(len(values)), 1
+
+    def least(shift: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = best[:count], best[shift : shift + count]
+        later = b <= a
+        return np.where(later, b, a), np.where(later, place[shift : shift + count], place[:count])
+
+    while 2 * width <= window:
+        best, place = least(width, len(best) - width)
+        width *= 2
+    return least(window - width, n)[1]
 
 
 def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,63 +65,53 @@ def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     power, inverse = K._powers(len(words) + 1)
     total = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * power[: len(words)], out=total[1:])
-    return K.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
+    return K.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values).cast(kind))
+
+
+def unit_batch(ids: pa.Array, texts: pa.Array, data: np.ndarray, own: np.ndarray, min_words: int, rows: int, one: K.OnePermutation) -> pa.RecordBatch:
+    """Paragraphs (word and byte places, hashes, band keys) and anchors of a block of texts, whose bytes ``own`` cuts into rows."""
+    starts, ends, first = K.word_spans(data, own)
+    words = K.word_hashes(data, starts, ends)
+    m = len(own) - 1
+    doc = np.repeat(np.arange(m), np.diff(first))
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    edge = np.flatnonzero((doc[1:] != doc[:-1]) | (line[1:] != line[:-1])) + 1 if len(words) else np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate(([0], edge)), np.concatenate((edge, [len(words)]))
+    long = b - a >= min_words
+    a, b = a[long], b[long]
+    sizes = b - a - SHINGLE + 1
+    runs = K.shingles(words, SHINGLE)
+    place = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    keys = K.band_keys(one.many(runs[place], sizes), rows).view(np.int64)
+    d = doc[a] if len(a) else np.zeros(0, dtype=np.int64)
+    par = np.searchsorted(d, np.arange(m + 1))
+    base = own[:-1][d]
+    at = np.arange(max(0, len(words) - RUN + 1))
+    grams = span_hashes(words, at, at + RUN)
+    picks = minima(grams)
+    inside = doc[: len(picks)] == doc[WINDOW + RUN - 2 :][: len(picks)]
+    picks = np.unique(picks[inside])
+    of = doc[picks]
+    anchors = np.searchsorted(of, np.arange(m + 1))
+    bands = keys.shape[1]
+    cols = [ids, texts, _lists(a - first[d], par, pa.int32()), _lists(b - a, par, pa.int32()), _lists(starts[a] - base, par, pa.int32()), _lists(ends[b - 1] - base if len(b) else b, par, pa.int32()), _lists(span_hashes(words, a, b).view(np.int64), par, pa.int64())]
+    cols.append(pa.ListArray.from_arrays(pa.array(par, pa.int32()), _lists(keys.ravel(), np.arange(len(a) + 1) * bands, pa.int64())))
+    cols += [_lists(grams[picks].view(np.int64), anchors, pa.int64()), _lists(picks - first[of], anchors, pa.int32())]
+    out = pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "p_word", "p_n", "p_start", "p_end", "p_hash", "p_bands", "a_hash", "a_word"])
+    return out.filter(pa.array((np.diff(par) > 0) | (np.diff(anchors) > 0)))
 
 
 def _units(min_words: int, rows: int):
-    """Per document its paragraphs (``kind`` 0, with band keys where none of the batch had the same) and pieces (``kind`` 1), by
-    byte place in the text."""
-    told: set[bytes] = set()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = K.OnePermutation(BINS)
         for batch in batches:
-            told.clear()
-            data, off = K.utf8(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            data, off = K.utf8(batch.column(2))
             for i, j in K.blocks(off):
-                yield unit_batch(ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i], one)
-
-    def unit_batch(ids: np.ndarray, data: np.ndarray, own: np.ndarray, one: K.OnePermutation) -> pa.RecordBatch:
-        starts, ends, first = K.word_spans(data, own)
-        words = K.word_hashes(data, starts, ends)
-        breaks = np.flatnonzero(data == 10)
-        runs = K.shingles(words, SHINGLE)
-        doc, kind, lo, hi, size, wa, wb, bands = [], [], [], [], [], [], [], []
-        for r in range(len(ids)):
-            a, b = int(first[r]), int(first[r + 1])
-            if b - a < min_words:
-                continue
-            x, y = np.searchsorted(breaks, own[r : r + 2])
-            ls = np.searchsorted(starts[a:b], breaks[x:y]) + a
-            edge = np.unique(np.concatenate(([a], ls, [b])))
-            for p, q in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if q - p >= min_words:
-                    name = words[p:q].tobytes()
-                    if name in told:
-                        bands.append(None)
-                    else:
-                        told.add(name)
-                        bands.append(K.band_keys(one(np.unique(runs[p : q - SHINGLE + 1])), rows).view(np.int64))
-                    wa.append([p])
-                    wb.append([q])
-                    kind.append(np.zeros(1, dtype=np.int32))
-                    doc.append(np.full(1, r))
-            c = cuts(words[a:b]) + a
-            if len(c) > 1:
-                wa.append(c[:-1])
-                wb.append(c[1:])
-                kind.append(np.ones(len(c) - 1, dtype=np.int32))
-                doc.append(np.full(len(c) - 1, r))
-        if not doc:
-            doc, wa, wb, kind = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
-        d, wa, wb, kind = np.concatenate(doc), np.concatenate(wa), np.concatenate(wb), np.concatenate(kind)
-        base = own[:-1][d]
-        held = iter(bands)
-        keys = pa.array([next(held) if k == 0 else None for k in kind.tolist()], pa.list_(pa.int64()))
-        from_, to = (starts[wa] - base, ends[wb - 1] - base) if len(wa) else (wa, wb)
-        cols = [pa.array(ids[d], pa.int64()), pa.array(kind), *(pa.array(x, pa.int64()).cast(pa.int32()) for x in (from_, to, wb - wa)), pa.array(span_hashes(words, wa, wb), pa.int64()), keys]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "kind", "start", "end", "n", "hash", "bands"])
+                yield unit_batch(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], min_words, rows, one)
 
     return run
 
@@ -126,99 +128,172 @@ def _text_spans(cut: bool):
                 for s, values in zip(spots, K.shingle_sets(parts, SHINGLE), strict=True):
                     node.append(s["node"])
                     held.append((short(values) if cut else values).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], ["node", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], ["id", "held"])
 
     return run
 
 
-def _confirm(percent: int):
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and the bytes at which they start and end."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    starts, ends, _ = K.word_spans(data, np.array([0, len(data)]))
+    return K.word_hashes(data, starts, ends), starts, ends
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted place (a word's number) of a text the ``WINDOW`` words before it, and those from it on, nearest first."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, th, text, spots in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("spots").to_pylist(), strict=True):
+            words, starts, _ = words_of(text.as_py())
+            h = words.view(np.int64)
+            for at in spots:
+                low = max(0, at - WINDOW)
+                out.append((doc, th, at, h[low:at][::-1].tobytes(), starts[low : at + 1][::-1].astype(np.int64).tobytes(), h[at : at + WINDOW].tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["kdoc", "kth", "at", "before", "bytes", "after"])
+
+
+def joined_runs(anchors: list[dict]) -> list[list[int]]:
+    """``[a, b, kdoc, kth, ka]``: anchors of one document that touch or overlap, alike displaced from one kept text, as one run."""
+    open_: dict[tuple, list[int]] = {}
+    out = []
+    for p in sorted(anchors, key=lambda p: p["word"]):
+        key = (p["kdoc"], p["kth"], p["word"] - p["kword"])
+        now = open_.get(key)
+        if now is not None and p["word"] <= now[1]:
+            now[1] = p["word"] + RUN
+        else:
+            open_[key] = [p["word"], p["word"] + RUN, p["kdoc"], p["kth"], p["kword"]]
+            out.append(open_[key])
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list] = []
+        for doc, th, anchors in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "anchors")), strict=True):
+            out += [[doc, th, *r, r[4] + r[1] - r[0]] for r in joined_runs(anchors)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "a", "b", "kdoc", "kth", "ka", "kb"])
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values agree from the start."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _extended(least: int):
+    """Each run as far as its text and the kept one agree; those of enough words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [K.jaccard_at_least(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), percent) for x, y in zip(batch.column("held_a"), batch.column("held_b"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out: list[tuple] = []
+            for doc, th, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
+                words, starts, ends = words_of(text.as_py())
+                h = words.view(np.int64)
+                for r in runs:
+                    a, b = r["a"], r["b"]
+                    left = agreeing(h[max(0, a - WINDOW) : a][::-1], np.frombuffer(r["before"], dtype=np.int64))
+                    a, b, ka = a - left, b + agreeing(h[b : b + WINDOW], np.frombuffer(r["after"], dtype=np.int64)), r["ka"] - left
+                    if b - a < least:
+                        continue
+                    if (r["kdoc"], r["kth"]) == (doc, th):  # what overlaps the kept place stays
+                        a = max(a, ka + b - a)
+                        if b - a < least:
+                            continue
+                    out.append((doc, th, int(starts[a]), int(ends[b - 1]), b - a, r["kdoc"], int(np.frombuffer(r["bytes"], dtype=np.int64)[left])))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "start", "end", "n_words", "kept_doc_id", "kept_start"])
 
     return run
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, kind, start, end, n_words, kept_doc_id, kept_start``: every span that repeats an earlier, kept one.
+    """``doc_id, text_hash, kind, start, end, n_words, kept_doc_id, kept_start``: every span that repeats an earlier, kept one.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text; ``kind`` is ``paragraph`` or ``passage``.
+    ``start`` and ``end`` are bytes of the UTF-8 text, ``text_hash`` its ``xxhash64``; ``kind`` is ``paragraph`` or ``passage``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = scratch or Scratch(spark, "substring")
     _, rows = K.tuned_bands(percent / 100, RECALL, BINS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    units = scratch.save(texts.mapInArrow(_units(min_words, rows), "doc_id long, kind int, start int, end int, n int, hash long, bands array<long>"), "units")
-
-    # Paragraphs: classes of equal ones, then stars of colliding classes.
-    paragraphs = units.where("kind = 0")
-    buckets = scratch.save(paragraphs.select(F.explode("bands").alias("key"), F.col("hash").alias("id")).distinct(), "buckets")
-
-    def sets_of(ids: DataFrame, tag: str, cut: bool = False) -> DataFrame:
-        """``node, held`` of the paragraphs ``ids(hash)``, from one place of each."""
-        spots = paragraphs.join(small(ids, 24), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"))
-        by_doc = spots.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.start", "at.end", F.col("hash").alias("node"))).alias("spots"))
-        by_doc = scratch.save(by_doc, f"spots-{tag}")
-        return texts.join(small(by_doc, 400), "doc_id").select("text", "spots").mapInArrow(_text_spans(cut), "node long, held binary")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    units = scratch.save(texts.mapInArrow(_units(min_words, rows), UNITS), "units")
+
+    def with_texts(spots: DataFrame, tag: str) -> DataFrame:
+        """Texts with what is wanted from them; equal rows give equal results."""
+        return texts.join(small(scratch.save(spots, tag)), ["doc_id", "th"])
+
+    gone = scratch.save(_paragraphs(units, with_texts, percent, scratch).distinct(), "paragraphs")
+    passages = _passages(units, gone, with_texts, scratch).distinct()
+    columns = ["doc_id", F.col("th").alias("text_hash"), "kind", "start", "end", "n_words", "kept_doc_id", "kept_start"]
+    return gone.withColumn("kind", F.lit("paragraph")).select(*columns).union(passages.withColumn("kind", F.lit("passage")).select(*columns))
+
+
+def _paragraphs(units: DataFrame, with_texts, percent: int, scratch: Scratch) -> DataFrame:
+    """``doc_id, th, word, n_words, start, end, kept_doc_id, kept_start`` of the paragraphs that go. Every join is between written tables, so that
+    the rows of a paragraph that is everywhere are split over tasks."""
+    zipped = F.arrays_zip("p_hash", "p_word", "p_n", "p_start", "p_end")
+    paragraphs = units.select("doc_id", "th", F.explode(zipped).alias("p")).select("doc_id", "th", F.col("p.p_hash").alias("hash"), F.col("p.p_word").alias("word"), F.col("p.p_n").alias("n_words"), F.col("p.p_start").alias("start"), F.col("p.p_end").alias("end"))
+    banded = units.select("doc_id", "th", F.explode(F.arrays_zip("p_hash", "p_start", "p_end", "p_n", "p_bands")).alias("p"))
+    classes = banded.groupBy(F.col("p.p_hash").alias("hash")).agg(F.min(F.struct("doc_id", F.col("p.p_start").alias("start"), "th", F.col("p.p_end").alias("end"), F.col("p.p_n").alias("n"), F.col("p.p_bands").alias("bands"))).alias("at"), F.count(F.lit(1)).alias("m"))
+    classes = scratch.save(classes, "classes")
+    buckets = classes.select(F.explode("at.bands").alias("key"), F.col("hash").alias("id"), F.col("at.n").alias("size"))
+
+    def sets(ids: DataFrame, tag: str, cut: bool) -> DataFrame:
+        spots = classes.join(small(ids), classes["hash"] == ids["id"], "left_semi").groupBy("at.doc_id", "at.th")
+        spots = spots.agg(F.collect_list(F.struct("at.start", "at.end", F.col("hash").alias("node"))).alias("spots"))  # a document's own paragraphs
+        return with_texts(spots, f"spots-{tag}").select("text", "spots").mapInArrow(_text_spans(cut), "id long, held binary")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        held = scratch.save(sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("hash"), tag), f"held-{tag}")
+        wanted = scratch.save(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), f"wanted-{tag}")
+        held = scratch.save(sets(wanted, f"full-{tag}", False), f"held-{tag}")
         both = pairs.join(held.toDF("b", "held_b"), "b").join(held.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b")
-        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{tag}")
-        scratch.drop(f"held-{tag}", f"spots-{tag}")
+        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"links-{tag}")
+        scratch.drop(f"held-{tag}", f"wanted-{tag}", f"spots-full-{tag}")
         return links.toDF("u", "v")
 
-    found = components(confirmed(scratch.save(star_pairs(buckets), "pairs"), "stars"), scratch)
-    found = exhausted(buckets, found, lambda ids: sets_of(ids.toDF("hash"), "short", True).toDF("id", "held"), confirmed, percent, scratch)
+    found = linked(buckets, None, lambda ids: sets(ids, "short", True), confirmed, percent, scratch)
     cluster = F.coalesce("component", "hash").alias("cluster")
-    members = paragraphs.join(found.withColumnRenamed("node", "hash"), "hash", "left").select("doc_id", "start", "end", "n", cluster)
-    several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cluster")
-    members = scratch.save(members.join(several, "cluster", "left_semi"), "members")
-    kept = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("kept"))
-    gone = members.join(kept, "cluster").where("struct(doc_id, start) <> kept").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("n").alias("n_words"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
-    gone = scratch.save(gone, "paragraphs")
-    scratch.drop("buckets", "spots-short", "pairs", "members")
-
-    # Pieces: those that occur again outside removed paragraphs, joined to runs.
-    pieces = units.where("kind = 1").select("hash", "doc_id", "start", "end", "n")
-    again = pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash")
-    some = scratch.save(pieces.join(again, "hash", "left_semi"), "pieces")
-    scratch.drop("units")
-    lost = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("lost"))
-    free = some.join(lost, "doc_id", "left").where("lost is null or not exists(lost, s -> start >= s.start and end <= s.end)").drop("lost")
-    free = scratch.save(free, "free")
-    first = free.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "start")).alias("kept")).where("m > 1").select("hash", "kept")
-    later = free.join(first, "hash").where("struct(doc_id, start) <> kept")
-    runs = later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "n", "kept"))).alias("p")).mapInArrow(_runs(PASSAGE_WORDS), "doc_id long, start long, end long, n_words long, kept_doc_id long, kept_start long")
-    return gone.unionByName(runs.withColumn("kind", F.lit("passage")))
-
-
-def _runs(min_words: int):
-    """Joins pieces of one document that touch or overlap into runs, and returns those of enough words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, pieces in zip(batch.column("doc_id").to_pylist(), batch.column("p").to_pylist(), strict=True):
-                now: list | None = None
-                for p in pieces:
-                    if now and p["start"] <= now[1] + 4:  # the next word but for white space
-                        if p["end"] > now[1]:
-                            now[1], now[2] = p["end"], now[2] + p["n"]
-                    else:
-                        if now and now[2] >= min_words:
-                            out.append((doc, *now))
-                        now = [p["start"], p["end"], p["n"], p["kept"]["doc_id"], p["kept"]["start"]]
-                if now and now[2] >= min_words:
-                    out.append((doc, *now))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], ["doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start"])
-
-    return run
-
-
-def _cut(at: int, text_at: int, chars_at: int):
+    named = classes.join(found.toDF("hash", "component"), "hash", "left").where("m > 1 or component is not null").select("hash", "at", cluster)
+    named = scratch.save(named, "named")
+    first = scratch.save(named.groupBy("cluster").agg(F.min(F.struct("at.doc_id", "at.start", "at.th")).alias("kept")), "first")
+    kept = scratch.save(named.join(small(first), "cluster").select("hash", "kept"), "kept")
+    out = paragraphs.join(small(kept), "hash").where("struct(doc_id, start, th) <> kept")
+    scratch.drop("spots-short", "first")
+    return out.select("doc_id", "th", "word", "n_words", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+
+
+def _passages(units: DataFrame, gone: DataFrame, with_texts, scratch: Scratch) -> DataFrame:
+    """``doc_id, th, start, end, n_words, kept_doc_id, kept_start`` of the passages that go."""
+    again = scratch.save(units.select(F.explode("a_hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash"), "again")
+    anchors = units.select("doc_id", "th", F.explode(F.arrays_zip("a_hash", "a_word")).alias("p")).select("doc_id", "th", F.col("p.a_hash").alias("hash"), F.col("p.a_word").alias("word"))
+    some = scratch.save(anchors.join(small(again), "hash", "left_semi").select("hash", "doc_id", "th", "word"), "some")
+    lost = scratch.save(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("word").alias("a"), (F.col("word") + F.col("n_words")).alias("b"))).alias("lost")), "lost")
+    free = some.join(small(lost), ["doc_id", "th"], "left").where(f"lost is null or not exists(lost, s -> word >= s.a and word + {RUN} <= s.b)")
+    free = scratch.save(free.select("hash", "doc_id", "th", "word"), "free")
+    first = free.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "word", "th")).alias("kept")).where("m > 1").select("hash", "kept")
+    first = scratch.save(first, "firsts")
+    later = free.join(small(first), "hash").where("struct(doc_id, word, th) <> kept")
+    anchor = F.struct("word", F.col("kept.doc_id").alias("kdoc"), F.col("kept.th").alias("kth"), F.col("kept.word").alias("kword"))
+    later = later.groupBy("doc_id", "th").agg(F.collect_set(anchor).alias("anchors"))  # a document's own anchors
+    runs = scratch.save(later.mapInArrow(_joined, "doc_id long, th long, a int, b int, kdoc long, kth long, ka int, kb int"), "runs")
+    scratch.drop("again", "some", "lost", "free", "firsts")
+    places = runs.select(F.col("kdoc").alias("doc_id"), F.col("kth").alias("th"), F.explode(F.array("ka", "kb")).alias("at"))
+    spots = places.groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))  # at most a text's words
+    around = scratch.save(with_texts(spots, "places").select("doc_id", "th", "text", "spots").mapInArrow(_contexts, "kdoc long, kth long, at int, before binary, bytes binary, after binary").dropDuplicates(["kdoc", "kth", "at"]), "around")
+    left, right = around.select("kdoc", "kth", F.col("at").alias("ka"), "before", "bytes"), around.select("kdoc", "kth", F.col("at").alias("kb"), "after")
+    met = scratch.save(runs.join(small(left), ["kdoc", "kth", "ka"]).join(small(right), ["kdoc", "kth", "kb"]), "met-runs")
+    wanted = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "kdoc", "kth", "ka", "before", "bytes", "after")).alias("runs"))
+    out = with_texts(wanted, "wanted-runs").select("doc_id", "th", "text", "runs")
+    return out.mapInArrow(_extended(PASSAGE_WORDS), "doc_id long, th long, start int, end int, n_words int, kept_doc_id long, kept_start int")
+
+
+def _cut(at: int, text_at: int, chars_at: int, mark: str):
     """Cuts the spans of column ``at`` out of the texts, and marks the rows that it changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +317,7 @@ def _cut(at: int, text_at: int, chars_at: int):
             cols[text_at] = pa.array(texts, pa.string())
             if chars_at >= 0:
                 cols[chars_at] = pa.array(sizes, cols[chars_at].type)
-            cols[at], names[at] = pa.array(marks, pa.int32()), "_cut"
+            cols[at], names[at] = pa.array(marks, pa.int32()), mark
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -250,10 +325,12 @@ def _cut(at: int, text_at: int, chars_at: int):
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with each repeated span cut from ``text`` and ``n_chars`` counted anew; documents of which nothing is left go."""
-    gone = removals(docs, min_words, percent)
-    spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    named = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
     columns = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("_cut", IntegerType())])
-    out = named.mapInArrow(_cut(len(columns), columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1), schema)
-    return out.where("_cut = 0 or text <> ''").drop("_cut")
+    id_, hash_, spans_, mark = fresh(columns, "_id", "_hash", "_spans", "_cut")
+    gone = removals(docs, min_words, percent)
+    spans = gone.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans_))
+    spans = Scratch(docs.sparkSession, "spans").save(spans, "spans")
+    named = docs.join(small(spans), (docs["doc_id"].cast("long") == spans[id_]) & (F.xxhash64(docs["text"].cast("string")) == spans[hash_]), "left").select(*(docs[f"`{c}`"] for c in columns), spans_)
+    schema = StructType([*docs.schema.fields, StructField(mark, IntegerType())])
+    out = named.mapInArrow(_cut(len(columns), columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1, mark), schema)
+    return out.where(f"`{mark}` = 0 or text <> ''").select(*(F.col(f"`{c}`") for c in columns))

@@ -86,7 +86,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     keys = scratch.save(keys.withColumn("held", F.substring(F.md5("key"), 1, 1).isin("0", "1", "2")), "keys")
     learned = lambda c: F.sum(F.when(F.col("held"), 0).otherwise(F.col(c))).alias(c)
     table = scratch.save(ratios(grams(keys).groupBy("g").agg(learned("na"), learned("nr"))), "ratios")
-    scores = grams(keys).join(small(table, 48), "g").groupBy("key", "na", "nr", "held").agg(F.sum("micro").alias("total"), F.count(F.lit(1)).alias("n"))
+    scores = grams(keys).join(small(table), "g").groupBy("key", "na", "nr", "held").agg(F.sum("micro").alias("total"), F.count(F.lit(1)).alias("n"))
     scores = scratch.save(scores.select("key", "na", "nr", "held", F.floor(F.col("total") / (F.col("n") * CELL)).cast("long").alias("score")), "scores")
 
     cells = scores.where("held and (na > 0 or nr > 0)").groupBy("score").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
@@ -96,6 +96,6 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     best = told.where("all_a > 0 and all_r > 0").select(F.ceil((F.col("score") + F.coalesce("below", "score")) / 2).cast("long").alias("at"), right.alias("right")).orderBy(F.desc("right"), F.abs("at"), "at").limit(1).collect()
     at = int(best[0]["at"]) if best else 0
 
-    met = ruled.join(small(scores.select("key", "score"), 200), "key", "left")
+    met = ruled.join(small(scores.select("key", "score")), "key", "left")
     verdict = F.when(allows, "allow").when(F.col("rule").isNotNull(), "block").when(F.col("score") >= at, "allow").otherwise("block")
     return met.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(at).cast("long").alias("cut"))
