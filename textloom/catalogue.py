@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import matcher
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
+from textloom.model import SHEET
 from textloom.operators import context, index, ranking, search
-from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, parse_batch, parse_conditions
-from textloom.session import reachable
+from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, parse_batch, parse_conditions, without_nested
+from textloom.session import Scratch
 from textloom.sources import files
 from textloom.streaming import incremental
 
@@ -87,7 +87,7 @@ def q07_batch_summary(spark, sf):
 
 def q08_grams(spark, sf):
     units = files.line_units(table(spark, sf, "benchmark"), F.concat(F.lit("b/"), "item_id"))
-    return index.grams_of(units, exact=False).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return index.grams_of(units).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q09_typo_tokens(spark, sf):
@@ -100,7 +100,8 @@ def q09_typo_tokens(spark, sf):
 def q10_batch_matrix(spark, sf):
     hits = search.batch_hits(docs(spark, sf), parse_batch(BATCH)).withColumn("path", F.split_part("path", F.lit("/"), F.lit(2)))
     terms = search.term_table(spark, parse_batch(BATCH)).select("term_id", "term")
-    return ranking.matrix(hits, terms, ["de", "en", "es", "fr"])
+    langs = [r.lang for r in table(spark, sf, "documents").select("lang").where("lang is not null").distinct().orderBy("lang").collect()]  # the report's columns
+    return ranking.matrix(hits, terms, langs)
 
 
 def q11_batch_status(spark, sf):
@@ -123,7 +124,7 @@ def q14_evidence_best(spark, sf):
 
 def q15_group_category(spark, sf):
     spec = conditions(Scope.FILE, ("thtion",), (), ())
-    return search.where(table_units(spark, sf), spec, fuzzy=True).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return search.where(docs(spark, sf), spec, fuzzy=True).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def table_units(spark, sf):
@@ -132,9 +133,7 @@ def table_units(spark, sf):
 
 def q16_same_row_terms(spark, sf):
     terms = tuple(NamedTerm(f"t{i}", t) for i, t in enumerate(("brand#1", "small", "bolt")))
-    cells = sheet(spark, sf)
-    counts = cells.groupBy("path", "part_key", "row").agg(*(F.max(X.standard_kind("text", t.text).isNotNull().cast("int")).alias(f"t{i}") for i, t in enumerate(terms)))
-    return counts.select(F.col("row").cast("long").alias("sheet_row"), (F.col("t0") + F.col("t1") + F.col("t2")).cast("long").alias("n")).where("n > 1")
+    return search.terms_by_row(sheet(spark, sf), terms).select(F.col("row").cast("long").alias("sheet_row"), "n").where("n > 1")
 
 
 def q16b_same_row_most(spark, sf):
@@ -162,17 +161,22 @@ def q20_tokens(spark, sf):
 
 
 def q21_candidates_gram(spark, sf):
-    u = table_units(spark, sf)
-    found = index.candidates(u, index.grams_of(u, exact=False), index.tokens_of(u, exact=False).where("1 = 0"), Term("ing th ea".replace(" ", "")))
-    return found.select("path", F.col("unit_seq").cast("long").alias("line"))
+    return docs(spark, sf).where(index.candidate("text", Term("ingthea"))).select("path", F.col("unit_seq").cast("long").alias("line"))
+
+
+def q21b_index_lookup(spark, sf):
+    """The same by a written index of the benchmark's lines."""
+    u, folder = table_units(spark, sf), Scratch(spark, "index").root
+    files_ = u.select("path", "file_type").distinct().select("path", "file_type", *(F.lit(0).cast(t).alias(c) for c, t in (("size", "long"), ("modified_ns", "long"), ("version", "int"), ("scope", "int"))), F.lit(False).alias("gone"))
+    index.write(u, files_, spark.createDataFrame([], SHEET), folder, 1)
+    units, grams, tokens, _ = index.read(spark, folder)
+    return index.candidates(units, grams, tokens, Term("th")).select("path", F.col("unit_seq").cast("long").alias("line"))
 
 
 def q22_candidate_superset(spark, sf):
-    u = docs(spark, sf)
-    term = Term(TERM)
-    got = index.candidates(u, index.grams_of(u, exact=False), index.tokens_of(u, exact=False), term).select("path", "unit_seq")
-    lost = search.plain(u, TERM).join(got, ["path", "unit_seq"], "left_anti")
-    return lost.agg(F.count(F.lit(1)).alias("lost"))
+    """Lines, candidates of a fuzzy search, standard hits, and hits that aren't candidates: none."""
+    u = docs(spark, sf).select("*", index.candidate("text", Term(TERM)).alias("candidate"), X.fold("text").contains(TERM).alias("hit"))
+    return u.agg(F.count(F.lit(1)).alias("units"), F.count_if("candidate").alias("candidates"), F.count_if("hit").alias("hits"), F.count_if(F.col("hit") & ~F.col("candidate")).alias("lost"))
 
 
 def synthetic_index(spark, sf):
@@ -209,10 +213,8 @@ def q26_exclude_dirs(spark, sf):
 
 def q27_nested_roots(spark, sf):
     roots = paths(spark, sf).select(F.explode(F.array(F.regexp_extract("path", "^(/r/[^/]*/[^/]*)/", 1), F.regexp_extract("path", "^(/r/[^/]*)/", 1))).alias("root")).distinct()
-    roots = roots.where(~F.col("root").isin("/r/src0", "/r/src1"))
-    outer = roots.select(F.col("root").alias("outer_root"))
-    above = roots.join(outer, F.regexp_replace("root", "/[^/]*$", "") == F.col("outer_root"), "left_anti")
-    return above.select("root")
+    roots = [r.root for r in roots.where(~F.col("root").isin("/r/src0", "/r/src1")).collect()]  # the folders of one request
+    return spark.createDataFrame([(r,) for r in without_nested(roots)], "root string")
 
 
 def q28_filename_unit(spark, sf):
@@ -312,39 +314,42 @@ def q42_issue_dedup(spark, sf):
 
 
 def q43_run_counts(spark, sf):
-    d = table(spark, sf, "documents")
-    n = search.plain(docs(spark, sf), TERM).agg(F.count(F.lit(1)).alias("results"), F.countDistinct("path").alias("files_hit"))
-    return d.agg(F.count(F.lit(1)).alias("discovered"), F.count("text").alias("processed")).join(n)
+    d = table(spark, sf, "documents").select(doc_path().alias("path"), F.lit(1).alias("file"), F.col("text").isNotNull().cast("int").alias("read"), F.lit(0).alias("n"))
+    hits = search.plain(docs(spark, sf), TERM).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    each = d.union(hits.select("path", F.lit(0), F.lit(0), "n"))
+    return each.agg(F.sum("file").alias("discovered"), F.sum("read").alias("processed"), F.sum("n").alias("results"), F.count_if(F.col("n") > 0).alias("files_hit"))
 
 
 def q44_width_kana_loose(spark, sf):
-    reachable(spark)
-    v = spark.createDataFrame([("Ｆｏｏ＿Bar",), ("ｶﾀｶﾅ ひらがな",), ("Straße",), ("a-b/c.d e",), ("①②",)], "v string")
-    return v.select("v", *(matcher.form_column(F.col("v"), f).alias(f) for f in ("base", "width", "kana", "loose")))
+    """Forms of the documents written in full width: those of the documents as they are."""
+    wide = F.translate("text", "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F))))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", wide.alias("wide"), "text")
+    return d.select("doc_id", F.md5(X.fold("text")).alias("base"), F.md5(X.width("wide")).alias("width"), F.md5(X.loose("wide")).alias("loose"))
 
 
 def q45_fuzzy_evaluate(spark, sf):
-    h = search.plain(table_units(spark, sf), "the_ntion", fuzzy=True)
+    h = search.plain(docs(spark, sf), "the_ntion", fuzzy=True)
     return h.select("path", F.col("unit_seq").cast("long").alias("line"), "hit.kind", "hit.category", "hit.score", "hit.start", "hit.end")
 
 
 def q46_event_protocol(spark, sf):
+    """The events of a search over files made of the nations, a file each."""
     from pathlib import Path
 
     from textloom.plans.request import SearchRequest
     from textloom.plans.run import events
 
     with tempfile.TemporaryDirectory() as folder:
-        for i, t in enumerate(("alpha beta\ngamma", "Alpha", "none here")):
-            Path(folder, f"{i}.txt").write_text(t, encoding="utf-8")
-        told = [(e["sequence"], e["type"]) for e in events(spark, SearchRequest(folder, "alpha"))]
+        for r in table(spark, sf, "nation").collect():
+            Path(folder, f"{r.n_nationkey}.txt").write_text(f"{r.n_name}\nnation {r.n_regionkey}", encoding="utf-8")
+        told = [(e["sequence"], e["type"]) for e in events(spark, SearchRequest(folder, "an"))]
     return spark.createDataFrame(told, "sequence long, type string")
 
 
 def q47_stream_plain(spark, sf):
     d = table(spark, sf, "documents")
-    with tempfile.TemporaryDirectory() as folder:
-        found = incremental.run_available(incremental.stream_search(incremental.stream_units(spark, f"{sf}/documents.parquet*", d.schema, doc_path()), TERM), f"hits_{abs(hash(sf)) % 10**8}", folder)
+    units = incremental.stream_units(spark, f"{sf}/documents.parquet*", d.schema, doc_path())
+    found = incremental.run_available(incremental.stream_search(units, TERM), Scratch(spark, "stream").root)
     return found.select("path", F.col("unit_seq").cast("long").alias("line"), F.col("hit.kind").alias("kind"), F.col("hit.score").cast("long").alias("score"))
 
 
@@ -368,6 +373,42 @@ def q50_pages_search(spark, sf):
     return scored(files.line_units(p, F.col("url"), "html"), "article").select("path", "kind", "score")
 
 
+def altered(spark, sf):
+    """The lines of the documents in other spellings of the same folding: ligatures, long s, decomposed and capital letters."""
+    d = table(spark, sf, "documents")
+    for a, b in (("fi", "\ufb01"), ("st", "\u017ft"), ("\u00e9", "e\u0301"), ("ss", "\u00df"), ("\u00fc", "U\u0308")):
+        d = d.withColumn("text", F.replace("text", F.lit(a), F.lit(b)))
+    return files.line_units(d, doc_path())
+
+
+def q51_unicode_terms(spark, sf):
+    """Hits in the altered documents: those that the same terms have in the documents as they are."""
+    b = parse_batch({"mode": "batch", "terms": ["stin", "\u00c9ri", "e\u0301t", "\u00fcber", "esse", "fin"]})
+    return search.batch_hits(altered(spark, sf), b).select("path", F.col("unit_seq").cast("long").alias("line"), "term_id")
+
+
+def q51b_unicode_conditions(spark, sf):
+    return search.where(altered(spark, sf), conditions(Scope.FILE, ("\u00c9t",), ("stin", "esse"), ("fin",))).select("path")
+
+
+def q52_filter_summary(spark, sf):
+    h = scored(docs(spark, sf), TERM).withColumn("preview", X.preview("text", F.col("hit.start"), F.col("hit.end"))["text"])
+    return ranking.filter_summary(h, path="/EN/", exclude="THE ")
+
+
+def q53_result_types(spark, sf):
+    both = docs(spark, sf).unionByName(sheet(spark, sf))
+    return ranking.result_types(search.plain(both, "in"))
+
+
+def q54_top_comparison(spark, sf):
+    def ranks(terms):
+        hits = search.batch_hits(docs(spark, sf), parse_batch({"mode": "batch", "terms": terms})).withColumn("term_key", X.fold("term"))
+        return ranking.ranked(hits.select("path", "term_key", F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind"))
+
+    return ranking.compared(ranks(["thtion"]), ranks(BATCH["terms"])).select(F.col("rank").cast("long").alias("rank"), "old_path", "new_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 __all__ = ["QUERIES", "Batch"]

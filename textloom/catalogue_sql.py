@@ -53,7 +53,29 @@ def cond(group: str, all_: list[str], any_: list[str], none: list[str], c: str =
 SAFE = "case when regexp_matches({0}, '^[\\s\\x00-\\x1f]*[=+\\-@]') then concat('''', {0}) else {0} end"
 TOKEN = r"[A-Z]+(?:[^a-z]|$)"
 
+#: Lines with their loose form and tokens (cut at case changes and between letters and digits).
+LOOSE = f"""{LINES}, lt as (select path, line, b, regexp_replace(b, '[\\s_\\-./]', '', 'g') as x, list_transform(regexp_extract_all(regexp_replace(regexp_replace(t, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z]+|[0-9]+'), lambda w: lower(w)) as ws from units)"""
+
+
+def near(first: str, low: int, high: int) -> str:
+    return f"len(list_filter(ws, lambda w: starts_with(w, '{first}') and length(w) between {low} and {high})) > 0"
+
+
+INGTHEA = f"((contains(x, 'ing') and contains(x, 'ngt') and contains(x, 'gth')) or {near('i', 6, 8)})"
+THTION = f"((contains(x, 'tht') and contains(x, 'hti') and contains(x, 'tio')) or {near('t', 5, 7)})"
+RANK1 = f"""{HITS}, h1 as (select * from hits where term_key = 'thtion'), q1 as (select path, max(score) as quality, least(count(distinct line), 5) as places from h1 group by path),
+r1 as (select path, row_number() over (order by quality desc, places desc, replace(lower(path), 'ß', 'ss'), path) as k from q1)"""
+
+
 ORACLE: dict[str, str] = {
+    "q21_candidates_gram": f"with {LOOSE} select path, line from lt where {INGTHEA}",
+    "q21b_index_lookup": f"with {LOOSE.replace(LINES, LINES.replace(LINES[: LINES.index(chr(10))], "files as (select concat('b/', item_id) as path, text from benchmark where text <> ''),"))} select path, line from lt where contains(x, 'th')",
+    "q44_width_kana_loose": "select doc_id, md5(replace(lower(text), 'ß', 'ss')) as base, md5(replace(lower(text), 'ß', 'ss')) as width, md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s_\\-./\\x0B]', '', 'g')) as loose from documents where text is not null",
+    "q51_unicode_terms": f"with {LINES} " + " union all ".join(f"select path, line, 'batch:{i}' as term_id from units where contains(b, '{t}')" for i, t in enumerate(("stin", "éri", "ét", "über", "esse", "fin"), 1)),
+    "q51b_unicode_conditions": f"with {LINES} select path from units {cond('path', ['ét'], ['stin', 'esse'], ['fin'])}",
+    "q52_filter_summary": f"with {PREVIEW}, f as (select path, count(*) as n, count(*) filter (where contains(path, '/en/') and not contains(lower(preview), 'the ')) as k from pv group by path) select count(*) filter (where k > 0) as files, cast(coalesce(sum(k), 0) as bigint) as hits, count(*) as all_files, cast(coalesce(sum(n), 0) as bigint) as all_hits from f",
+    "q53_result_types": f"with {LINES}, {CELLS} select * from (select 'txt' as file_type where exists (select 1 from units where contains(b, 'in')) union all select 'xlsx' where exists (select 1 from cells where contains(lower(t), 'in')))",
+    "q54_top_comparison": f"with {RANK.replace(HITS, RANK1)} select coalesce(r1.k, rk.file_rank) as rank, r1.path as old_path, rk.path as new_path from (select * from r1 where k <= 5) r1 full join (select * from rk where file_rank <= 5) rk on r1.k = rk.file_rank",
     "q01_plain_standard": PLAIN,
     "q02_match_range": f"with {LINES} select path, line, {kind('Tion')} as kind, {start('Tion')} as start_at, {start('Tion')} + 4 as end_at from units where contains(b, 'tion')",
     "q03_cond_unit": f"with {LINES} select path, line from units where contains(b, 'thtion') and contains(b, 'er') and (contains(b, 'onwh') or contains(b, 'ndly')) and not contains(b, 'heit')",
@@ -73,7 +95,7 @@ ORACLE: dict[str, str] = {
     "q18_result_id": f"with {LINES} select path, line, row_number() over (order by string_split(path, '/'), line) as result_id from units where contains(b, 'thtion')",
     "q19_preview": f"with {PREVIEW} select path, line, preview, truncated, start_at, end_at from pv",
     "q20_tokens": "with w as (select unnest(regexp_extract_all(p_type, '[A-Z]+|[A-Z]?[a-z]+|[0-9]+')) as token from part) select lower(token) as token, count(*) as n from w group by all",
-    "q22_candidate_superset": "select cast(0 as bigint) as lost",
+    "q22_candidate_superset": f"with {LOOSE} select count(*) as units, count(*) filter (where {THTION}) as candidates, count(*) filter (where contains(b, 'thtion')) as hits, count(*) filter (where contains(b, 'thtion') and not {THTION}) as lost from lt",
     "q23_index_reuse": "select count(*) filter (where doc_id % 7 <> 0 and doc_id % 11 <> 0) as reused, count(*) filter (where doc_id % 7 = 0 or doc_id % 11 = 0) as extracted from documents",
     "q24_prune_missing": "select concat(source, '/', lang, '/', doc_id, '.txt') as path from documents where lang <> 'en'",
     "q25_ext_filter": f"with {PATHS} select path from paths where e in (0, 1) or (e = 2 and l <> 0)",

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import forms
 from textloom.functions.forms import Folded, alphanumeric
@@ -167,19 +168,48 @@ def candidate(text: str, term: Term) -> bool:
     return any(t[:1] == term.typo[0] and abs(len(t.encode()) - len(term.typo)) <= term.edits for t in forms.tokens(text))
 
 
-def match_column(text: Column, term: Term, allow_fuzzy: bool = False) -> Column:
-    """``match`` as an Arrow-batched column of ``MATCH``."""
+HITS = T.ArrayType(T.StructType([T.StructField("term_ord", T.IntegerType()), T.StructField("hit", MATCH)]))
 
-    @F.pandas_udf(MATCH)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in MATCH.fields]
+
+def hits_column(text: Column, terms: list[Term], allow_fuzzy: bool = False) -> Column:
+    """The terms' matches in a text as an Arrow-batched column of ``HITS``; the text's forms are made once for all terms."""
+
+    @F.pandas_udf(HITS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            hits = [match(t, term, allow_fuzzy) if t is not None else None for t in s]
-            yield pd.DataFrame([h or dict.fromkeys(names) for h in hits], columns=names).astype({"score": "Int32", "start": "Int32", "end": "Int32"})
+            out = []
+            for t in s:
+                one = Text(t) if t is not None else None
+                found_ = [(i, match(one, term, allow_fuzzy)) for i, term in enumerate(terms)] if one else []
+                out.append([{"term_ord": i, "hit": h} for i, h in found_ if h])
+            yield pd.Series(out)
 
     return run(text)
 
 
+def exact_column(text: Column, term: Column, identifiers: bool = False) -> Column:
+    """The standard (or identifier) match of each row's own term in its text as an Arrow-batched column of ``MATCH``; null texts have none."""
+
+    @F.pandas_udf(MATCH)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        names, known = [f.name for f in MATCH.fields], {}
+
+        def judged(t: str | None, raw: str) -> dict:
+            if t is None:
+                return dict.fromkeys(names)
+            if raw not in known:
+                known[raw] = Term(raw)
+            if identifiers:
+                span = Text(t).identifier(known[raw].base)
+                return found("identifier", span, "standard") if span else dict.fromkeys(names)
+            return match(t, known[raw]) or dict.fromkeys(names)
+
+        for texts, raws in batches:
+            yield pd.DataFrame([judged(t, r) for t, r in zip(texts, raws, strict=True)], columns=names).astype({"score": "Int32", "start": "Int32", "end": "Int32"})
+
+    return run(text, term)
+
+
 def form_column(text: Column, form: str) -> Column:
     """A normal form as an Arrow-batched column."""
 
@@ -201,4 +231,4 @@ def tokens_column(text: Column) -> Column:
     return run(text)
 
 
-__all__ = ["Term", "Text", "bounded_distance", "candidate", "form_column", "fuzzy", "match", "match_column", "pa", "standard", "tokens_column"]
+__all__ = ["Term", "Text", "bounded_distance", "candidate", "form_column", "exact_column", "fuzzy", "hits_column", "match", "pa", "standard", "tokens_column"]

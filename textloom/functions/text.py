@@ -2,82 +2,136 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import forms
+
 WORD = r"\p{IsAlphabetic}\p{N}"
 _HIRA = "".join(map(chr, range(0x3041, 0x3097)))
 _KATA = "".join(map(chr, range(0x30A1, 0x30F7)))
+#: Blocks of which characters can be plain: Latin, Greek, Cyrillic, punctuation, kana, common ideographs, Hangul, full width.
+_BLOCKS = ((0x00, 0x24F), (0x370, 0x52F), (0x2010, 0x2064), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E))
+
+
+def _usual(c: str) -> bool:
+    """A character that folds to its lower case and nothing else, whatever stands beside it."""
+    return c not in "\rΣς" and c.casefold() == c.lower() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and unicodedata.category(c) not in ("Mn", "Me", "Cn", "Cf")
+
+
+def _ranges() -> str:
+    out: list[list[int]] = []
+    for low, high in _BLOCKS:
+        for i in range(low, high + 1):
+            if _usual(chr(i)):
+                if out and out[-1][1] == i - 1:
+                    out[-1][1] = i
+                else:
+                    out.append([i, i])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
+#: A character that isn't plain: it folds to several, composes with a neighbour, or folds to another than its lower case.
+UNUSUAL = f"[^{_ranges()}]"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def plain(c: Column | str) -> Column:
+    """Whether the text is of plain characters only: then its folding is its lower case, character by character."""
+    return ~col(c).rlike(UNUSUAL)
+
+
+def _java(of: str, method: str, *args: Column) -> Column:
+    return F.reflect(F.lit(of), F.lit(method), *args)
+
+
+def composed(c: Column | str) -> Column:
+    """NFC of a text that isn't null, by the Unicode library that Spark brings along."""
+    return _java("com.ibm.icu.text.Normalizer", "compose", col(c), F.lit(False))
+
+
 def fold(c: Column | str) -> Column:
-    """Case folding of NFC text whose only character that folds to several is ß; other text needs ``matcher.form_column``."""
-    return F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))
+    """Full case folding of the NFC form, as ``forms.base``; plain text takes the short way."""
+    t = col(c)
+    return F.when(plain(t), F.lower(t)).when(t.isNotNull(), _java("com.ibm.icu.lang.UCharacter", "foldCase", composed(t), F.lit(True)))
+
 
+fold_text = forms.base
 
-def fold_text(t: str) -> str:
-    return t.lower().replace("ß", "ss")
+
+def width(c: Column | str) -> Column:
+    """Full case folding of the NFKC form, as ``forms.width``."""
+    t = col(c)
+    wide = _java("com.ibm.icu.text.Normalizer", "compose", t, F.lit(True))
+    return F.when(~t.rlike(r"[^\x00-\x7F]"), F.lower(t)).when(t.isNotNull(), _java("com.ibm.icu.lang.UCharacter", "foldCase", wide, F.lit(True)))
 
 
 def kana(c: Column | str) -> Column:
-    """Hiragana as katakana, of text in width form."""
-    return F.translate(col(c), _HIRA, _KATA)
+    """The width form with hiragana as katakana, as ``forms.kana``."""
+    return F.translate(width(c), _HIRA, _KATA)
 
 
 def loose(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"[\p{IsWhite_Space}_\-./]", "")
+    """The kana form without separators, as ``forms.loose``."""
+    return F.regexp_replace(kana(c), r"[\p{IsWhite_Space}_\-./]", "")
 
 
 def quoted(t: str) -> str:
     return "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def whole(t: str) -> str:
-    """A pattern for ``t`` where no letter or number adjoins it (an underscore may)."""
-    return f"(?<![{WORD}]){quoted(t)}(?![{WORD}])"
+def whole(t: str, word: str = WORD) -> str:
+    """A pattern for ``t`` where no letter or number adjoins it (an underscore may). The literal comes first, which is quick to look for."""
+    return f"{quoted(t)}(?<![{word}]{quoted(t)})(?![{word}])"
 
 
 def identifier(t: str) -> str:
     """A pattern for ``t`` where no letter, number or underscore adjoins it."""
-    return f"(?<![{WORD}_]){quoted(t)}(?![{WORD}_])"
+    return whole(t, WORD + "_")
 
 
 def at(c: Column, pattern: str) -> Column:
-    """Characters before the first match (code points, which regexp_instr doesn't count)."""
-    return F.length(F.regexp_extract(c, f"(?s)^(.*?){pattern}", 1))
+    """Characters before the first match, in plain text."""
+    return F.regexp_instr(c, F.lit(pattern)) - 1
+
+
+def overlaps(t: str) -> bool:
+    """Whether occurrences of a term can overlap such that one that isn't whole hides one that is."""
+    return not all(map(forms.alphanumeric, t)) and any(t.startswith(t[i:]) for i in range(1, len(t)))
+
+
+def held(text: Column, base: Column, usual: Column, term: str) -> Column:
+    """Whether a standard search finds the term: in the folded text, or as a whole in the text as it stands."""
+    return base.contains(fold_text(term)) | (~usual & text.contains(term) & text.rlike(whole(term)))
 
 
-def standard_kind(text: Column | str, term: str) -> Column:
-    """``exact``, ``caseFolded`` or ``substring``, else null."""
-    t, b = col(text), fold(text)
-    return F.when(t.rlike(whole(term)), "exact").when(b.rlike(whole(fold_text(term))), "caseFolded").when(b.contains(fold_text(term)), "substring")
+def standard_kind(text: Column, base: Column, term: str) -> Column:
+    """``exact``, ``caseFolded`` or ``substring``, for plain text that holds the term."""
+    return F.when(text.contains(term) & text.rlike(whole(term)), "exact").when(base.rlike(whole(fold_text(term))), "caseFolded").otherwise("substring")
 
 
-def standard_match(text: Column | str, term: str) -> Column:
-    """The standard match as ``struct<kind, category, score, start, end>``; ranges are exact where folding keeps lengths."""
-    t, b, folded = col(text), fold(text), fold_text(term)
-    kind = standard_kind(text, term)
-    start = F.when(kind == "exact", at(t, whole(term))).when(kind == "caseFolded", at(b, whole(folded))).otherwise(F.locate(folded, b) - 1)
-    score = F.when(kind == "exact", 100).when(kind == "caseFolded", 98).otherwise(70)
-    hit = F.struct(kind.alias("kind"), F.lit("standard").alias("category"), score.alias("score"), start.alias("start"), (start + len(folded)).alias("end"))
-    return F.when(kind.isNotNull(), hit)
+def standard_start(text: Column, base: Column, term: str, kind: Column) -> Column:
+    folded = fold_text(term)
+    return F.when(kind == "exact", at(text, whole(term))).when(kind == "caseFolded", at(base, whole(folded))).otherwise(F.locate(folded, base) - 1)
 
 
 def lines(c: Column | str) -> Column:
     """Lines without their ends; empty text has none, a final line break begins no further one."""
     t = col(c)
-    each = F.transform(F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r+\z", ""))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(each)
+    whole_ = F.when(t.endswith("\n"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    bare = F.when(t.contains("\r"), F.regexp_replace(whole_, r"\r+(?=\n|\z)", "")).otherwise(whole_)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\n", -1))
 
 
 def grams(c: Column | str, n: int) -> Column:
+    """Distinct runs of ``n`` characters: those that begin at each remainder of ``n``, cut out by one pattern each."""
     t = col(c)
-    every = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(F.substring(t, F.lit(i + 1), F.length(t)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for i in range(n))))
 
 
 def tokens(c: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,91 @@ class Range:
         return self
 
 
+class ContextError(ValueError):
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+@dataclass(frozen=True)
+class Target:
+    """The cell around which a result is shown."""
+
+    path: str
+    part_key: str
+    sheet_name: str
+    row: int
+    column: int
+    kind: str
+    revision: str | None
+    evidence: tuple[tuple[int, int], ...] = ()
+    ranges: dict[tuple[int, int], list[tuple[int, int]]] = field(default_factory=dict)
+
+    def window(self) -> Range:
+        return Range.around(self.row, self.column)
+
+    def unchanged(self) -> Target:
+        """Raises ``changedSinceSearch`` if the file isn't the one that was searched."""
+        try:
+            told = os.stat(self.path)
+        except OSError:
+            told = None
+        if told is None or f"{told.st_size}:{told.st_mtime_ns}" != self.revision:
+            raise ContextError("changedSinceSearch", "the file was changed, moved or deleted after the search")
+        return self
+
+
+def distinct_ranges(ranges) -> list[tuple[int, int]]:
+    """Ranges in order, equal ones once."""
+    return sorted({tuple(r) for r in ranges})
+
+
+def target(result: dict, revision: str | None = None) -> Target | None:
+    """The target of a result event of a sheet's cell, formula, row or shape; None for all others.
+
+    Ranges are those of the cells that show a match; in a row they come from its evidence in the same sheet."""
+    if result["fileType"] not in ("xlsx", "xlsm") or result["sourceKind"] not in ("cell", "formula", "excelRow", "shape"):
+        return None
+    place = json.loads(result["location"])
+    at = lambda x: parse_address(json.loads(x["location"]).get("cellAddress") or x.get("anchor") or json.loads(x["location"]).get("anchor"))
+    same = [e for e in result["evidence"] if e["sourceKind"] in ("cell", "formula") and e["partKey"] == result["partKey"] and e["row"] == result["row"]]
+    if result["sourceKind"] == "excelRow":
+        spots = [p for p in map(at, same) if p]
+        focus = (result["row"], spots[0][1] if spots else 1) if result["row"] else None
+    else:
+        spots, focus = [], at(result)
+    if not place.get("sheetName") or not focus:
+        return None
+    ranges: dict[tuple[int, int], list] = {}
+    for e in result["evidence"] or [result]:
+        if e["sourceKind"] == "cell" and e["partKey"] == result["partKey"] and (spot := at(e)):
+            ranges.setdefault(spot, []).extend(e["sourceMatchRanges"])
+    ranges = {k: distinct_ranges(v) for k, v in ranges.items()}
+    return Target(result["path"], result["partKey"], place["sheetName"], *focus, result["sourceKind"], revision, tuple(spots), ranges)
+
+
+def parse_address(text: str | None) -> tuple[int, int] | None:
+    """Row and column of an A1 address, None for anything else."""
+    letters = (text or "").rstrip("0123456789")
+    digits = (text or "")[len(letters) :]
+    if not digits or digits[0] == "0" or not 1 <= len(letters) <= 3 or not all("A" <= c <= "Z" for c in letters):
+        return None
+    column = 0
+    for c in letters:
+        column = 26 * column + ord(c) - 64
+    return (int(digits), column) if int(digits) <= MAX_ROW and column <= MAX_COLUMN else None
+
+
+def window(units: DataFrame, focus: Target, r: Range | None = None) -> DataFrame:
+    """``row, column, text, truncated, match_ranges`` of the cells around a target; ranges that a cut hides are left out."""
+    r = (r or focus.window()).validated(focus.row)
+    there = cells(units.where(F.col("path") == focus.path), focus.part_key, r)
+    rows = [(a, b, [list(x) for x in v]) for (a, b), v in focus.ranges.items()]
+    known = units.sparkSession.createDataFrame(rows, "row int, column int, ranges array<array<int>>")
+    kept = F.filter(F.coalesce("ranges", F.array().cast("array<array<int>>")), lambda x: x[1] <= F.length("text"))
+    return there.join(F.broadcast(known), ["row", "column"], "left").select("row", "column", "text", "truncated", kept.alias("match_ranges"))  # known: cells of one result
+
+
 def cells(units: DataFrame, part: str, r: Range) -> DataFrame:
     """``row, column, text, truncated``: the first value of each cell in the range."""
     there = units.where((F.col("part_key") == part) & (F.col("source_kind") == "cell") & F.col("row").between(r.first_row, r.last_row) & F.col("column").between(r.first_column, r.last_column))

@@ -1,75 +1,197 @@
-"""The optional n-gram and token index: it only prunes, a matcher always judges what it leaves."""
+"""The optional n-gram and token index: it only prunes, a matcher always judges what it leaves.
+
+An index is a folder of segments: each refresh writes the files that are new or changed, and tombstones of those that are gone, as
+one more segment; a file's rows are those of its latest segment. Grams and tokens are partitioned by a bucket of the gram (or of
+the token's first character) and sorted by it, so a look-up opens a few files and reads a few row groups.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from textloom import model
 from textloom.functions import forms, matcher
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.model import EXTRACTION_VERSION, INDEX_VERSION
-from textloom.session import reachable
+from textloom.session import reachable, remove
+
+BUCKETS = 16
+FILES = "path string, file_type string, size long, modified_ns long, version int, scope int, gone boolean"
 
 
 def scope_bits(notes: bool, formulas: bool) -> int:
     return int(notes) | int(formulas) << 1
 
 
-def grams_of(units: DataFrame, exact: bool = True) -> DataFrame:
+def grams_of(units: DataFrame) -> DataFrame:
     """``path, unit_seq, n, gram``: distinct 2- and 3-grams of each unit's loose form."""
-    form = matcher.form_column(F.col("text"), "loose") if exact else X.loose(X.fold("text"))
-    if exact:
-        reachable(units.sparkSession)
-    held = units.select("path", "unit_seq", form.alias("loose"))
-    return held.select("path", "unit_seq", F.explode(F.array_union(X.grams("loose", 2), X.grams("loose", 3))).alias("gram")).select("path", "unit_seq", F.length("gram").alias("n"), "gram")
+    held = units.select("path", "unit_seq", X.loose("text").alias("loose"))
+    return held.select("path", "unit_seq", F.explode(F.concat(X.grams("loose", 2), X.grams("loose", 3))).alias("gram")).select("path", "unit_seq", F.length("gram").alias("n"), "gram")
 
 
 def tokens_of(units: DataFrame, exact: bool = True) -> DataFrame:
-    """``path, unit_seq, token, first, length``."""
+    """``path, unit_seq, token, first, length``; ``exact``: texts with other than ASCII characters take the Python function."""
+    native = F.array_distinct(X.tokens("text"))
     if exact:
         reachable(units.sparkSession)
-    words = matcher.tokens_column(F.col("text")) if exact else F.array_distinct(X.tokens("text"))
+        other = F.col("text").rlike(r"[^\x00-\x7F]")
+        words = F.when(other, matcher.tokens_column(F.when(other, F.col("text")))).otherwise(native)
+    else:
+        words = native
     return units.select("path", "unit_seq", F.explode(words).alias("token")).select("path", "unit_seq", "token", F.substring("token", 1, 1).alias("first"), F.length("token").alias("length"))
 
 
-def write(units: DataFrame, folder: str, buckets: int = 16) -> None:
-    """Units, grams and tokens as Parquet, partitioned by a bucket of the path so that a file's rows are replaced together."""
-    spark = units.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket")
-        for name, df, order in (("units", units, ["path", "unit_seq"]), ("grams", grams_of(units), ["gram", "path"]), ("tokens", tokens_of(units), ["token", "path"])):
-            df.select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{INDEX_VERSION}/{name}")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+def _bucket(c: str) -> Column:
+    return F.pmod(F.crc32(F.col(c)), F.lit(BUCKETS)).cast("int")
+
+
+def _buckets(values: list[str]) -> list[int]:
+    return sorted({zlib.crc32(v.encode()) % BUCKETS for v in values})
+
+
+def root(folder: str) -> str:
+    return f"{folder}/v{INDEX_VERSION}"
+
+
+def write(units: DataFrame, files: DataFrame, sheets: DataFrame, folder: str, segment: int) -> None:
+    """One segment. ``files`` (as ``FILES``) is written last: a segment without it doesn't count."""
+    at = root(folder)
+    units.repartition("path").sortWithinPartitions("path", "unit_seq").write.mode("overwrite").parquet(f"{at}/units/segment={segment}")
+    sheets.write.mode("overwrite").parquet(f"{at}/sheets/segment={segment}")
+    held = units.sparkSession.read.schema(units.schema).parquet(f"{at}/units/segment={segment}")
+    for name, df, key in (("grams", grams_of(held), "gram"), ("tokens", tokens_of(held), "first")):
+        # The second key splits a frequent gram's rows over tasks.
+        dealt = df.withColumn("bucket", _bucket(key)).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8)))
+        dealt.sortWithinPartitions("bucket", key, "path").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}/segment={segment}")
+    files.select(*(f.name for f in T._parse_datatype_string(FILES).fields)).write.mode("overwrite").parquet(f"{at}/files/segment={segment}")
+
+
+def _table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str) -> DataFrame:
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*kind.fields, T.StructField("segment", T.IntegerType())])
+    return spark.read.schema(full).parquet(f"{root(folder)}/{name}")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(folder)}/files")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The live files of an index, with the ``segment`` that holds their rows."""
+    every = _table(spark, folder, "files", FILES)
+    latest = every.groupBy("path").agg(F.max_by(F.struct(*(c for c in every.columns if c != "path")), "segment").alias("f")).select("path", "f.*")
+    return latest.where("not gone")
+
 
+def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Units, grams, tokens and sheets of the live files."""
+    live = indexed(spark, folder).select("path", "segment")
+    of = lambda name, schema: _table(spark, folder, name, schema).join(live, ["path", "segment"], "left_semi").drop("segment")
+    grams = "path string, unit_seq int, n int, gram string, bucket int"
+    tokens = "path string, unit_seq int, token string, first string, length int, bucket int"
+    return of("units", model.UNIT), of("grams", grams), of("tokens", tokens), of("sheets", model.SHEET)
 
-def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/v{INDEX_VERSION}/{t}").drop("bucket") for t in ("units", "grams", "tokens"))
+
+def file_units(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """All units of one indexed file, in their order: the filter reaches the scan."""
+    units, _, _, _ = read(spark, folder)
+    return units.where(F.col("path") == path).orderBy("unit_seq")
 
 
 def clear(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{INDEX_VERSION}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, root(folder))
 
 
-def candidates(units: DataFrame, grams: DataFrame, tokens: DataFrame, term: Term, fuzzy: bool = True) -> DataFrame:
-    """Units that can match: those with the first three grams of the term, or with its token, or with one a typing error away.
-    Standard searches, and terms without grams or with separators, keep all units."""
+def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: int, again=None) -> tuple[DataFrame, DataFrame, int, int]:
+    """Brings an index up to date with the listing ``files``; returns units and issues of all of them, and how many were extracted and reused.
+
+    ``extract(files)`` gives units, sheets and issues. Files with issues, and files whose size or time in ``again()``, a listing
+    made after they were read, differs, aren't cached: the next search reads them again. A damaged index is dropped and
+    made anew; folders of other versions are never read.
+    """
+    try:
+        held = indexed(spark, folder) if exists(spark, folder) else None
+        if held is not None:
+            segment = (held.agg(F.max("segment")).first()[0] or 0) + 1
+            read(spark, folder)[0].limit(1).count()
+    except (PySparkException, Py4JJavaError):  # a damaged index
+        clear(spark, folder)
+        held = None
+    if held is None:
+        held, segment = spark.createDataFrame([], FILES + ", segment int"), 1
+    told = freshness(files, held, bits).persist()
+    stale, reused = told.where("not reuse").drop("reuse"), told.where("reuse").drop("reuse")
+    n_stale, n_reused = told.agg(F.count_if(~F.col("reuse")), F.count_if("reuse")).first()
+    units, sheets, issues = extract(stale)
+    units, issues = units.persist(), issues.persist()
+    gone = missing(held, files).select("path", "file_type", "size", "modified_ns", "version", "scope", F.lit(True).alias("gone"))
+    clean = stale.join(issues.select("path").distinct(), "path", "left_anti")
+    if again is not None:
+        units.count(), issues.count()  # the files are read before they are listed again
+        clean = clean.join(again().select("path", "size", "modified_ns"), ["path", "size", "modified_ns"], "left_semi")
+    fresh_ = clean.select("path", "file_type", "size", "modified_ns", F.lit(EXTRACTION_VERSION).alias("version"), F.lit(bits).alias("scope"), F.lit(False).alias("gone"))
+    if n_stale or gone.limit(1).count():
+        keep = clean.select("path")
+        write(units.join(keep, "path", "left_semi"), fresh_.union(gone), sheets.join(keep, "path", "left_semi"), folder, segment)
+    stored = read(spark, folder)[0].join(reused.select("path"), "path", "left_semi") if n_reused else units.limit(0)
+    return units.unionByName(stored), issues, n_stale, n_reused
+
+
+def wanted_grams(term: Term, fuzzy: bool = True) -> list[str]:
+    """The grams that every match of a term holds, at most three; none for standard searches and terms with separators."""
     n = 3 if len(term.loose) >= 3 else 2
     wanted = [] if not fuzzy or any(forms.separator(c) for c in term.loose) else [term.loose[i : i + n] for i in range(len(term.loose) - n + 1)]
-    wanted = list(dict.fromkeys(wanted))[:3]
-    if not wanted:
-        return units
-    key = ["path", "unit_seq"]
-    ids = grams.where(F.col("gram").isin(*wanted)).groupBy(*key).agg(F.countDistinct("gram").alias("k")).where(F.col("k") == len(wanted)).select(*key)
+    return list(dict.fromkeys(wanted))[:3]
+
+
+def _token_test(term: Term, token, first, length) -> Column:
+    """Whether a token makes its unit a candidate: the term's own, one that it begins, or one a typing error away."""
+    ok = F.lit(False)
     if len(term.tokens) == 1:
         one = term.tokens[0]
-        ids = ids.union(tokens.where((F.col("token") == one) | (F.lit(len(one) >= 3) & F.col("token").startswith(one))).select(*key))
+        ok = ok | (token == one) | (F.lit(len(one) >= 3) & token.startswith(one))
     if term.typo:
-        ids = ids.union(tokens.where((F.col("first") == term.typo[0]) & F.col("length").between(len(term.typo) - term.edits, len(term.typo) + term.edits)).select(*key))
+        ok = ok | ((first == term.typo[0]) & length.between(len(term.typo) - term.edits, len(term.typo) + term.edits))
+    return ok
+
+
+def candidate(text: str, term: Term, fuzzy: bool = True) -> Column:
+    """Whether a unit can match, judged on its text without an index: the same test as ``candidates``, for ASCII tokens."""
+    wanted = wanted_grams(term, fuzzy)
+    if not wanted:
+        return F.lit(True)
+    loose, ok = X.loose(text), F.lit(True)
+    for g in wanted:
+        ok = ok & loose.contains(g)
+    if len(term.tokens) == 1 or term.typo:
+        ok = ok | F.exists(X.tokens(text), lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t)))
+    return ok
+
+
+def candidates(units: DataFrame, grams: DataFrame, tokens: DataFrame, term: Term, fuzzy: bool = True) -> DataFrame:
+    """Units that can match, by look-ups in an index: those with the first three grams of the term, or with its token, or with one a
+    typing error away. Standard searches, and terms without grams or with separators, keep all units."""
+    wanted = wanted_grams(term, fuzzy)
+    if not wanted:
+        return units
+    key = ["path", "unit_seq"]
+    there = grams.where(F.col("gram").isin(*wanted))
+    if "bucket" in grams.columns:
+        there = there.where(F.col("bucket").isin(*_buckets(wanted)))
+    ids = there.groupBy(*key).agg(F.countDistinct("gram").alias("k")).where(F.col("k") == len(wanted)).select(*key)
+    if len(term.tokens) == 1 or term.typo:
+        some = tokens.where(_token_test(term, F.col("token"), F.col("first"), F.col("length")))
+        if "bucket" in tokens.columns:
+            some = some.where(F.col("bucket").isin(*_buckets([*(t[0] for t in term.tokens), *(term.typo or "")[:1]])))
+        ids = ids.union(some.select(*key))
     return units.join(ids.distinct(), key, "left_semi")
 
 

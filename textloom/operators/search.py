@@ -1,4 +1,9 @@
-"""The three query forms over ``units``: a plain term, boolean conditions over groups, a batch of terms."""
+"""The three query forms over ``units``: a plain term, boolean conditions over groups, a batch of terms.
+
+Whether a unit holds a term is judged in the JVM for every standard search, over the fully folded text. Kind and range are native for
+plain characters; only units with others (characters that fold to several, or compose) go to the exact matcher, and only where
+they hold the term.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +11,84 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.matcher import Term, match_column
+from textloom.functions.matcher import Term, exact_column, hits_column
+from textloom.model import MATCH, SCORES
+from textloom.operators import index
 from textloom.plans.request import Batch, Conditions, NamedTerm, Scope
 from textloom.session import reachable
 
-#: Characters of text whose folding changes their number: ranges of such units come from the exact matcher.
-_EXPANDING = r"[^\x00-\x7F]"
 
+def _by_term(terms: tuple[NamedTerm, ...], make) -> Column:
+    """``make(term)`` of the row's own term: one branch is evaluated a row, each with patterns that are compiled once."""
+    if len(terms) == 1:
+        return make(terms[0].text)
+    out = F
+    for i, t in enumerate(terms):
+        out = out.when(F.col("term_ord") == i, make(t.text))
+    return out
 
-def hit_column(text: str, term: str, fuzzy: bool = False, exact_ranges: bool = False) -> Column:
-    """A match struct; native for standard searches, the Arrow matcher for fuzzy ones and exact ranges."""
-    return match_column(F.col(text), Term(term), fuzzy) if fuzzy or exact_ranges else X.standard_match(text, term)
 
+def _named(terms: tuple[NamedTerm, ...], value) -> Column:
+    return F.element_at(F.array(*(F.lit(value(t)) for t in terms)), F.col("term_ord") + 1)
 
-def prefilter(text: str, term: str) -> Column:
-    """A native test that every standard match of ASCII terms passes; other terms aren't filtered before the matcher."""
-    return X.fold(text).contains(X.fold_text(term)) | (F.col(text).rlike(_EXPANDING) if term.isascii() else F.lit(True))
 
+def matched(units: DataFrame, terms: tuple[NamedTerm, ...], fuzzy: bool = False, identifiers: bool = False, excluded: tuple[NamedTerm, ...] = ()) -> DataFrame:
+    """One row per unit and term that it holds: ``units``' columns, ``term_ord, term_id, term, hit``. No shuffle.
 
-def plain(units: DataFrame, term: str, fuzzy: bool = False, exact_ranges: bool = False) -> DataFrame:
-    """``units`` that match the term, with ``hit``: a filter and a projection, no shuffle."""
-    if fuzzy or exact_ranges:
-        reachable(units.sparkSession)
+    ``excluded`` terms have ordinals after those of ``terms``; they are literal, and their ``hit`` is null.
+    """
+    spark, every = units.sparkSession, (*terms, *excluded)
+    based = units.withColumns({"_usual": X.plain("text"), "_base": X.fold("text")})
+    text, base, usual, term_ord = F.col("text"), F.col("_base"), F.col("_usual"), F.col("term_ord")
+    if fuzzy and not identifiers:
+        reachable(spark)
+        # Whatever is no candidate of a term has no match; texts with other than ASCII characters are all candidates.
+        likely = text.rlike(r"[^\x00-\x7F]")
+        for t in terms:
+            likely = likely | index.candidate("text", Term(t.text))
+        for t in excluded:
+            likely = likely | X.held(text, base, usual, t.text)
+        based = based.where(likely)
+        found = hits_column(text, [Term(t.text) for t in terms], True) if terms else F.array().cast("array<struct<term_ord:int,hit:struct<kind:string,category:string,score:int,start:int,end:int>>>")
+        out = F.array_compact(F.array(*(F.when(X.held(text, base, usual, t.text), F.struct(F.lit(i).alias("term_ord"), F.lit(None).cast(MATCH).alias("hit"))) for i, t in enumerate(excluded, len(terms)))))
+        each = based.withColumn("_m", F.explode(F.concat(found, out) if excluded else found)).withColumns({"term_ord": F.col("_m.term_ord"), "hit": F.col("_m.hit")}).drop("_m")
     else:
-        units = units.where(X.fold("text").contains(X.fold_text(term)) | F.col("text").contains(term))
-    if exact_ranges and not fuzzy:
-        units = units.where(prefilter("text", term))
-    out = units.withColumn("hit", hit_column("text", term, fuzzy, exact_ranges))
-    return out.where("hit is not null and hit.kind is not null")
+        reachable(spark)
+        if identifiers:
+            has = [base.contains(X.fold_text(t.text)) & base.rlike(X.identifier(X.fold_text(t.text))) for t in every]
+        else:
+            has = [X.held(text, base, usual, t.text) for t in every]
+        if len(every) == 1:
+            each = based.where(has[0]).withColumn("term_ord", F.lit(0))
+        else:
+            each = based.withColumn("term_ord", F.explode(F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(has))))))
+        if identifiers:
+            kind = F.lit("identifier")
+            start = _by_term(terms, lambda t: X.at(base, X.identifier(X.fold_text(t))))
+        else:
+            kind = _by_term(terms, lambda t: X.standard_kind(text, base, t))
+            each = each.withColumn("_kind", kind)
+            kind = F.col("_kind")
+            start = _by_term(terms, lambda t: X.standard_start(text, base, t, kind))
+        score = F.lit(None).cast("int")
+        for k in ("substring", "identifier", "caseFolded", "exact"):
+            score = F.when(kind == k, SCORES[k]).otherwise(score)
+        odd = [i for i, t in enumerate(terms) if X.overlaps(X.fold_text(t.text)) or X.overlaps(t.text)] if not identifiers else []
+        easy = usual & ~term_ord.isin(odd) if odd else usual
+        raw = _named(every, lambda t: t.text)
+        each = each.withColumns({"_easy": easy, "_start": F.when(easy, start)})
+        exact = exact_column(F.when(~F.col("_easy") & (term_ord < len(terms)), text), raw, identifiers)
+        native = F.struct(kind.alias("kind"), F.lit("standard").alias("category"), score.alias("score"), F.col("_start").alias("start"), (F.col("_start") + _named(every, lambda t: len(X.fold_text(t.text)))).alias("end"))
+        hit = F.when(F.col("_easy"), native).otherwise(exact)
+        each = each.withColumn("hit", F.when(term_ord < len(terms), hit) if excluded else hit)
+        if odd:  # only here can a term be held without a match
+            each = each.where(~term_ord.isin(odd) | F.col("hit.kind").isNotNull())
+    return each.select(*units.columns, "term_ord", _named(every, lambda t: t.id).alias("term_id"), _named(every, lambda t: t.text).alias("term"), "hit")
+
+
+def plain(units: DataFrame, term: str, fuzzy: bool = False) -> DataFrame:
+    """``units`` that match the term, with ``hit``: a filter and a projection, no shuffle."""
+    return matched(units, (NamedTerm("query", Term(term).raw),), fuzzy).select(*units.columns, "hit")
 
 
 def scope_key(scope: Scope) -> Column:
@@ -44,83 +99,66 @@ def scope_key(scope: Scope) -> Column:
     return F.when(row, F.concat(F.lit("row:"), "part_key", F.lit(":"), "row")).otherwise(unit) if scope is Scope.EXCEL_ROW else unit
 
 
-def evidence(units: DataFrame, terms: tuple[NamedTerm, ...], key: Column, fuzzy: bool = False) -> DataFrame:
-    """``path, scope_key, term_ord, best``: each term's best unit in each group (score, then body, then first)."""
-    if fuzzy:
-        reachable(units.sparkSession)
-    hits = F.array(*(F.struct(F.lit(i).alias("term_ord"), F.lit(t.id).alias("term_id"), F.lit(t.text).alias("term"), hit_column("text", t.text, fuzzy).alias("hit")) for i, t in enumerate(terms)))
-    each = units.withColumn("scope_key", key).select("path", "file_type", "scope_key", "unit_seq", "source_kind", "text", "unit_key", "part_key", "group_key", "row", "content_class", "location", "document_order", F.explode(hits).alias("e"))
-    each = each.where("e.hit is not null and e.hit.kind is not null")
-    rank = F.struct(F.col("e.hit.score").alias("score"), (F.col("content_class") == "body").cast("int").alias("body"), (-F.col("unit_seq")).alias("first"))
-    best = F.struct("unit_seq", "source_kind", "text", "unit_key", "part_key", "group_key", "row", "content_class", "location", "document_order", F.col("e.hit").alias("hit"))
-    return each.groupBy("path", "file_type", "scope_key", F.col("e.term_ord").alias("term_ord"), F.col("e.term_id").alias("term_id"), F.col("e.term").alias("term")).agg(F.max_by(best, rank).alias("best"))
+def evidence(units: DataFrame, terms: tuple[NamedTerm, ...], key: Column, fuzzy: bool = False, excluded: tuple[NamedTerm, ...] = ()) -> DataFrame:
+    """``path, file_type, scope_key, term_ord, term_id, term, best``: each term's best unit in each group (score, then body, then first)."""
+    each = matched(units.withColumn("scope_key", key), terms, fuzzy, excluded=excluded)
+    rank = F.struct(F.col("hit.score").alias("score"), (F.col("content_class") == "body").cast("int").alias("body"), (-F.col("unit_seq")).alias("first"))
+    best = F.struct("unit_seq", "source_kind", "text", "unit_key", "part_key", "group_key", "row", "content_class", "location", "document_order", "hit")
+    return each.groupBy("path", "file_type", "scope_key", "term_ord", "term_id", "term").agg(F.max_by(best, rank).alias("best"))
 
 
 def where(units: DataFrame, spec: Conditions, fuzzy: bool = False) -> DataFrame:
     """One row per group that meets the conditions: ``path, scope_key, evidence, category``.
 
     ``evidence`` lists the best units of all wanted terms in their order, then of the optional ones that match. Excluded
-    terms are literal, never fuzzy, and judge the whole group. In file scope the file's name is part of the group.
+    terms are literal, never fuzzy, and judge the whole group. In file scope the file's name is part of the group. All terms
+    are looked for in one pass over the units.
     """
-    key = scope_key(spec.scope)
     terms = (*spec.all, *spec.any)
-    found = evidence(units, terms, key, fuzzy)
-    n_all = len(spec.all)
-    item = F.struct("term_ord", "term_id", "term", "best")
+    found = evidence(units, terms, scope_key(spec.scope), fuzzy, spec.none)
+    n_all, n_terms = len(spec.all), len(terms)
+    wanted = F.col("term_ord") < n_terms
+    item = F.when(wanted, F.struct("term_ord", "term_id", "term", "best"))
     standard = F.col("best.hit.category") == "standard"
     groups = found.groupBy("path", "file_type", "scope_key").agg(
         F.sort_array(F.collect_list(item)).alias("evidence"),
         F.count(F.when(F.col("term_ord") < n_all, 1)).alias("n_all"),
-        F.count(F.when(F.col("term_ord") >= n_all, 1)).alias("n_any"),
+        F.count(F.when((F.col("term_ord") >= n_all) & wanted, 1)).alias("n_any"),
+        F.count(F.when(~wanted, 1)).alias("n_none"),
         F.count(F.when(standard & (F.col("term_ord") < n_all), 1)).alias("std_all"),
-        F.count(F.when(standard & (F.col("term_ord") >= n_all), 1)).alias("std_any"),
+        F.count(F.when(standard & (F.col("term_ord") >= n_all) & wanted, 1)).alias("std_any"),
     )
-    groups = groups.where((F.col("n_all") == n_all) & (F.lit(not spec.any) | (F.col("n_any") > 0)))
-    if spec.none:
-        bad = F.lit(False)
-        for t in spec.none:
-            bad = bad | X.fold("text").contains(X.fold_text(t.text))
-        out = units.where(bad).select("path", key.alias("scope_key")).distinct()
-        groups = groups.join(out, ["path", "scope_key"], "left_anti")
+    groups = groups.where((F.col("n_all") == n_all) & (F.lit(not spec.any) | (F.col("n_any") > 0)) & (F.col("n_none") == 0))
     plain_too = (F.col("std_all") == n_all) & (F.lit(not spec.any) | (F.col("std_any") > 0))
     return groups.select("path", "file_type", "scope_key", "evidence", F.when(plain_too, "standard").otherwise("fuzzy").alias("category"))
 
 
+def terms_by_row(units: DataFrame, terms: tuple[NamedTerm, ...]) -> DataFrame:
+    """``path, part_key, row, n``: how many of the terms each sheet row holds, if any."""
+    cells = units.where(F.col("source_kind").isin("cell", "formula") & F.col("row").isNotNull())
+    return matched(cells, terms).groupBy("path", "part_key", "row").agg(F.countDistinct("term_ord").alias("n"))
+
+
 def same_row_terms(units: DataFrame, terms: tuple[NamedTerm, ...]) -> DataFrame:
     """``path, same_row_terms``: most different terms in one sheet row, if more than one."""
-    cells = units.where(F.col("source_kind").isin("cell", "formula") & F.col("row").isNotNull())
-    counts = cells.groupBy("path", "part_key", "row").agg(*(F.max(X.standard_kind("text", t.text).isNotNull().cast("int")).alias(f"t{i}") for i, t in enumerate(terms)))
-    n = sum((F.col(f"t{i}") for i in range(1, len(terms))), F.col("t0"))
-    return counts.select("path", n.alias("n")).where("n > 1").groupBy("path").agg(F.max("n").alias("same_row_terms"))
+    return terms_by_row(units, terms).where("n > 1").groupBy("path").agg(F.max("n").alias("same_row_terms"))
 
 
 def term_table(spark: SparkSession, batch: Batch) -> DataFrame:
-    """At most 256 terms, with their patterns."""
-    rows = [(i, t.id, t.text, X.fold_text(t.text), X.whole(t.text), X.whole(X.fold_text(t.text)), X.identifier(X.fold_text(t.text))) for i, t in enumerate(batch.terms)]
-    return spark.createDataFrame(rows, "term_ord int, term_id string, term string, folded string, whole string, folded_whole string, identifier string")
+    """The terms of a batch, at most 256."""
+    return spark.createDataFrame([(i, t.id, t.text) for i, t in enumerate(batch.terms)], "term_ord int, term_id string, term string")
 
 
 def batch_hits(units: DataFrame, batch: Batch, fuzzy: bool = False) -> DataFrame:
     """One row per unit and matching term: the terms (256 at most) are literals of one projection, so units aren't joined."""
-    if fuzzy and not batch.identifiers:
-        reachable(units.sparkSession)
-    each = []
-    for i, t in enumerate(batch.terms):
-        folded = X.fold_text(t.text)
-        if batch.identifiers:
-            b = X.fold("text")
-            start = X.at(b, X.identifier(folded))
-            hit = F.when(b.contains(folded) & b.rlike(X.identifier(folded)), F.struct(F.lit("identifier").alias("kind"), F.lit("standard").alias("category"), F.lit(90).alias("score"), start.alias("start"), (start + len(folded)).alias("end")))
-        else:
-            hit = hit_column("text", t.text, fuzzy)
-        each.append(F.struct(F.lit(i).alias("term_ord"), F.lit(t.id).alias("term_id"), F.lit(t.text).alias("term"), hit.alias("hit")))
-    return units.withColumn("m", F.explode(F.array(*each))).where("m.hit is not null and m.hit.kind is not null").select("*", "m.*").drop("m")
+    return matched(units, batch.terms, fuzzy, batch.identifiers)
 
 
 def batch_summary(hits: DataFrame, batch: Batch, issues: int = 0, cancelled: bool = False) -> DataFrame:
-    """``term_id, term, file_count, hit_count, status`` of every term, zero-hit ones included."""
+    """``term_ord, term_id, term, file_count, hit_count, status`` of every term, zero-hit ones included."""
     spark = hits.sparkSession
-    counts = hits.groupBy("term_id").agg(F.count(F.lit(1)).alias("hit_count"), F.countDistinct("path").alias("file_count"))
+    by_file = hits.groupBy("term_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_file.groupBy("term_id").agg(F.sum("n").alias("hit_count"), F.count(F.lit(1)).alias("file_count"))
     status = "未確定（中断）" if cancelled else "未確定（一部エラーあり）" if issues else "確認完了"
     n = F.coalesce("hit_count", F.lit(0))
     told = F.when((n == 0) & F.lit(status == "確認完了"), "指定範囲内で該当なし").otherwise(status)

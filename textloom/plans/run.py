@@ -3,105 +3,215 @@
 from __future__ import annotations
 
 import itertools
+import threading
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import matcher
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.operators import index, ranking, search
 from textloom.plans.request import Batch, Conditions, Scope, SearchRequest
 from textloom.sources import files as sources
 
+#: Files that are found or read between two reports of progress.
+PROGRESS = 32
+
 
 @dataclass
 class Result:
     files: DataFrame
     units: DataFrame
-    sheets: DataFrame
+    sheets: DataFrame | None
     issues: DataFrame
     hits: DataFrame
     rankings: DataFrame
     terms: DataFrame | None = None
+    extracted: int = 0
+    reused: int = 0
+    held: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Gives back what the search keeps in memory."""
+        for df in self.held:
+            df.unpersist()
 
 
-def condition_hits(units: DataFrame, spec: Conditions, fuzzy: bool) -> DataFrame:
-    """Groups that meet the conditions as rows of evidence, the file's name a group of its own unless the scope is the file."""
+def condition_hits(units: DataFrame, spec: Conditions, fuzzy: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups that meet the conditions, one row each with their ``evidence``; and the same evidence, a row each."""
     groups = search.where(units, spec, fuzzy)
-    return groups.select("path", "file_type", "scope_key", "category", F.posexplode("evidence").alias("ord", "e")).select(
-        "path", "file_type", "scope_key", "category", "ord", F.col("e.term_id").alias("term_id"), F.col("e.term").alias("term"), F.col("e.best.*")
-    )
+    each = groups.select("path", "file_type", "scope_key", "category", F.explode("evidence").alias("e")).select("path", "file_type", "scope_key", "category", F.col("e.term_id").alias("term_id"), F.col("e.term").alias("term"), F.col("e.best.*"))
+    one = F.col("evidence")[0]["best"]
+    row = F.col("scope_key").startswith("row:")
+    file = F.col("scope_key") == "file"
+    place = F.from_json(one["location"], "sheetIndex int, sheetName string")
+    in_row = F.to_json(F.struct(one["row"].alias("row"), place["sheetIndex"].alias("sheetIndex"), place["sheetName"].alias("sheetName")))
+    least = lambda c: F.array_min(F.transform("evidence", lambda e: e["best"][c])).alias(c)
+    hits = groups.select(
+        "path", "file_type", "scope_key", "evidence", least("unit_seq"), least("document_order"), one["text"].alias("text"), one["hit"].withField("category", F.col("category")).alias("hit"),
+        F.when(file, "fileMatch").when(row, "excelRow").otherwise(one["source_kind"]).alias("source_kind"),
+        F.when(file, "file").otherwise(one["unit_key"]).alias("unit_key"), F.when(file, "").otherwise(one["part_key"]).alias("part_key"), F.when(file, "file").otherwise(one["group_key"]).alias("group_key"),
+        F.when(~file, one["row"]).alias("row"), one["content_class"].alias("content_class"), F.when(file, "{}").when(row, in_row).otherwise(one["location"]).alias("location"),
+    )
+    return hits, each
 
 
 def search_files(spark: SparkSession, request: SearchRequest, index_folder: str | None = None) -> Result:
     """Lazy DataFrames of a validated request; an index changes what is read, never what is found."""
     request = request.validated()
     spec = request.spec()
-    files, found_issues = sources.discover(spark, request.roots, request.excluded_directories, request.extensions)
-    units, sheets, read_issues = sources.extract_files(sources.read_contents(spark, files), request.include_formulas, request.include_notes)
-    units, read_issues = units.persist(), read_issues.persist()
+    listing = lambda: sources.discover(spark, request.roots, request.excluded_directories, request.extensions)
+    files, found_issues = listing()
+    extract = lambda some: sources.extract_files(sources.read_contents(spark, some), request.include_formulas, request.include_notes)
+    sheets = None
+    if index_folder:
+        bits = index.scope_bits(request.include_notes, request.include_formulas)
+        units, read_issues, extracted, reused = index.refresh(spark, index_folder, files, extract, bits, lambda: listing()[0])
+        held = []
+    else:
+        units, sheets, read_issues = extract(files)
+        units, read_issues = units.persist(), read_issues.persist()
+        held, extracted, reused = [units, read_issues], files.count(), 0
     issues = found_issues.unionByName(read_issues)
-    terms = None
+    terms, same_row = None, None
     if isinstance(spec, Batch):
-        hits = search.batch_hits(units, spec, request.fuzzy)
+        hits = evidence = search.batch_hits(units, spec, request.fuzzy)
         terms = search.batch_summary(hits, spec, issues.count())
-        keyed = hits.withColumn("term_key", X.fold("term"))
     elif isinstance(spec, Conditions):
         of = units
         if spec.scope is Scope.FILE:  # a file that wasn't read whole can't satisfy a condition on all of it
             of = units.join(read_issues.select("path").distinct(), "path", "left_anti")
-        hits = condition_hits(of, spec, request.fuzzy)
-        keyed = hits.withColumn("term_key", X.fold("term"))
+            same_row = search.same_row_terms(of.where(F.col("file_type").isin("xlsx", "xlsm")), (*spec.all, *spec.any))
+        hits, evidence = condition_hits(of, spec, request.fuzzy)
     else:
         of = units
         if index_folder and request.fuzzy:
-            index.write(index.cacheable(units, read_issues), index_folder)
-            held, grams, tokens = index.read(spark, index_folder)
-            rest = units.join(held.select("path").distinct(), "path", "left_anti")
-            of = index.candidates(held, grams, tokens, Term(spec.text)).unionByName(rest)
-        hits = search.plain(of, spec.text, request.fuzzy, exact_ranges=True)
-        keyed = hits.withColumn("term_key", F.lit("query"))
-    rankings = ranking.ranked(keyed.select("path", "term_key", F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind"))
-    return Result(files, units, sheets, issues, hits, rankings, terms)
+            stored, grams, tokens, _ = index.read(spark, index_folder)
+            live = stored.join(files.select("path"), "path", "left_semi")
+            rest = units.join(index.indexed(spark, index_folder).select("path"), "path", "left_anti")
+            of = index.candidates(live, grams, tokens, Term(spec.text)).unionByName(rest)
+        hits = evidence = search.plain(of, spec.text, request.fuzzy)
+    term_key = X.fold("term") if "term" in evidence.columns else F.lit("query")
+    keyed = evidence.select("path", term_key.alias("term_key"), F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind")
+    return Result(files, units, sheets, issues, hits, ranking.ranked(keyed, same_row), terms, extracted, reused, held)
+
+
+def shown(hit: Column, text: Column) -> Column:
+    return X.preview(text, hit["start"], hit["end"])
+
+
+def anchor(kind: Column, location: Column, text: Column, hit: Column) -> Column:
+    """Where a line of text can be edited: ``struct<lineNumber, start, end, lineRevision>``; null for other units."""
+    revision = F.concat(F.octet_length(text), F.lit(":"), F.sha1(text))
+    return F.when(kind == "textLine", F.struct(F.get_json_object(location, "$.lineNumber").cast("int").alias("lineNumber"), hit["start"].alias("start"), hit["end"].alias("end"), revision.alias("lineRevision")))
+
+
+def projected(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits as results: preview with its range, edit anchor, the file's time and revision, result id; evidence alike."""
+    out = hits.withColumn("term_id", F.col("term_id") if "term_id" in hits.columns else F.lit(None).cast("string")).withColumn("term", F.col("term") if "term" in hits.columns else F.lit(None).cast("string"))
+    out = out.withColumn("preview", shown(F.col("hit"), F.col("text"))).withColumn("edit_anchor", anchor(F.col("source_kind"), F.col("location"), F.col("text"), F.col("hit")))
+    if "evidence" in hits.columns:
+        one = lambda e: F.struct(e["term_id"].alias("term_id"), e["term"].alias("term"), e["best"].alias("best"), shown(e["best"]["hit"], e["best"]["text"]).alias("preview"), anchor(e["best"]["source_kind"], e["best"]["location"], e["best"]["text"], e["best"]["hit"]).alias("edit_anchor"))
+        out = out.withColumn("evidence", F.transform("evidence", one)).withColumn("edit_anchor", F.lit(None).cast(out.schema["edit_anchor"].dataType))
+    stamps = files.select("path", F.col("modified_ns").alias("modified_at"), F.concat("size", F.lit(":"), "modified_ns").alias("revision"))
+    return ranking.with_result_ids(out).join(stamps, "path", "left")
+
+
+def result_event(r) -> dict:
+    """A result as its event's fields."""
+
+    def place(x, preview, edit) -> dict:
+        told = {"sourceKind": x["source_kind"], "unitKey": x["unit_key"], "partKey": x["part_key"], "row": x["row"], "contentClass": x["content_class"], "location": x["location"], "documentOrder": x["document_order"]}
+        told |= {"previewText": preview["text"], "previewTruncated": preview["truncated"], "matchRanges": [[preview["start"], preview["end"]]], "sourceMatchRanges": [[x["hit"]["start"], x["hit"]["end"]]]}
+        told |= {"matchType": x["hit"]["kind"], "matchCategory": x["hit"]["category"], "score": x["hit"]["score"]}
+        return told | {"editAnchor": edit.asDict() | {"sourceRevision": r["revision"]} if edit else None}
 
+    out = {"resultId": r["result_id"], "path": r["path"], "fileType": r["file_type"], "groupKey": r["group_key"], "modifiedAt": r["modified_at"], "termId": r["term_id"], "term": r["term"], "text": r["text"]}
+    evidence = [{"termId": e["term_id"], "term": e["term"]} | place(e["best"], e["preview"], e["edit_anchor"]) for e in r["evidence"]] if "evidence" in r else []
+    return out | place(r, r["preview"], r["edit_anchor"]) | {"evidence": evidence}
 
-def events(spark: SparkSession, request: SearchRequest, cancelled: Callable[[], bool] = lambda: False) -> Iterator[dict]:
+
+class Session:
+    """One active search at a time: a new one cancels the jobs of the one before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self.lock = spark, None, threading.Lock()
+
+    def begin(self) -> str:
+        with self.lock:
+            if self.tag:
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            self.tag = f"search-{uuid.uuid4().hex}"
+            return self.tag
+
+    def run(self, request: SearchRequest, **more) -> Iterator[dict]:
+        tag = self.begin()
+        yield from events(self.spark, request, lambda: self.tag != tag, tag=tag, **more)
+
+    def cancel(self) -> None:
+        with self.lock:
+            tag, self.tag = self.tag, None
+        if tag:
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def events(spark: SparkSession, request: SearchRequest, cancelled: Callable[[], bool] = lambda: False, index_folder: str | None = None, tag: str | None = None) -> Iterator[dict]:
     """The ordered protocol: started, progress, issues, results and rankings by file, ranking and execution summaries, a batch's
-    summary, finished. Results that were given before a cancellation stay; nothing follows ``finished``."""
+    summary, finished. Results that were given before a cancellation stay; nothing follows ``finished``.
+
+    Results stream from the executors a partition at a time; of paths and rankings the driver holds what the last events list.
+    """
     number = itertools.count(1)
     event = lambda kind, **more: {"sequence": next(number), "type": kind} | more
     counts = {"discovered": 0, "processed": 0, "results": 0, "issues": 0}
     yield event("started")
-    found = search_files(spark, request)
-    paths = [r.path for r in found.files.select("path").toLocalIterator()]
-    counts["discovered"] = len(paths)
-    yield event("progress", **counts)
-    for r in found.issues.toLocalIterator():
-        counts["issues"] += 1
-        yield event("issue", **r.asDict())
-    ranks = {r.path: r.asDict() for r in found.rankings.toLocalIterator()}
-    hits = ranking.with_result_ids(found.hits.withColumn("term_id", F.col("term_id") if "term_id" in found.hits.columns else F.lit("")))
-    reason, last = "completed", None
-    for r in hits.orderBy("result_id").toLocalIterator():
-        if cancelled():
-            reason = "cancelled"
-            break
-        if last is not None and r.path != last:
-            yield event("fileRanked", path=last, rank=ranks[last]["file_rank"], reasons=ranks[last]["reasons"])
-        last = r.path
-        counts["results"] += 1
-        yield event("result", resultId=r.result_id, path=r.path, sourceKind=r.source_kind, text=r.text, matchType=r.hit.kind, matchCategory=r.hit.category, score=r.hit.score, ranges=[[r.hit.start, r.hit.end]])
-    if last is not None:
-        yield event("fileRanked", path=last, rank=ranks[last]["file_rank"], reasons=ranks[last]["reasons"])
-    counts["processed"] = len(paths)
-    yield event("rankingSummary", files=[p for p, _ in sorted(ranks.items(), key=lambda x: x[1]["file_rank"])])
-    yield event("executionSummary", extractedFiles=len(paths), reusedFiles=0)
-    if found.terms is not None:
-        yield event("batchSummary", terms=[r.asDict() for r in found.terms.orderBy("term_ord").toLocalIterator()])
-    yield event("finished", reason=reason, counts=counts)
-
-
-__all__ = ["Result", "condition_hits", "events", "matcher", "search_files"]
+    yield event("progress", phase="discovery", counts=dict(counts))
+    if tag:
+        spark.sparkContext.addJobTag(tag)
+    found = search_files(spark, request, index_folder)
+    try:
+        for _ in found.files.select("path").toLocalIterator():
+            counts["discovered"] += 1
+            if counts["discovered"] % PROGRESS == 0:
+                yield event("progress", phase="discovery", counts=dict(counts))
+        yield event("progress", phase="search", counts=dict(counts))
+        for r in found.issues.toLocalIterator():
+            counts["issues"] += 1
+            yield event("issue", **r.asDict())
+        ranks = {r.path: r.asDict() for r in found.rankings.toLocalIterator()}
+        hits = projected(found.hits, found.files)
+        reason, last = "completed", None
+
+        def ended(path: str) -> Iterator[dict]:
+            counts["processed"] += 1
+            yield event("fileRanked", path=path, rank=ranks[path]["file_rank"], reasons=ranks[path]["reasons"])
+            yield event("progress", phase="search", counts=dict(counts))
+
+        for r in hits.orderBy("result_id").toLocalIterator():
+            if cancelled():
+                reason = "cancelled"
+                break
+            if last is not None and r.path != last:
+                yield from ended(last)
+            last = r.path
+            counts["results"] += 1
+            yield event("result", **result_event(r))
+        if last is not None:
+            yield from ended(last)
+        if reason == "completed":
+            counts["processed"] = counts["discovered"]
+        yield event("rankingSummary", files=[p for p, _ in sorted(ranks.items(), key=lambda x: x[1]["file_rank"])])
+        yield event("executionSummary", extractedFiles=found.extracted, reusedFiles=found.reused)
+        if found.terms is not None:
+            yield event("batchSummary", terms=[r.asDict() for r in found.terms.orderBy("term_ord").toLocalIterator()])
+        yield event("finished", reason=reason, counts=dict(counts))
+    finally:
+        found.close()
+        if tag:
+            spark.sparkContext.removeJobTag(tag)
+
+
+__all__ = ["Result", "Session", "condition_hits", "events", "projected", "result_event", "search_files"]

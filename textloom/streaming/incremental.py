@@ -24,11 +24,11 @@ def stream_search(units: DataFrame, term: str) -> DataFrame:
     return search.plain(units, term)
 
 
-def run_available(hits: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there, into a memory table."""
-    query = hits.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_available(hits: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there into Parquet files below ``folder``, each row once, and reads them."""
+    query = hits.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/hits").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return hits.sparkSession.table(name)
+    return hits.sparkSession.read.schema(hits.schema).parquet(f"{folder}/hits")
 
 
 def flush_batches(hits: DataFrame, send: Callable[[list], None], checkpoint: str):
