@@ -184,7 +184,7 @@ PAGE = "<html><head><title>t</title><style>x</style></head><body><nav><a>{0}</a>
 
 
 def test_extraction():
-    wrapper = H.induce([PAGE.format(i) for i in range(4)])
+    wrapper = H.induce([PAGE.format(i) for i in "abcd"])
     assert H.extract(PAGE.format("z"), wrapper) == "H z\nOne & z\nTwo z"
     assert H.extract(PAGE.format("z"), None) == "H z\nOne & z\nTwo z"
     assert H.extract("", None) == H.extract("<p", None) == ""
@@ -194,3 +194,91 @@ def test_constant_blocks_are_template():
     page = "<body><div><p>Welcome to the site</p><p>{0} body text {0}</p><p>{0} more</p></div></body>"
     wrapper = H.induce([page.format(i) for i in "abc"])
     assert H.extract(page.format("q"), wrapper) == "q body text q\nq more"
+    assert H.extract(page.format("q"), None) == "Welcome to the site\nq body text q\nq more"
+
+
+BARE = """<body><h1>Title {0}</h1><div><span><a href=/1>Home</a></span><span><a href=/2>News</a></span></div><div><ul>{1}</ul></div>
+<div><p>Lead {0} of the text</p><p>More {0} here, and {0}</p></div><div>Printed by Example House, Main Street</div></body>"""
+
+
+def test_menu_and_footer_without_any_name_go_and_a_title_outside_stays():
+    links = lambda x: "".join(f"<li><a href=/{x}{i}>see {x}{i} too</a></li>" for i in range(3))
+    wrapper = H.induce([BARE.format(x, links(x)) for x in "abcdef"])
+    assert H.extract(BARE.format("z", links("z")), wrapper) == "Title z\nLead z of the text\nMore z here, and z"
+    assert "Home" in H.extract(BARE.format("z", links("z")), None)
+
+
+def test_a_block_more_on_a_page_is_its_own():
+    page = "<body><div><b>Site</b></div>{1}<div><p>{0} one</p><p>{0} two</p></div></body>"
+    wrapper = H.induce([page.format(i, "") for i in "abc"])
+    assert H.extract(page.format("q", "<div><p>only here</p></div>"), wrapper) == "only here\nq one\nq two"
+
+
+def test_copies_are_no_evidence():
+    assert H.induce(["<p>same</p>"] * 9) is None
+
+
+def test_articles_headers_and_names():
+    two = "<article><h1>A</h1><p>one</p></article><div class=ad-slot>buy</div><article><header><h2>B</h2></header><p class='notice-period'>two</p><section id=related-work>three</section></article>"
+    assert H.extract(two, None) == "A\none\nB\ntwo\nthree"
+    assert H.extract("<h1>T</h1><p>lead</p><div>" + "word " * 300 + "</div>", None).startswith("T\nlead\nword")
+    assert [H.named_boilerplate(x) for x in ("main-menu", "ad-slot", "site-header", "comment-list", "advice", "header-image text", "post-content")] == [True, True, True, True, False, False, False]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9), st.integers(1, 30))
+def test_alignment_matches_most_nodes(a, b, cells):
+    shapes = H.Shapes()
+    leaf = [shapes.number((x, ""), ()) for x in "pqrs"]
+    kinds = [leaf[0], leaf[1], shapes.number(("p", ""), (leaf[1], leaf[2])), shapes.number(("p", ""), (leaf[2], leaf[2], leaf[3]))]
+    x, y = tuple(kinds[i] for i in a), tuple(kinds[i] for i in b)
+
+    def most(i, j):
+        if i == len(x) or j == len(y):
+            return 0
+        return max(most(i + 1, j), most(i, j + 1), shapes.size(x[i], y[j]) + most(i + 1, j + 1) if shapes.size(x[i], y[j]) else 0)
+
+    old, H.CELLS = H.CELLS, cells  # also in halves
+    try:
+        pairs = shapes.align(x, y)
+    finally:
+        H.CELLS = old
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert sum(shapes.size(x[i], y[j]) for i, j in pairs) == most(0, 0)
+
+
+def test_deep_and_long_pages_are_aligned_whole():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    long = "<ul>" + "".join(f"<li><b>{i}</b> item</li>" for i in range(3000)) + "</ul>"
+    one = H.Extractor()
+    for page in (deep, long):
+        tree = H.measured(H.parse(page), one.shapes)
+        assert len(H.Skeleton(H.skeleton(H.parse(page)), one.shapes).matched(tree, one.shapes)) == len(H.skeleton(tree))
+
+
+def test_short_items_match_whole_words_only():
+    find = B.Matcher([(1, "Short one"), (2, "...")], 0.05)
+    assert find(B.normalise("a short one!")) == [(1, 0, 2, 0)] and find(B.normalise("Short one")) == [(1, 0, 0, 0)]
+    assert find(B.normalise("a short ones")) == [] and find("") == []
+
+
+def test_the_nearest_occurrence_is_told():
+    item = "the quick brown fox jumps over the lazy dog and runs far away"
+    far = item.replace("lazy", "lxxy")
+    assert B.Matcher([(1, item)], 0.05)(f"{far} zz {item} q") == [(1, 0, len(far) + 4, 3)]
+    assert B.Matcher([(1, item)], 0.05)(f"ab {far} zz {item.replace('dog', 'dig')} q") == [(1, 1, len(far) + 7, 3)]
+
+
+def test_flows_of_sources_apart():
+    groups = S.separate([("a",), ("b",), ("a", "c"), (None,)])
+    assert {frozenset(g) for g in groups} == {frozenset({("a",), ("a", "c")}), frozenset({("b",)}), frozenset({(None,)})}
+
+
+def test_recipes():
+    names, frames = [b"a" * 16, b"b" * 16], [b"xyz", b""]
+    assert M.listed(M.recipe(names, frames)) == (names, [3, 0])
+
+
+def test_touching_anchors_make_a_run():
+    at = lambda w, d, k: {"word": w, "kdoc": d, "kth": 0, "kword": k}
+    assert D.joined_runs([at(30, 2, 5), at(10, 1, 0), at(90, 1, 80)]) == [[10, 56, 1, 0, 0, 2, 0, 31], [90, 116, 1, 0, 80, 1, 0, 106]]

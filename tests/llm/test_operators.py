@@ -143,7 +143,7 @@ def test_contamination(spark, frame):
     item = prose(rnd, words, 20)
     wrong = item[:50] + "zz" + item[50:]
     docs = [doc(1, "Before " + item.upper() + ", after"), doc(2, wrong), doc(3, prose(rnd, words, 50)), doc(4, None), doc(5, item[: len(item) // 2])]
-    bench = frame([(10, item), (11, None), (12, "short"), (10, item)], "item_id long, text string")
+    bench = frame([(10, item), (11, None), (12, "!?"), (10, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance) for r in benchmark_decontam.matches(frame(docs, DOCS), bench).collect()}
     assert got == {(1, 10, 0), (2, 10, 2)}
     assert {r.doc_id for r in benchmark_decontam.drop_contaminated(frame(docs, DOCS), bench).collect()} == {3, 4, 5}
@@ -236,7 +236,7 @@ def test_mix(spark, frame):
     rows = source_mixing.mix(frame(docs, DOCS)).collect()
     by = {}
     for r in rows:
-        by.setdefault(r.pattern, [0, r.target, r.source_size])[0] += r.taken
+        by.setdefault(tuple(r.pattern), [0, r.target, r.source_size])[0] += r.taken
         assert r.taken <= 2 * r.size
     assert all(abs(t - target) <= 8 and target <= 2 * size for t, target, size in by.values())
     assert source_mixing.mix(frame([], DOCS)).count() == 0
@@ -260,3 +260,113 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows)
+
+
+CLASHES = ("_size", "_key", "_pattern", "_range", "size", "taken", "target", "score", "predicted", "_spans", "_cut", "_id", "_hash", "component", "hash", "th", "text_hash", "h", "host", "layout", "lang_pred", "accepted")
+
+
+def clashing(frame, docs):
+    df = frame(docs, DOCS)
+    return df.selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in CLASHES))
+
+
+def test_extra_columns_of_any_name(spark, frame):
+    rnd, words = random.Random(3), vocabulary(3)
+    passage = prose(rnd, words, 70)
+    docs = [doc(i, prose(rnd, words, 40) + (" " + passage if i < 3 else "") + (" vile" if i % 3 == 0 else ""), source=f"s{i % 2}") for i in range(60)]
+    df = clashing(frame, docs)
+    labels = frame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    for out in (toxicity.drop_toxic(df, labels), substring_dedup.drop_repeats(df), near_dedup.drop_near_duplicates(df), benchmark_decontam.drop_contaminated(df, frame([(1, "nothing of the kind")], "item_id long, text string"))):
+        assert out.columns == df.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in CLASHES)
+    told = source_mixing.mix(df).collect()
+    assert all(r.size == len(r.text.split()) and r._key == f"_key{r.doc_id}" for r in told) and len(told) == 60
+    model = language_id.trained(df)
+    assert all(r.lang_pred == "en" and r.taken == f"taken{r.doc_id}" for r in language_id.predicted(df, model).collect())
+    assert media_chunks.media(df).count() == 60
+
+
+def test_sources_of_any_name(spark, frame):
+    docs = frame([(i, "w w w", x) for i, x in enumerate(["a\x01b", "a", "b", None, "null", '"q', ""])], "doc_id long, text string, source string")
+    told = {r.source: r.source_size for r in source_mixing.mix(docs).collect()}
+    assert len(told) == 7 and set(told.values()) == {3}
+
+
+def test_passages_go_whole(spark, frame):
+    rnd, words = random.Random(21), vocabulary(21, 5000)
+    passages = [prose(rnd, words, n) for n in (50, 51, 60, 75, 130) for _ in range(6)]
+    around = lambda: prose(rnd, words, rnd.randint(5, 60))
+    docs = [doc(2 * i + j, f"{around()} {p} {around()}") for i, p in enumerate(passages) for j in range(2)]
+    by = {}
+    for r in substring_dedup.removals(frame(docs, DOCS)).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    for i, p in enumerate(passages):
+        text = docs[2 * i + 1][1].encode()
+        (r,) = by.pop(2 * i + 1)
+        at = text.index(p.encode())
+        assert r.kept_doc_id == 2 * i and abs(r.start - at) <= 9 and abs(r.end - at - len(p)) <= 9  # a word beside it may be alike by chance
+        assert docs[2 * i][1].encode()[r.kept_start :].startswith(text[r.start : r.end])
+    assert not by
+
+
+def test_repeats_in_one_text_and_in_repeated_rows(spark, frame):
+    rnd, words = random.Random(22), vocabulary(22, 3000)
+    p, period = prose(rnd, words, 60), prose(rnd, words, 10)
+    twice = f"{p} {prose(rnd, words, 20)} {p}"
+    docs = [doc(1, twice), doc(1, twice), doc(2, " ".join([period] * 30)), doc(3, prose(rnd, words, 90)), doc(3, prose(rnd, words, 90)), doc(4, "x " * 20000), doc(5, p)]
+    kept = {}
+    for r in substring_dedup.drop_repeats(frame(docs, DOCS)).collect():
+        kept.setdefault(r.doc_id, []).append(r.text)
+    assert len(kept[1]) == 2 and all(t.count(p) == 1 for t in kept[1])
+    assert period in kept[2][0] and len(kept[2][0].split()) < 120 and len(kept[3]) == 2 and sum(len(t.split()) for t in kept[3]) == 180
+    assert len(kept[4][0].split()) < 100 and 5 not in kept
+
+
+def test_edge_rows_of_all_operators(spark, frame):
+    rows = [doc(None, None), doc(None, ""), doc(7, "a b"), doc(7, "a b"), doc(8, "lang " * 30000), (9, "no language", None, None, None)]
+    df = frame(rows, DOCS)
+    labels = frame([(7, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(df, labels).count() <= 6
+    assert toxicity.scored(df, None).where("score = 0").count() == 6
+    assert language_id.predicted(df, language_id.trained(df)).count() == 6
+    assert media_chunks.media(df).count() == 6 and source_mixing.mix(df).count() == 6
+    none = frame([], DOCS)
+    assert media_chunks.media(none).count() == 0 and language_id.predicted(none, None).count() == 0
+    assert toxicity.scored(none, toxicity.fit(none, labels)).count() == 0 and substring_dedup.drop_repeats(none).count() == 0
+    assert benchmark_decontam.matches(none, frame([(1, "x y")], "item_id long, text string")).count() == 0
+
+
+def test_pages_of_a_host_lose_what_they_share(spark, frame):
+    page = "<body><div>Our house rules apply</div><div><p>Text {0} of {0}</p><p>End {0}</p></div></body>"
+    rows = [(i, f"http://big/{i}", page.format(i)) for i in range(40)] + [(90, "http://one/1", page.format("z"))] + [(100 + i, "http://copies/1", page.format("c")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extracted(frame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i} of {i}\nEnd {i}" for i in range(40))
+    assert got[90].startswith("Our house rules") and got[104].startswith("Our house rules")
+
+
+def test_pages_query_against_a_plain_version(spark):
+    by = {}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in pages:
+        by.setdefault(html_extract.re.sub("^[^:]*://([^/?#]*).*$", r"\1", r.url or "").lower(), []).append(r)
+    got = {r.page_id: r.text for r in QUERIES["op8_wrapper_induction"](spark, SF).collect()}
+    want = {r.page_id: html_extract.extract(r.html or "", html_extract.induce([x.html or "" for x in rows])) for rows in by.values() for r in rows}
+    assert got == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, frame, tmp_path):
+    import corpus_pipeline
+
+    rnd, words = random.Random(31), vocabulary(31)
+    item = prose(rnd, words, 30)
+    docs = [doc(i, prose(rnd, words, 60), source=f"s{i % 3}") for i in range(40)] + [doc(50, None), doc(51, ""), doc(None, "x y z"), doc(52, f"{prose(rnd, words, 20)} {item}"), doc(1, prose(rnd, words, 60)), (53, "last one", None, None, None)]
+    frame([(i, i % 2, int(i == 52)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (docs, []):
+        df = clashing(frame, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df2 = stage(spark, df, str(tmp_path))
+            assert df2.columns == df.columns
+            df = spark.createDataFrame(df2.collect(), df.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() <= max(0, df.count())
+        assert df.where("doc_id = 52").count() == 0

@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import Scratch as Scratch
 from textloom.session import reachable
+from textloom.session import shared_dir as shared_dir
 
 #: Largest side that is ever broadcast, in bytes of its rows; beyond it the join shuffles.
-BROADCAST_BYTES = 48 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of this machine only where it is unset on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="textloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Scratch:
-    """Intermediate tables of one operator run, written as Parquet to the shared folder: lineage is cut and survives lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{tag}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{tag}")
-
-    def drop(self, *tags: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

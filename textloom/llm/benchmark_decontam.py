@@ -3,13 +3,15 @@
 Texts and test items are normalised alike: lower case, each run of non-alphanumerics one space. An item of ``n``
 characters may differ by ``e = floor(n * error_rate)`` edits; cut into ``e + 1`` pieces, at least one piece of every such
 occurrence is unchanged. All pieces of a block of items are found in one pass over each whole text by an Aho-Corasick
-automaton; each hit names a place, which Myers' bit-parallel algorithm verifies within the error budget.
+automaton; each hit names a window, and Myers' bit-parallel algorithm verifies the joined windows within the error budget. Items of
+fewer than ``MIN_CHARS`` characters must occur whole and unchanged, between word borders.
 
 Scale: items travel to the executors in blocks of at most ``ITEM_BYTES`` of text (one pass over the documents a block);
 documents are neither shuffled nor joined. A piece that is in a third of all documents costs each of them its own check.
 
-Cases: null and empty texts have no matches; null items and items that normalise to less than ``MIN_CHARS`` characters
-match nothing; repeated rows match alike; further columns are ignored by the search and kept by the filter.
+Cases: null and empty texts have no matches; null items and items that normalise to nothing match nothing; of occurrences at
+the same distance the one that ends first is told; repeated rows match alike, and equal items of different ids each;
+further columns are ignored by the search and kept by the filter; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from textloom.llm._store import bounded_batches
 
 ERROR_RATE, MIN_CHARS = 0.05, 24
-#: Most bytes of item texts in one block's automaton.
+#: Most characters of item texts in one block's automaton.
 ITEM_BYTES = 4 << 20
 
 _OTHER = re.compile(r"[\W_]+")
@@ -69,6 +71,17 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def start_of(pattern: str, text: str, distance: int) -> int:
+    """Where the occurrence of ``pattern`` that ends with ``text`` at this distance begins: the latest such place."""
+    row = list(range(len(text) + 1))  # distances of the reversed pattern's beginning to those of the reversed text
+    for i, c in enumerate(reversed(pattern), 1):
+        now = [i]
+        for j, d in enumerate(reversed(text), 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+        row = now
+    return len(text) - row.index(distance)
+
+
 class Matcher:
     """Finds each item of a block in a normalised text."""
 
@@ -78,9 +91,11 @@ class Matcher:
         self.items, held = [], {}
         for item, text in items:
             t = normalise(text)
-            if len(t) < MIN_CHARS:
+            if not t:
                 continue
-            e = int(len(t) * error_rate)
+            whole = len(t) < MIN_CHARS
+            e = 0 if whole else int(len(t) * error_rate)
+            t = f" {t} " if whole else t
             for a, b in pieces(len(t), e):
                 held.setdefault(t[a:b], []).append((len(self.items), a))
             self.items.append((item, t, e))
@@ -90,30 +105,47 @@ class Matcher:
         if held:
             self.automaton.make_automaton()
 
-    def __call__(self, t: str) -> list[tuple[int, int, int, int]]:
-        """``(item, distance, start, errors)``: of each item its nearest occurrence, the first of equals."""
-        if not self.items or not t:
+    def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
+        """``(item, distance, start, errors)``: of each item its nearest occurrence, of equals the one that ends first."""
+        if not self.items or not text:
             return []
-        found: dict[int, tuple[int, int]] = {}
-        tried: dict[int, list[int]] = {}
+        t = f" {text} "  # borders of words at the ends, too; places count without the first
+        starts: dict[int, set[int]] = {}
         for last, (length, at) in self.automaton.iter(t):
             for k, a in at:
-                item, text, e = self.items[k]
-                if found.get(k, (1,))[0] == 0:
-                    continue
-                start = last + 1 - length - a
-                if any(abs(start - s) <= e for s in tried.get(k, ())[-8:]) and k in found:
-                    continue
-                if t.startswith(text, max(start, 0)) and start >= 0:
-                    hit: tuple[int, int] | None = (0, start)
-                else:
-                    low = max(0, start - e)
-                    met = myers(text, t[low : start + len(text) + e], e)
-                    hit = met and (met[0], max(low, low + met[1] - len(text)))
-                tried.setdefault(k, []).append(start)
-                if hit and hit[0] < found.get(k, (e + 1,))[0]:
-                    found[k] = hit
-        return [(self.items[k][0], d, s, self.items[k][2]) for k, (d, s) in sorted(found.items())]
+                starts.setdefault(k, set()).add(last + 1 - length - a)
+        out = []
+        for k, places in sorted(starts.items()):
+            item, pattern, e = self.items[k]
+            found = self.nearest(t, pattern, e, sorted(places))
+            if found:
+                out.append((item, found[0], max(0, found[1] - 1 + (pattern[0] == " ")), e))
+        return out
+
+    @staticmethod
+    def nearest(t: str, pattern: str, e: int, places: list[int]) -> tuple[int, int] | None:
+        """Distance and start of the nearest occurrence that begins within ``e`` of one of ``places``."""
+        exact = t.find(pattern)
+        if exact >= 0:
+            return 0, exact
+        if not e:
+            return None
+        windows: list[list[int]] = []
+        for s in places:
+            low, high = max(1, s - e), min(len(t) - 1, s + len(pattern) + e)
+            if windows and low <= windows[-1][1]:
+                windows[-1][1] = max(windows[-1][1], high)
+            else:
+                windows.append([low, high])
+        best: tuple[int, int] | None = None
+        for low, high in windows:
+            met = myers(pattern, t[low:high], e)
+            if met and (best is None or met[0] < best[0]):
+                best = met[0], low + met[1]
+        if best is None:
+            return None
+        low = max(0, best[1] - len(pattern) - e)
+        return best[0], low + start_of(pattern, t[low : best[1]], best[0])
 
 
 _BUILT: dict[str, Matcher] = {}
@@ -129,12 +161,18 @@ def _matcher(shared, error_rate: float) -> Matcher:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; only one block is on the driver at a time."""
+    """Items in blocks of bounded size; the table is read once, and one block is on the driver at a time."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    n = -(-int(total[0] or 0) * 2 // ITEM_BYTES) or 1
-    for i in range(n):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).orderBy("item", "text").toLocalIterator()]
+    block: list[tuple[int, str]] = []
+    size, some = 0, False
+    for r in items.toLocalIterator():
+        if block and size + len(r.text) > ITEM_BYTES:
+            yield sorted(block)
+            block, size, some = [], 0, True
+        block.append((r.item, r.text))
+        size += len(r.text)
+    if block or not some:
+        yield sorted(block)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

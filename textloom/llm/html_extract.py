@@ -1,22 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-A host's wrapper comes from a bounded number of its pages (``SAMPLE``, drawn by hash): their DOM trees are aligned with the
-first one's by simple tree matching (the largest order-preserving match of equal tags, by dynamic programming over
-children). A node that all aligned pages have with equal text is template; one whose text varies is a slot. Slots under
-navigation, headers, footers, asides, forms, scripts, comments and the like (by tag, role, class or id), or whose text is
-mostly links, are boilerplate; the others are content, and the smallest subtree that holds most of their words is the
-host's content root.
-
-Each page is then parsed whole and aligned with its host's wrapper from the root down. Text comes from the matched content
-root (or, without a wrapper or a match, from the page's own subtree of most non-boilerplate text), less template nodes and
-boilerplate. Blocks are joined by line breaks.
-
-Scale: wrappers are a few KB a host; pages meet them by a broadcast of checked size, or else by a join on host and salt, so
-that a host with a third of all pages is dealt over ``SALTS`` tasks. Pages are never grouped.
-
-Cases: null html is empty and gives empty text; a null url counts as host ''; a host with one page has no wrapper and falls
-back to its page's own densest subtree; unclosed and stray tags are repaired; repeated rows give repeated results; an empty
-table gives an empty result; further columns are ignored.
+Pages of one host and one layout (the same set of containers and classes) form a cluster. The cluster's page of the smallest hash
+gives the wrapper's tree. All other pages of the cluster, copies once, are aligned with it by simple tree matching (the
+order-preserving match of equal tags that holds most nodes, by dynamic programming over children); over all of them, each
+node of the wrapper sums up how many pages have it, its words, its words in links, and each bit of its text's hash. A node
+whose text is the same on nearly all its pages is template: the bits name that text. A node whose text varies is a slot: content,
+unless nearly all its words over all pages are links.
+
+Each page is then parsed whole and aligned with its wrapper. Its main text is that of its main or article elements, or else of
+the whole page, less: nodes with a template's text, nodes aligned with a slot of links, and what tag, role or class names as a menu,
+header, footer, sidebar, notice, advert, form or comments (such parts vary from page to page on many sites, where alignment
+alone would take them for content). Blocks are joined by line breaks.
+
+A cluster needs ``LEAST_PAGES`` different pages. Pages of smaller clusters take the wrapper of their host's largest cluster, and those
+of hosts without one have only their tags, roles and classes.
+
+Scale: a cluster's statistics are sums, made first in each task, so that a host with a third of all pages is no burden to any;
+wrappers are a few KB a cluster and meet the pages by a broadcast of measured size, or else by a join on host, layout and salt.
+
+Cases: null html is empty and gives empty text; a null url counts as host ''; unclosed and stray tags are repaired; repeated rows
+give repeated results and count once for the wrapper; of clusters of equal size the first layout hash is the host's largest;
+very long and deeply nested pages are aligned whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +28,22 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._store import Scratch, bounded_batches, small
 
-SAMPLE, SALTS, SEED = 6, 64, 3
-#: Children of one node that simple tree matching aligns; a longer list is aligned as a list of its runs of equal tags.
-ALIGNED = 60
+LEAST_PAGES, SALTS = 3, 64
+#: Shares from which a text is a template's, and words are mostly links.
+CONSTANT, LINKS = 0.8, 0.6
+#: Cells of a table of the alignment that are in memory at once; shapes and clusters that a worker remembers.
+CELLS, SHAPES, CLUSTERS = 4_000_000, 300_000, 2000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -47,15 +56,20 @@ _AUTO = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("table ul ol dl select html body div article section main td th li".split())
 _DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas nav header footer aside form button select textarea input dialog menu title noembed noframes audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-_NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond related recommended widget pagination pager toolbar skip".split())
-_SPACE = re.compile(r"[\s ]+")
+# Class names of what isn't the article, alone or at the end of a compound; names that stand before a container's name; and such names.
+_NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond related recommended widget pagination pager toolbar skip".split())
+_BEFORE = frozenset("nav navbar menu site page header footer sidebar ad ads advert cookie consent gdpr newsletter share social comment comments promo sponsor related recommended breadcrumb".split())
+_CONTAINERS = frozenset("header box container wrapper wrap bar list area block section slot unit links items form inner outer left right top bottom posts stories articles content panel nav row thread overlay".split())
+_SPACE = re.compile(r"[\s\xa0]+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag", "words")
+    __slots__ = ("attrs", "children", "hash", "links", "shape", "tag", "words")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.words = tag, attrs, [], 0  # children: Node or str
+        self.tag, self.attrs, self.children = tag, attrs, []  # children: Node or str
+        self.shape = self.hash = self.words = self.links = 0
 
 
 def parse(text: str) -> Node:
@@ -109,8 +123,18 @@ def parse(text: str) -> Node:
     return root
 
 
-def boilerplate(node: Node) -> bool:
-    if node.tag in _DROPPED:
+def named_boilerplate(value: str) -> bool:
+    """Whether a class or id names something else than the article: ``menu``, ``main-menu``, ``ad-slot``, but not ``related-work``."""
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        if parts and (token in ("header", "site-header") or parts[-1] in _NAMES or len(parts) > 1 and parts[0] in _BEFORE and all(p in _CONTAINERS for p in parts[1:])):
+            return True
+    return False
+
+
+def boilerplate(node: Node, inside: bool = False) -> bool:
+    """Whether tag, role or class say that a node isn't the article's text; ``inside`` an article or main a header is its own."""
+    if node.tag in _DROPPED and not (inside and node.tag == "header"):
         return True
     if not node.attrs:
         return False
@@ -118,12 +142,12 @@ def boilerplate(node: Node) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and node.tag not in ("article", "main", "body", "html") and any(w in _NAMES for w in re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and node.tag not in ("article", "main", "body", "html") and not (inside and node.tag == "header") and named_boilerplate(value):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", node.attrs)) or "display:none" in node.attrs.replace(" ", "")
+    return bool(_HIDDEN.search(node.attrs)) or "display:none" in node.attrs.replace(" ", "")
 
 
-def blocks(node: Node, skip=lambda node: False) -> list[str]:
+def blocks(node: Node, skip=lambda node: False, inside: bool = False) -> list[str]:
     """Text of the blocks under ``node`` in page order, without boilerplate and what ``skip`` names."""
     out: list[str] = []
     now: list[str] = []
@@ -134,210 +158,368 @@ def blocks(node: Node, skip=lambda node: False) -> list[str]:
             out.append(t)
         now.clear()
 
-    work: list = [node]
+    work: list = [(node, inside)]
     while work:
-        x = work.pop()
+        x, within = work.pop()
         if isinstance(x, str):
             now.append(x)
         elif x is None:
             flush()
-        elif not boilerplate(x) and not skip(x):
+        elif not boilerplate(x, within) and not skip(x):
             if x.tag in _BLOCK:
                 flush()
-                work.append(None)
-            work.extend(reversed(x.children))
+                work.append((None, within))
+            within = within or x.tag in ("article", "main")
+            work.extend((y, within) for y in reversed(x.children))
     flush()
     return out
 
 
-def inner(node: Node) -> str:
-    """All text under ``node``, white space folded."""
-    parts, work = [], [node]
-    while work:
-        x = work.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        else:
-            work.extend(reversed(x.children))
-    return _SPACE.sub(" ", "".join(parts)).strip()
-
-
 def elements(node: Node) -> list[Node]:
     return [x for x in node.children if isinstance(x, Node)]
 
 
-def align(a: list, b: list, size) -> list[tuple[int, int]]:
-    """The order-preserving pairs of equal tags that match most nodes. ``size(x, y)``: nodes matched below a pair and it."""
-    n, m = len(a), len(b)
-    if n * m > ALIGNED * ALIGNED:  # the first of equal runs: linear
-        out, j = [], 0
-        for i in range(n):
-            k = next((k for k in range(j, min(m, j + ALIGNED)) if b[k].tag == a[i].tag), None)
-            if k is not None:
-                out.append((i, k))
-                j = k + 1
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + size(a[i], b[j]) if a[i].tag == b[j].tag else 0)
+class Shapes:
+    """Trees of tags and classes, told apart by number, and how many nodes (doubled; a shared class counts one more) two of them can
+    match. Equal subtrees, of whatever pages, are compared once."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.parts: list[tuple] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def number(self, label: tuple[str, str], below: tuple[int, ...]) -> int:
+        key = (label, below)
+        if key not in self.known:
+            self.known[key] = len(self.parts)
+            self.parts.append(key)
+        return self.known[key]
+
+    def size(self, x: int, y: int) -> int:
+        if x > y:
+            x, y = y, x
+        got = self.sizes.get((x, y))
+        if got is None:
+            (a, below_a), (b, below_b) = self.parts[x], self.parts[y]
+            got = 0 if a[0] != b[0] else 2 + (a == b) + sum(self.size(below_a[i], below_b[j]) for i, j in self.align(below_a, below_b))
+            self.sizes[x, y] = got
+        return got
+
+    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The order-preserving pairs that match most."""
+        n, m, low = len(a), len(b), 0
+        while low < n and low < m and a[low] == b[low]:  # equal ends are always matched in some best alignment
+            low += 1
+        while n > low and m > low and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+        out = [(i, i) for i in range(low)]
+        if n > low and m > low:
+            kinds_a, ia = np.unique(a[low:n], return_inverse=True)
+            kinds_b, ib = np.unique(b[low:m], return_inverse=True)
+            worth = np.array([[self.size(int(p), int(q)) for q in kinds_b] for p in kinds_a], dtype=np.int32)
+            out += [(low + i, low + j) for i, j in _best(worth, ia, ib)]
+        return out + [(i, m + i - n) for i in range(n, len(a))]
+
+
+def _rows(worth: np.ndarray, ia: np.ndarray, ib: np.ndarray, keep: bool) -> np.ndarray:
+    """The best sums of alignments of the rest from each pair of places on: all rows, or the first alone."""
+    out = np.zeros((len(ia) + 1 if keep else 1, len(ib) + 1), dtype=np.int32)
+    row = np.zeros(len(ib) + 1, dtype=np.int32)
+    for i in range(len(ia) - 1, -1, -1):
+        best = np.maximum(row[:-1], row[1:] + worth[ia[i]][ib])
+        row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+        out[i if keep else 0] = row
+    return out
+
+
+def _best(worth: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int, int]]:
+    n, m = len(ia), len(ib)
+    if n * m > CELLS and n > 1:  # too large for one table: halves meet where both together are best
+        half = n // 2
+        after = _rows(worth, ia[half:], ib, False)[0]
+        before = _rows(worth, ia[:half][::-1], ib[::-1], False)[0][::-1]
+        at = int((before + after).argmax())
+        return _best(worth, ia[:half], ib[:at]) + [(half + i, at + j) for i, j in _best(worth, ia[half:], ib[at:])]
+    best = _rows(worth, ia, ib, True)
     out, i, j = [], 0, 0
     while i < n and j < m:
-        if a[i].tag == b[j].tag and best[i][j] == best[i + 1][j + 1] + size(a[i], b[j]):
+        w = int(worth[ia[i], ib[j]])
+        if w and best[i, j] == best[i + 1, j + 1] + w:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
+        elif best[i, j] == best[i + 1, j]:
             i += 1
         else:
             j += 1
     return out
 
 
-def tree_match(a: Node, b: Node) -> dict[int, Node]:
-    """Simple tree matching: ``id`` of a node of ``a`` → its partner in ``b``, for trees whose roots agree."""
-    memo: dict[tuple[int, int], int] = {}
+def label(node: Node) -> tuple[str, str]:
+    """A node's tag, and its classes without digits."""
+    if node.attrs and "class" in node.attrs:
+        for name, a, b, c in _ATTRIBUTE.findall(node.attrs):
+            if name.lower() == "class":
+                return node.tag, re.sub(r"\d+", "", (a or b or c).lower())
+    return node.tag, ""
 
-    def size(x: Node, y: Node, depth: int = 0) -> int:
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1
-            if depth < 40:
-                memo[key] += sum(size(p, q, depth + 1) for p, q in ((xs[i], ys[j]) for xs, ys in [(elements(x), elements(y))] for i, j in align(xs, ys, lambda p, q: size(p, q, depth + 1))))
-        return memo[key]
 
-    out, work = {id(a): b}, [(a, b)]
+def measured(root: Node, shapes: Shapes) -> Node:
+    """Numbers the tree's shapes, and sums up each node's text: hash, words, and words in links."""
+    order, work = [], [root]
     while work:
-        x, y = work.pop()
-        xs, ys = elements(x), elements(y)
-        for i, j in align(xs, ys, size):
-            out[id(xs[i])] = ys[j]
-            work.append((xs[i], ys[j]))
-    return out
+        x = work.pop()
+        order.append(x)
+        work.extend(elements(x))
+    for x in reversed(order):
+        x.shape = shapes.number(label(x), tuple(y.shape for y in elements(x)))
+        parts, words, links = [], 0, 0
+        if x.tag not in ("script", "style", "noscript", "template"):
+            for y in x.children:
+                if isinstance(y, str):
+                    t = _SPACE.sub(" ", y).strip()
+                    if t:
+                        parts.append(t)
+                        words += t.count(" ") + 1
+                elif y.hash:
+                    parts.append(str(y.hash))
+                    words, links = words + y.words, links + y.links
+        x.hash = (xxhash.xxh32_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass")) or 1) if parts else 0
+        x.words, x.links = words, words if x.tag == "a" else links
+    return root
 
 
-def induce(pages: list[str]) -> dict | None:
-    """A wrapper: the content root's path of (tag, place among equal tags), and texts of nodes below it that are template."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < 2:
-        return None
-    first, rest = trees[0], [tree_match(trees[0], t) for t in trees[1:]]
-    constant: dict[int, bool] = {}
-    varying: dict[int, int] = {}
-    order: list[tuple[Node, tuple]] = []
-    work: list[tuple[Node, tuple, bool]] = [(first, (), False)]
-    while work:
-        node, path, dropped = work.pop()
-        order.append((node, path))
-        dropped = dropped or boilerplate(node)
-        text = inner(node)
-        partners = [r.get(id(node)) for r in rest]
-        constant[id(node)] = bool(text) and all(p is not None and inner(p) == text for p in partners)
-        own = "".join(x for x in node.children if isinstance(x, str)).strip()
-        varying[id(node)] = 0 if dropped or constant[id(node)] else len(own.split())
-        seen: dict[str, int] = {}
-        for x in elements(node):
-            k = seen.get(x.tag, 0)
-            seen[x.tag] = k + 1
-            work.append((x, (*path, (x.tag, k)), dropped))
-    total: dict[int, int] = {}
-    for node, _ in reversed(order):
-        total[id(node)] = varying[id(node)] + sum(total[id(x)] for x in elements(node))
-    every, root = total[id(first)], first
-    if not every:
-        return None
-    while True:  # the smallest subtree that holds nearly all content
-        down = [x for x in elements(root) if total[id(x)] >= 0.9 * every]
-        if not down or root.tag in ("article", "main"):
-            break
-        root = down[0]
-    path = next(p for n, p in order if n is root)
-    fixed = sorted({inner(n) for n, p in order if p[: len(path)] == path and n is not root and constant[id(n)] and n.tag in _BLOCK})
-    return {"path": [list(x) for x in path], "fixed": fixed[:200]}
-
-
-def follow(root: Node, path: list) -> Node | None:
-    """The node at a wrapper's path; a step whose place is missing takes the last of its tag."""
-    for tag, k in path:
-        there = [x for x in elements(root) if x.tag == tag]
-        if not there:
-            return None
-        root = there[min(k, len(there) - 1)]
-    return root
+class Skeleton:
+    """A wrapper's tree without its text: nodes by number, in document order."""
+
+    def __init__(self, rows: list[list], shapes: Shapes):
+        self.rows = rows  # tag, class, number of the parent
+        self.below: list[list[int]] = [[] for _ in rows]
+        for i, (_, _, parent) in enumerate(rows):
+            if parent >= 0:
+                self.below[parent].append(i)
+        self.shape = [0] * len(rows)
+        for i in range(len(rows) - 1, -1, -1):
+            self.shape[i] = shapes.number((rows[i][0], rows[i][1]), tuple(self.shape[j] for j in self.below[i]))
+
+    def matched(self, root: Node, shapes: Shapes) -> list[tuple[int, Node]]:
+        """Simple tree matching: the wrapper's nodes and their partners in a page."""
+        out, work = [], [(0, root)]
+        while work:
+            i, node = work.pop()
+            out.append((i, node))
+            under = elements(node)
+            below = self.below[i]
+            work.extend((below[p], under[q]) for p, q in shapes.align(tuple(self.shape[j] for j in below), tuple(y.shape for y in under)))
+        return out
 
 
-def densest(root: Node) -> Node:
-    """The page's own article or main, else the smallest subtree with most of its non-boilerplate words."""
-    work = [root]
+def skeleton(root: Node) -> list[list]:
+    rows: list[list] = []
+    work: list[tuple[Node, int]] = [(root, -1)]
     while work:
-        x = work.pop(0)
-        if x.tag in ("article", "main") and not boilerplate(x):
-            return x
-        work.extend(y for y in elements(x) if not boilerplate(y))
-    every = sum(len(b.split()) for b in blocks(root))
-    while True:
-        down = [x for x in elements(root) if not boilerplate(x) and sum(len(b.split()) for b in blocks(x)) >= 0.9 * every > 0]
-        if not down:
-            return root
-        root = down[0]
+        x, parent = work.pop()
+        rows.append([*label(x), parent])
+        work.extend((y, len(rows) - 1) for y in reversed(elements(x)))
+    return rows
+
+
+class Statistics:
+    """Sums over a cluster's pages for each node of its wrapper."""
+
+    def __init__(self, rows: list[list]):
+        self.n, self.words, self.links = (np.zeros(len(rows), dtype=np.int64) for _ in range(3))
+        self.bits = np.zeros((len(rows), 32), dtype=np.int64)
+
+    def add(self, pairs: list[tuple[int, Node]]) -> None:
+        held = [(i, x) for i, x in pairs if x.hash]
+        at = np.array([i for i, _ in held], dtype=np.int64)
+        h = np.array([x.hash for _, x in held], dtype=np.int64)
+        self.n[at] += 1
+        self.words[at] += [x.words for _, x in held]
+        self.links[at] += [x.links for _, x in held]
+        self.bits[at] += h[:, None] >> np.arange(32) & 1
+
+
+def wrapper_of(rows: list[list], n: np.ndarray, words: np.ndarray, links: np.ndarray, bits: np.ndarray) -> dict:
+    """The tree; the texts (as hashes) that are template; and the slots of links. A text that holds in a share ``p`` of the pages sets
+    each of its bits in ``(1 + p) / 2`` of them, as the others' bits are even."""
+    many = np.maximum(n, 1)
+    share = 2 * (np.maximum(bits, many[:, None] - bits) / many[:, None]).mean(axis=1) - 1
+    fixed = (n >= LEAST_PAGES) & (share >= CONSTANT)
+    text = ((bits * 2 > many[:, None]) << np.arange(32)).sum(axis=1)
+    linked = (n >= LEAST_PAGES) & ~fixed & (links >= LINKS * words) & (words > 0) & np.array([r[0] in _BLOCK for r in rows])
+    return {"tree": rows, "fixed": sorted({int(t) for t in text[fixed]}), "links": np.flatnonzero(linked).tolist()}
+
+
+def content(tree: Node) -> list[Node]:
+    """The page's main elements, else its outermost articles, else the whole page."""
+    for tag in ("main", "article"):
+        found, work = [], [tree]
+        while work:
+            x = work.pop()
+            if x.tag == tag and not boilerplate(x):
+                found.append(x)
+            else:
+                work.extend(y for y in reversed(elements(x)) if x.tag == "#root" or not boilerplate(x))
+        if found:
+            return found
+    return [tree]
+
+
+class Extractor:
+    """Extracts pages; remembers shapes and wrappers within bounds."""
+
+    def __init__(self):
+        self.shapes = Shapes()
+        self.held: dict[str, tuple[Skeleton, frozenset, frozenset]] = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # a page may nest as deep as it is long
+
+    def bounded(self) -> None:
+        if len(self.shapes.parts) > SHAPES or len(self.shapes.sizes) > SHAPES or len(self.held) > CLUSTERS:
+            self.__init__()
+
+    def wrapper(self, told: str) -> tuple[Skeleton, frozenset, frozenset]:
+        if told not in self.held:
+            w = json.loads(told)
+            self.held[told] = Skeleton(w["tree"], self.shapes), frozenset(w.get("fixed", ())), frozenset(w.get("links", ()))
+        return self.held[told]
+
+    def text(self, page: str, told: str | None) -> str:
+        self.bounded()
+        tree = parse(page)
+        gone: set[int] = set()
+        fixed: frozenset = frozenset()
+        if told is not None:
+            of, fixed, links = self.wrapper(told)
+            measured(tree, self.shapes)
+            if links:
+                gone = {id(x) for i, x in of.matched(tree, self.shapes) if i in links and x.links >= LINKS * x.words}
+        skip = lambda x: id(x) in gone or x.hash in fixed and x.tag in _BLOCK
+        return "\n".join(b for x in content(tree) for b in blocks(x, skip))
 
 
 def extract(page: str, wrapper: dict | None) -> str:
-    tree = parse(page)
-    root, fixed = None, frozenset()
-    if wrapper:
-        root = follow(tree, wrapper["path"])
-        if root is not None and (boilerplate(root) or not blocks(root)):
-            root = None
-        fixed = frozenset(wrapper["fixed"])
-    if root is None:
-        root = densest(tree)
-    skip = (lambda x: x.tag in _BLOCK and x is not root and inner(x) in fixed) if fixed else (lambda x: False)
-    return "\n".join(blocks(root, skip))
-
-
-def host(url: str = "url"):
-    return F.lower(F.coalesce(F.regexp_extract(url, "^[^:]*://([^/?#]*)", 1), F.lit("")))
+    return Extractor().text(page, json.dumps(wrapper) if wrapper else None)
 
 
-def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``host, wrapper`` (JSON) from ``SAMPLE`` pages of each host."""
-    draws = [F.xxhash64("page_id", F.lit(SEED + i)) for i in range(SAMPLE)]
-    picks = pages.groupBy("host").agg(*(F.min_by("page_id", d).alias(f"p{i}") for i, d in enumerate(draws)))
-    picks = scratch.save(picks.select("host", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(SAMPLE))))).alias("page_id")).where("page_id is not null"), "picks")
-    some = pages.join(small(picks, 80), ["host", "page_id"]).dropDuplicates(["host", "page_id"])
+def induce(pages: list[str]) -> dict | None:
+    """The wrapper of a few pages of one cluster; None for fewer than ``LEAST_PAGES`` different ones."""
+    pages = sorted(set(pages))
+    if len(pages) < LEAST_PAGES:
+        return None
+    made = Extractor()
+    rows = skeleton(parse(pages[0]))
+    of, told = Skeleton(rows, made.shapes), Statistics(rows)
+    for p in pages:
+        told.add(of.matched(measured(parse(p), made.shapes), made.shapes))
+    return wrapper_of(rows, told.n, told.words, told.links, told.bits)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.sort_by("page_id").to_pylist()
-        made = induce([r["html"] or "" for r in rows])
-        return pa.table({"host": pa.array([r["host"] for r in rows[:1]], pa.string()), "wrapper": pa.array([json.dumps(made)] if rows else [], pa.string())})
 
-    return scratch.save(some.select("host", "page_id", "html").groupBy("host").applyInArrow(run, "host string, wrapper string"), "wrappers")
+def host(url: str = "url") -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, "^[^:]*://([^/?#]*)", 1), F.lit("")))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def layout(html: str = "html") -> Column:
+    """A digest of the set of a page's container tags and of their classes, without digits."""
+    tags = "div|section|article|main|nav|header|footer|aside|form"
+    of = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))
+    classes = F.regexp_replace(F.array_join(of(f"(?i)<(?:{tags})\\s[^>]*?class\\s*=\\s*[\"']?([^\"'>]*)"), "|"), "[0-9]+", "")
+    return F.md5(F.lower(F.concat(F.array_join(of(f"(?i)<({tags})[\\s/>]"), "|"), F.lit("||"), classes)))
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees = [json.dumps({"tree": skeleton(parse(x.as_py()))}) for x in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(trees, pa.string())], ["host", "layout", "tree"])
+
+
+_BITS = [f"b{i}" for i in range(32)]
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics of the pages of a task, a row for each cluster and node."""
+    held: dict[tuple, Statistics] = {}
+    one = Extractor()
+
+    def told() -> pa.RecordBatch:
+        cols: list[list] = [[], [], []]
+        for (h, l), s in held.items():
+            some = np.flatnonzero(s.n)
+            cols[0] += [h] * len(some)
+            cols[1] += [l] * len(some)
+            cols[2].append(np.column_stack([some, s.n[some], s.words[some], s.links[some], s.bits[some]]))
+        values = np.concatenate(cols[2]) if cols[2] else np.zeros((0, 36), dtype=np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(36))], ["host", "layout", "node", "n", "words", "links", *_BITS])
+
+    for batch in batches:
+        for h, l, tree, page in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "tree")), batch.column("html"), strict=True):
+            one.bounded()
+            of = one.wrapper(tree)[0]
+            if (h, l) not in held:
+                held[h, l] = Statistics(of.rows)
+            held[h, l].add(of.matched(measured(parse(page.as_py()), one.shapes), one.shapes))
+        if len(held) > CLUSTERS:
+            yield told()
+    yield told()
+
+
+def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for tree, nodes in zip(batch.column("tree").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+            rows = json.loads(tree)["tree"]
+            s = Statistics(rows)
+            for x in nodes:
+                s.n[x["node"]], s.words[x["node"]], s.links[x["node"]], s.bits[x["node"]] = x["n"], x["words"], x["links"], x["bits"]
+            made.append(json.dumps(wrapper_of(rows, s.n, s.words, s.links, s.bits)))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(made, pa.string())], ["host", "layout", "wrapper"])
+
+
+def met(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages`` with what ``found(host, layout, ...)`` has for their cluster: broadcast, or joined by host, layout and salt."""
+    light = small(found)
+    if light is not found:
+        return pages.join(light, ["host", "layout"], "left")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "h"), F.lit(SALTS)).cast("int")).join(salted, ["host", "layout", "salt"], "left")
+
+
+def wrappers(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``pages(page_id, host, layout, h, html)`` with each page's own cluster, and ``host, layout, wrapper`` (JSON) of every cluster."""
+    distinct = scratch.save(pages.groupBy("host", "layout", "h").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first")), "pages")
+    sizes = distinct.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("ref")).where(F.col("n") >= LEAST_PAGES)
+    sizes = scratch.save(sizes, "clusters")
+    mains = sizes.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("main"))
+    known = sizes.select("host", "layout", F.lit(True).alias("own"))
+    pages = pages.join(small(known), ["host", "layout"], "left").join(small(mains), "host", "left")
+    pages = pages.withColumn("layout", F.when(F.col("own"), F.col("layout")).otherwise(F.coalesce("main", "layout"))).drop("main")
+    refs = sizes.select("host", "layout", F.col("ref").alias("h"))
+    chosen = pages.where("own").join(small(refs), ["host", "layout", "h"], "left_semi").dropDuplicates(["host", "layout"])
+    trees = scratch.save(chosen.select("host", "layout", "html").mapInArrow(_skeletons, "host string, layout string, tree string"), "trees")
+    copied = scratch.save(distinct.where("copies > 1").select("host", "layout", "h", "first"), "copied")
+    once = pages.where("own").join(small(copied), ["host", "layout", "h"], "left").where("first is null or first = page_id").drop("first")
+    sums = met(once.select("page_id", "host", "layout", "h", "html"), trees).where("tree is not null").select("host", "layout", "tree", "html")
+    sums = sums.mapInArrow(_sums, "host string, layout string, node long, n long, words long, links long, " + ", ".join(f"{b} long" for b in _BITS))
+    sums = sums.groupBy("host", "layout", "node").agg(*(F.sum(c).alias(c) for c in ("n", "words", "links", *_BITS)))
+    nodes = sums.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "n", "words", "links", F.array(*_BITS).alias("bits"))).alias("nodes"))  # one page's nodes
+    made = nodes.join(trees, ["host", "layout"]).mapInArrow(_wrappers, "host string, layout string, wrapper string")
+    return pages.drop("own"), scratch.save(made, "wrappers")
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     spark = pages.sparkSession
-    bounded_batches(spark, 500)
+    bounded_batches(spark)
     scratch = Scratch(spark, "html")
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    found = wrappers(named, scratch)
-    light = small(found, 8192)
-    if light is found:  # too many hosts to broadcast: a host's wrapper goes to each of its salts
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    else:
-        met = named.join(light, "host", "left")
+    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    named = named.withColumns({"host": host(), "layout": layout(), "h": F.xxhash64("html")})
+    placed, found = wrappers(named, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict | None] = {}
+        one = Extractor()
         for batch in batches:
-            texts = []
-            for page, w in zip(batch.column("html"), batch.column("wrapper").to_pylist(), strict=True):
-                if w is not None and w not in held:
-                    if len(held) > 1000:
-                        held.clear()
-                    held[w] = json.loads(w)
-                texts.append(extract(page.as_py() or "", held.get(w)))
+            texts = [one.text(page.as_py(), w) for page, w in zip(batch.column("html"), batch.column("wrapper").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met(placed, found).select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -12,7 +12,7 @@ a hash of the id. Prediction covers every whole text, row by row, without a shuf
 
 Cases: null text or one without a letter is ``und`` with score 0; rows with null language or id aren't learned from;
 without any labelled row all are ``und``; ties go to the language first in code point order; an empty table gives an
-empty result; further columns are kept.
+empty result; repeated rows are told alike; further columns are kept, but for those named as a result's, which give way.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import _kernels as K
 from textloom.llm._store import bounded_batches
 
 ORDER, BITS = 4, 15
-PER_LANG, MOST_BYTES, MOST_LANGS, REJECT, SEED = 250, 65536, 200, 0.002, 11
+PER_LANG, MOST_BYTES, REJECT, SEED = 250, 65536, 0.002, 11
+RESULT = ("lang_pred", "score", "cross_entropy", "accepted")
 _UND = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -117,7 +119,7 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model | None:
-    names = sorted(set(langs))[:MOST_LANGS]
+    names = sorted(set(langs))
     if not names:
         return None
     fold = np.arange(len(texts)) % 5 == 4
@@ -182,7 +184,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 def trained(docs: DataFrame, learn: str = "pmod(crc32(cast(doc_id as string)), 4) <> 2") -> Model | None:
     """A model from a bounded sample of the rows for which ``learn`` holds."""
     known = docs.where(learn).where("text is not null and lang is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, PER_LANG / n))))
@@ -199,7 +201,8 @@ def hash_of(i: int) -> int:
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: the posterior, over at most 40 symbols' evidence), ``cross_entropy``, ``accepted``."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT))
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by the training sample's
     at = docs.columns.index(text_col)
 
@@ -223,7 +226,5 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
                 ok += [bool(k and x <= m.most[b]) for x, k, b in zip(low, n, best, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(ok, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "cross_entropy", "accepted"])
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.5).cast("double").alias("score"), F.lit(0.5).cast("double").alias("cross_entropy"), F.lit(True).alias("accepted")).schema
-    for name in ("lang_pred", "score", "cross_entropy", "accepted"):
-        schema[name].nullable = True
-    return docs.mapInArrow(run, schema)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULT, kinds, strict=True))]))

@@ -9,23 +9,28 @@ the rest to a prefix of the seeded order that ends nearest to the quota (ids, no
 The order is the MD5 of seed and id. Its prefix sums are taken in two steps, over ``BUCKETS`` hash ranges of each pattern
 and then inside the one range where the quota ends, so that no task sorts a whole source.
 
-Cases: null text has size 0; a null source is a source of its own, last; documents of equal id and size are interchangeable;
-an empty table gives an empty result; size-0 sources have target 0; further columns are kept by ``mixed`` and ignored here.
+Sources and patterns that share no document are solved apart, so that many sources of their own cost no more than their number.
+
+Cases: null text has size 0; a null source is a source of its own, last; documents of equal id and size are interchangeable, and
+rows of equal ids share their place in the order; an empty table gives an empty result; size-0 sources have target 0; source
+names may hold any character; further columns are kept, but for those with the name of a result's column, which give way to it.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._store import Scratch
+from textloom.llm._store import Scratch, small
 
 SEED, SHARE, REPEATS, WEIGHTS = 17, 1.5, 2, (3, 1, 2)
 #: Hash ranges of a pattern: the first hex digits of the order key.
 DIGITS = 4
+RESULT = ("size", "pattern", "source_size", "target", "taken", "repeats_taken")
 #: Most membership patterns of the flow; they are sets of sources, so they don't grow with the documents.
 MAX_PATTERNS = 200_000
 
@@ -102,6 +107,25 @@ def min_cost_flow(patterns: dict[tuple, float], wanted: dict, repeats: int) -> d
     return {(p, s): sum(graph[b][r][1] for b, _, _, r in (x for x in graph[nodes["p", p]] if x[0] == nodes["s", s])) for p in patterns for s in p}
 
 
+def separate(patterns: list[tuple]) -> list[list[tuple]]:
+    """The patterns in groups that share no source."""
+    top: dict = {}
+
+    def find(s):
+        while top.setdefault(s, s) != s:
+            top[s] = top[top[s]]
+            s = top[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            top[find(s)] = find(p[0])
+    groups: dict = {}
+    for p in patterns:
+        groups.setdefault(find(p[0]) if p else (), []).append(p)
+    return list(groups.values())
+
+
 def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """``docs`` with ``size, pattern, source_size, target, taken, repeats_taken``.
 
@@ -109,44 +133,47 @@ def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     repeating. ``source_size`` and ``target`` are sums over the document's sources.
     """
     spark = docs.sparkSession
-    named = F.transform(F.array_distinct(sources), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))  # "~": null, after every "=..."
+    scratch = Scratch(spark, "mix")
+    pattern = F.to_json(F.array_sort(F.array_distinct(sources)))  # nulls last
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select("*", n_words(text_col).alias("_size"), F.array_join(F.sort_array(named), "\x01").alias("_pattern"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, DIGITS))
-    ranged = Scratch(spark, "mix").save(rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_sum")), "ranged")
-    patterns = [(r[0], int(r[1])) for r in ranged.groupBy("_pattern").agg(F.sum("_sum")).limit(MAX_PATTERNS + 1).collect()]
-    if len(patterns) > MAX_PATTERNS:
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), n_words(text_col).alias("_size"), F.coalesce(pattern, F.lit("[]")).alias("_pattern"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, DIGITS))
+    ranged = scratch.save(rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_sum")), "ranged")
+    told = [(r[0], int(r[1])) for r in ranged.groupBy("_pattern").agg(F.sum("_sum")).limit(MAX_PATTERNS + 1).collect()]
+    if len(told) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    split = lambda p: tuple(p.split("\x01")) if p else ()
-    sizes: dict[str, int] = {}
-    for p, n in patterns:
-        for s in split(p):
+    patterns = sorted((p, tuple(json.loads(p)), n) for p, n in told)
+    sizes: dict[str | None, int] = {}
+    for _, names, n in patterns:
+        for s in names:
             sizes[s] = sizes.get(s, 0) + n
-    order = sorted(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weigh = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total = sum(n for _, n in patterns)
+    total = sum(n for _, _, n in patterns)
     target = targets(sizes, weigh, share * total, repeats) if sizes else {}
-    flow = min_cost_flow({split(p): n for p, n in sorted(patterns)}, target, repeats)
+    held, flow = {names: n for _, names, n in patterns}, {}
+    for group in separate(sorted(held, key=repr)):
+        flow |= min_cost_flow({p: held[p] for p in group}, {s: target[s] for s in {s for p in group for s in p}}, repeats)
     plan = []
-    for p, n in sorted(patterns):
-        quota = sum(flow.get((split(p), s), 0.0) for s in split(p))
-        quota = min(quota, float(repeats * n))
+    for p, names, n in patterns:
+        quota = min(sum(flow.get((names, s), 0.0) for s in names), float(repeats * n))
         base = min(repeats, int(quota // n)) if n else 0
-        plan.append((p, base, quota - base * n, sum(sizes[s] for s in split(p)), float(sum(target[s] for s in split(p)))))
+        plan.append((p, base, quota - base * n, sum(sizes[s] for s in names), float(sum(target[s] for s in names))))
     quotas = spark.createDataFrame(plan, "_pattern string, _base int, _rest double, source_size long, target double")
-    quotas = F.broadcast(quotas)  # at most MAX_PATTERNS rows
+    quotas = small(quotas)
     before = Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ends = ranged.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(quotas.select("_pattern", "_rest"), "_pattern")
     ends = ends.where("_before < _rest").groupBy("_pattern", "_rest").agg(F.max("_range").alias("_end"), F.max_by("_before", "_range").alias("_before"))
     # Inside the range where the quota ends the ids are summed one by one: a 16**DIGITS-th of a pattern.
-    ends = F.broadcast(ends)  # a row for each pattern
+    ends = small(scratch.save(ends, "ends"))
     inside = rows.join(ends, "_pattern").where("_range = _end").groupBy("_pattern", "_key", "_before", "_rest").agg(F.sum("_size").alias("_sum"))
     upto = Window.partitionBy("_pattern").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     last = inside.where(F.col("_upto") + F.col("_sum") / 2 <= F.col("_rest")).groupBy("_pattern").agg(F.max("_key").alias("_last"))
-    out = rows.join(quotas, "_pattern").join(ends.select("_pattern", "_end"), "_pattern", "left").join(F.broadcast(last), "_pattern", "left")
+    out = rows.join(quotas, "_pattern").join(ends.select("_pattern", "_end"), "_pattern", "left").join(small(scratch.save(last, "last")), "_pattern", "left")
     once = F.coalesce((F.col("_range") < F.col("_end")) | (F.col("_key") <= F.col("_last")), F.lit(False))
     times = F.least(F.col("_base") + once.cast("int"), F.lit(repeats))
-    return out.select(*docs.columns, F.col("_size").alias("size"), F.col("_pattern").alias("pattern"), "source_size", "target", (F.col("_size") * times).alias("taken"), times.alias("repeats_taken"))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in RESULT]
+    return out.select(*own, F.col("_size").alias("size"), F.from_json("_pattern", "array<string>").alias("pattern"), "source_size", "target", (F.col("_size") * times).alias("taken"), times.alias("repeats_taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:

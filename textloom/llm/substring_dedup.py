@@ -9,14 +9,14 @@ cluster keeps its first occurrence (by doc_id, then place); the others are remov
 A passage that repeats inside differing paragraphs, or across their ends, is found on the document's whole word stream by
 winnowing: of every ``WINDOW`` runs of ``RUN`` words the one of least hash is an anchor, which depends on nothing but these words. So
 each passage of ``RUN + WINDOW - 1`` words (50) that occurs again has an equal anchor in both places, whatever surrounds it.
-Anchors are joined by hash with their first occurrence outside removed paragraphs, those of one displacement are joined to
-runs, and each run is extended word by word at both ends as far as the two texts agree. (Beyond the last anchor no more than
-``WINDOW - 1`` words can agree; that many of the kept text's words go to the run.) Runs of ``PASSAGE_WORDS`` words or more are
-removals, whole.
+Anchors are joined by hash with their first occurrence outside removed paragraphs, those that touch or overlap make a run, and
+each run is extended word by word at both ends as far as it and the kept text of its first, or last, anchor agree. (Beyond an
+anchor no more than ``WINDOW - 1`` words can agree without another; that many of the kept text's words go to the run.) Runs of
+``PASSAGE_WORDS`` words or more are removals, whole.
 
 A row is known by its id and a hash of its text. Cases: null and empty texts, and shorter paragraphs, have no removals; rows with
 a null id are ignored by the search and kept by the filter; rows of a repeated id are judged each by its own text, and equal
-rows as one; where a text repeats itself without a gap, what overlaps the kept place stays; of equal places the first is
+rows as one; where a text repeats itself without a gap, an anchor that overlaps its own kept place stays; of equal places the first is
 kept; an empty table gives an empty result; further columns, whatever their names, are kept by the filter.
 """
 
@@ -155,27 +155,30 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined_runs(anchors: list[dict]) -> list[list[int]]:
-    """``[a, b, kdoc, kth, ka]``: anchors of one document that touch or overlap, alike displaced from one kept text, as one run."""
-    open_: dict[tuple, list[int]] = {}
-    out = []
-    for p in sorted(anchors, key=lambda p: p["word"]):
-        key = (p["kdoc"], p["kth"], p["word"] - p["kword"])
-        now = open_.get(key)
-        if now is not None and p["word"] <= now[1]:
-            now[1] = p["word"] + RUN
+    """``[a, b, ldoc, lth, la, rdoc, rth, rb]``: anchors of one document that touch or overlap as one run of words, with the kept texts, and the
+    places in them, of its first anchor's start and its last one's end."""
+    out: list[list[int]] = []
+    for p in sorted(anchors, key=lambda p: (p["word"], p["kdoc"], p["kth"], p["kword"])):
+        end = [p["kdoc"], p["kth"], p["kword"] + RUN]
+        if out and p["word"] <= out[-1][1]:
+            out[-1][1], out[-1][5:] = p["word"] + RUN, end
         else:
-            open_[key] = [p["word"], p["word"] + RUN, p["kdoc"], p["kth"], p["kword"]]
-            out.append(open_[key])
+            out.append([p["word"], p["word"] + RUN, p["kdoc"], p["kth"], p["kword"], *end])
     return out
 
 
+RUNS = "doc_id long, th long, a int, b int, ldoc long, lth long, la int, rdoc long, rth long, rb int"
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = []
         for doc, th, anchors in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "anchors")), strict=True):
-            out += [[doc, th, *r, r[4] + r[1] - r[0]] for r in joined_runs(anchors)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "a", "b", "kdoc", "kth", "ka", "kb"])
+            own = [p for p in anchors if (p["kdoc"], p["kth"]) != (doc, th) or p["kword"] + RUN <= p["word"]]  # not what overlaps its own kept place
+            out += [[doc, th, *r] for r in joined_runs(own)]
+        names = [x.split() for x in RUNS.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> int:
@@ -185,8 +188,19 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans ``[a, b, ...]`` of one text that touch or overlap as one, with what else the first of them has."""
+    out: list[list[int]] = []
+    for s in sorted(spans):
+        if out and s[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s[1])
+        else:
+            out.append(list(s))
+    return out
+
+
 def _extended(least: int):
-    """Each run as far as its text and the kept one agree; those of enough words."""
+    """Each run as far as its text and the kept ones agree; those of enough words, overlapping ones as one span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,17 +208,16 @@ def _extended(least: int):
             for doc, th, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
                 words, starts, ends = words_of(text.as_py())
                 h = words.view(np.int64)
+                spans: list[list[int]] = []
                 for r in runs:
                     a, b = r["a"], r["b"]
                     left = agreeing(h[max(0, a - WINDOW) : a][::-1], np.frombuffer(r["before"], dtype=np.int64))
-                    a, b, ka = a - left, b + agreeing(h[b : b + WINDOW], np.frombuffer(r["after"], dtype=np.int64)), r["ka"] - left
-                    if b - a < least:
-                        continue
-                    if (r["kdoc"], r["kth"]) == (doc, th):  # what overlaps the kept place stays
-                        a = max(a, ka + b - a)
-                        if b - a < least:
-                            continue
-                    out.append((doc, th, int(starts[a]), int(ends[b - 1]), b - a, r["kdoc"], int(np.frombuffer(r["bytes"], dtype=np.int64)[left])))
+                    if (r["ldoc"], r["lth"]) == (doc, th):
+                        left = min(left, a - r["la"] - RUN)
+                    a, b = a - left, b + agreeing(h[b : b + WINDOW], np.frombuffer(r["after"], dtype=np.int64))
+                    if b - a >= least:
+                        spans.append([a, b, r["ldoc"], int(np.frombuffer(r["bytes"], dtype=np.int64)[left])])
+                out += [(doc, th, int(starts[a]), int(ends[b - 1]), b - a, kept, at) for a, b, kept, at in merged(spans)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "start", "end", "n_words", "kept_doc_id", "kept_start"])
 
@@ -281,14 +294,15 @@ def _passages(units: DataFrame, gone: DataFrame, with_texts, scratch: Scratch) -
     later = free.join(small(first), "hash").where("struct(doc_id, word, th) <> kept")
     anchor = F.struct("word", F.col("kept.doc_id").alias("kdoc"), F.col("kept.th").alias("kth"), F.col("kept.word").alias("kword"))
     later = later.groupBy("doc_id", "th").agg(F.collect_set(anchor).alias("anchors"))  # a document's own anchors
-    runs = scratch.save(later.mapInArrow(_joined, "doc_id long, th long, a int, b int, kdoc long, kth long, ka int, kb int"), "runs")
+    runs = scratch.save(later.mapInArrow(_joined, RUNS), "runs")
     scratch.drop("again", "some", "lost", "free", "firsts")
-    places = runs.select(F.col("kdoc").alias("doc_id"), F.col("kth").alias("th"), F.explode(F.array("ka", "kb")).alias("at"))
-    spots = places.groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))  # at most a text's words
+    places = F.array(*(F.struct(F.col(f"{x}doc").alias("doc_id"), F.col(f"{x}th").alias("th"), F.col(at).alias("at")) for x, at in (("l", "la"), ("r", "rb"))))
+    spots = runs.select(F.explode(places).alias("p")).select("p.*").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))  # at most a text's words
     around = scratch.save(with_texts(spots, "places").select("doc_id", "th", "text", "spots").mapInArrow(_contexts, "kdoc long, kth long, at int, before binary, bytes binary, after binary").dropDuplicates(["kdoc", "kth", "at"]), "around")
-    left, right = around.select("kdoc", "kth", F.col("at").alias("ka"), "before", "bytes"), around.select("kdoc", "kth", F.col("at").alias("kb"), "after")
-    met = scratch.save(runs.join(small(left), ["kdoc", "kth", "ka"]).join(small(right), ["kdoc", "kth", "kb"]), "met-runs")
-    wanted = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "kdoc", "kth", "ka", "before", "bytes", "after")).alias("runs"))
+    left = around.select(F.col("kdoc").alias("ldoc"), F.col("kth").alias("lth"), F.col("at").alias("la"), "before", "bytes")
+    right = around.select(F.col("kdoc").alias("rdoc"), F.col("kth").alias("rth"), F.col("at").alias("rb"), "after")
+    met = scratch.save(runs.join(small(left), ["ldoc", "lth", "la"]).join(small(right), ["rdoc", "rth", "rb"]), "met-runs")
+    wanted = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "ldoc", "lth", "la", "before", "bytes", "after")).alias("runs"))
     out = with_texts(wanted, "wanted-runs").select("doc_id", "th", "text", "runs")
     return out.mapInArrow(_extended(PASSAGE_WORDS), "doc_id long, th long, start int, end int, n_words int, kept_doc_id long, kept_start int")
 

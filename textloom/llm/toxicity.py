@@ -13,7 +13,8 @@ The fit takes a bounded sample of labelled rows: at most ``MOST_TOXIC`` and ``MO
 first in a seeded order of ids. Scoring covers every whole text, row by row, without a shuffle.
 
 Cases: null or empty text, or one without words, is scored as one word of padding; null labels and null ids aren't
-learned from; without labels of both kinds the score is 0 for all; repeated rows score alike; further columns are kept.
+learned from; without labels of both kinds the score is 0 for all; repeated rows score alike; further columns are kept,
+but for those named as a result's, which give way (in the filter all are kept).
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import _kernels as K
-from textloom.llm._store import bounded_batches
+from textloom.llm._store import bounded_batches, fresh
 
 THRESHOLD = 0.3
-MOST_TOXIC, MOST_CLEAN, MOST_WORDS, MOST_LANGS = 1500, 2500, 5000, 64
+MOST_TOXIC, MOST_CLEAN, MOST_WORDS = 1500, 2500, 5000
 BITS, STEM, DIM, FILTERS, WIDTHS = 16, 4, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 5
 
@@ -104,11 +106,11 @@ class Model:
 def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
     rng, words = np.random.Generator(np.random.PCG64(SEED)), 1 << BITS
     fold = np.arange(len(docs)) % 4 == 3  # held back for the thresholds
-    names = sorted({x for x in langs if x is not None})[:MOST_LANGS] or [""]
+    names = sorted({x for x in langs if x is not None}) or [""]
     counts, by_lang = np.full((2, words), 0.5), np.full((words + 1, len(names)), 0.1)
     for d, y, lang, held in zip(docs, labels, langs, fold, strict=True):
         if not held:
-            counts[y][np.unique(d)] += 1
+            counts[y][np.unique(d[d < words])] += 1  # not the padding of empty texts
         if lang in names:
             np.add.at(by_lang[:, names.index(lang)], d[:, 0], 1)
     n = np.bincount(labels[~fold], minlength=2) + 1
@@ -215,13 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc32(cast(doc_id
     return train([np.frombuffer(r.ids, dtype=np.int32).reshape(-1, 2) for r in got], labels_, [r.lang for r in got])
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; a column of ``docs`` with one of these names gives way."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())))
     if model is None:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    shared = spark.sparkContext.broadcast(model)  # its size is fixed by BITS, DIM, FILTERS and MOST_LANGS
+        return docs.withColumns({score_col: F.lit(0.0), predicted_col: F.lit(0)})
+    shared = spark.sparkContext.broadcast(model)  # its size is fixed by BITS, DIM and FILTERS, and by the number of languages
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +233,14 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
         for batch in batches:
             parts = [m.scores(m.logits(ids, rows, tables), m.languages(ids, rows)) for ids, rows in word_ids(batch.column(at))]
             score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64)), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64)), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, score_col, predicted_col])
 
-    schema = docs.select("*", F.lit(0.5).cast("double").alias("score"), F.lit(0).alias("predicted")).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier, fitted on them and ``labels``, predicts to be toxic."""
-    return scored(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    score, predicted = fresh(docs.columns, "score", "predicted")
+    told = scored(docs, fit(docs, labels), "text", score, predicted)
+    return told.where(F.col(predicted) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
