@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, source mixing.
 
 Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes each one's result to the shared folder and reads it as the next one's
-documents. All but the last return the columns of ``documents``. An empty table, nulls in any column and repeated rows pass
-through as the stages' operators state.
+documents. All but the last return the columns of ``documents``; the last adds its own, to which columns of the same names give
+way. Cases: an empty table stays empty; a null or empty text is scored as clean, is no copy, repeats nothing and takes no words;
+a document with a null id stays through all stages but is no other's copy; of rows with the same id and text one stays; of
+equal documents and passages that of the smallest id stays.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their words and how many times they are taken."""
     told = source_mixing.mix(docs).where("repeats_taken > 0")
-    return told.select(*docs.columns, "size", "source_size", "target", "taken", "repeats_taken")
+    return told.drop("pattern")
 
 
 STAGES = [
