@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import regex
 
@@ -10,12 +11,16 @@ SEPARATORS = frozenset("_-./")
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _SPACE = regex.compile(r"\p{White_Space}")
 _GRAPHEME = regex.compile(r"\X")
+_SEPARATOR = regex.compile(r"[\p{White_Space}_\-./]")
+_KATAKANA = {i: i + 0x60 for i in range(0x3041, 0x3097)}
 
 
+@lru_cache(maxsize=1 << 16)
 def alphanumeric(c: str) -> bool:
     return bool(_WORD.match(c))
 
 
+@lru_cache(maxsize=1 << 16)
 def separator(c: str) -> bool:
     return c in SEPARATORS or bool(_SPACE.match(c))
 
@@ -33,11 +38,11 @@ def width(text: str) -> str:
 
 
 def kana(text: str) -> str:
-    return "".join(chr(ord(c) + 0x60) if "ぁ" <= c <= "ゖ" else c for c in width(text))
+    return width(text).translate(_KATAKANA)
 
 
 def loose(text: str) -> str:
-    return "".join(c for c in kana(text) if not separator(c))
+    return _SEPARATOR.sub("", kana(text))
 
 
 FORMS = {"raw": lambda t: t, "base": base, "width": width, "kana": kana, "loose": loose}

@@ -54,6 +54,7 @@ class Text:
     def __init__(self, text: str):
         self.text = text
         self._forms: dict[str, Folded] = {}
+        self._plain: dict[str, str] = {}
         self._tokens: list[tuple[str, int, int]] | None = None
 
     def form(self, name: str) -> Folded:
@@ -61,17 +62,27 @@ class Text:
             self._forms[name] = Folded(self.text, name)
         return self._forms[name]
 
+    def holds(self, form: str, needle: str) -> bool:
+        """Whether the form holds the needle, before the form's source ranges are made."""
+        if form not in self._plain:
+            self._plain[form] = forms.FORMS[form](self.text)
+        return needle in self._plain[form]
+
     def tokens(self) -> list[tuple[str, int, int]]:
         if self._tokens is None:
             self._tokens = forms.spans_of_tokens(self.text)
         return self._tokens
 
     def first(self, form: str, needle: str) -> tuple[int, int] | None:
+        if not self.holds(form, needle):
+            return None
         folded = self.form(form)
         return next((folded.range(at, len(needle)) for at in folded.places(needle)), None)
 
     def whole(self, form: str, needle: str) -> tuple[int, int] | None:
         """The first occurrence that no alphanumeric adjoins in the source."""
+        if not self.holds(form, needle):
+            return None
         folded, t = self.form(form), self.text
         for at in folded.places(needle):
             a, b = folded.range(at, len(needle))
