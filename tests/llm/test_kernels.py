@@ -13,6 +13,7 @@ from textloom.llm import language_id as L
 from textloom.llm import media_chunks as M
 from textloom.llm import source_mixing as S
 from textloom.llm import substring_dedup as D
+from textloom.llm import toxicity as X
 
 TEXT = st.text(alphabet="abAB \n\t\x0bé😀.", max_size=60)
 
@@ -282,3 +283,62 @@ def test_recipes():
 def test_touching_anchors_make_a_run():
     at = lambda w, d, k: {"word": w, "kdoc": d, "kth": 0, "kword": k}
     assert D.joined_runs([at(30, 2, 5), at(10, 1, 0), at(90, 1, 80)]) == [[10, 56, 1, 0, 0, 2, 0, 31], [90, 116, 1, 0, 80, 1, 0, 106]]
+
+
+def kneser_ney(texts, size):
+    """``p(gram)`` of lists of symbol numbers, by dictionaries: counts at the top, continuations below, one discount an order."""
+    counts = {L.ORDER: {}}
+    for ids in texts:
+        for i in range(len(ids)):
+            g = tuple([0] * (L.ORDER - 1) + list(ids))[i : i + L.ORDER]
+            counts[L.ORDER][g] = counts[L.ORDER].get(g, 0) + 1
+    for n in range(L.ORDER - 1, 0, -1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / size
+        c = counts[len(g)]
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return (max(c[g] - d, 0) if g in c else 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+    return p
+
+
+def test_language_models_against_dictionaries():
+    texts, langs = ["the cat sat on the mat", "le chat est sur la table", "a dog and a cat", "un chien et un chat", "the end"], ["en", "fr", "en", "fr", "en"]
+    m = L.fit(texts, langs)
+    fold = [i % 5 == 4 for i in range(len(texts))]
+    for k, lang in enumerate(m.langs):
+        own = [m.numbers(L.symbols([t])[0]).tolist() for t, y, f in zip(texts, langs, fold, strict=True) if y == lang and not f]
+        p = kneser_ney(own, len(m.vocab) + 1)
+        for probe in ("the chat", "zebra", "a"):
+            ids = m.numbers(L.symbols([probe])[0]).tolist()
+            want = -np.mean([np.log(p(tuple([0] * (L.ORDER - 1) + ids)[i : i + L.ORDER])) for i in range(len(ids))])
+            assert abs(m.entropies([probe])[0][0, k] - want) < 1e-3
+
+
+def test_toxicity_scores_against_loops():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, rng.integers(0, 30))) + (" vile" if k % 2 else "") for k in range(60)] + ["", None]
+    labels = np.array([k % 2 for k in range(60)] + [0, 1])
+    ids = [i[a : b - 1] for i, rows in X.word_ids(pa.array(texts, pa.string())) for a, b in rows]
+    m = X.train(ids, labels, ["en"] * 62)
+    got = np.concatenate([m.logits(i, rows, m.tables()) for i, rows in X.word_ids(pa.array(texts, pa.string()))])
+    pad = m.embed.shape[0] - 1
+    for d, z in zip(ids, got, strict=True):
+        every = np.concatenate([d, np.full((3, 2), pad)])
+        pooled, second = [], []
+        for f, w in enumerate(m.filters):
+            r = np.array([sum((m.embed[every[p + j, 0]] + m.embed[every[p + j, 1]]) @ w[j] for j in range(len(w))) for p in range(len(d) + 1)])
+            pooled.append(r.max(axis=0))
+            if f == 0:
+                second = np.sort(r, axis=0)[-2] if len(r) > 1 else np.full(r.shape[1], -np.inf)
+        want = np.maximum(np.concatenate([*pooled, second]) + m.shift, 0) @ m.out + m.bias
+        assert abs(want - z) < 1e-3

@@ -370,3 +370,60 @@ def test_pipeline_stages_on_odd_rows(spark, frame, tmp_path):
             df = spark.createDataFrame(df2.collect(), df.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() <= max(0, df.count())
         assert df.where("doc_id = 52").count() == 0
+
+
+def brute_ratio(urls):
+    """Scores of URLs and their cut, by dictionaries."""
+    import math
+
+    fits = lambda h, p, rule: (h == rule.split("/")[0] or h.endswith("." + rule.split("/")[0])) and p.startswith("/" + rule.partition("/")[2])
+    keys, counts = {}, {}
+    for url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        rest = rest.split("?")[0].split("#")[0]
+        host, slash, path = rest.partition("/")
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+        rule = max(((len(r), r, v) for v, r in url_filter.RULES if fits(host, path, r)), default=None)
+        key = "".join("0" if c in "0123456789" else c if c in "abcdefghijklmnopqrstuvwxyz/._~%-" else "?" for c in "".join(c.lower() if "A" <= c <= "Z" else c for c in host + path))
+        keys[url] = key
+        at = counts.setdefault(key, [0, 0])
+        if rule:
+            at[rule[2] == "block"] += 1
+    held = {k: hashlib.md5(k.encode()).hexdigest()[0] in "012" for k in counts}
+    runs = lambda k: [("^" * 3 + k + "$")[i : i + 4] for i in range(len(k) + 1)]
+    levels = {n: {} for n in range(1, 5)}
+    for k, (a, r) in counts.items():
+        for g in runs(k):
+            for n in range(1, 5):
+                at = levels[n].setdefault(g[-n:], [0, 0])
+                if not held[k]:
+                    at[0] += a
+                    at[1] += r
+    after = {n: {} for n in range(1, 5)}
+    for n, level in levels.items():
+        for g, (a, r) in level.items():
+            t = after[n].setdefault(g[:-1], [0, 0, 0, 0])
+            for i, x in enumerate((a, r)):
+                t[i] += x
+                t[2 + i] += x > 0
+
+    def p(g, i):
+        if not g:
+            return 1 / url_filter.SYMBOLS
+        t = after[len(g)][g[:-1]]
+        return (levels[len(g)][g][i] + t[2 + i] * p(g[1:], i)) / (t[i] + t[2 + i]) if t[i] else p(g[1:], i)
+
+    micro = {g: math.floor(abs(x := (math.log(p(g, 0)) - math.log(p(g, 1))) * 1e6) + 0.5) * (1 if x > 0 else -1) for g in levels[4]}
+    score = {k: sum(micro[g] for g in runs(k)) // (len(runs(k)) * url_filter.CELL) for k in counts}
+    cells = sorted({score[k] for k in counts if held[k] and any(counts[k])})
+    total = lambda i, ok: sum(counts[k][i] for k in counts if held[k] and ok(score[k]))
+    best = max(((total(0, lambda x, s=s: x >= s) * total(1, lambda x: True) + total(1, lambda x, s=s: x < s) * total(0, lambda x: True), -abs(at), -at) for j, s in enumerate(cells) for at in [math.ceil((s + cells[max(j - 1, 0)]) / 2)]), default=(0, 0, 0))
+    return {u: score[k] for u, k in keys.items()}, -best[2]
+
+
+def test_url_ratio_against_dictionaries(spark):
+    got = QUERIES["op1_url_ratio_filter"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url"), "page_id").collect()
+    scores, cut = brute_ratio([r.url for r in got])
+    assert {r["cut"] for r in got} == {cut}
+    assert sum(scores[r.url] != r.score for r in got) <= len(got) // 100  # logarithms may differ in the last bit
+    assert all(r.verdict == ("allow" if r.score >= cut else "block") for r in got if r.rule is None)
