@@ -13,7 +13,7 @@ from textloom.functions.matcher import Term
 from textloom.model import SHEET
 from textloom.operators import context, index, ranking, search
 from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, parse_batch, parse_conditions, without_nested
-from textloom.session import Scratch
+from textloom.session import Scratch, reachable
 from textloom.sources import files
 from textloom.streaming import incremental
 
@@ -356,11 +356,8 @@ def q47_stream_plain(spark, sf):
 def q48_range_merge(spark, sf):
     """Ranges of one line that touch or overlap, joined."""
     k = F.col("l_linenumber").cast("long")
-    r = table(spark, sf, "lineitem").select("l_orderkey", (k * 3).alias("a"), (k * 3 + F.col("l_quantity").cast("long") % 5).alias("b")).where("b > a")
-    w = Window.partitionBy("l_orderkey").orderBy("a", "b")
-    cut = r.withColumn("high", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("high") >= F.col("a"), 0).otherwise(1))
-    part = cut.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return part.groupBy("l_orderkey", "g").agg(F.min("a").alias("start_at"), F.max("b").alias("end_at")).drop("g")
+    r = table(spark, sf, "lineitem").select("l_orderkey", (k * 3).alias("start_at"), (k * 3 + F.col("l_quantity").cast("long") % 5).alias("end_at"))
+    return context.joined_ranges(r, ["l_orderkey"])
 
 
 def q49_conversations_search(spark, sf):
@@ -409,6 +406,64 @@ def q54_top_comparison(spark, sf):
     return ranking.compared(ranks(["thtion"]), ranks(BATCH["terms"])).select(F.col("rank").cast("long").alias("rank"), "old_path", "new_path")
 
 
+def packages(name: str, key: int) -> dict[str, bytes]:
+    """A workbook, a document and a presentation that tell of one nation, by file type."""
+    import io
+    import zipfile
+
+    rels = lambda *links: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="http://x/{kind}" Target="{to}"/>' for i, kind, to in links) + "</Relationships>"
+    root = lambda to: {"_rels/.rels": rels(("a", "officeDocument", to))}
+    r, body = 'xmlns:r="r"', "<txBody><p><t>{}</t></p></txBody>"
+    book = root("xl/b.xml") | {
+        "xl/b.xml": f'<workbook {r}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/b.xml.rels": rels(("r1", "worksheet", "s.xml"), ("r2", "sharedStrings", "t.xml")),
+        "xl/t.xml": f"<sst><si><r><t>{name[:1]}</t></r><r><t>{name[1:]}</t></r></si></sst>",
+        "xl/s.xml": f'<worksheet {r}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>{key}</v></c></row><row r="2"><c r="A2"><f>B1+1</f><v>{key + 1}</v></c></row></sheetData><drawing r:id="d"/><legacyDrawing r:id="v"/></worksheet>',
+        "xl/_rels/s.xml.rels": rels(("c", "comments", "c.xml"), ("t", "threadedComment", "h.xml"), ("d", "drawing", "d.xml"), ("v", "vmlDrawing", "v.xml")),
+        "xl/c.xml": f'<comments><comment ref="A1"><text><t>note {name}</t></text></comment></comments>',
+        "xl/h.xml": f'<ThreadedComments><threadedComment ref="B1" id="p"><text>ask {name}</text></threadedComment><threadedComment id="q" parentId="p"><text>reply {name}</text></threadedComment></ThreadedComments>',
+        "xl/d.xml": f'<wsDr><twoCellAnchor><from><col>1</col><row>2</row></from><sp><cNvPr name="Box"/>{body.format("box " + name)}</sp></twoCellAnchor></wsDr>',
+        "xl/v.xml": f'<xml><shape id="n"><textbox>note {name}</textbox><ClientData ObjectType="Note"><Row>0</Row><Column>0</Column></ClientData></shape><shape id="m"><textbox>old {name}</textbox><ClientData ObjectType="Note"><Row>4</Row><Column>0</Column></ClientData></shape></xml>',
+    }
+    text = root("w/d.xml") | {
+        "w/d.xml": f'<document {r}><body><p><t>{name}</t></p><p/><tbl><tr><tc><p><t>cell {key}</t></p></tc></tr></tbl><p><t>last</t></p><sectPr><headerReference r:id="h" r:type="first"/></sectPr></body></document>',
+        "w/_rels/d.xml.rels": rels(("h", "header", "h.xml"), ("c", "comments", "c.xml")),
+        "w/h.xml": f"<hdr><p><t>head {name}</t></p></hdr>",
+        "w/c.xml": f'<comments><comment id="7"><p><t>word {name}</t></p></comment></comments>',
+    }
+    show = root("p/p.xml") | {
+        "p/p.xml": f'<presentation {r}><sldId r:id="s"/></presentation>',
+        "p/_rels/p.xml.rels": rels(("s", "slide", "s.xml")),
+        "p/s.xml": f'<sld><sp><cNvPr name="Title"/>{body.format(name)}</sp><graphicFrame><cNvPr name="Tab"/><tbl><tr><tc>{body.format(f"slide {key}")}</tc></tr></tbl></graphicFrame></sld>',
+        "p/_rels/s.xml.rels": rels(("n", "notesSlide", "n.xml")),
+        "p/n.xml": f'<notes><sp><cNvPr id="3" name="Notes"/>{body.format("talk " + name)}</sp><sp><cNvPr id="4" name="No"/><ph type="sldNum"/>{body.format("1")}</sp></notes>',
+    }
+    out = {}
+    for kind, parts in (("xlsx", book), ("docx", text), ("pptx", show)):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            for part, xml in parts.items():
+                z.writestr(part, xml)
+        out[kind] = made.getvalue()
+    return out
+
+
+def q55_office_units(spark, sf):
+    """All units of a workbook, a document and a presentation of each nation, notes and formulas included, with their places."""
+    import pandas as pd
+
+    reachable(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = [(f"/n/{k}.{kind}", kind, content) for k, n in zip(b["n_nationkey"], b["n_name"], strict=True) for kind, content in packages(n, int(k)).items()]
+            yield pd.DataFrame(rows, columns=["path", "file_type", "content"])
+
+    made = table(spark, sf, "nation").select("n_nationkey", "n_name").mapInPandas(run, "path string, file_type string, content binary")
+    units, _, _ = files.extract_files(made, formulas=True, notes=True)
+    return units.select("path", F.col("unit_seq").cast("long").alias("seq"), "source_kind", "content_class", "text", X.location_text("source_kind", "location").alias("place"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 __all__ = ["QUERIES", "Batch"]

@@ -67,7 +67,29 @@ RANK1 = f"""{HITS}, h1 as (select * from hits where term_key = 'thtion'), q1 as
 r1 as (select path, row_number() over (order by quality desc, places desc, replace(lower(path), 'ß', 'ss'), path) as k from q1)"""
 
 
+OFFICE = """n as (select n_nationkey as k, n_name from nation), u as (
+select 'xlsx' as e, 1 as q, 'cell' as kind, 'body' as class, n_name as t, 'S!A1' as p, k from n
+union all select 'xlsx' as e, 2 as q, 'cell' as kind, 'body' as class, cast(k as varchar) as t, 'S!B1' as p, k from n
+union all select 'xlsx' as e, 3 as q, 'formula' as kind, 'formula' as class, '=B1+1' as t, 'S!A2 / 数式' as p, k from n
+union all select 'xlsx' as e, 4 as q, 'cell' as kind, 'body' as class, cast(k + 1 as varchar) as t, 'S!A2' as p, k from n
+union all select 'xlsx' as e, 5 as q, 'excelComment' as kind, 'note' as class, 'note ' || n_name as t, 'S!A1 / コメント 1' as p, k from n
+union all select 'xlsx' as e, 6 as q, 'excelComment' as kind, 'note' as class, 'ask ' || n_name as t, 'S!B1 / コメント p' as p, k from n
+union all select 'xlsx' as e, 7 as q, 'excelComment' as kind, 'note' as class, 'reply ' || n_name as t, 'S!B1 / コメント q' as p, k from n
+union all select 'xlsx' as e, 8 as q, 'shape' as kind, 'body' as class, 'box ' || n_name as t, 'S / Box (B3)' as p, k from n
+union all select 'xlsx' as e, 9 as q, 'shape' as kind, 'body' as class, 'old ' || n_name as t, 'S / m (A5)' as p, k from n
+union all select 'docx' as e, 1 as q, 'paragraph' as kind, 'body' as class, n_name as t, '本文 段落 1' as p, k from n
+union all select 'docx' as e, 2 as q, 'wordTableParagraph' as kind, 'body' as class, 'cell ' || k as t, '表 1 / 行 1 / 列 1 / 段落 1' as p, k from n
+union all select 'docx' as e, 3 as q, 'paragraph' as kind, 'body' as class, 'last' as t, '本文 段落 3' as p, k from n
+union all select 'docx' as e, 4 as q, 'wordHeader' as kind, 'note' as class, 'head ' || n_name as t, 'ヘッダー w/h.xml first / 段落 1' as p, k from n
+union all select 'docx' as e, 5 as q, 'wordComment' as kind, 'note' as class, 'word ' || n_name as t, 'コメント w/c.xml 7 / 段落 1' as p, k from n
+union all select 'pptx' as e, 1 as q, 'shape' as kind, 'body' as class, n_name as t, 'スライド 1 / Title' as p, k from n
+union all select 'pptx' as e, 2 as q, 'slideTableCell' as kind, 'body' as class, 'slide ' || k as t, 'スライド 1 / Tab / 行 1 / 列 1' as p, k from n
+union all select 'pptx' as e, 3 as q, 'note' as kind, 'note' as class, 'talk ' || n_name as t, 'スライド 1 / ノート Notes / 段落 1' as p, k from n
+union all select e, 0, 'fileName', 'fileName', concat(k, '.', e), 'ファイル名', k from n, (values ('xlsx'), ('docx'), ('pptx')) v(e))"""
+
+
 ORACLE: dict[str, str] = {
+    "q55_office_units": f"with {OFFICE} select concat('/n/', k, '.', e) as path, cast(q as bigint) as seq, kind as source_kind, class as content_class, t as text, p as place from u",
     "q21_candidates_gram": f"with {LOOSE} select path, line from lt where {INGTHEA}",
     "q21b_index_lookup": f"with {LOOSE.replace(LINES, LINES.replace(LINES[: LINES.index(chr(10))], "files as (select concat('b/', item_id) as path, text from benchmark where text <> ''),"))} select path, line from lt where contains(x, 'th')",
     "q44_width_kana_loose": "select doc_id, md5(replace(lower(text), 'ß', 'ss')) as base, md5(replace(lower(text), 'ß', 'ss')) as width, md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s_\\-./\\x0B]', '', 'g')) as loose from documents where text is not null",

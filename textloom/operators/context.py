@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -74,6 +74,14 @@ def distinct_ranges(ranges) -> list[tuple[int, int]]:
     return sorted({tuple(r) for r in ranges})
 
 
+def joined_ranges(ranges: DataFrame, keys: list[str], start: str = "start_at", end: str = "end_at") -> DataFrame:
+    """``keys, start, end``: of each key the ranges that touch or overlap as one; empty ranges have no part."""
+    w = Window.partitionBy(*keys).orderBy(start, end)  # a text's own ranges
+    cut = ranges.where(F.col(end) > F.col(start)).withColumn("_high", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    part = cut.withColumn("_part", F.sum(F.when(F.col("_high") >= F.col(start), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "_part").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_part")
+
+
 def target(result: dict, revision: str | None = None) -> Target | None:
     """The target of a result event of a sheet's cell, formula, row or shape; None for all others.
 

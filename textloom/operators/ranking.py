@@ -84,6 +84,11 @@ def filter_summary(hits: DataFrame, **filters: str) -> DataFrame:
     return by_file.agg(F.count_if(F.col("k") > 0).alias("files"), total("k").alias("hits"), F.count(F.lit(1)).alias("all_files"), total("n").alias("all_hits"))
 
 
+def without_edited(hits: DataFrame, edited: DataFrame) -> DataFrame:
+    """Hits of files that weren't edited since: the others' places no longer hold."""
+    return hits.join(edited.select("path").distinct(), "path", "left_anti")
+
+
 def compared(old: DataFrame, new: DataFrame, first: int = 5) -> DataFrame:
     """``rank, old_path, new_path`` of the first files of two rankings."""
     top = lambda df, name: df.where(F.col("file_rank") <= first).select(F.col("file_rank").alias("rank"), F.col("path").alias(name))

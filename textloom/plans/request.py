@@ -155,3 +155,17 @@ def without_nested(paths: list[str]) -> list[str]:
         if not any(p[: len(k)] == k for k in kept):
             kept.append(p)
     return [str(Path(*k)) for k in kept]
+
+
+#: Folders that a history keeps.
+HISTORY = 20
+
+
+def remembered(history: list[str], folder: str) -> list[str]:
+    """A history of folders with ``folder`` first; paths that differ in case, slashes or a slash at the end are one."""
+    kept: dict[str, str] = {}
+    for p in (folder, *history):
+        key = re.sub(r"(?<=[^/:])/+$", "", re.sub(r"(?<!^)/+", "/", p.strip().replace("\\", "/"))).casefold()
+        if key:
+            kept.setdefault(key, p.strip())
+    return list(kept.values())[:HISTORY]
