@@ -174,3 +174,17 @@ def test_native_forms_and_matches_are_the_exact_ones(spark):
             if h := matcher.match(t, Term(term)):
                 want[i, j] = (h["kind"], h["score"], h["start"], h["end"])
     assert native == want
+
+
+def test_stores_that_only_spark_reads(spark, folder):
+    (folder / "in/sub").mkdir()
+    (folder / "in/sub/e.md").write_text("user_name", encoding="utf-8")
+    (folder / "in/sub/f.txt").write_text("user_name", encoding="utf-8")
+    (folder / "in/out").mkdir()
+    (folder / "in/out/g.txt").write_text("user_name", encoding="utf-8")
+    at = f"file://{folder}/in"
+    request = SearchRequest(at, "user_name", excluded_directories=(f"{at}/out",))
+    for index_folder in (None, str(folder / "index"), str(folder / "index")):
+        es = told(spark, request, index_folder)
+        assert sorted(e["path"].rsplit("/", 1)[-1] for e in es if e["type"] == "result") == ["a.txt", "f.txt"]
+    assert summary(es)["reusedFiles"] == 4

@@ -142,6 +142,8 @@ class SearchRequest:
 
 
 def directory(path: str, field_: str) -> str:
+    if "://" in path:  # a store that only Spark reads; a folder that isn't there shows when it is listed
+        return path.rstrip("/")
     found = Path(path).expanduser()
     if not path.strip() or not found.is_dir():
         raise InputError(field_, "no such directory")
@@ -150,11 +152,11 @@ def directory(path: str, field_: str) -> str:
 
 def without_nested(paths: list[str]) -> list[str]:
     """Paths that no other one holds, shortest first; equal ones once."""
-    kept: list[tuple[str, ...]] = []
-    for p in sorted((Path(p).parts for p in paths), key=len):
+    kept: list[list[str]] = []
+    for p in sorted((p.rstrip("/").split("/") for p in paths), key=len):
         if not any(p[: len(k)] == k for k in kept):
             kept.append(p)
-    return [str(Path(*k)) for k in kept]
+    return ["/".join(k) or "/" for k in kept]
 
 
 #: Folders that a history keeps.

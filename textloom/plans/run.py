@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
+from textloom.model import ISSUE
 from textloom.operators import index, ranking, search
 from textloom.plans.request import Batch, Conditions, Scope, SearchRequest
 from textloom.sources import files as sources
@@ -63,9 +64,17 @@ def search_files(spark: SparkSession, request: SearchRequest, index_folder: str
     """Lazy DataFrames of a validated request; an index changes what is read, never what is found."""
     request = request.validated()
     spec = request.spec()
-    listing = lambda: sources.discover(spark, request.roots, request.excluded_directories, request.extensions)
+    where = (request.roots, request.excluded_directories, request.extensions)
+    stored = any("://" in r for r in request.roots)
+
+    def listing() -> tuple[DataFrame, DataFrame]:
+        return (sources.scan(spark, *where).drop("content"), spark.createDataFrame([], ISSUE)) if stored else sources.discover(spark, *where)
+
+    def extract(some: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        contents = sources.scan(spark, *where).join(some.select("path"), "path", "left_semi") if stored else sources.read_contents(spark, some)
+        return sources.extract_files(contents, request.include_formulas, request.include_notes)
+
     files, found_issues = listing()
-    extract = lambda some: sources.extract_files(sources.read_contents(spark, some), request.include_formulas, request.include_notes)
     sheets = None
     if index_folder:
         bits = index.scope_bits(request.include_notes, request.include_formulas)
@@ -89,8 +98,8 @@ def search_files(spark: SparkSession, request: SearchRequest, index_folder: str
     else:
         of = units
         if index_folder and request.fuzzy:
-            stored, grams, tokens, _ = index.read(spark, index_folder)
-            live = stored.join(files.select("path"), "path", "left_semi")
+            kept, grams, tokens, _ = index.read(spark, index_folder)
+            live = kept.join(files.select("path"), "path", "left_semi")
             rest = units.join(index.indexed(spark, index_folder).select("path"), "path", "left_anti")
             of = index.candidates(live, grams, tokens, Term(spec.text)).unionByName(rest)
         hits = evidence = search.plain(of, spec.text, request.fuzzy)

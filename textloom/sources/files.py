@@ -50,6 +50,19 @@ def discover(spark: SparkSession, roots: tuple[str, ...], excluded: tuple[str, .
     return spark.createDataFrame(found, LISTED), spark.createDataFrame(issues, model.ISSUE)
 
 
+def scan(spark: SparkSession, roots: tuple[str, ...], excluded: tuple[str, ...] = (), extensions: tuple[str, ...] = model.DEFAULT_EXTENSIONS) -> DataFrame:
+    """``path, file_type, size, modified_ns, content`` of the files below folders of any store that Spark reads (``scheme://...``).
+
+    Spark lists the folders in parallel and reads contents only where they are selected; links are followed as the store does.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, "^([a-z0-9+.-]+):/+(?=[^/])", "$1:///") if all(r.startswith("file:") for r in roots) else path
+    found = raw.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), "content")
+    found = select_paths(found, excluded=excluded, extensions=extensions)
+    return found.select("path", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("file_type"), "size", "modified_ns", "content")
+
+
 def within(path: str, folder: str) -> bool:
     a, b = path.split("/"), folder.rstrip("/").split("/")
     return a[: len(b)] == b
