@@ -1,8 +1,11 @@
 """Operators on small fixtures: brute force, round trips, nulls, ties, empty tables."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 
@@ -12,7 +15,7 @@ from textloom.llm._store import Scratch
 from textloom.llm.oracle import ORACLE
 from textloom.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -32,22 +35,34 @@ def doc(i, text, lang="en", source="s"):
 def jaccard_components(docs, k, percent):
     sets = {}
     for i, text, *_ in docs:
-        w = (text or "").lower().split()
+        w = words_of(text)
         sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
-    name = {i: i for i in sets}
+    return {i: (len(sets[i]), c) for i, c in set_components(sets, percent).items()}
+
+
+def words_of(text):
+    return re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def set_components(sets, percent):
+    """The smallest id that each reaches by pairs that are alike enough; all pairs that share an element are counted."""
+    name, holders, common = {i: i for i in sets}, {}, Counter()
 
     def find(x):
         while name[x] != x:
             x = name[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                name[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    for i in sorted(sets):
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    for held in holders.values():
+        common.update(itertools.combinations(held, 2))
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            name[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
 
 
 def near_docs():
@@ -427,3 +442,42 @@ def test_url_ratio_against_dictionaries(spark):
     assert {r["cut"] for r in got} == {cut}
     assert sum(scores[r.url] != r.score for r in got) <= len(got) // 100  # logarithms may differ in the last bit
     assert all(r.verdict == ("allow" if r.score >= cut else "block") for r in got if r.rule is None)
+
+
+def test_near_duplicates_of_a_whole_table_against_all_pairs(spark):
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    for k in (4, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, k=k).collect()}
+        want = jaccard_components(docs, k, 80)
+        assert got == want and sum(i != c for i, (_, c) in want.items()) > 20
+
+
+def test_repeats_of_a_whole_table_against_all_pairs(spark):
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    places, sets = {}, {}
+    for i in sorted(texts):
+        at = 0
+        for line in (texts[i] or "").split("\n"):
+            w = words_of(line)
+            if len(w) >= substring_dedup.MIN_WORDS:
+                places.setdefault(tuple(w), []).append((i, at + len(line.encode()) - len(line.lstrip(" \t\r\x0b\x0c").encode())))
+            at += len(line.encode()) + 1
+    for n, w in enumerate(places):
+        sets[n] = {w[j : j + 5] for j in range(len(w) - 4)}
+    clusters = {}
+    for (w, at), c in zip(places.items(), set_components(sets, 80).values(), strict=True):
+        clusters.setdefault(c, []).extend(at)
+    want = {p for held in clusters.values() for p in held if p != min(held)}
+    rows = substring_dedup.removals(df).collect()
+    assert {(r.doc_id, r.start) for r in rows if r.kind == "paragraph"} == want and len(want) > 100
+    for r in rows:
+        if r.kind == "passage":
+            part = words_of(texts[r.doc_id].encode()[r.start : r.end].decode())
+            assert len(part) == r.n_words >= substring_dedup.PASSAGE_WORDS
+    runs = Counter()
+    for r in substring_dedup.drop_repeats(df).collect():
+        w = words_of(r.text)
+        runs.update({tuple(w[j : j + 50]) for j in range(len(w) - 49)})  # across documents
+    assert not [g for g, n in runs.items() if n > 1]
