@@ -214,12 +214,20 @@ class Shapes:
             n, m = n - 1, m - 1
         out = [(i, i) for i in range(low)]
         if n > low and m > low:
-            kinds_a, ia = np.unique(a[low:n], return_inverse=True)
-            kinds_b, ib = np.unique(b[low:m], return_inverse=True)
-            worth = np.array([[self.size(int(p), int(q)) for q in kinds_b] for p in kinds_a], dtype=np.int32)
-            out += [(low + i, low + j) for i, j in _best(worth, ia, ib)]
+            out += [(low + i, low + j) for i, j in self.between(a[low:n], b[low:m])]
         return out + [(i, m + i - n) for i in range(n, len(a))]
 
+    def between(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        tags_a, tags_b = [self.parts[x][0][0] for x in a], [self.parts[y][0][0] for y in b]
+        there = dict(zip(tags_b, range(len(b)), strict=True))
+        if len(there) == len(b) and len(set(tags_a)) == len(a):  # each tag once: if in one order, all pairs can be had
+            pairs = [(i, there[t]) for i, t in enumerate(tags_a) if t in there]
+            if all(p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False)):
+                return pairs
+        kinds_a, kinds_b = ({k: i for i, k in enumerate(dict.fromkeys(x))} for x in (a, b))
+        worth = np.array([[self.size(p, q) for q in kinds_b] for p in kinds_a], dtype=np.int32)
+        return _best(worth, np.array([kinds_a[x] for x in a]), np.array([kinds_b[y] for y in b]))
+
 
 def _rows(worth: np.ndarray, ia: np.ndarray, ib: np.ndarray, keep: bool) -> np.ndarray:
     """The best sums of alignments of the rest from each pair of places on: all rows, or the first alone."""
@@ -271,20 +279,22 @@ def measured(root: Node, shapes: Shapes) -> Node:
         order.append(x)
         work.extend(elements(x))
     for x in reversed(order):
-        x.shape = shapes.number(label(x), tuple(y.shape for y in elements(x)))
-        parts, words, links = [], 0, 0
-        if x.tag not in ("script", "style", "noscript", "template"):
-            for y in x.children:
-                if isinstance(y, str):
-                    t = _SPACE.sub(" ", y).strip()
-                    if t:
-                        parts.append(t)
-                        words += t.count(" ") + 1
-                elif y.hash:
+        below, parts, words, links = [], [], 0, 0
+        for y in x.children:
+            if isinstance(y, str):
+                t = y.split()
+                if t:
+                    parts.append(" ".join(t))
+                    words += len(t)
+            else:
+                below.append(y.shape)
+                if y.hash:
                     parts.append(str(y.hash))
                     words, links = words + y.words, links + y.links
-        x.hash = (xxhash.xxh32_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass")) or 1) if parts else 0
-        x.words, x.links = words, words if x.tag == "a" else links
+        x.shape = shapes.number(label(x), tuple(below))
+        if parts and x.tag not in ("script", "style", "noscript", "template"):
+            x.hash = xxhash.xxh32_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass")) or 1
+            x.words, x.links = words, words if x.tag == "a" else links
     return root
 
 
@@ -301,15 +311,26 @@ class Skeleton:
         for i in range(len(rows) - 1, -1, -1):
             self.shape[i] = shapes.number((rows[i][0], rows[i][1]), tuple(self.shape[j] for j in self.below[i]))
 
-    def matched(self, root: Node, shapes: Shapes) -> list[tuple[int, Node]]:
-        """Simple tree matching: the wrapper's nodes and their partners in a page."""
+    def matched(self, root: Node, shapes: Shapes, wanted: frozenset | None = None) -> list[tuple[int, Node]]:
+        """Simple tree matching: the wrapper's nodes and their partners in a page; ``wanted``: only these nodes, and those above them."""
         out, work = [], [(0, root)]
+        if wanted is not None:
+            ways: set[int] = set()
+            for i in wanted:
+                while i >= 0 and i not in ways:
+                    ways.add(i)
+                    i = self.rows[i][2]
+            wanted = frozenset(ways)
         while work:
             i, node = work.pop()
             out.append((i, node))
-            under = elements(node)
             below = self.below[i]
-            work.extend((below[p], under[q]) for p, q in shapes.align(tuple(self.shape[j] for j in below), tuple(y.shape for y in under)))
+            if not below or wanted is not None and not any(j in wanted for j in below):
+                continue
+            under = elements(node)
+            if under:
+                pairs = shapes.align(tuple([self.shape[j] for j in below]), tuple([y.shape for y in under]))
+                work.extend((below[p], under[q]) for p, q in pairs if wanted is None or below[p] in wanted)
         return out
 
 
@@ -393,7 +414,7 @@ class Extractor:
             of, fixed, links = self.wrapper(told)
             measured(tree, self.shapes)
             if links:
-                gone = {id(x) for i, x in of.matched(tree, self.shapes) if i in links and x.links >= LINKS * x.words}
+                gone = {id(x) for i, x in of.matched(tree, self.shapes, links) if i in links and x.links >= LINKS * x.words}
         skip = lambda x: id(x) in gone or x.hash in fixed and x.tag in _BLOCK
         return "\n".join(b for x in content(tree) for b in blocks(x, skip))
 
@@ -420,11 +441,11 @@ def host(url: str = "url") -> Column:
 
 
 def layout(html: str = "html") -> Column:
-    """A digest of the set of a page's container tags and of their classes, without digits."""
+    """A digest of the set of a page's container tags with their classes, without digits."""
     tags = "div|section|article|main|nav|header|footer|aside|form"
-    of = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))
-    classes = F.regexp_replace(F.array_join(of(f"(?i)<(?:{tags})\\s[^>]*?class\\s*=\\s*[\"']?([^\"'>]*)"), "|"), "[0-9]+", "")
-    return F.md5(F.lower(F.concat(F.array_join(of(f"(?i)<({tags})[\\s/>]"), "|"), F.lit("||"), classes)))
+    opened = F.array_distinct(F.regexp_extract_all(html, F.lit(f"(?i)<((?:{tags})(?:\\s[^>]*?class\\s*=\\s*[\"']?[^\"'>]*)?)[\\s>/\"']"), F.lit(1)))
+    bare = F.split(F.regexp_replace(F.lower(F.array_join(opened, "<")), "\\s[^<]*?class\\s*=\\s*[\"']?|[0-9]+", " "), "<")
+    return F.md5(F.array_join(F.array_sort(F.array_distinct(bare)), "<"))
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,6 +508,7 @@ def met(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``pages(page_id, host, layout, h, html)`` with each page's own cluster, and ``host, layout, wrapper`` (JSON) of every cluster."""
+    raw = pages
     distinct = scratch.save(pages.groupBy("host", "layout", "h").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first")), "pages")
     sizes = distinct.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("ref")).where(F.col("n") >= LEAST_PAGES)
     sizes = scratch.save(sizes, "clusters")
@@ -495,7 +517,7 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     pages = pages.join(small(known), ["host", "layout"], "left").join(small(mains), "host", "left")
     pages = pages.withColumn("layout", F.when(F.col("own"), F.col("layout")).otherwise(F.coalesce("main", "layout"))).drop("main")
     refs = sizes.select("host", "layout", F.col("ref").alias("h"))
-    chosen = pages.where("own").join(small(refs), ["host", "layout", "h"], "left_semi").dropDuplicates(["host", "layout"])
+    chosen = raw.select("html", "h").join(small(refs), "h").dropDuplicates(["host", "layout"])
     trees = scratch.save(chosen.select("host", "layout", "html").mapInArrow(_skeletons, "host string, layout string, tree string"), "trees")
     copied = scratch.save(distinct.where("copies > 1").select("host", "layout", "h", "first"), "copied")
     once = pages.where("own").join(small(copied), ["host", "layout", "h"], "left").where("first is null or first = page_id").drop("first")
