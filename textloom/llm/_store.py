@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,18 +11,36 @@ from textloom.session import reachable
 from textloom.session import shared_dir as shared_dir
 
 #: Largest side that is ever broadcast, in bytes of its rows; beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
+
+
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column | None:
+    """Bytes of a value besides its 8 in the row; None if there are none."""
+    if isinstance(kind, _FIXED):
+        return None
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(kind, T.StructType) and all(isinstance(f.dataType, _FIXED) for f in kind.fields):
+        return F.lit(8 + 8 * len(kind))
+    if isinstance(kind, T.ArrayType) and _bytes(c, kind.elementType) is None:
+        return 16 + 8 * F.size(c)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and all(isinstance(f.dataType, _FIXED) for f in kind.elementType.fields):
+        return 16 + F.size(c) * (16 + 8 * len(kind.elementType))
+    return F.octet_length(F.to_json(F.struct(c.alias("c"))))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted and measured, fit in ``limit`` bytes, else as it is, so that the join shuffles.
 
-    A row counts 32 bytes and 8 for each column; strings, binaries, arrays and structs what they take as JSON.
+    A row counts 32 bytes and 8 for each column, and what strings, binaries, arrays and structs take besides.
     """
-    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
     size = df.count() * (32 + 8 * len(df.columns))
+    wide = [x for f in df.schema.fields if (x := _bytes(F.col(f"`{f.name}`"), f.dataType)) is not None]
     if wide and size <= limit:
-        size += df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in wide)))))).first()[0] or 0
+        size += df.agg(F.sum(sum((F.coalesce(x.cast("long"), F.lit(0)) for x in wide[1:]), F.coalesce(wide[0].cast("long"), F.lit(0))))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
 

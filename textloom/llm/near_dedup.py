@@ -185,7 +185,7 @@ def joined(found: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> Da
 def linked(buckets: DataFrame, known: DataFrame | None, sets_of, confirmed, percent: int, scratch: Scratch) -> DataFrame:
     """``node, component`` of all ids that have a link to another id of one of their buckets, or one of the links ``known(u, v)``.
 
-    ``buckets`` has rows ``key, id, size``; ``sets_of(ids)`` gives ``id, held`` (``short`` sets as bytes) and
+    ``buckets`` has rows ``key, id, size``; ``sets_of(ids)`` gives a written table ``id, held`` (``short`` sets as bytes) and
     ``confirmed(pairs, tag)`` the links ``u, v`` among pairs ``a, b``, judged on full sets. Only pairs that agree in 32 bits and not
     in 64 are ever refuted, so that few are, and a second round is rare.
     """
@@ -193,8 +193,8 @@ def linked(buckets: DataFrame, known: DataFrame | None, sets_of, confirmed, perc
     of = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, 4 * F.col("total") / BLOCK_BYTES)).cast("int")
     hubs = scratch.save(of.where("hub < last").select("key", "hub", blocks.alias("n")), "hubs")
-    met = scratch.save(buckets.select("key", "id").join(small(hubs), "key"), "met")
-    sets = scratch.save(sets_of(scratch.save(met.select("id").distinct(), "ids")), "short")
+    met = scratch.save(buckets.select("key", "id").join(hubs, "key"), "met")  # as many rows as buckets: never broadcast
+    sets = sets_of(scratch.save(met.select("id").distinct(), "ids"))
     scratch.drop("hubs", "ids")
     stars = met.where("n > 1 and hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     both = stars.join(sets.toDF("b", "held_b"), "b").join(sets.toDF("a", "held_a"), "a")
@@ -222,7 +222,7 @@ def linked(buckets: DataFrame, known: DataFrame | None, sets_of, confirmed, perc
         lost = frozenset((r.a, r.b) for r in pairs.join(links.toDF("a", "b"), ["a", "b"], "left_anti").collect())  # chance agreements of 32 bits
         if not lost:
             out = scratch.save(joined(found, cross.toDF("u", "v"), scratch, f"all-{turn}"), "linked")
-            scratch.drop("met", "short", "stars", f"parts-{turn}", f"large-{turn}", f"mixed-{turn}", f"cross-{turn}", f"pairs-{turn}")
+            scratch.drop("met", "stars", f"parts-{turn}", f"large-{turn}", f"mixed-{turn}", f"cross-{turn}", f"pairs-{turn}")
             return out
         refuted, turn = refuted | lost, turn + 1
 
@@ -258,10 +258,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return links.toDF("u", "v")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return texts.join(small(ids), "id", "left_semi").mapInArrow(_sets(k, True), "id long, held binary")
+        return scratch.save(texts.join(small(ids), "id", "left_semi").mapInArrow(_sets(k, True), "id long, held binary"), "short")
 
     found = linked(buckets, again, sets_of, confirmed, percent, scratch)
-    scratch.drop("reps", "profile", "classes")
+    scratch.drop("short", "reps", "profile", "classes")
 
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

@@ -11,7 +11,7 @@ winnowing: of every ``WINDOW`` runs of ``RUN`` words the one of least hash is an
 each passage of ``RUN + WINDOW - 1`` words (50) that occurs again has an equal anchor in both places, whatever surrounds it.
 Anchors are joined by hash with their first occurrence outside removed paragraphs, those that touch or overlap make a run, and
 each run is extended word by word at both ends as far as it and the kept text of its first, or last, anchor agree. (Beyond an
-anchor no more than ``WINDOW - 1`` words can agree without another; that many of the kept text's words go to the run.) Runs of
+anchor no more than ``WINDOW - 1`` words can agree without another; that many words of both texts, as hashes of 32 bits, go to the run.) Runs of
 ``PASSAGE_WORDS`` words or more are removals, whole.
 
 A row is known by its id and a hash of its text. Cases: null and empty texts, and shorter paragraphs, have no removals; rows with
@@ -116,21 +116,18 @@ def _units(min_words: int, rows: int):
     return run
 
 
-def _text_spans(cut: bool):
-    """Shingle sets (or, ``cut``, the short ones) of the paragraphs at the given places of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, held = [], []
-            for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                parts = pa.array([raw[s["start"] : s["end"]] for s in spots], pa.large_binary()).cast(pa.large_string())
-                for s, values in zip(spots, K.shingle_sets(parts, SHINGLE), strict=True):
-                    node.append(s["node"])
-                    held.append((short(values) if cut else values).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], ["id", "held"])
-
-    return run
+def _text_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets, short and full, of the paragraphs at the given places of each text."""
+    for batch in batches:
+        node, held, full = [], [], []
+        for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            parts = pa.array([raw[s["start"] : s["end"]] for s in spots], pa.large_binary()).cast(pa.large_string())
+            for s, values in zip(spots, K.shingle_sets(parts, SHINGLE), strict=True):
+                node.append(s["node"])
+                held.append(short(values).tobytes())
+                full.append(values.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary()), pa.array(full, pa.binary())], ["id", "held", "full"])
 
 
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,18 +137,28 @@ def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return K.word_hashes(data, starts, ends), starts, ends
 
 
+def contexts(text: str | None, lefts: list[int], rights: list[int]) -> Iterator[tuple]:
+    """``left, at, words, bytes`` of places (numbers of words): the ``WINDOW`` words before a left one, those from a right one on,
+    nearest first, and the bytes at which the place and each of them begins (or, at the right, ends)."""
+    words, starts, ends = words_of(text)
+    h = (words >> np.uint64(32)).astype(np.uint32)
+    for at in lefts:
+        low = max(0, at - WINDOW)
+        yield True, at, h[low:at][::-1].tobytes(), starts[low : at + 1][::-1].astype(np.int32).tobytes()
+    for at in rights:
+        yield False, at, h[at : at + WINDOW].tobytes(), ends[at - 1 : at + WINDOW].astype(np.int32).tobytes()
+
+
+AROUND = "doc_id long, th long, left boolean, at int, words binary, bytes binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each wanted place (a word's number) of a text the ``WINDOW`` words before it, and those from it on, nearest first."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, th, text, spots in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("spots").to_pylist(), strict=True):
-            words, starts, _ = words_of(text.as_py())
-            h = words.view(np.int64)
-            for at in spots:
-                low = max(0, at - WINDOW)
-                out.append((doc, th, at, h[low:at][::-1].tobytes(), starts[low : at + 1][::-1].astype(np.int64).tobytes(), h[at : at + WINDOW].tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["kdoc", "kth", "at", "before", "bytes", "after"])
+        for doc, th, text, lefts, rights in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("lefts").to_pylist(), batch.column("rights").to_pylist(), strict=True):
+            out += [(doc, th, *c) for c in contexts(text.as_py(), lefts, rights)]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in AROUND.split(", ")])
 
 
 def joined_runs(anchors: list[dict]) -> list[list[int]]:
@@ -189,41 +196,50 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
-    """Spans ``[a, b, ...]`` of one text that touch or overlap as one, with what else the first of them has."""
+    """Spans ``[a, b, start, end, ...]`` (words and bytes) of one text that touch or overlap as one, with what else the first of them has."""
     out: list[list[int]] = []
     for s in sorted(spans):
         if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
+            if s[1] > out[-1][1]:
+                out[-1][1], out[-1][3] = s[1], s[3]
         else:
             out.append(list(s))
     return out
 
 
+SPANS = "doc_id long, th long, a int, b int, start int, end int, kept_doc_id long, kept_start int"
+
+
 def _extended(least: int):
-    """Each run as far as its text and the kept ones agree; those of enough words, overlapping ones as one span."""
+    """Each run as far as its text and the kept ones agree; those of enough words."""
+    names = [x.split() for x in SPANS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, th, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
-                words, starts, ends = words_of(text.as_py())
-                h = words.view(np.int64)
-                spans: list[list[int]] = []
-                for r in runs:
-                    a, b = r["a"], r["b"]
-                    left = agreeing(h[max(0, a - WINDOW) : a][::-1], np.frombuffer(r["before"], dtype=np.int64))
-                    if (r["ldoc"], r["lth"]) == (doc, th):
-                        left = min(left, a - r["la"] - RUN)
-                    a, b = a - left, b + agreeing(h[b : b + WINDOW], np.frombuffer(r["after"], dtype=np.int64))
-                    if b - a >= least:
-                        spans.append([a, b, r["ldoc"], int(np.frombuffer(r["bytes"], dtype=np.int64)[left])])
-                out += [(doc, th, int(starts[a]), int(ends[b - 1]), b - a, kept, at) for a, b, kept, at in merged(spans)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "start", "end", "n_words", "kept_doc_id", "kept_start"])
+            for r in batch.to_pylist():
+                left = agreeing(np.frombuffer(r["own_l"], dtype=np.uint32), np.frombuffer(r["kept_l"], dtype=np.uint32))
+                right = agreeing(np.frombuffer(r["own_r"], dtype=np.uint32), np.frombuffer(r["kept_r"], dtype=np.uint32))
+                if (r["ldoc"], r["lth"]) == (r["doc_id"], r["th"]):
+                    left = min(left, r["a"] - r["la"] - RUN)
+                if r["b"] + right - r["a"] + left >= least:
+                    at = [int(np.frombuffer(r[c], dtype=np.int32)[n]) for c, n in (("own_lb", left), ("own_rb", right), ("kept_lb", left))]
+                    out.append((r["doc_id"], r["th"], r["a"] - left, r["b"] + right, at[0], at[1], r["ldoc"], at[2]))
+            kinds = {"long": pa.int64(), "int": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, th, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "spans")), strict=True):
+            out += [(doc, th, start, end, b - a, kept, at) for a, b, start, end, kept, at in merged([[s["a"], s["b"], s["start"], s["end"], s["kept_doc_id"], s["kept_start"]] for s in spans])]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "th", "start", "end", "n_words", "kept_doc_id", "kept_start"])
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, text_hash, kind, start, end, n_words, kept_doc_id, kept_start``: every span that repeats an earlier, kept one.
 
@@ -237,9 +253,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT
     texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
     units = scratch.save(texts.mapInArrow(_units(min_words, rows), UNITS), "units")
 
+    key = ["doc_id", "th"]
+    twice = scratch.save(units.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*key), "twice")
+    again = scratch.save(texts.join(small(twice), key, "left_semi").dropDuplicates(key), "again-once")  # equal rows once
+    single = texts.join(small(twice), key, "left_anti").select("doc_id", "th", "text").union(again.select("doc_id", "th", "text"))
+
     def with_texts(spots: DataFrame, tag: str) -> DataFrame:
-        """Texts with what is wanted from them; equal rows give equal results."""
-        return texts.join(small(scratch.save(spots, tag)), ["doc_id", "th"])
+        """Texts with what is wanted from them."""
+        return single.join(small(scratch.save(spots, tag)), key)
 
     gone = scratch.save(_paragraphs(units, with_texts, percent, scratch).distinct(), "paragraphs")
     passages = _passages(units, gone, with_texts, scratch).distinct()
@@ -257,27 +278,28 @@ def _paragraphs(units: DataFrame, with_texts, percent: int, scratch: Scratch) ->
     classes = scratch.save(classes, "classes")
     buckets = classes.select(F.explode("at.bands").alias("key"), F.col("hash").alias("id"), F.col("at.n").alias("size"))
 
-    def sets(ids: DataFrame, tag: str, cut: bool) -> DataFrame:
+    held: dict[str, DataFrame] = {}
+
+    def sets_of(ids: DataFrame) -> DataFrame:
         spots = classes.join(small(ids), classes["hash"] == ids["id"], "left_semi").groupBy("at.doc_id", "at.th")
         spots = spots.agg(F.collect_list(F.struct("at.start", "at.end", F.col("hash").alias("node"))).alias("spots"))  # a document's own paragraphs
-        return with_texts(spots, f"spots-{tag}").select("text", "spots").mapInArrow(_text_spans(cut), "id long, held binary")
+        held["sets"] = scratch.save(with_texts(spots, "spots").select("text", "spots").mapInArrow(_text_spans, "id long, held binary, full binary"), "sets")
+        return held["sets"].select("id", "held")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        wanted = scratch.save(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), f"wanted-{tag}")
-        held = scratch.save(sets(wanted, f"full-{tag}", False), f"held-{tag}")
-        both = pairs.join(held.toDF("b", "held_b"), "b").join(held.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b")
-        links = scratch.save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"links-{tag}")
-        scratch.drop(f"held-{tag}", f"wanted-{tag}", f"spots-full-{tag}")
-        return links.toDF("u", "v")
-
-    found = linked(buckets, None, lambda ids: sets(ids, "short", True), confirmed, percent, scratch)
+        full = held["sets"].select("id", "full")
+        both = pairs.join(full.toDF("b", "held_b"), "b").join(full.toDF("a", "held_a"), "a").select("a", "b", "held_a", "held_b")
+        return scratch.save(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"links-{tag}").toDF("u", "v")
+
+    found = linked(buckets, None, sets_of, confirmed, percent, scratch)
+    scratch.drop("sets", "spots")
     cluster = F.coalesce("component", "hash").alias("cluster")
     named = classes.join(found.toDF("hash", "component"), "hash", "left").where("m > 1 or component is not null").select("hash", "at", cluster)
     named = scratch.save(named, "named")
     first = scratch.save(named.groupBy("cluster").agg(F.min(F.struct("at.doc_id", "at.start", "at.th")).alias("kept")), "first")
     kept = scratch.save(named.join(small(first), "cluster").select("hash", "kept"), "kept")
     out = paragraphs.join(small(kept), "hash").where("struct(doc_id, start, th) <> kept")
-    scratch.drop("spots-short", "first")
+    scratch.drop("first")
     return out.select("doc_id", "th", "word", "n_words", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
 
 
@@ -296,15 +318,18 @@ def _passages(units: DataFrame, gone: DataFrame, with_texts, scratch: Scratch) -
     later = later.groupBy("doc_id", "th").agg(F.collect_set(anchor).alias("anchors"))  # a document's own anchors
     runs = scratch.save(later.mapInArrow(_joined, RUNS), "runs")
     scratch.drop("again", "some", "lost", "free", "firsts")
-    places = F.array(*(F.struct(F.col(f"{x}doc").alias("doc_id"), F.col(f"{x}th").alias("th"), F.col(at).alias("at")) for x, at in (("l", "la"), ("r", "rb"))))
-    spots = runs.select(F.explode(places).alias("p")).select("p.*").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))  # at most a text's words
-    around = scratch.save(with_texts(spots, "places").select("doc_id", "th", "text", "spots").mapInArrow(_contexts, "kdoc long, kth long, at int, before binary, bytes binary, after binary").dropDuplicates(["kdoc", "kth", "at"]), "around")
-    left = around.select(F.col("kdoc").alias("ldoc"), F.col("kth").alias("lth"), F.col("at").alias("la"), "before", "bytes")
-    right = around.select(F.col("kdoc").alias("rdoc"), F.col("kth").alias("rth"), F.col("at").alias("rb"), "after")
-    met = scratch.save(runs.join(small(left), ["ldoc", "lth", "la"]).join(small(right), ["rdoc", "rth", "rb"]), "met-runs")
-    wanted = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "ldoc", "lth", "la", "before", "bytes", "after")).alias("runs"))
-    out = with_texts(wanted, "wanted-runs").select("doc_id", "th", "text", "runs")
-    return out.mapInArrow(_extended(PASSAGE_WORDS), "doc_id long, th long, start int, end int, n_words int, kept_doc_id long, kept_start int")
+    sides = (("own_l", "doc_id", "th", "a", True), ("own_r", "doc_id", "th", "b", False), ("kept_l", "ldoc", "lth", "la", True), ("kept_r", "rdoc", "rth", "rb", False))
+    places = F.array(*(F.struct(F.col(doc).alias("doc_id"), F.col(th).alias("th"), F.lit(left).alias("left"), F.col(at).alias("at")) for _, doc, th, at, left in sides))
+    of = lambda left: F.collect_set(F.when(F.col("left") == left, F.col("at")))
+    spots = runs.select(F.explode(places).alias("p")).select("p.*").groupBy("doc_id", "th").agg(of(True).alias("lefts"), of(False).alias("rights"))  # at most a text's words
+    around = scratch.save(with_texts(spots, "places").select("doc_id", "th", "text", "lefts", "rights").mapInArrow(_contexts, AROUND), "around")
+    met = runs
+    for name, doc, th, at, left in sides:
+        side = around.where(F.col("left") == left).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("at").alias(at), F.col("words").alias(name), *([F.col("bytes").alias(f"{name}b")] if name != "kept_r" else []))
+        met = met.join(small(side), [doc, th, at])
+    spans = met.mapInArrow(_extended(PASSAGE_WORDS), SPANS)
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "start", "end", "kept_doc_id", "kept_start")).alias("spans"))  # a document's own
+    return spans.mapInArrow(_merged, "doc_id long, th long, start int, end int, n_words int, kept_doc_id long, kept_start int")
 
 
 def _cut(at: int, text_at: int, chars_at: int, mark: str):
