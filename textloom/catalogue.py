@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,8 @@ from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.model import SHEET
 from textloom.operators import context, index, ranking, search
-from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, parse_batch, parse_conditions, without_nested
+from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, SearchRequest, parse_batch, parse_conditions, without_nested
+from textloom.plans.run import events
 from textloom.session import Scratch, reachable
 from textloom.sources import files
 from textloom.streaming import incremental
@@ -333,16 +333,12 @@ def q45_fuzzy_evaluate(spark, sf):
 
 
 def q46_event_protocol(spark, sf):
-    """The events of a search over files made of the nations, a file each."""
-    from pathlib import Path
-
-    from textloom.plans.request import SearchRequest
-    from textloom.plans.run import events
-
-    with tempfile.TemporaryDirectory() as folder:
-        for r in table(spark, sf, "nation").collect():
-            Path(folder, f"{r.n_nationkey}.txt").write_text(f"{r.n_name}\nnation {r.n_regionkey}", encoding="utf-8")
-        told = [(e["sequence"], e["type"]) for e in events(spark, SearchRequest(folder, "an"))]
+    """The events of a search over files made of the nations, a file each, in the shared folder."""
+    folder = Scratch(spark, "events").root
+    folder = folder if "://" in folder else f"file://{folder}"
+    made = table(spark, sf, "nation").select(F.concat("n_name", F.lit("\nnation "), "n_regionkey").alias("value"), "n_nationkey")
+    made.write.partitionBy("n_nationkey").text(folder)
+    told = [(e["sequence"], e["type"]) for e in events(spark, SearchRequest(folder, "an"))]
     return spark.createDataFrame(told, "sequence long, type string")
 
 
