@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._store import Scratch
+from textloom.llm._store import BROADCAST_BYTES, Scratch
 
+#: Bytes of a node and its least neighbour in a broadcast.
+ROW = 64
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours (of a small star: the smaller ones and itself) move to the smallest of them."""
+
+def _star(edges: DataFrame, large: bool, most: int, scratch: Scratch, tag: str) -> DataFrame:
+    """Each node's neighbours (of a small star: the smaller ones and itself) move to the smallest of them. ``most``: nodes at most."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
+    # Written before the join, so that the edges of a node with very many of them can be split over tasks.
+    least = F.broadcast(least) if ROW * most <= BROADCAST_BYTES else scratch.save(least, tag)
     moved = both.join(least, "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.union(least.where("u <> m").select("u", F.col("m").alias("v")))
@@ -33,6 +38,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         if mark == before or mark[0] == 0:
             break
         before, i = mark, i + 1
-        now = scratch.save(_star(_star(now, True), False), f"{tag}-{i}")
-        scratch.drop(f"{tag}-{i - 1}")
+        large = _star(now, True, 2 * mark[0], scratch, f"{tag}-large")
+        now = scratch.save(_star(large, False, 2 * mark[0], scratch, f"{tag}-small"), f"{tag}-{i}")
+        scratch.drop(f"{tag}-{i - 1}", f"{tag}-large", f"{tag}-small")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

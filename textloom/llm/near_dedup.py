@@ -31,7 +31,7 @@ from textloom.llm._store import Scratch, bounded_batches, small
 
 BINS, RECALL = 96, 0.999999
 #: Ids of a block, and bytes of their sets: a larger bucket is compared block by block.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 768, 16 << 20
 
 
 def _profile(k: int, rows: int):

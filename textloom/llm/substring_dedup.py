@@ -313,7 +313,7 @@ def _passages(units: DataFrame, gone: DataFrame, with_texts, scratch: Scratch) -
     free = scratch.save(free.select("hash", "doc_id", "th", "word"), "free")
     first = free.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "word", "th")).alias("kept")).where("m > 1").select("hash", "kept")
     first = scratch.save(first, "firsts")
-    later = free.join(small(first), "hash").where("struct(doc_id, word, th) <> kept")
+    later = free.join(first, "hash").where("struct(doc_id, word, th) <> kept")
     anchor = F.struct("word", F.col("kept.doc_id").alias("kdoc"), F.col("kept.th").alias("kth"), F.col("kept.word").alias("kword"))
     later = later.groupBy("doc_id", "th").agg(F.collect_set(anchor).alias("anchors"))  # a document's own anchors
     runs = scratch.save(later.mapInArrow(_joined, RUNS), "runs")
@@ -326,7 +326,7 @@ def _passages(units: DataFrame, gone: DataFrame, with_texts, scratch: Scratch) -
     met = runs
     for name, doc, th, at, left in sides:
         side = around.where(F.col("left") == left).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("at").alias(at), F.col("words").alias(name), *([F.col("bytes").alias(f"{name}b")] if name != "kept_r" else []))
-        met = met.join(small(side), [doc, th, at])
+        met = met.join(side, [doc, th, at])  # as large as the runs: never broadcast
     spans = met.mapInArrow(_extended(PASSAGE_WORDS), SPANS)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "start", "end", "kept_doc_id", "kept_start")).alias("spans"))  # a document's own
     return spans.mapInArrow(_merged, "doc_id long, th long, start int, end int, n_words int, kept_doc_id long, kept_start int")
