@@ -33,8 +33,8 @@ def _ranges() -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
 
-#: A character that isn't plain: it folds to several, composes with a neighbour, or folds to another than its lower case.
-UNUSUAL = f"[^{_ranges()}]"
+#: A character that isn't plain: it folds to several, composes with a neighbour, or folds to another than its lower case. ASCII is told first.
+UNUSUAL = rf"[[^\x00-\x0C\x0E-\x7F]&&[^{_ranges()}]]"
 
 
 def col(c: Column | str) -> Column:

@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,31 +194,29 @@ def events(spark: SparkSession, request: SearchRequest, cancelled: Callable[[],
             yield event("issue", **r.asDict())
         ranks = {r.path: r.asDict() for r in found.rankings.toLocalIterator()}
         hits = projected(found.hits, found.files)
-        reason, last = "completed", None
-
-        def ended(path: str) -> Iterator[dict]:
-            counts["processed"] += 1
-            yield event("fileRanked", path=path, rank=ranks[path]["file_rank"], reasons=ranks[path]["reasons"])
-            yield event("progress", phase="search", counts=dict(counts))
-
-        for r in hits.orderBy("result_id").toLocalIterator():
+        reason, results = "completed", hits.orderBy("result_id").toLocalIterator()
+        r = next(results, None)
+        for f in found.files.select("path").orderBy(F.split("path", "/")).toLocalIterator():  # in the order of the results
+            while r is not None and r.path == f.path and not cancelled():
+                counts["results"] += 1
+                yield event("result", **result_event(r))
+                r = next(results, None)
             if cancelled():
                 reason = "cancelled"
                 break
-            if last is not None and r.path != last:
-                yield from ended(last)
-            last = r.path
-            counts["results"] += 1
-            yield event("result", **result_event(r))
-        if last is not None:
-            yield from ended(last)
-        if reason == "completed":
-            counts["processed"] = counts["discovered"]
+            counts["processed"] += 1
+            if f.path in ranks:
+                yield event("fileRanked", path=f.path, rank=ranks[f.path]["file_rank"], reasons=ranks[f.path]["reasons"])
+            yield event("progress", phase="search", counts=dict(counts))
         yield event("rankingSummary", files=[p for p, _ in sorted(ranks.items(), key=lambda x: x[1]["file_rank"])])
         yield event("executionSummary", extractedFiles=found.extracted, reusedFiles=found.reused)
         if found.terms is not None:
             yield event("batchSummary", terms=[r.asDict() for r in found.terms.orderBy("term_ord").toLocalIterator()])
         yield event("finished", reason=reason, counts=dict(counts))
+    except (Py4JJavaError, PySparkException):
+        if not cancelled():
+            raise
+        yield event("finished", reason="cancelled", counts=dict(counts))  # its jobs were stopped
     finally:
         found.close()
         if tag:
