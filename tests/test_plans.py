@@ -38,6 +38,14 @@ def test_a_second_search_extracts_only_what_changed(spark, folder):
     third = told(spark, request, at)
     assert (summary(third)["extractedFiles"], summary(third)["reusedFiles"]) == (2, 1) and hits(third) == hits(told(spark, request))
     assert sorted(r.path[-5:] for r in index.indexed(spark, at).collect()) == ["a.txt", "c.txt"]
+    for f in (folder / "in").iterdir():
+        f.unlink()
+    (folder / "in/b.txt").write_text("user name", encoding="utf-8")
+    for _ in range(2):  # tombstones count as a segment
+        assert [e["path"][-5:] for e in told(spark, request, at) if e["type"] == "result"] == ["b.txt"]
+    (folder / "in/a.txt").write_text("user_name\nuserName x", encoding="utf-8")
+    (folder / "in/b.txt").unlink()
+    assert {e["path"][-5:] for e in told(spark, request, at) if e["type"] == "result"} == {"a.txt"}
     assert [u.text for u in index.file_units(spark, at, str((folder / "in/a.txt").resolve())).collect()] == ["a.txt", "user_name", "userName x"]
 
 
@@ -58,7 +66,7 @@ def test_files_that_change_while_they_are_read_are_not_cached(spark, folder):
     listed, _ = sources.discover(spark, (root,), (), ("txt",))
     changed = listed.withColumn("size", listed["size"] + (listed["path"].endswith("a.txt")).cast("long"))
     extract = lambda some: sources.extract_files(sources.read_contents(spark, some))
-    units, _, extracted, reused = index.refresh(spark, str(folder / "ix"), listed, extract, 0, lambda: changed)
+    units, _, extracted, reused, _ = index.refresh(spark, str(folder / "ix"), listed, extract, 0, lambda: changed)
     assert (extracted, reused) == (3, 0) and units.select("path").distinct().count() == 3
     assert sorted(r.path[-5:] for r in index.indexed(spark, str(folder / "ix")).collect()) == ["b.txt", "c.txt"]
 

@@ -110,8 +110,9 @@ def clear(spark: SparkSession, folder: str) -> None:
     remove(spark, root(folder))
 
 
-def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: int, again=None) -> tuple[DataFrame, DataFrame, int, int]:
-    """Brings an index up to date with the listing ``files``; returns units and issues of all of them, and how many were extracted and reused.
+def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: int, again=None) -> tuple[DataFrame, DataFrame, int, int, list[DataFrame]]:
+    """Brings an index up to date with the listing ``files``; returns units and issues of all of them, how many were extracted and
+    reused, and the frames that it keeps in memory.
 
     ``extract(files)`` gives units, sheets and issues. Files with issues, and files whose size or time in ``again()``, a listing
     made after they were read, differs, aren't cached: the next search reads them again. A damaged index is dropped and
@@ -120,12 +121,14 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: i
     try:
         held = indexed(spark, folder) if exists(spark, folder) else None
         if held is not None:
-            segment = (held.agg(F.max("segment")).first()[0] or 0) + 1
+            segment = (_table(spark, folder, "files", FILES).agg(F.max("segment")).first()[0] or 0) + 1  # of tombstones, too
             read(spark, folder)[0].limit(1).count()
     except (PySparkException, Py4JJavaError):  # a damaged index
         clear(spark, folder)
         held = None
     if held is None:
+        for old in range(1, INDEX_VERSION):  # what earlier versions wrote is never read again
+            remove(spark, f"{folder}/v{old}")
         held, segment = spark.createDataFrame([], FILES + ", segment int"), 1
     told = freshness(files, held, bits).persist()
     stale, reused = told.where("not reuse").drop("reuse"), told.where("reuse").drop("reuse")
@@ -142,7 +145,7 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: i
         keep = clean.select("path")
         write(units.join(keep, "path", "left_semi"), fresh_.union(gone), sheets.join(keep, "path", "left_semi"), folder, segment)
     stored = read(spark, folder)[0].join(reused.select("path"), "path", "left_semi") if n_reused else units.limit(0)
-    return units.unionByName(stored), issues, n_stale, n_reused
+    return units.unionByName(stored), issues, n_stale, n_reused, [told, units, issues]
 
 
 def wanted_grams(term: Term, fuzzy: bool = True) -> list[str]:

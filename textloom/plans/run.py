@@ -80,8 +80,7 @@ def search_files(spark: SparkSession, request: SearchRequest, index_folder: str
     sheets = None
     if index_folder:
         bits = index.scope_bits(request.include_notes, request.include_formulas)
-        units, read_issues, extracted, reused = index.refresh(spark, index_folder, files, extract, bits, lambda: listing()[0])
-        held = []
+        units, read_issues, extracted, reused, held = index.refresh(spark, index_folder, files, extract, bits, lambda: listing()[0])
     else:
         units, sheets, read_issues = extract(files)
         units, read_issues = units.persist(), read_issues.persist()
