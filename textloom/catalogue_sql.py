@@ -26,10 +26,10 @@ def score(t: str) -> str:
 
 
 def start(t: str) -> str:
-    """0-based start of the match that ``kind`` names."""
+    """0-based start, in the line as it stands, of the match that ``kind`` names; for terms without s (ß is one character there)."""
     f = t.lower()
     at = lambda c, x: f"length(regexp_extract({c}, '(?s)^(.*?)(?:^|[^{W}]){x}(?:$|[^{W}])', 1)) + case when regexp_matches({c}, '^{x}(?:$|[^{W}])') then 0 else 1 end"
-    return f"cast(case when {whole('t', t)} then {at('t', t)} when {whole('b', f)} then {at('b', f)} else instr(b, '{f}') - 1 end as bigint)"
+    return f"cast(case when {whole('t', t)} then {at('t', t)} when {whole('b', f)} then {at('lower(t)', f)} else instr(lower(t), '{f}') - 1 end as bigint)"
 
 
 PLAIN = f"with {LINES} select path, line, {kind('thtion')} as kind, {score('thtion')} as score from units where contains(b, 'thtion')"
