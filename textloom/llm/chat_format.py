@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm._store import bounded_batches
 
+#: Conversations whose encodings are in memory at once.
+SLICE = 32
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _ESCAPED, _UNESCAPED = re.compile(r"[\\<#:]"), re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.S)
@@ -112,7 +114,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, learn: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             made = [render([(t["role"], t["text"]) for t in x], learn) for x in batch.column("turns").to_pylist()]
             tokens = encode.encode_batch([s for s, _ in made], add_special_tokens=False)
             masks = [mask(e.offsets, spans) for e, (_, spans) in zip(tokens, made, strict=True)]
