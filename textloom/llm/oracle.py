@@ -20,4 +20,19 @@ select d.doc_id, d.size, d.n as source_size, d.target, cast(d.size * least(2, d.
 from keyed d join picked p on d.k = p.k and d.source is not distinct from p.source
 """
 
-ORACLE = {"op10_source_mixing": OP10}
+OP11 = r"""
+with docs as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+cut as (select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units,
+               ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+               ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from docs),
+drawn as (select *, cast(len(units) as bigint) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+                 case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+                      when h4 % 100 < 50 then 'spm' else 'psm' end as form from cut),
+parts as (select doc_id, text, n, form, array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m, array_to_string(units[b + 1:n], '') as s from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
+
+ORACLE = {"op10_source_mixing": OP10, "op11_fill_middle": OP11}

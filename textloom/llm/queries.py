@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import benchmark_decontam, chat_format, html_extract, language_id, media_chunks, near_dedup, source_mixing, substring_dedup, toxicity, url_filter
+from textloom.llm import benchmark_decontam, chat_format, fill_middle, html_extract, language_id, media_chunks, near_dedup, source_mixing, substring_dedup, token_packing, toxicity, url_filter, whitening
 from textloom.llm._store import rows_of
 from textloom.llm.oracle import ORACLE as ORACLE
 
@@ -59,7 +59,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(rows_of(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fill_middle.transformed(rows_of(spark, sf_dir, "documents"), rate=100, spm=50, seed=7, units="lines")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_packing.pack_documents(rows_of(spark, sf_dir, "documents"), token_packing.Limits(tokens=2048, segments=256, loss=2048))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(rows_of(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_ratio_filter, op2_media_chunking, op3_chat_masks, op4_pigeonhole_decontamination, op5_kneser_ney_language, op6_convolution_toxicity, op7_paragraph_minhash_dedup, op8_wrapper_induction, op9_minhash_near_dedup, op10_source_mixing)
+    for f in (op1_url_ratio_filter, op2_media_chunking, op3_chat_masks, op4_pigeonhole_decontamination, op5_kneser_ney_language, op6_convolution_toxicity, op7_paragraph_minhash_dedup, op8_wrapper_induction, op9_minhash_near_dedup, op10_source_mixing, op11_fill_middle, op12_vector_packing, op13_exact_whitening)
 }
