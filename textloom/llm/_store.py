@@ -55,6 +55,18 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def carried(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that every expression can use, and the original name of each: the columns ``needed`` keep theirs, all others
+    are called by position, so that dots, back-ticks, blanks and twins that differ in case do no harm."""
+    names = docs.columns
+    used = [f"_{i}" for i in range(len(names))]
+    for n in needed:
+        at = names.index(n) if n in names else next((i for i, c in enumerate(names) if c.lower() == n.lower()), None)
+        if at is not None:
+            used[at] = n
+    return docs.toDF(*used), dict(zip(used, names, strict=True))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes, so that long texts stay within a Python worker's memory. All operators set the same."""
     reachable(spark)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._store import bounded_batches
+from textloom.llm._store import bounded_batches, carried
 
 ERROR_RATE, MIN_CHARS = 0.05, 24
 #: Most characters of item texts in one block's automaton.
@@ -202,6 +202,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
     """``docs`` without the rows whose text holds an item; judged row by row, so ids may be null or repeat."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs, names = carried(docs, text_col)
     for block in item_blocks(benchmark, "item_id", "text"):
         shared, at = spark.sparkContext.broadcast((uuid.uuid4().hex, block)), docs.columns.index(text_col)
 
@@ -211,4 +212,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
                 yield batch.filter(pa.array([not find(normalise(x.as_py())) for x in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names.values())

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import _kernels as K
-from textloom.llm._store import bounded_batches
+from textloom.llm._store import bounded_batches, carried
 
 ORDER, BITS = 4, 15
 PER_LANG, MOST_BYTES, REJECT, SEED = 250, 65536, 0.002, 11
@@ -202,7 +202,8 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: the posterior, over at most 40 symbols' evidence), ``cross_entropy``, ``accepted``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT))
+    docs, names = carried(docs, text_col)
+    docs = docs.select(*(c for c, n in names.items() if n.lower() not in RESULT))
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by the training sample's
     at = docs.columns.index(text_col)
 
@@ -227,4 +228,5 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(ok, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "cross_entropy", "accepted"])
 
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULT, kinds, strict=True))]))
+    told = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULT, kinds, strict=True))]))
+    return told.toDF(*(names[c] for c in docs.columns), *RESULT)

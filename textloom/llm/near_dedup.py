@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import _kernels as K
 from textloom.llm._graph import components
-from textloom.llm._store import Scratch, bounded_batches, small
+from textloom.llm._store import Scratch, bounded_batches, carried, small
 
 BINS, RECALL = 96, 0.999999
 #: Ids of a block, and bytes of their sets: a larger bucket is compared block by block.
@@ -270,5 +270,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component keeps another one; of rows with the same id and text one stays."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    docs, names = carried(docs, "doc_id", "text")
+    told, scratch = near_duplicates(docs, k, percent), Scratch(docs.sparkSession, "kept")
+    gone = scratch.save(told.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    kept = docs.withColumn("_id", F.col("doc_id").cast("long")).join(small(gone.toDF("_id")), "_id", "left_anti")
+    # Ids that occur once can't repeat a row: only the others' texts are shuffled.
+    again = scratch.save(told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_more")), "again")
+    kept = kept.join(small(again), F.col("_id").eqNullSafe(F.col("_again")), "left")
+    once, more = kept.where("_more is null").select(*names), kept.where("_more").select(*names)
+    return once.union(more.dropDuplicates(["doc_id", "text"])).toDF(*names.values())

@@ -25,12 +25,14 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._store import Scratch, small
+from textloom.llm._store import Scratch, carried, small
 
 SEED, SHARE, REPEATS, WEIGHTS = 17, 1.5, 2, (3, 1, 2)
 #: Hash ranges of a pattern: the first hex digits of the order key.
 DIGITS = 4
 RESULT = ("size", "pattern", "source_size", "target", "taken", "repeats_taken")
+#: Name of the column that holds the sources while a mix is made.
+_SOURCES = "_mix_sources"
 #: Most membership patterns of the flow; they are sets of sources, so they don't grow with the documents.
 MAX_PATTERNS = 200_000
 
@@ -134,9 +136,11 @@ def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    pattern = F.to_json(F.array_sort(F.array_distinct(sources)))  # nulls last
+    docs, called = carried(docs.withColumn(_SOURCES, sources), id_col, text_col, _SOURCES)
+    called.pop(_SOURCES)
+    pattern = F.to_json(F.array_sort(F.array_distinct(_SOURCES)))  # nulls last
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), n_words(text_col).alias("_size"), F.coalesce(pattern, F.lit("[]")).alias("_pattern"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, DIGITS))
+    rows = docs.select(F.struct(*called).alias("_row"), n_words(text_col).alias("_size"), F.coalesce(pattern, F.lit("[]")).alias("_pattern"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, DIGITS))
     ranged = scratch.save(rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_sum")), "ranged")
     told = [(r[0], int(r[1])) for r in ranged.groupBy("_pattern").agg(F.sum("_sum")).limit(MAX_PATTERNS + 1).collect()]
     if len(told) > MAX_PATTERNS:
@@ -172,8 +176,9 @@ def mixed(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: st
     out = rows.join(quotas, "_pattern").join(ends.select("_pattern", "_end"), "_pattern", "left").join(small(scratch.save(last, "last")), "_pattern", "left")
     once = F.coalesce((F.col("_range") < F.col("_end")) | (F.col("_key") <= F.col("_last")), F.lit(False))
     times = F.least(F.col("_base") + once.cast("int"), F.lit(repeats))
-    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in RESULT]
-    return out.select(*own, F.col("_size").alias("size"), F.from_json("_pattern", "array<string>").alias("pattern"), "source_size", "target", (F.col("_size") * times).alias("taken"), times.alias("repeats_taken"))
+    own = [F.col("_row")[c].alias(c) for c, n in called.items() if n.lower() not in RESULT]
+    told = out.select(*own, F.col("_size").alias("size"), F.from_json("_pattern", "array<string>").alias("pattern"), "source_size", "target", (F.col("_size") * times).alias("taken"), times.alias("repeats_taken"))
+    return told.toDF(*(n for n in called.values() if n.lower() not in RESULT), *told.columns[len(own) :])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from textloom.llm import _kernels as K
-from textloom.llm._store import Scratch, bounded_batches, fresh, small
+from textloom.llm._store import Scratch, bounded_batches, carried, fresh, small
 from textloom.llm.near_dedup import _confirm, linked, short
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 22
@@ -364,6 +364,7 @@ def _cut(at: int, text_at: int, chars_at: int, mark: str):
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with each repeated span cut from ``text`` and ``n_chars`` counted anew; documents of which nothing is left go."""
+    docs, names = carried(docs, "doc_id", "text", "n_chars")
     columns = docs.columns
     id_, hash_, spans_, mark = fresh(columns, "_id", "_hash", "_spans", "_cut")
     gone = removals(docs, min_words, percent)
@@ -372,4 +373,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PER
     named = docs.join(small(spans), (docs["doc_id"].cast("long") == spans[id_]) & (F.xxhash64(docs["text"].cast("string")) == spans[hash_]), "left").select(*(docs[f"`{c}`"] for c in columns), spans_)
     schema = StructType([*docs.schema.fields, StructField(mark, IntegerType())])
     out = named.mapInArrow(_cut(len(columns), columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1, mark), schema)
-    return out.where(f"`{mark}` = 0 or text <> ''").select(*(F.col(f"`{c}`") for c in columns))
+    return out.where(f"`{mark}` = 0 or text <> ''").select(*columns).toDF(*names.values())

@@ -5,16 +5,19 @@ Words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) are hashed
 one-word filters also the second largest, so that one mention differs from two) feeds a logistic layer. The first embedding
 dimension starts at the log odds in the training rows, the rest at random; everything is then trained by Adam through
 the max pool.
-Thresholds are calibrated by language on rows that training hasn't seen; the language is guessed from the text alone, by a
+Thresholds are calibrated by language on rows that training hasn't seen: a language's own cut and that of all languages are
+mixed, the own weighing the more the more rows of both kinds it has (``SHRINK`` of each halve it). Where the rows held back lack one
+kind, as in small samples, each fold is scored by a model of the others instead; where even that is impossible, nothing is rejected. The
+language is guessed from the text alone, by a
 naive Bayes model over the same hashed words, so that neither lang nor source nor id enters a score. The score maps each
 language's threshold to ``THRESHOLD``.
 
 The fit takes a bounded sample of labelled rows: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` of at most ``MOST_WORDS`` words, the
-first in a seeded order of ids. Scoring covers every whole text, row by row, without a shuffle.
+first in a seeded order of ids, one row an id (of rows that repeat an id, that of the smallest words). Scoring covers every whole text, row by row, without a shuffle.
 
 Cases: null or empty text, or one without words, is scored as one word of padding; null labels and null ids aren't
-learned from; without labels of both kinds the score is 0 for all; repeated rows score alike; further columns are kept,
-but for those named as a result's, which give way (in the filter all are kept).
+learned from; without labels of both kinds the score is 0 for all; repeated rows score alike; further columns, whatever
+their names, are kept, but for those named as a result's, which give way (in the filter all are kept).
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import _kernels as K
-from textloom.llm._store import bounded_batches, fresh
+from textloom.llm._store import bounded_batches, carried, fresh
 
 THRESHOLD = 0.3
 MOST_TOXIC, MOST_CLEAN, MOST_WORDS = 1500, 2500, 5000
 BITS, STEM, DIM, FILTERS, WIDTHS = 16, 4, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 5
+FOLDS = 4
+#: Rows of the rarer kind with which a language's own threshold weighs as much as that of all.
+SHRINK = 10
 #: Weight of specificity in the choice of thresholds, as clean documents are many times the toxic ones.
 CLEAN = 4
 
@@ -106,8 +112,27 @@ class Model:
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
+    """A model of the rows outside one fold, calibrated on that fold, or where it lacks one kind, on all folds."""
+    fold = np.arange(len(docs)) % FOLDS
+    m = learned(docs, labels, langs, fold == FOLDS - 1)
+    held = np.flatnonzero(fold == FOLDS - 1)
+    z, lang = judged(m, [docs[i] for i in held])
+    if len(np.unique(labels[held])) < 2:
+        z, lang, held = np.zeros(len(docs)), judged(m, docs)[1], np.arange(len(docs))
+        scored_ = np.zeros(len(docs), dtype=bool)
+        for f in range(FOLDS):
+            own = np.flatnonzero(fold == f)
+            if len(own) and len(np.unique(labels[fold != f])) == 2:
+                z[own] = judged(learned(docs, labels, langs, fold == f), [docs[i] for i in own])[0]
+                scored_[own] = True
+        z, lang, held = z[scored_], lang[scored_], held[scored_]
+    calibrate(m, z, labels[held], lang)
+    return m
+
+
+def learned(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], fold: np.ndarray) -> Model:
+    """A model of the rows that ``fold`` doesn't hold back, without thresholds; languages are learned from all rows."""
     rng, words = np.random.Generator(np.random.PCG64(SEED)), 1 << BITS
-    fold = np.arange(len(docs)) % 4 == 3  # held back for the thresholds
     names = sorted({x for x in langs if x is not None}) or [""]
     counts, by_lang = np.full((2, words), 0.5), np.full((words + 1, len(names)), 0.1)
     for d, y, lang, held in zip(docs, labels, langs, fold, strict=True):
@@ -169,24 +194,36 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
                 b += 0.001 * (g * g - b)
                 p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-7)
             m.bias -= RATE * bias
-    held = np.flatnonzero(fold)
-    tables = m.tables()
-    z, lang = np.zeros(len(held)), np.zeros(len(held), dtype=np.int64)
-    for k, i in enumerate(held):
-        ids, rows = np.concatenate([docs[i], np.full((3, 2), words, dtype=np.int32)]), np.array([[0, len(docs[i]) + 1]])
-        z[k], lang[k] = m.logits(ids, rows, tables)[0], m.languages(ids, rows)[0]
-    y = labels[held]
-    every = threshold(z, y, 0.0)
-    m.thresholds = np.array([threshold(z[lang == k], y[lang == k], every) if (y[lang == k] == 1).sum() >= 10 and (y[lang == k] == 0).sum() >= 10 else every for k in range(len(names))])
-    spread = float(np.std(z)) if len(z) else 1.0
-    m.slope = 2.0 / max(spread, 1e-3)
     return m
 
 
-def threshold(z: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The cut with the best sum of recall and ``CLEAN`` times specificity, midway in the gap that it falls in."""
+def judged(m: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and languages."""
+    tables, padding = m.tables(), np.full((3, 2), 1 << BITS, dtype=np.int32)
+    z, lang = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
+    for k, d in enumerate(docs):
+        ids, rows = np.concatenate([d, padding]), np.array([[0, len(d) + 1]])
+        z[k], lang[k] = m.logits(ids, rows, tables)[0], m.languages(ids, rows)[0]
+    return z, lang
+
+
+def calibrate(m: Model, z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
+    """Sets thresholds and slope by rows that the model (or one like it) hasn't seen; without both kinds nothing is above them."""
+    every = threshold(z, y)
+    if every is None:
+        m.thresholds = np.full(m.language.shape[1], np.inf)
+        return
+    for k in range(m.language.shape[1]):
+        own = threshold(z[lang == k], y[lang == k])
+        n = np.bincount(y[lang == k], minlength=2).min()
+        m.thresholds[k] = every if own is None else (n * own + SHRINK * every) / (n + SHRINK)
+    m.slope = 2.0 / max(float(np.std(z)), 1e-3)
+
+
+def threshold(z: np.ndarray, y: np.ndarray) -> float | None:
+    """The cut with the best sum of recall and ``CLEAN`` times specificity, midway in the gap that it falls in; None without both kinds."""
     if not len(z) or y.min() == y.max():
-        return default
+        return None
     order = np.argsort(z, kind="stable")
     zs, ys = z[order], y[order]
     below = np.concatenate(([0], np.cumsum(ys == 0))) / (ys == 0).sum()
@@ -212,7 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc32(cast(doc_id
             short = pa.array([len(x) <= 8 * MOST_WORDS for x in held], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), pa.array(held, pa.binary())], ["doc_id", "y", "lang", "ids"]).filter(short)
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, lang string, ids binary").collect(), key=lambda r: (r.y, r.doc_id, r.ids))
+    told = rows.mapInArrow(run, "doc_id long, y int, lang string, ids binary")
+    told = told.groupBy("doc_id").agg(F.min(F.struct("y", "ids", "lang")).alias("r")).select("doc_id", "r.*")  # one row an id
+    got = sorted(told.collect(), key=lambda r: (r.y, r.doc_id))
     labels_ = np.array([r.y for r in got], dtype=np.int64)
     if not len(got) or labels_.min() == labels_.max():
         return None
@@ -223,9 +262,11 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
     """``docs`` with ``score`` and ``predicted``; a column of ``docs`` with one of these names gives way."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())))
+    docs, names = carried(docs, text_col)
+    docs = docs.select(*(c for c, n in names.items() if n.lower() not in (score_col.lower(), predicted_col.lower())))
+    columns = [*(names[c] for c in docs.columns), score_col, predicted_col]
     if model is None:
-        return docs.withColumns({score_col: F.lit(0.0), predicted_col: F.lit(0)})
+        return docs.select("*", F.lit(0.0), F.lit(0)).toDF(*columns)
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by BITS, DIM and FILTERS, and by the number of languages
     at = docs.columns.index(text_col)
 
@@ -238,11 +279,12 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64)), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, score_col, predicted_col])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*columns)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier, fitted on them and ``labels``, predicts to be toxic."""
+    docs, names = carried(docs, "doc_id", "text", "lang")
     score, predicted = fresh(docs.columns, "score", "predicted")
     told = scored(docs, fit(docs, labels), "text", score, predicted)
-    return told.where(F.col(predicted) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return told.where(F.col(predicted) == 0).select(*names).toDF(*names.values())
