@@ -460,6 +460,29 @@ def q55_office_units(spark, sf):
     return units.select("path", F.col("unit_seq").cast("long").alias("seq"), "source_kind", "content_class", "text", X.location_text("source_kind", "location").alias("place"))
 
 
+def drawn_terms(spark, sf, n: int = 256) -> Batch:
+    """A batch of words that the documents hold: those of the smallest digests, at most as many as a batch may have."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,9}"), F.lit(0))).alias("word")).distinct()
+    return parse_batch({"mode": "batch", "terms": [r.word for r in words.orderBy(F.md5("word"), "word").limit(n).collect()]})
+
+
+def q56_many_terms(spark, sf):
+    """256 terms drawn from the documents, all looked for in one pass."""
+    b = drawn_terms(spark, sf)
+    return search.batch_summary(search.batch_hits(docs(spark, sf), b), b).select("term", "file_count", "hit_count")
+
+
+def q57_many_kinds(spark, sf):
+    """Of the same terms: hits, scores and files by kind."""
+    h = search.batch_hits(docs(spark, sf), drawn_terms(spark, sf))
+    return h.groupBy("term", F.col("hit.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit.score").cast("long")).alias("score"), F.countDistinct("path").alias("files"))
+
+
+def q58_many_identifiers(spark, sf):
+    b = Batch(drawn_terms(spark, sf).terms, identifiers=True)
+    return search.batch_summary(search.batch_hits(docs(spark, sf), b), b).select("term", "file_count", "hit_count")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 __all__ = ["QUERIES", "Batch"]

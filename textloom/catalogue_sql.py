@@ -88,7 +88,19 @@ union all select 'pptx' as e, 3 as q, 'note' as kind, 'note' as class, 'talk ' |
 union all select e, 0, 'fileName', 'fileName', concat(k, '.', e), 'ファイル名', k from n, (values ('xlsx'), ('docx'), ('pptx')) v(e))"""
 
 
+#: 256 words of the documents, those of the smallest digests.
+DRAWN = f"""{LINES}, words as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{5,9}}')) as term from documents), terms as (select term from words order by md5(term), term limit 256),
+held as (select term, path, line, t, b from terms join units on contains(b, term))"""
+
+
+def word(c: str) -> str:
+    return f"list_contains(regexp_extract_all({c}, '[{W}]+'), term)"
+
+
 ORACLE: dict[str, str] = {
+    "q56_many_terms": f"with {DRAWN} select terms.term, count(distinct path) as file_count, count(path) as hit_count from terms left join held using (term) group by all",
+    "q57_many_kinds": f"with {DRAWN}, k as (select *, case when {word('t')} then 'exact' when {word('b')} then 'caseFolded' else 'substring' end as kind from held) select term, kind, count(*) as n, cast(sum(case kind when 'exact' then 100 when 'caseFolded' then 98 else 70 end) as bigint) as score, count(distinct path) as files from k group by all",
+    "q58_many_identifiers": f"with {DRAWN}, i as (select term, path, line from held where list_contains(regexp_extract_all(b, '[{W}_]+'), term)) select terms.term, count(distinct path) as file_count, count(path) as hit_count from terms left join i using (term) group by all",
     "q55_office_units": f"with {OFFICE} select concat('/n/', k, '.', e) as path, cast(q as bigint) as seq, kind as source_kind, class as content_class, t as text, p as place from u",
     "q21_candidates_gram": f"with {LOOSE} select path, line from lt where {INGTHEA}",
     "q21b_index_lookup": f"with {LOOSE.replace(LINES, LINES.replace(LINES[: LINES.index(chr(10))], "files as (select concat('b/', item_id) as path, text from benchmark where text <> ''),"))} select path, line from lt where contains(x, 'th')",

@@ -2,7 +2,7 @@
 
 Whether a unit holds a term is judged in the JVM for every standard search, over the fully folded text. Kind and range are native for
 plain characters; only units with others (characters that fold to several, or compose) go to the exact matcher, and only where
-they hold the term.
+they hold the term. Searches of many terms look for all of them at once, by an automaton over the folded text.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import automaton
 from textloom.functions import text as X
 from textloom.functions.matcher import Term, exact_column, hits_column
 from textloom.model import MATCH, SCORES
@@ -32,6 +33,23 @@ def _named(terms: tuple[NamedTerm, ...], value) -> Column:
     return F.element_at(F.array(*(F.lit(value(t)) for t in terms)), F.col("term_ord") + 1)
 
 
+def _tested(based: DataFrame, terms: tuple[NamedTerm, ...], every: tuple[NamedTerm, ...], identifiers: bool) -> tuple[DataFrame, Column, Column]:
+    """A row for each term that a test of its own, in the JVM, finds in a text; and the kind and start that hold for plain texts."""
+    text, base, usual = F.col("text"), F.col("_base"), F.col("_usual")
+    if identifiers:
+        has = [base.contains(X.fold_text(t.text)) & base.rlike(X.identifier(X.fold_text(t.text))) for t in every]
+    else:
+        has = [X.held(text, base, usual, t.text) for t in every]
+    if len(every) == 1:
+        each = based.where(has[0]).withColumn("term_ord", F.lit(0))
+    else:
+        each = based.withColumn("term_ord", F.explode(F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(has))))))
+    if identifiers:
+        return each, F.lit("identifier"), _by_term(terms, lambda t: X.at(base, X.identifier(X.fold_text(t))))
+    each, kind = each.withColumn("_kind", _by_term(terms, lambda t: X.standard_kind(text, base, t))), F.col("_kind")
+    return each, kind, _by_term(terms, lambda t: X.standard_start(text, base, t, kind))
+
+
 def matched(units: DataFrame, terms: tuple[NamedTerm, ...], fuzzy: bool = False, identifiers: bool = False, excluded: tuple[NamedTerm, ...] = ()) -> DataFrame:
     """One row per unit and term that it holds: ``units``' columns, ``term_ord, term_id, term, hit``. No shuffle.
 
@@ -54,26 +72,16 @@ def matched(units: DataFrame, terms: tuple[NamedTerm, ...], fuzzy: bool = False,
         each = based.withColumn("_m", F.explode(F.concat(found, out) if excluded else found)).withColumns({"term_ord": F.col("_m.term_ord"), "hit": F.col("_m.hit")}).drop("_m")
     else:
         reachable(spark)
-        if identifiers:
-            has = [base.contains(X.fold_text(t.text)) & base.rlike(X.identifier(X.fold_text(t.text))) for t in every]
-        else:
-            has = [X.held(text, base, usual, t.text) for t in every]
-        if len(every) == 1:
-            each = based.where(has[0]).withColumn("term_ord", F.lit(0))
-        else:
-            each = based.withColumn("term_ord", F.explode(F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(has))))))
-        if identifiers:
-            kind = F.lit("identifier")
-            start = _by_term(terms, lambda t: X.at(base, X.identifier(X.fold_text(t))))
+        odd = [i for i, t in enumerate(terms) if X.overlaps(X.fold_text(t.text)) or X.overlaps(t.text)] if not identifiers else []
+        if len(every) > automaton.MANY and automaton.ahocorasick is not None:
+            found = automaton.found_column(text, base, usual, [X.fold_text(t.text) for t in every], [t.text for t in every], identifiers)
+            each = based.withColumn("_m", F.explode(found)).withColumns({"term_ord": F.col("_m.term_ord"), "_kind": F.col("_m.kind"), "_at": F.col("_m.start")}).drop("_m")
+            kind, start = F.col("_kind"), F.col("_at")
         else:
-            kind = _by_term(terms, lambda t: X.standard_kind(text, base, t))
-            each = each.withColumn("_kind", kind)
-            kind = F.col("_kind")
-            start = _by_term(terms, lambda t: X.standard_start(text, base, t, kind))
+            each, kind, start = _tested(based, terms, every, identifiers)
         score = F.lit(None).cast("int")
         for k in ("substring", "identifier", "caseFolded", "exact"):
             score = F.when(kind == k, SCORES[k]).otherwise(score)
-        odd = [i for i, t in enumerate(terms) if X.overlaps(X.fold_text(t.text)) or X.overlaps(t.text)] if not identifiers else []
         easy = usual & ~term_ord.isin(odd) if odd else usual
         raw = _named(every, lambda t: t.text)
         each = each.withColumns({"_easy": easy, "_start": F.when(easy, start)})
