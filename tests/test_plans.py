@@ -46,7 +46,7 @@ def test_a_second_search_extracts_only_what_changed(spark, folder):
     (folder / "in/a.txt").write_text("user_name\nuserName x", encoding="utf-8")
     (folder / "in/b.txt").unlink()
     assert {e["path"][-5:] for e in told(spark, request, at) if e["type"] == "result"} == {"a.txt"}
-    assert [u.text for u in index.file_units(spark, at, str((folder / "in/a.txt").resolve())).collect()] == ["a.txt", "user_name", "userName x"]
+    assert [u.text for u in index.Index(spark, at).file_units(str((folder / "in/a.txt").resolve())).collect()] == ["a.txt", "user_name", "userName x"]
 
 
 def test_a_damaged_index_is_made_anew(spark, folder):

@@ -168,9 +168,8 @@ def q21b_index_lookup(spark, sf):
     """The same by a written index of the benchmark's lines."""
     u, folder = table_units(spark, sf), Scratch(spark, "index").root
     files_ = u.select("path", "file_type").distinct().select("path", "file_type", *(F.lit(0).cast(t).alias(c) for c, t in (("size", "long"), ("modified_ns", "long"), ("version", "int"), ("scope", "int"))), F.lit(False).alias("gone"))
-    index.write(u, files_, spark.createDataFrame([], SHEET), folder, 1)
-    units, grams, tokens, _ = index.read(spark, folder)
-    return index.candidates(units, grams, tokens, Term("th")).select("path", F.col("unit_seq").cast("long").alias("line"))
+    index.commit(spark, folder, u, files_, spark.createDataFrame([], SHEET))
+    return index.Index(spark, folder).candidates(Term("th")).select("path", F.col("unit_seq").cast("long").alias("line"))
 
 
 def q22_candidate_superset(spark, sf):
@@ -483,6 +482,40 @@ def q58_many_identifiers(spark, sf):
     return search.batch_summary(search.batch_hits(docs(spark, sf), b), b).select("term", "file_count", "hit_count")
 
 
+def document_files(d):
+    """The documents as files, their ids as times."""
+    return d.select(doc_path().alias("path"), F.lit("txt").alias("file_type"), F.col("n_chars").cast("long").alias("size"), F.col("doc_id").alias("modified_ns"), "text")
+
+
+def q59_index_blocks(spark, sf):
+    """Candidates of a fuzzy search by the posting blocks of an index of all documents."""
+    folder = Scratch(spark, "blocks").root
+    incremental.index_batch(document_files(table(spark, sf, "documents")), 0, folder)
+    return index.Index(spark, folder).candidates(Term("ingthea")).select("path", F.col("unit_seq").cast("long").alias("line"))
+
+
+def q60_index_stream(spark, sf):
+    """The same by micro-batches: all documents, corrections of every eleventh, a batch played twice, every seventh gone."""
+    folder, d = Scratch(spark, "streamed").root, table(spark, sf, "documents")
+    read = lambda: document_files(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/documents.parquet*"))
+    incremental.index_stream(read(), f"{folder}/index", f"{folder}/first").awaitTermination()
+    there = lambda: d.where("doc_id % 7 <> 0").select(doc_path().alias("path"))
+    more = document_files(d.where("doc_id % 11 = 0").withColumn("text", F.concat("text", F.lit("\ningthea "), "doc_id")))
+    for _ in range(2):
+        incremental.index_batch(more, 0, f"{folder}/index", "corrections", there)
+    return index.Index(spark, f"{folder}/index").candidates(Term("ingthea")).select("path", F.col("unit_seq").cast("long").alias("line"))
+
+
+def q61_compaction(spark, sf):
+    """Files, lines and segments of an index of the documents by remainder of their ids, merged in tiers as it grew."""
+    folder, d = Scratch(spark, "tiers").root, document_files(table(spark, sf, "documents"))
+    for i in range(6):  # each also tells the files of the batch before anew
+        incremental.index_batch(d.where(F.col("modified_ns") % 6 == i).union(d.where(F.col("modified_ns") % 6 == i - 1).withColumn("text", F.upper("text"))), i, folder)
+    of = index.Index(spark, folder)
+    lines = of.units().withColumn("hit", X.fold("text").contains(TERM)).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("hit").alias("hits"))
+    return of.files().join(lines, "path", "left").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("hits").alias("hits"), F.lit(len(of.manifest.segments) <= 4).alias("few_segments"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 __all__ = ["QUERIES", "Batch"]

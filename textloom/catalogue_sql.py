@@ -56,6 +56,9 @@ TOKEN = r"[A-Z]+(?:[^a-z]|$)"
 #: Lines with their loose form and tokens (cut at case changes and between letters and digits).
 LOOSE = f"""{LINES}, lt as (select path, line, b, regexp_replace(b, '[\\s_\\-./]', '', 'g') as x, list_transform(regexp_extract_all(regexp_replace(regexp_replace(t, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z]+|[0-9]+'), lambda w: lower(w)) as ws from units)"""
 
+#: The same with tokens of all scripts, as an index has them.
+SCRIPTS = f"""{LINES}, lt as (select path, line, b, regexp_replace(b, '[\\s_\\-./]', '', 'g') as x, list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([0-9])([^0-9\\s])', '\\1 \\2', 'g'), '([^0-9\\s])([0-9])', '\\1 \\2', 'g'), '[{W}]+'), lambda w: replace(lower(w), 'ß', 'ss')) as ws from units)"""
+
 
 def near(first: str, low: int, high: int) -> str:
     return f"len(list_filter(ws, lambda w: starts_with(w, '{first}') and length(w) between {low} and {high})) > 0"
@@ -98,6 +101,9 @@ def word(c: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "q59_index_blocks": f"with {SCRIPTS} select path, line from lt where {INGTHEA}",
+    "q60_index_stream": f"with {SCRIPTS.replace('from documents where', "from (select source, lang, doc_id, case when doc_id % 11 = 0 then concat(text, chr(10), 'ingthea ', doc_id) else text end as text from documents where text is not null and doc_id % 7 <> 0) where")} select path, line from lt where {INGTHEA}",
+    "q61_compaction": f"with {LINES} select (select count(*) from documents) as files, cast(count(*) as bigint) as lines, count(*) filter (where contains(b, 'thtion')) as hits, true as few_segments from units",
     "q56_many_terms": f"with {DRAWN} select terms.term, count(distinct path) as file_count, count(path) as hit_count from terms left join held using (term) group by all",
     "q57_many_kinds": f"with {DRAWN}, k as (select *, case when {word('t')} then 'exact' when {word('b')} then 'caseFolded' else 'substring' end as kind from held) select term, kind, count(*) as n, cast(sum(case kind when 'exact' then 100 when 'caseFolded' then 98 else 70 end) as bigint) as score, count(distinct path) as files from k group by all",
     "q58_many_identifiers": f"with {DRAWN}, i as (select term, path, line from held where list_contains(regexp_extract_all(b, '[{W}_]+'), term)) select terms.term, count(distinct path) as file_count, count(path) as hit_count from terms left join i using (term) group by all",

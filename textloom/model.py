@@ -27,7 +27,7 @@ MAX_TABLE_DEPTH, MAX_REPLY_DEPTH = 16, 16
 MAX_CONDITION_TERMS, MAX_RAW_CONDITIONS, MAX_BATCH_TERMS, MAX_RAW_BATCH, MAX_TERM_CHARS = 32, 128, 256, 4096, 200
 MAX_ROW, MAX_COLUMN = 1_048_576, 16_384
 PREVIEW_CHARS, CLIP_CHARS, MERGE_CAP, WINDOW_SIDE = 240, 300, 25, 2
-EXTRACTION_VERSION, INDEX_VERSION = 4, 2
+EXTRACTION_VERSION, INDEX_VERSION = 4, 3
 
 UNIT = T.StructType(
     [

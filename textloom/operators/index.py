@@ -1,13 +1,13 @@
 """The optional n-gram and token index: it only prunes, a matcher always judges what it leaves.
 
-An index is a folder of segments: each refresh writes the files that are new or changed, and tombstones of those that are gone, as
-one more segment; a file's rows are those of its latest segment. Grams and tokens are partitioned by a bucket of the gram (or of
-the token's first character) and sorted by it, so a look-up opens a few files and reads a few row groups.
+An index is a few segments under a manifest (``segments``). A segment holds the units of files that were new or changed, numbered; posting
+blocks of their grams and tokens (``postings``); the files' stamps; and tombstones of files that are gone. A file's rows are those of
+its newest segment. Segments are merged in tiers, so there are never more than the logarithm of the index's size.
 """
 
 from __future__ import annotations
 
-import zlib
+from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -20,10 +20,15 @@ from textloom.functions import forms, matcher
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.model import EXTRACTION_VERSION, INDEX_VERSION
-from textloom.session import reachable, remove
+from textloom.operators import postings
+from textloom.operators.segments import GRACE, LARGEST, Manifest, Store, due
+from textloom.session import Scratch, reachable, remove
 
-BUCKETS = 16
-FILES = "path string, file_type string, size long, modified_ns long, version int, scope int, gone boolean"
+#: Zones with candidates up to which the scan of units is told of them.
+FEW_ZONES = 256
+_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_type", T.StringType()), T.StructField("size", T.LongType()), T.StructField("modified_ns", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("scope", T.IntegerType()), T.StructField("gone", T.BooleanType())])
+_POSTING = T.StructType([*postings.POSTING.fields, T.StructField("bucket", T.IntegerType())])
+NUMBERED = T.StructType([*model.UNIT.fields, T.StructField("unit_no", T.LongType())])
 
 
 def scope_bits(notes: bool, formulas: bool) -> int:
@@ -36,78 +41,160 @@ def grams_of(units: DataFrame) -> DataFrame:
     return held.select("path", "unit_seq", F.explode(F.concat(X.grams("loose", 2), X.grams("loose", 3))).alias("gram")).select("path", "unit_seq", F.length("gram").alias("n"), "gram")
 
 
-def tokens_of(units: DataFrame, exact: bool = True) -> DataFrame:
-    """``path, unit_seq, token, first, length``; ``exact``: texts with other than ASCII characters take the Python function."""
-    native = F.array_distinct(X.tokens("text"))
-    if exact:
-        reachable(units.sparkSession)
-        other = F.col("text").rlike(r"[^\x00-\x7F]")
-        words = F.when(other, matcher.tokens_column(F.when(other, F.col("text")))).otherwise(native)
-    else:
-        words = native
-    return units.select("path", "unit_seq", F.explode(words).alias("token")).select("path", "unit_seq", "token", F.substring("token", 1, 1).alias("first"), F.length("token").alias("length"))
-
-
-def _bucket(c: str) -> Column:
-    return F.pmod(F.crc32(F.col(c)), F.lit(BUCKETS)).cast("int")
+def _words(text: Column, spark: SparkSession, exact: bool = True) -> Column:
+    """The distinct tokens of a text; ``exact``: texts with other than ASCII characters take the Python function."""
+    native = F.array_distinct(X.tokens(text))
+    if not exact:
+        return native
+    reachable(spark)
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, matcher.tokens_column(F.when(other, text))).otherwise(native)
 
 
-def _buckets(values: list[str]) -> list[int]:
-    return sorted({zlib.crc32(v.encode()) % BUCKETS for v in values})
+def tokens_of(units: DataFrame, exact: bool = True) -> DataFrame:
+    """``path, unit_seq, token, first, length``."""
+    words = _words(F.col("text"), units.sparkSession, exact)
+    return units.select("path", "unit_seq", F.explode(words).alias("token")).select("path", "unit_seq", "token", F.substring("token", 1, 1).alias("first"), F.length("token").alias("length"))
 
 
 def root(folder: str) -> str:
     return f"{folder}/v{INDEX_VERSION}"
 
 
-def write(units: DataFrame, files: DataFrame, sheets: DataFrame, folder: str, segment: int) -> None:
-    """One segment. ``files`` (as ``FILES``) is written last: a segment without it doesn't count."""
-    at = root(folder)
-    units.repartition("path").sortWithinPartitions("path", "unit_seq").write.mode("overwrite").parquet(f"{at}/units/segment={segment}")
-    sheets.write.mode("overwrite").parquet(f"{at}/sheets/segment={segment}")
-    held = units.sparkSession.read.schema(units.schema).parquet(f"{at}/units/segment={segment}")
-    for name, df, key in (("grams", grams_of(held), "gram"), ("tokens", tokens_of(held), "first")):
-        # The second key splits a frequent gram's rows over tasks.
-        dealt = df.withColumn("bucket", _bucket(key)).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8)))
-        dealt.sortWithinPartitions("bucket", key, "path").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}/segment={segment}")
-    files.select(*(f.name for f in T._parse_datatype_string(FILES).fields)).write.mode("overwrite").parquet(f"{at}/files/segment={segment}")
-
-
-def _table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str) -> DataFrame:
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    full = T.StructType([*kind.fields, T.StructField("segment", T.IntegerType())])
-    return spark.read.schema(full).parquet(f"{root(folder)}/{name}")
-
-
-def exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(folder)}/files")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def write(units: DataFrame, files: DataFrame, sheets: DataFrame, store: Store, segment: int) -> int:
+    """One segment, which counts when a manifest names it; what a killed writer left there is overwritten. Returns its size."""
+    at = store.folder(segment)
+    spark = units.sparkSession
+    dealt = units.select(*model.UNIT.names).repartitionByRange("path", "unit_seq").sortWithinPartitions("path", "unit_seq")
+    numbered = dealt.withColumn("unit_no", F.monotonically_increasing_id())
+    # As many blocks of rows as zones, so that the few units of a look-up are a small part of a file.
+    numbered.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).option("compression", "zstd").parquet(f"{at}/units")
+    held = spark.read.schema(NUMBERED).parquet(f"{at}/units")
+    postings.write(held, _words(F.col("text"), spark), X.loose("text"), f"{at}/postings")
+    sheets.select(*model.SHEET.names).write.mode("overwrite").parquet(f"{at}/sheets")
+    files.select(*_FILE.names).write.mode("overwrite").parquet(f"{at}/files")
+    return held.count() + spark.read.schema(_FILE).parquet(f"{at}/files").where("gone").count()
+
+
+class Index:
+    """An index as one manifest names it; it stays readable while others are written, for the grace time."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.store = spark, Store(spark, root(folder))
+        self.manifest = self.store.read() or Manifest()
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table of all live segments, with the number of each."""
+        out = None
+        for s in self.manifest.segments:  # a few, by the tiers
+            one = self.spark.read.schema(schema).parquet(f"{self.store.folder(s.id)}/{name}").withColumn("segment", F.lit(s.id))
+            out = one if out is None else out.union(one)
+        return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("segment", T.IntegerType())])) if out is None else out
+
+    def latest(self) -> DataFrame:
+        """Each file's last state, gone ones included, with the segment that tells it. Newer segments have higher numbers."""
+        every = self._table("files", _FILE)
+        return every.groupBy("path").agg(F.max_by(F.struct(*(c for c in every.columns if c != "path")), "segment").alias("f")).select("path", "f.*")
+
+    def files(self) -> DataFrame:
+        """The live files, with the ``segment`` that holds their rows."""
+        return self.latest().where("not gone")
+
+    def _live(self, name: str, schema: T.StructType) -> DataFrame:
+        return self._table(name, schema).join(self.files().select("path", "segment"), ["path", "segment"], "left_semi")
+
+    def units(self) -> DataFrame:
+        return self._live("units", NUMBERED).select(*model.UNIT.names)
+
+    def sheets(self) -> DataFrame:
+        return self._live("sheets", model.SHEET).drop("segment")
+
+    def postings(self) -> DataFrame:
+        return self._table("postings", _POSTING)
+
+    def file_units(self, path: str) -> DataFrame:
+        """All units of one file, in their order: the filter reaches the scan."""
+        return self.units().where(F.col("path") == path).orderBy("unit_seq")
+
+    def pages(self, term: Term) -> DataFrame | None:
+        """``segment, page`` that can hold a candidate of a fuzzy search; None if the index can't tell."""
+        wanted = wanted_grams(term)
+        if not wanted:
+            return None
+        blocks = self.postings()
+        found = postings.holding_all(blocks, wanted)
+        if len(term.tokens) == 1 or term.typo:
+            firsts = [*(t[0] for t in term.tokens if t), *(term.typo or "")[:1]]
+            found = found.union(postings.holding_any(blocks, firsts, _token_test(term, F.col("key"), F.substring("key", 1, 1), F.length("key"))))
+        return found.distinct()
+
+    def candidates(self, term: Term) -> DataFrame:
+        """Units that can match: the units of the pages found, judged one by one by the same test as ``candidate``. Terms without
+        grams, or with separators, keep all units."""
+        pages = self.pages(term)
+        if pages is None:
+            return self.units()
+        pages = Scratch(self.spark, "pages").save(pages, "pages")
+        zones = pages.select("segment", F.shiftright("page", postings.ZONE_BITS).alias("zone")).distinct().limit(FEW_ZONES + 1).collect()
+        units = self._live("units", NUMBERED).withColumn("page", F.shiftright("unit_no", postings.PAGE_BITS))
+        if len(zones) <= FEW_ZONES:  # then the scan reads these zones' blocks of rows alone
+            size = postings.PAGE_BITS + postings.ZONE_BITS
+            near = F.lit(False)
+            for segment, first, last in _runs(sorted((r.segment, r.zone) for r in zones)):
+                near = near | ((F.col("segment") == segment) & F.col("unit_no").between(first << size, ((last + 1) << size) - 1))
+            units = units.where(near)
+        held = units.join(pages, ["segment", "page"], "left_semi")
+        return held.where(_test(term, X.loose("text"), _words(F.col("text"), self.spark))).select(*model.UNIT.names)
+
+
+def _runs(zones: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Segment, first and last zone of each run of neighbours."""
+    out: list[tuple[int, int, int]] = []
+    for s, z in zones:
+        if out and out[-1][0] == s and out[-1][2] == z - 1:
+            out[-1] = (s, out[-1][1], z)
+        else:
+            out.append((s, z, z))
+    return out
 
 
 def indexed(spark: SparkSession, folder: str) -> DataFrame:
-    """The live files of an index, with the ``segment`` that holds their rows."""
-    every = _table(spark, folder, "files", FILES)
-    latest = every.groupBy("path").agg(F.max_by(F.struct(*(c for c in every.columns if c != "path")), "segment").alias("f")).select("path", "f.*")
-    return latest.where("not gone")
+    return Index(spark, folder).files()
 
 
-def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Units, grams, tokens and sheets of the live files."""
-    live = indexed(spark, folder).select("path", "segment")
-    of = lambda name, schema: _table(spark, folder, name, schema).join(live, ["path", "segment"], "left_semi").drop("segment")
-    grams = "path string, unit_seq int, n int, gram string, bucket int"
-    tokens = "path string, unit_seq int, token string, first string, length int, bucket int"
-    return of("units", model.UNIT), of("grams", grams), of("tokens", tokens), of("sheets", model.SHEET)
+def clear(spark: SparkSession, folder: str) -> None:
+    remove(spark, root(folder))
 
 
-def file_units(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    """All units of one indexed file, in their order: the filter reaches the scan."""
-    units, _, _, _ = read(spark, folder)
-    return units.where(F.col("path") == path).orderBy("unit_seq")
+def commit(spark: SparkSession, folder: str, units: DataFrame, files: DataFrame, sheets: DataFrame, stream: tuple[str, int] | None = None) -> Manifest:
+    """Adds a segment and swaps the manifest; ``stream``: a micro-batch's stream and number, noted by the same swap."""
+    store = Store(spark, root(folder))
+    now = store.read() or Manifest()
+    new = now.with_segment(write(units, files, sheets, store, now.next))
+    if stream:
+        new = replace(new, batches=now.batches | dict([stream]))
+    return store.commit(new)
 
 
-def clear(spark: SparkSession, folder: str) -> None:
-    remove(spark, root(folder))
+def compact(spark: SparkSession, folder: str, grace: float = GRACE, largest: int = LARGEST) -> Manifest:
+    """Merges the newest segments until each is at least twice the next, and removes what was replaced before the grace time.
+
+    Only live rows are copied. A tombstone stays while an older segment holds its file.
+    """
+    store = Store(spark, root(folder))
+    while True:
+        of = Index(spark, folder)
+        m = of.manifest
+        at = due([s.size for s in m.segments], largest)
+        if at is None:
+            return store.sweep(m, grace)
+        merged = [s.id for s in m.segments[at:]]
+        latest = of.latest().where(F.col("segment").isin(merged))
+        older = of._table("files", _FILE).where(~F.col("segment").isin(merged)).select("path").distinct()
+        files = latest.where("not gone").union(latest.where("gone").join(older, "path", "left_semi"))
+        part = lambda name, schema: of._live(name, schema).where(F.col("segment").isin(merged))
+        size = write(part("units", NUMBERED), files, part("sheets", model.SHEET), store, m.next)
+        store.commit(m.with_segment(size, tuple(merged)))
 
 
 def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: int, again=None) -> tuple[DataFrame, DataFrame, int, int, list[DataFrame]]:
@@ -118,36 +205,50 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: i
     made after they were read, differs, aren't cached: the next search reads them again. A damaged index is dropped and
     made anew; folders of other versions are never read.
     """
-    try:
-        held = indexed(spark, folder) if exists(spark, folder) else None
-        if held is not None:
-            segment = (_table(spark, folder, "files", FILES).agg(F.max("segment")).first()[0] or 0) + 1  # of tombstones, too
-            read(spark, folder)[0].limit(1).count()
-    except (PySparkException, Py4JJavaError):  # a damaged index
-        clear(spark, folder)
-        held = None
+    held = Index(spark, folder) if sound(spark, folder) else None
     if held is None:
-        for old in range(1, INDEX_VERSION):  # what earlier versions wrote is never read again
+        for old in range(1, INDEX_VERSION + 1):  # what earlier versions wrote is never read again
             remove(spark, f"{folder}/v{old}")
-        held, segment = spark.createDataFrame([], FILES + ", segment int"), 1
-    told = freshness(files, held, bits).persist()
+        held = Index(spark, folder)
+    live = held.files()
+    told = freshness(files, live, bits).persist()
     stale, reused = told.where("not reuse").drop("reuse"), told.where("reuse").drop("reuse")
     n_stale, n_reused = told.agg(F.count_if(~F.col("reuse")), F.count_if("reuse")).first()
     units, sheets, issues = extract(stale)
     units, issues = units.persist(), issues.persist()
-    gone = missing(held, files).select("path", "file_type", "size", "modified_ns", "version", "scope", F.lit(True).alias("gone"))
+    gone = tombstones(missing(live, files))
     clean = stale.join(issues.select("path").distinct(), "path", "left_anti")
     if again is not None:
         units.count(), issues.count()  # the files are read before they are listed again
         clean = clean.join(again().select("path", "size", "modified_ns"), ["path", "size", "modified_ns"], "left_semi")
     fresh_ = clean.select("path", "file_type", "size", "modified_ns", F.lit(EXTRACTION_VERSION).alias("version"), F.lit(bits).alias("scope"), F.lit(False).alias("gone"))
-    if n_stale or gone.limit(1).count():
+    # Rows of a file that is read again but not cached would be an old version's.
+    lost = tombstones(live.join(stale.select("path"), "path", "left_semi").join(clean.select("path"), "path", "left_anti"))
+    # The segments that are read below stay for the grace time, whatever is merged.
+    stored = held.units().join(reused.select("path"), "path", "left_semi") if n_reused else units.limit(0)
+    state = fresh_.union(gone).union(lost).persist()
+    if state.limit(1).count():
         keep = clean.select("path")
-        write(units.join(keep, "path", "left_semi"), fresh_.union(gone), sheets.join(keep, "path", "left_semi"), folder, segment)
-    stored = read(spark, folder)[0].join(reused.select("path"), "path", "left_semi") if n_reused else units.limit(0)
+        commit(spark, folder, units.join(keep, "path", "left_semi"), state, sheets.join(keep, "path", "left_semi"))
+        compact(spark, folder)
+    state.unpersist()
     return units.unionByName(stored), issues, n_stale, n_reused, [told, units, issues]
 
 
+def sound(spark: SparkSession, folder: str) -> bool:
+    """Whether the index is there and can be read."""
+    try:
+        of = Index(spark, folder)
+        of.files().count(), of.units().limit(1).count()
+        return of.manifest.version > 0
+    except (PySparkException, Py4JJavaError, ValueError):
+        return False
+
+
+def tombstones(live: DataFrame) -> DataFrame:
+    return live.select("path", "file_type", "size", "modified_ns", "version", "scope", F.lit(True).alias("gone"))
+
+
 def wanted_grams(term: Term, fuzzy: bool = True) -> list[str]:
     """The grams that every match of a term holds, at most three; none for standard searches and terms with separators."""
     n = 3 if len(term.loose) >= 3 else 2
@@ -166,36 +267,20 @@ def _token_test(term: Term, token, first, length) -> Column:
     return ok
 
 
-def candidate(text: str, term: Term, fuzzy: bool = True) -> Column:
-    """Whether a unit can match, judged on its text without an index: the same test as ``candidates``, for ASCII tokens."""
-    wanted = wanted_grams(term, fuzzy)
-    if not wanted:
-        return F.lit(True)
-    loose, ok = X.loose(text), F.lit(True)
-    for g in wanted:
+def _test(term: Term, loose: Column, words: Column) -> Column:
+    """Whether a unit has the first three grams of the term, or its token, or one a typing error away."""
+    ok = F.lit(True)
+    for g in wanted_grams(term):
         ok = ok & loose.contains(g)
     if len(term.tokens) == 1 or term.typo:
-        ok = ok | F.exists(X.tokens(text), lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t)))
+        ok = ok | F.exists(words, lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t)))
     return ok
 
 
-def candidates(units: DataFrame, grams: DataFrame, tokens: DataFrame, term: Term, fuzzy: bool = True) -> DataFrame:
-    """Units that can match, by look-ups in an index: those with the first three grams of the term, or with its token, or with one a
-    typing error away. Standard searches, and terms without grams or with separators, keep all units."""
-    wanted = wanted_grams(term, fuzzy)
-    if not wanted:
-        return units
-    key = ["path", "unit_seq"]
-    there = grams.where(F.col("gram").isin(*wanted))
-    if "bucket" in grams.columns:
-        there = there.where(F.col("bucket").isin(*_buckets(wanted)))
-    ids = there.groupBy(*key).agg(F.countDistinct("gram").alias("k")).where(F.col("k") == len(wanted)).select(*key)
-    if len(term.tokens) == 1 or term.typo:
-        some = tokens.where(_token_test(term, F.col("token"), F.col("first"), F.col("length")))
-        if "bucket" in tokens.columns:
-            some = some.where(F.col("bucket").isin(*_buckets([*(t[0] for t in term.tokens), *(term.typo or "")[:1]])))
-        ids = ids.union(some.select(*key))
-    return units.join(ids.distinct(), key, "left_semi")
+def candidate(text: str, term: Term, fuzzy: bool = True) -> Column:
+    """Whether a unit can match, judged on its text without an index: the same test as ``Index.candidates``, for ASCII tokens. Standard
+    searches, and terms without grams or with separators, keep all units."""
+    return _test(term, X.loose(text), X.tokens(text)) if wanted_grams(term, fuzzy) else F.lit(True)
 
 
 def freshness(files: DataFrame, indexed: DataFrame, bits: int) -> DataFrame:

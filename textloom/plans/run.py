@@ -99,10 +99,9 @@ def search_files(spark: SparkSession, request: SearchRequest, index_folder: str
     else:
         of = units
         if index_folder and request.fuzzy:
-            kept, grams, tokens, _ = index.read(spark, index_folder)
-            live = kept.join(files.select("path"), "path", "left_semi")
-            rest = units.join(index.indexed(spark, index_folder).select("path"), "path", "left_anti")
-            of = index.candidates(live, grams, tokens, Term(spec.text)).unionByName(rest)
+            stored_ = index.Index(spark, index_folder)
+            live = stored_.candidates(Term(spec.text)).join(files.select("path"), "path", "left_semi")
+            of = live.unionByName(units.join(stored_.files().select("path"), "path", "left_anti"))
         hits = evidence = search.plain(of, spec.text, request.fuzzy)
     term_key = X.fold("term") if "term" in evidence.columns else F.lit("query")
     keyed = evidence.select("path", term_key.alias("term_key"), F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind")

@@ -1,4 +1,4 @@
-"""Structured Streaming variants: a stateless search over a stream of texts, and incremental indexing by micro-batches."""
+"""Structured Streaming variants: a stateless search over a stream of texts, and exactly-once indexing by micro-batches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import search
+from textloom.model import EXTRACTION_VERSION, SHEET
+from textloom.operators import index, search
+from textloom.session import Scratch
 from textloom.sources.files import line_units
 
 #: Results are handed on in batches of so many.
@@ -47,9 +49,36 @@ def flush_batches(hits: DataFrame, send: Callable[[list], None], checkpoint: str
     return hits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_index(units: DataFrame, write: Callable[[DataFrame], None], checkpoint: str):
-    """Extends an index by the units of each micro-batch."""
-    return units.writeStream.foreachBatch(lambda batch, _: write(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-__all__ = ["F", "flush_batches", "merge_index", "run_available", "stream_search", "stream_units"]
+def index_batch(batch: DataFrame, number: int, folder: str, stream: str = "files", listing: Callable[[], DataFrame] | None = None, units_of=line_units) -> bool:
+    """Adds one micro-batch of files ``path, file_type, size, modified_ns, text`` to an index, exactly once; whether it did.
+
+    The segment, its tombstones and the batch's number come into being by one swap of the manifest. A batch that is played again
+    after that changes nothing; before, it writes the same segment anew. Of a path that comes more than once the state of the latest
+    time counts (of equal times the larger text). ``listing()`` gives the paths that there are; indexed files that are missing there
+    are gone. Null texts have no units; null paths are no files.
+    """
+    spark = batch.sparkSession
+    held = index.Index(spark, folder)
+    if held.manifest.batches.get(stream, -1) >= number:
+        return False
+    files = batch.where("path is not null").groupBy("path").agg(F.max_by(F.struct("file_type", "size", "modified_ns", "text"), F.struct("modified_ns", "text")).alias("f")).select("path", "f.*")
+    files = Scratch(spark, "batch").save(files, "files")
+    state = files.select("path", "file_type", "size", "modified_ns", F.lit(EXTRACTION_VERSION).alias("version"), F.lit(index.scope_bits(False, False)).alias("scope"), F.lit(False).alias("gone"))
+    if listing is not None:
+        there, live = listing().select("path").distinct(), held.files()
+        files = files.join(there, "path", "left_semi")
+        gone = live.join(there, "path", "left_anti").join(state.select("path"), "path", "left_anti")
+        state = state.join(there, "path", "left_semi").union(index.tombstones(gone.union(live.join(state.join(there, "path", "left_anti").select("path"), "path", "left_semi"))))
+    index.commit(spark, folder, units_of(files, F.col("path")), state, spark.createDataFrame([], SHEET), (stream, number))
+    index.compact(spark, folder)
+    return True
+
+
+def index_stream(files: DataFrame, folder: str, checkpoint: str, stream: str = "files", listing: Callable[[], DataFrame] | None = None):
+    """Indexes a stream of files by micro-batches, each exactly once, whatever is stopped and begun again: the checkpoint numbers the
+    batches, the manifest knows which are in."""
+    each = lambda batch, number: index_batch(batch, number, folder, stream, listing)
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+__all__ = ["F", "flush_batches", "index_batch", "index_stream", "run_available", "stream_search", "stream_units"]
