@@ -4,16 +4,22 @@ Pages of one host and one layout (the same set of containers and classes) form a
 gives the wrapper's tree. All other pages of the cluster, copies once, are aligned with it by simple tree matching (the
 order-preserving match of equal tags that holds most nodes, by dynamic programming over children); over all of them, each
 node of the wrapper sums up how many pages have it, its words, its words in links, and each bit of its text's hash. A node
-whose text is the same on nearly all its pages is template: the bits name that text. A node whose text varies is a slot: content,
-unless nearly all its words over all pages are links.
+whose text is the same on nearly all its pages is template; a node whose text varies is a slot.
 
-Each page is then parsed whole and aligned with its wrapper. Its main text is that of its main or article elements, or else of
-the whole page, less: nodes with a template's text, nodes aligned with a slot of links, and what tag, role or class names as a menu,
-header, footer, sidebar, notice, advert, form or comments (such parts vary from page to page on many sites, where alignment
-alone would take them for content). Blocks are joined by line breaks.
+Slots are ranked by their varying text. From the root the wrapper follows, as long as one container holds ``DOMINANT`` of the varying words
+that its parent holds, that container; where it stops is the content. Beside this way stand the other slots: headings, paragraphs and
+the like that vary belong to the article; template, slots of links, lists, and containers of less than ``MAJOR`` of the content's words
+(menus, adverts, footers, teasers, comments) don't. Constant text inside the content is the article's own, but for what stands before
+the first or after the last varying block of a content that isn't an article or main element.
 
-A cluster needs ``LEAST_PAGES`` different pages. Pages of smaller clusters take the wrapper of their host's largest cluster, and those
-of hosts without one have only their tags, roles and classes.
+Each page is then parsed whole and aligned with the wrapper along this way. What only this page has stays if it has paragraphs or headings
+of its own and isn't made of links. Inside the content, tags that are never text (scripts, forms, navigation, asides) go, and what a
+class names as an advert or comments, unless it is nearly all of the page. Blocks are joined by line breaks.
+
+A cluster needs ``LEAST_PAGES`` different pages. Pages of smaller clusters take the wrapper of their host's largest cluster. Pages of
+hosts without one, and those that lack the wrapper's content, have only their tags, roles and classes: their text is that of the
+main or article elements (not of articles that are less than half as long as the longest), and of headings and paragraphs beside
+them, or else of the whole page.
 
 Scale: a cluster's statistics are sums, made first in each task, so that a host with a third of all pages is no burden to any;
 wrappers are a few KB a cluster and meet the pages by a broadcast of measured size, or else by a join on host, layout and salt.
@@ -42,6 +48,10 @@ from textloom.llm._store import Scratch, bounded_batches, small
 LEAST_PAGES, SALTS = 3, 64
 #: Shares from which a text is a template's, and words are mostly links.
 CONSTANT, LINKS = 0.8, 0.6
+#: Share of its parent's varying words with which a container is followed, and of the content's with which one beside it is kept.
+DOMINANT, MAJOR = 0.6, 0.25
+#: Share of a page's words from which on a container is its text, whatever its class says.
+WHOLE = 0.9
 #: Cells of a table of the alignment that are in memory at once; shapes and clusters that a worker remembers.
 CELLS, SHAPES, CLUSTERS = 4_000_000, 300_000, 2000
 
@@ -60,6 +70,12 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond related recommended widget pagination pager toolbar skip".split())
 _BEFORE = frozenset("nav navbar menu site page header footer sidebar ad ads advert cookie consent gdpr newsletter share social comment comments promo sponsor related recommended breadcrumb".split())
 _CONTAINERS = frozenset("header box container wrapper wrap bar list area block section slot unit links items form inner outer left right top bottom posts stories articles content panel nav row thread overlay".split())
+# Names that are also ordinary words: alone, they count only as the first class.
+_AMBIGUOUS = frozenset("share sharing reply replies respond related recommended notice notices banner social comment promo skip popup".split())
+# Tags of running text: never followed as containers, and not judged by their class; those of them that can stand beside the content.
+_BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre table figure".split())
+_FLOW = _BESIDE | frozenset("ul ol dl details address hr".split())
+_INNER = _BESIDE | frozenset("li dt dd td th tr tbody thead caption figcaption summary a b i em strong code q cite small sup sub br".split())
 _SPACE = re.compile(r"[\s\xa0]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 
@@ -125,15 +141,18 @@ def parse(text: str) -> Node:
 
 def named_boilerplate(value: str) -> bool:
     """Whether a class or id names something else than the article: ``menu``, ``main-menu``, ``ad-slot``, but not ``related-work``."""
-    for token in value.split():
+    for at, token in enumerate(value.split()):
         parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        if at and len(parts) == 1 and parts[0] in _AMBIGUOUS:
+            continue
         if parts and (token in ("header", "site-header") or parts[-1] in _NAMES or len(parts) > 1 and parts[0] in _BEFORE and all(p in _CONTAINERS for p in parts[1:])):
             return True
     return False
 
 
-def boilerplate(node: Node, inside: bool = False) -> bool:
-    """Whether tag, role or class say that a node isn't the article's text; ``inside`` an article or main a header is its own."""
+def boilerplate(node: Node, inside: bool = False, most: float = float("inf")) -> bool:
+    """Whether tag, role or class say that a node isn't the article's text; ``inside`` an article or main a header is its own. A class
+    says so only of containers of up to ``most`` words."""
     if node.tag in _DROPPED and not (inside and node.tag == "header"):
         return True
     if not node.attrs:
@@ -142,13 +161,13 @@ def boilerplate(node: Node, inside: bool = False) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and node.tag not in ("article", "main", "body", "html") and not (inside and node.tag == "header") and named_boilerplate(value):
+        if name in ("class", "id") and node.words <= most and node.tag not in ("article", "main", "body", "html") and node.tag not in _INNER and not (inside and node.tag == "header") and named_boilerplate(value):
             return True
     return bool(_HIDDEN.search(node.attrs)) or "display:none" in node.attrs.replace(" ", "")
 
 
-def blocks(node: Node, skip=lambda node: False, inside: bool = False) -> list[str]:
-    """Text of the blocks under ``node`` in page order, without boilerplate and what ``skip`` names."""
+def blocks(node: Node, most: float = float("inf"), inside: bool = False) -> list[str]:
+    """Text of the blocks under ``node`` in page order, without boilerplate; ``most`` as there."""
     out: list[str] = []
     now: list[str] = []
 
@@ -165,7 +184,7 @@ def blocks(node: Node, skip=lambda node: False, inside: bool = False) -> list[st
             now.append(x)
         elif x is None:
             flush()
-        elif not boilerplate(x, within) and not skip(x):
+        elif x is node or not boilerplate(x, within, most):
             if x.tag in _BLOCK:
                 flush()
                 work.append((None, within))
@@ -362,18 +381,37 @@ class Statistics:
 
 
 def wrapper_of(rows: list[list], n: np.ndarray, words: np.ndarray, links: np.ndarray, bits: np.ndarray) -> dict:
-    """The tree; the texts (as hashes) that are template; and the slots of links. A text that holds in a share ``p`` of the pages sets
-    each of its bits in ``(1 + p) / 2`` of them, as the others' bits are even."""
+    """The tree; the way from its root to the content; of the nodes beside the way and inside the content, which are template
+    (``fixed``) and which are no part of an article (``minor``). A text that holds in a share ``p`` of the pages sets each of its
+    bits in ``(1 + p) / 2`` of them, as the others' bits are even."""
     many = np.maximum(n, 1)
     share = 2 * (np.maximum(bits, many[:, None] - bits) / many[:, None]).mean(axis=1) - 1
     fixed = (n >= LEAST_PAGES) & (share >= CONSTANT)
-    text = ((bits * 2 > many[:, None]) << np.arange(32)).sum(axis=1)
-    linked = (n >= LEAST_PAGES) & ~fixed & (links >= LINKS * words) & (words > 0) & np.array([r[0] in _BLOCK for r in rows])
-    return {"tree": rows, "fixed": sorted({int(t) for t in text[fixed]}), "links": np.flatnonzero(linked).tolist()}
+    linked = (n >= LEAST_PAGES) & ~fixed & (links >= LINKS * words) & (words > 0)
+    below: list[list[int]] = [[] for _ in rows]
+    varying = (words - links).astype(np.int64)
+    for i in range(len(rows) - 1, -1, -1):  # children have higher numbers
+        for j in below[i]:
+            varying[i] -= (words[j] - links[j]) - varying[j]
+        if fixed[i]:
+            varying[i] = 0
+        if rows[i][2] >= 0:
+            below[rows[i][2]].append(i)
+    way = [0]
+    while True:
+        kept = [j for j in below[way[-1]] if rows[j][0] not in _FLOW and rows[j][0] not in _INNER and rows[j][0] in _BLOCK | {"html", "body"}]
+        first = max(kept, key=lambda j: (varying[j], -j), default=-1)
+        if first < 0 or not varying[first] or varying[first] < DOMINANT * varying[way[-1]]:
+            break
+        way.append(first)
+    there = [j for i in way for j in below[i] if j not in way]
+    least = MAJOR * varying[way[-1]]
+    minor = [j for j in there if linked[j] or rows[j][0] not in (_FLOW if rows[j][2] == way[-1] else _BESIDE) and varying[j] < least]
+    return {"tree": rows, "way": way if varying[way[-1]] else [], "fixed": [j for j in there if fixed[j]], "minor": minor}
 
 
 def content(tree: Node) -> list[Node]:
-    """The page's main elements, else its outermost articles, else the whole page."""
+    """The page's main elements, else its outermost articles but for those much shorter than the longest, else the whole page."""
     for tag in ("main", "article"):
         found, work = [], [tree]
         while work:
@@ -383,40 +421,117 @@ def content(tree: Node) -> list[Node]:
             else:
                 work.extend(y for y in reversed(elements(x)) if x.tag == "#root" or not boilerplate(x))
         if found:
-            return found
+            longest = max(x.words for x in found)
+            return [x for x in found if 2 * x.words >= longest]
     return [tree]
 
 
+def flowing(node: Node) -> bool:
+    """Whether a node is or holds running text that isn't mostly links, and isn't a row of equal parts."""
+    if node.links >= LINKS * node.words and node.words or boilerplate(node):
+        return False
+    if node.tag in _BESIDE:
+        return True
+    under = elements(node)
+    if node.tag in _FLOW or len(under) > 1 and under[0].tag not in _FLOW and len({label(x) for x in under}) == 1:
+        return False
+    return any(x.tag in _BESIDE or x.tag not in _INNER and x.tag not in _FLOW and flowing(x) for x in under)
+
+
+def beside(tree: Node, kept: list[Node]) -> Node:
+    """``kept`` elements with the headings and paragraphs that stand beside the way to them, as one tree."""
+    ids, holds = {id(x) for x in kept}, set()
+
+    def mark(x: Node) -> bool:
+        found = id(x) in ids
+        for y in elements(x):
+            found = mark(y) or found
+        if found:
+            holds.add(id(x))
+        return found
+
+    mark(tree)
+
+    def cut(x: Node) -> Node:
+        if id(x) in ids:
+            return x
+        out = Node("div")
+        for y in elements(x):
+            if id(y) in holds:
+                out.children.append(cut(y))
+            elif y.tag in _BESIDE and flowing(y):
+                out.children.append(y)
+        return out
+
+    return cut(tree)
+
+
+def trimmed(node: Node, of: dict[int, int], fixed: frozenset, minor: frozenset) -> Node:
+    """The content's children from the first block of the article to the last."""
+    children = node.children
+    is_own = lambda y: isinstance(y, Node) and y.hash and of.get(id(y)) not in fixed and of.get(id(y)) not in minor and not boilerplate(y) and (y.tag in _FLOW or id(y) in of or flowing(y))
+    own = [i for i, y in enumerate(children) if is_own(y)]
+    out = Node("article")
+    if not own or any(isinstance(y, str) and y.strip() for y in children):  # text of its own: nothing to go by
+        out.children = [y for y in children if isinstance(y, str) or of.get(id(y)) not in minor]
+    else:
+        out.children = children[own[0] : own[-1] + 1]
+    return out
+
+
 class Extractor:
     """Extracts pages; remembers shapes and wrappers within bounds."""
 
     def __init__(self):
         self.shapes = Shapes()
-        self.held: dict[str, tuple[Skeleton, frozenset, frozenset]] = {}
+        self.held: dict[str, tuple[Skeleton, list[int], frozenset, frozenset]] = {}
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # a page may nest as deep as it is long
 
     def bounded(self) -> None:
         if len(self.shapes.parts) > SHAPES or len(self.shapes.sizes) > SHAPES or len(self.held) > CLUSTERS:
             self.__init__()
 
-    def wrapper(self, told: str) -> tuple[Skeleton, frozenset, frozenset]:
+    def wrapper(self, told: str) -> tuple[Skeleton, list[int], frozenset, frozenset]:
         if told not in self.held:
             w = json.loads(told)
-            self.held[told] = Skeleton(w["tree"], self.shapes), frozenset(w.get("fixed", ())), frozenset(w.get("links", ()))
+            self.held[told] = Skeleton(w["tree"], self.shapes), w.get("way", []), frozenset(w.get("fixed", ())), frozenset(w.get("minor", ()))
         return self.held[told]
 
     def text(self, page: str, told: str | None) -> str:
         self.bounded()
-        tree = parse(page)
-        gone: set[int] = set()
-        fixed: frozenset = frozenset()
-        if told is not None:
-            of, fixed, links = self.wrapper(told)
-            measured(tree, self.shapes)
-            if links:
-                gone = {id(x) for i, x in of.matched(tree, self.shapes, links) if i in links and x.links >= LINKS * x.words}
-        skip = lambda x: id(x) in gone or x.hash in fixed and x.tag in _BLOCK
-        return "\n".join(b for x in content(tree) for b in blocks(x, skip))
+        tree = measured(parse(page), self.shapes)
+        found = self.induced(tree, told) if told is not None else None
+        if found is None:
+            found = beside(tree, content(tree))
+        return "\n".join(blocks(found, WHOLE * tree.words))
+
+    def induced(self, tree: Node, told: str) -> Node | None:
+        """The page's content and what belongs to it beside the way, by its wrapper; None if the page has no such content."""
+        skeleton_, way, fixed, minor = self.wrapper(told)
+        near = frozenset(j for i in way for j in skeleton_.below[i])
+        pairs = skeleton_.matched(tree, self.shapes, near | frozenset(way))
+        at, of = dict(pairs), {id(x): i for i, x in pairs}
+        if not way or way[-1] not in at:
+            return None
+        depth = {id(at[i]): k for k, i in enumerate(way)}
+        last = at[way[-1]]
+
+        def stays(y: Node) -> bool:
+            i = of.get(id(y))
+            if i is not None and (i in fixed or i in minor):
+                return False
+            if y.tag in ("article", "main"):
+                return 2 * y.words >= last.words
+            return flowing(y) if i is None else not boilerplate(y) and not (y.words and y.links >= LINKS * y.words)
+
+        def cut(x: Node) -> Node:
+            if x is last:
+                return x if x.tag in ("article", "main") else trimmed(x, of, fixed, minor)
+            out = Node("div")
+            out.children = [cut(y) if id(y) in depth else y for y in elements(x) if id(y) in depth or stays(y)]
+            return out
+
+        return cut(tree)
 
 
 def extract(page: str, wrapper: dict | None) -> str:
