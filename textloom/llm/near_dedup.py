@@ -2,11 +2,13 @@
 
 1. One pass makes each document's shingle set, its digest, its one-permutation signature and band keys.
 2. Documents of equal sets form a class by digest; only the class's smallest id goes on, so thousands of copies cost one row.
-3. In each bucket of several blocks a star is drawn around the smallest id: candidate pairs grow with the bucket's size, never with
-   its square. What passes the comparison on the sets' hashes cut to 32 bits (which never hides a link) is joined.
-4. In every bucket each pair of ids that aren't joined yet is compared likewise: large buckets in blocks, a block pair to a group
-   of rows, and of the pairs that pass only as many come out as join the group's components. So each pair that shares a bucket
-   is in one component, or known to be no link.
+3. In each bucket a star is drawn around its smallest id, the hub. Stars of one hub are one: a row for each different pair of hub and
+   id, however many buckets they share, so candidate rows grow with the buckets' sizes, never with their squares, and a set
+   travels once for each of its hubs. The hub is compared with all ids of its star, on the sets' hashes cut to 32 bits (which never
+   hides a link), and what passes is joined.
+4. In every star each pair of ids that aren't joined yet is compared likewise: a star of more than a block beforehand along its edges
+   and then in blocks, a block pair to a group of rows; of the pairs that pass only as many come out as join the group's
+   components. So each pair that shares a bucket is in one component, or known to be no link.
 5. All links are confirmed on full sets, rebuilt from the texts of just these documents. Where one fails there, 3 and 4 are gone
    over again without it, until none does. Links → connected components in the shared folder; each keeps its smallest id.
 
@@ -120,16 +122,16 @@ def cross_links(ids: list[int], parts: np.ndarray, sides: np.ndarray, sets: list
     n = np.array([len(s) for s in sets])
     high = [(s >> np.uint32(16)).astype(np.uint16) for s in sets]
     every, offsets = np.concatenate(high), np.cumsum(n) - n
-    names, counts = np.unique(parts, return_counts=True)
-    main = parts == names[counts.argmax()]  # of two parts at most one is this: its ids need not look for others
     two, table, places = sides.min() != sides.max(), np.zeros(1 << 16, dtype=bool), np.arange(m)
-    for x in np.flatnonzero(~main).tolist():
-        near = (parts != parts[x]) & (main | (places > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+
+    def star(x: int, others: np.ndarray) -> None:
+        """Compares ``x`` with those of ``others`` that may link with it."""
+        near = (parts != parts[x]) & others & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
         if two:
             near &= sides != sides[x]
         near = np.flatnonzero(near)
         if not len(near):
-            continue
+            return
         table[high[x]] = True
         if 8 * len(near) > m:
             common = np.add.reduceat(table[every], offsets, dtype=np.int64)[near]
@@ -142,6 +144,13 @@ def cross_links(ids: list[int], parts: np.ndarray, sides: np.ndarray, sets: list
                 if may_link(sets[x], sets[y], percent):
                     out.append(pair)
                     parts[parts == parts[y]] = parts[x]
+
+    hub = int(np.argmin(ids))
+    star(hub, np.ones(m, dtype=bool))
+    names, counts = np.unique(parts, return_counts=True)
+    main = parts == names[counts.argmax()]  # of two parts at most one is this: its ids need not look for others
+    for x in np.flatnonzero(~main & (places != hub)).tolist():
+        star(x, (main | (places > x)) & (places != hub))
     return out
 
 
@@ -190,13 +199,15 @@ def linked(buckets: DataFrame, known: DataFrame | None, sets_of, confirmed, perc
     in 64 are ever refuted, so that few are, and a second round is rare.
     """
     spark = buckets.sparkSession
-    of = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, 4 * F.col("total") / BLOCK_BYTES)).cast("int")
-    hubs = scratch.save(of.where("hub < last").select("key", "hub", blocks.alias("n")), "hubs")
-    met = scratch.save(buckets.select("key", "id").join(hubs, "key"), "met")  # as many rows as buckets: never broadcast
+    of = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    rows = buckets.join(scratch.save(of, "hubs"), "key").groupBy("hub", "id").agg(F.max("size").alias("size"))  # as many rows as buckets: never broadcast
+    rows = scratch.save(rows, "rows")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 4 * F.sum("size") / BLOCK_BYTES)).cast("int")
+    large = scratch.save(rows.groupBy("hub").agg(blocks.alias("n")).where("n > 1"), "blocks")
+    met = scratch.save(rows.join(small(large), "hub", "left").select(F.col("hub").alias("key"), "id", F.coalesce("n", F.lit(1)).alias("n")), "met")
     sets = sets_of(scratch.save(met.select("id").distinct(), "ids"))
-    scratch.drop("hubs", "ids")
-    stars = met.where("n > 1 and hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    scratch.drop("hubs", "rows", "blocks", "ids")
+    stars = met.where("n > 1 and key < id").select(F.col("key").alias("a"), F.col("id").alias("b"))
     both = stars.join(sets.toDF("b", "held_b"), "b").join(sets.toDF("a", "held_a"), "a")
     least, most = F.least(F.length("held_a"), F.length("held_b")), F.greatest(F.length("held_a"), F.length("held_b"))
     stars = scratch.save(both.where(100 * least.cast("long") >= percent * most.cast("long")).select("a", "b", "held_a", "held_b").mapInArrow(_alike(percent), "a long, b long"), "stars")
