@@ -21,11 +21,11 @@ def _usual(c: str) -> bool:
     return c not in "\rΣς" and c.casefold() == c.lower() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and unicodedata.category(c) not in ("Mn", "Me", "Cn", "Cf")
 
 
-def _ranges() -> str:
+def _ranges(kept=_usual) -> str:
     out: list[list[int]] = []
     for low, high in _BLOCKS:
         for i in range(low, high + 1):
-            if _usual(chr(i)):
+            if kept(chr(i)):
                 if out and out[-1][1] == i - 1:
                     out[-1][1] = i
                 else:
@@ -139,6 +139,21 @@ def tokens(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(c), F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[A-Z])"), 1), F.lower)
 
 
+def _tokens_usual(c: str) -> bool:
+    return _usual(c) and unicodedata.normalize("NFKC", c) == c
+
+
+#: A character whose folding in a token isn't its lower case (but for ß).
+UNTOKENED = rf"[[^\x00-\x0C\x0E-\x7F]&&[^\r{_ranges(_tokens_usual)}ß]]"
+_LETTER = rf"[[{WORD}]&&[^0-9]]"
+_TOKEN = rf"[0-9]+|(?={_LETTER})(?:(?![a-z][A-Z]|[A-Z][A-Z][a-z]){_LETTER})*+{_LETTER}?"
+
+
+def tokens_of_scripts(c: Column | str) -> Column:
+    """Identifier tokens of a text without ``UNTOKENED`` characters, folded, as ``forms.tokens``."""
+    return F.transform(F.regexp_extract_all(col(c), F.lit(_TOKEN), F.lit(0)), lambda t: F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
+
+
 def preview(text: Column | str, start: Column, end: Column) -> Column:
     """``struct<text, truncated, start, end>``: texts of over 240 characters are cut around the match."""
     t = col(text)

@@ -42,13 +42,12 @@ def grams_of(units: DataFrame) -> DataFrame:
 
 
 def _words(text: Column, spark: SparkSession, exact: bool = True) -> Column:
-    """The distinct tokens of a text; ``exact``: texts with other than ASCII characters take the Python function."""
-    native = F.array_distinct(X.tokens(text))
+    """The distinct tokens of a text; ``exact``: of all scripts, texts with characters that fold to several by the Python function."""
     if not exact:
-        return native
+        return F.array_distinct(X.tokens(text))
     reachable(spark)
-    other = text.rlike(r"[^\x00-\x7F]")
-    return F.when(other, matcher.tokens_column(F.when(other, text))).otherwise(native)
+    other = text.rlike(X.UNTOKENED)
+    return F.when(other, matcher.tokens_column(F.when(other, text))).otherwise(F.array_distinct(X.tokens_of_scripts(text)))
 
 
 def tokens_of(units: DataFrame, exact: bool = True) -> DataFrame:
@@ -61,11 +60,16 @@ def root(folder: str) -> str:
     return f"{folder}/v{INDEX_VERSION}"
 
 
-def write(units: DataFrame, files: DataFrame, sheets: DataFrame, store: Store, segment: int) -> int:
-    """One segment, which counts when a manifest names it; what a killed writer left there is overwritten. Returns its size."""
+def write(units: DataFrame, files: DataFrame, sheets: DataFrame, store: Store, segment: int, ordered: bool = False) -> int:
+    """One segment, which counts when a manifest names it; what a killed writer left there is overwritten. Returns its size.
+
+    ``ordered``: the units of a file come together and in order, so that they needn't be shuffled.
+    """
     at = store.folder(segment)
     spark = units.sparkSession
-    dealt = units.select(*model.UNIT.names).repartitionByRange("path", "unit_seq").sortWithinPartitions("path", "unit_seq")
+    dealt = units.select(*model.UNIT.names)
+    if not ordered:
+        dealt = dealt.repartitionByRange("path", "unit_seq").sortWithinPartitions("path", "unit_seq")
     numbered = dealt.withColumn("unit_no", F.monotonically_increasing_id())
     # As many blocks of rows as zones, so that the few units of a look-up are a small part of a file.
     numbered.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).option("compression", "zstd").parquet(f"{at}/units")
@@ -166,11 +170,11 @@ def clear(spark: SparkSession, folder: str) -> None:
     remove(spark, root(folder))
 
 
-def commit(spark: SparkSession, folder: str, units: DataFrame, files: DataFrame, sheets: DataFrame, stream: tuple[str, int] | None = None) -> Manifest:
-    """Adds a segment and swaps the manifest; ``stream``: a micro-batch's stream and number, noted by the same swap."""
+def commit(spark: SparkSession, folder: str, units: DataFrame, files: DataFrame, sheets: DataFrame, stream: tuple[str, int] | None = None, ordered: bool = False) -> Manifest:
+    """Adds a segment and swaps the manifest; ``stream``: a micro-batch's stream and number, noted by the same swap. ``ordered``: see ``write``."""
     store = Store(spark, root(folder))
     now = store.read() or Manifest()
-    new = now.with_segment(write(units, files, sheets, store, now.next))
+    new = now.with_segment(write(units, files, sheets, store, now.next, ordered))
     if stream:
         new = replace(new, batches=now.batches | dict([stream]))
     return store.commit(new)

@@ -1,7 +1,7 @@
 """Posting blocks of an index: which pages of units hold a gram or a token.
 
 Units have numeric ids; ``PAGE`` neighbours are a page and ``ZONE`` pages a zone. For each key (a 2-gram or 3-gram of the loose form, or a
-token) and zone there is one block (a zone that two tasks read has one from each): its first and last page, how many pages, and the
+token) and zone there is one block (a zone that two tasks read, or that is large, has several): its first and last page, how many pages, and the
 pages themselves as deltas of one or two bytes, or as a bitmap where that is shorter. A look-up intersects the blocks zone by
 zone, the rarest key first: blocks of other keys are read only for zones in which the rarest occurs, and decoded only if their
 range of pages meets what is left. What is found is exact for pages, and judged unit by unit afterwards.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 PAGE_BITS, ZONE_BITS = 4, 12
 PAGE, ZONE = 1 << PAGE_BITS, 1 << ZONE_BITS
 BUCKETS = 64
+#: Bits of a character's number in a zone, and characters with which a zone is told early; pairs with which it is.
+POINT_BITS, MOST_POINTS, PAIRS = 17, 1 << 16, 4_000_000
 POSTING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("zone", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "n")), T.StructField("pages", T.BinaryType())])
 
 
@@ -53,71 +56,108 @@ def unpacked(block: bytes) -> np.ndarray:
     return np.cumsum(value)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and each once; many times quicker than by hashing."""
+    values = np.sort(values)
+    return values[_firsts(values)] if len(values) else values
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], values[1:] != values[:-1]))
+
+
 class _Zone:
-    """Distinct pairs of key and page of one zone, gathered batch by batch."""
+    """Distinct pairs of key and page of one zone, gathered batch by batch; a pair is one number, its low bits the page."""
 
     def __init__(self, number: int):
-        self.number = number
-        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"2": [], "3": [], "t": []}
-        self.names: dict[str, int] = {}
+        self.number, self.size = number, 0
+        self.held: dict[str, list[np.ndarray]] = {"2": [], "3": []}
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
+        self.point_ids, self.points = np.full(0x110000, -1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def add(self, kind: str, keys: np.ndarray, pages: np.ndarray) -> None:
-        order = np.lexsort((pages, keys))
-        keys, pages = keys[order], pages[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (pages[1:] != pages[:-1])
-        self.held[kind].append((keys[new], pages[new].astype(np.uint16)))
-
-    def tokens(self, words: list[str], pages: np.ndarray) -> None:
-        names = self.names
-        self.add("t", np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64), pages)
-
-    def blocks(self) -> Iterator[tuple[str, str, int, int, int, int, bytes]]:
-        words = list(self.names)
+        pairs = distinct(keys << ZONE_BITS | pages)
+        self.held[kind].append(pairs)
+        self.size += len(pairs)
+
+    def grams(self, points: np.ndarray, pages: np.ndarray, left: np.ndarray) -> None:
+        """``left``: characters from each to the end of its unit. Characters are numbered as they come."""
+        ids = self.point_ids[points]
+        if (ids < 0).any():
+            new = np.unique(points[ids < 0])
+            self.point_ids[new] = np.arange(len(self.points), len(self.points) + len(new))
+            self.points = np.concatenate([self.points, new])
+            ids = self.point_ids[points]
+        for n in (2, 3):
+            at = np.flatnonzero(left >= n)
+            key = ids[at] << POINT_BITS | ids[at + 1]
+            self.add(str(n), key << POINT_BITS | ids[at + 2] if n == 3 else key, pages[at])
+
+    def tokens(self, lists: pa.ListArray, pages: np.ndarray) -> None:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        self.words.append((lists.flatten(), np.repeat(pages, sizes)))
+        self.size += int(sizes.sum())
+
+    def names(self, n: int, keys: np.ndarray) -> list[str]:
+        ids = np.stack([keys >> POINT_BITS * i & (1 << POINT_BITS) - 1 for i in range(n - 1, -1, -1)], axis=1)
+        text = self.points[ids].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[i : i + n] for i in range(0, len(text), n)]
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
         for kind, parts in self.held.items():
-            if not parts:
-                continue
-            keys, pages = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            order = np.lexsort((pages, keys))
-            keys, pages = keys[order], pages[order].astype(np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                own = pages[a:b] if len(parts) == 1 else np.unique(pages[a:b])
-                key = int(keys[a])
-                name = words[key] if kind == "t" else "".join(chr(key >> s & 0x1FFFFF) for s in range(21 * (int(kind) - 1), -1, -21))
-                yield kind, name, self.number, int(own[0]), int(own[-1]), len(own), packed(own)
+            pairs = distinct(np.concatenate(parts)) if parts else ()
+            if len(pairs):
+                keys = pairs >> ZONE_BITS
+                yield from self._blocks(kind, keys, pairs & ZONE - 1, pa.array(self.names(int(kind), keys[_firsts(keys)])))
+        each = pa.concat_arrays([w for w, _ in self.words]).dictionary_encode() if self.words else ()
+        if len(each):
+            pairs = distinct(np.asarray(each.indices, dtype=np.int64) << ZONE_BITS | np.concatenate([p for _, p in self.words]))
+            yield from self._blocks("t", pairs >> ZONE_BITS, pairs & ZONE - 1, each.dictionary)  # numbered without gaps
+
+    def _blocks(self, kind: str, keys: np.ndarray, pages: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        """The same bytes as ``packed`` of each key's pages, made for all keys at once."""
+        first = _firsts(keys)
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(keys))
+        deltas = np.where(first, pages, pages - np.concatenate(([0], pages[:-1])))
+        wide = deltas >= 128
+        upto = np.cumsum(1 + wide + first)
+        at = upto - 1 - wide
+        blob = np.zeros(int(upto[-1]), dtype=np.uint8)
+        blob[at] = np.where(wide, 128 | deltas >> 7, deltas)
+        blob[at[wide] + 1] = deltas[wide] & 127
+        off = np.append(at[starts] - 1, len(blob)).astype(np.int32)
+        made = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(blob)])
+        dense = np.flatnonzero(np.diff(off) - 1 > ZONE // 8)
+        if len(dense):
+            other = [packed(pages[starts[i] : ends[i]]) for i in dense.tolist()]
+            made = pc.replace_with_mask(made, pa.array(np.isin(np.arange(len(starts)), dense)), pa.array(other, pa.binary()))
+        columns = [pa.array([kind] * len(starts)), names, pa.array(np.full(len(starts), self.number))]
+        columns += [pa.array(x.astype(np.int32)) for x in (pages[starts], pages[ends - 1], ends - starts)]
+        whole = pa.RecordBatch.from_arrays([*columns, made], POSTING.names)
+        for i in range(0, len(starts), 10_000):
+            yield whole.slice(i, 10_000)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``unit_no, loose, tokens`` in the order of ``unit_no`` → blocks; at most a zone's pairs are in memory."""
-    names = POSTING.names
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """``unit_no, loose, tokens`` in the order of ``unit_no`` → blocks; at most ``PAIRS`` and a batch's pairs are in memory."""
     zone: _Zone | None = None
-
-    def told(z: _Zone | None) -> Iterator[pa.RecordBatch]:
-        rows = list(z.blocks()) if z else []
-        for a in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 5000], strict=True), kinds, strict=True)], names)
-
     for batch in batches:
         numbers = np.asarray(batch.column("unit_no"), dtype=np.int64)
         pages, zones = numbers >> PAGE_BITS, numbers >> PAGE_BITS + ZONE_BITS
         cuts = [0, *(np.flatnonzero(np.diff(zones)) + 1).tolist(), len(zones)] if len(zones) else []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if zone is None or zone.number != zones[a]:
-                yield from told(zone)
+            if zone is None or zone.number != zones[a] or zone.size > PAIRS or len(zone.points) > MOST_POINTS:
+                if zone:
+                    yield from zone.blocks()
                 zone = _Zone(int(zones[a]))
             texts, own = [t or "" for t in batch.column("loose").slice(a, b - a).to_pylist()], pages[a:b] & ZONE - 1
-            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             size = np.array([len(t) for t in texts], dtype=np.int64)
-            page, left = np.repeat(own, size), np.repeat(np.cumsum(size), size) - np.arange(len(points))  # left: characters to the end of the unit
-            for n in (2, 3):
-                at = np.flatnonzero(left >= n)
-                key = points[at] << 21 | points[at + 1]
-                zone.add(str(n), key << 21 | points[at + 2] if n == 3 else key, page[at])
-            words = batch.column("tokens").slice(a, b - a).to_pylist()
-            zone.tokens([w for some in words for w in some or ()], np.repeat(own, [len(some or ()) for some in words]))
-    yield from told(zone)
+            zone.grams(points, np.repeat(own, size), np.repeat(np.cumsum(size), size) - np.arange(len(points)))
+            zone.tokens(batch.column("tokens").slice(a, b - a), own)
+    if zone:
+        yield from zone.blocks()
 
 
 def bucket(kind: Column, key: Column) -> Column:
@@ -131,6 +171,7 @@ def buckets(values: list[str]) -> list[int]:
 
 def write(units: DataFrame, words: Column, loose: Column, folder: str) -> None:
     """The blocks of ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
+    units.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     made = units.select("unit_no", loose.alias("loose"), words.alias("tokens")).mapInArrow(blocks_of, POSTING)
     made = made.withColumn("bucket", bucket(F.col("kind"), F.col("key")))
     # The second key splits a bucket's blocks over tasks.

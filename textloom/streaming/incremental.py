@@ -61,15 +61,19 @@ def index_batch(batch: DataFrame, number: int, folder: str, stream: str = "files
     held = index.Index(spark, folder)
     if held.manifest.batches.get(stream, -1) >= number:
         return False
-    files = batch.where("path is not null").groupBy("path").agg(F.max_by(F.struct("file_type", "size", "modified_ns", "text"), F.struct("modified_ns", "text")).alias("f")).select("path", "f.*")
-    files = Scratch(spark, "batch").save(files, "files")
+    files = batch.where("path is not null").select("path", "file_type", "size", "modified_ns", "text")
+    again = files.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path")
+    if not again.isEmpty():  # only the texts of these are shuffled
+        again = Scratch(spark, "batch").save(again, "again")
+        last = files.join(again, "path", "left_semi").groupBy("path").agg(F.max_by(F.struct("file_type", "size", "modified_ns", "text"), F.struct("modified_ns", "text")).alias("f"))
+        files = files.join(again, "path", "left_anti").union(last.select("path", "f.*"))
     state = files.select("path", "file_type", "size", "modified_ns", F.lit(EXTRACTION_VERSION).alias("version"), F.lit(index.scope_bits(False, False)).alias("scope"), F.lit(False).alias("gone"))
     if listing is not None:
         there, live = listing().select("path").distinct(), held.files()
         files = files.join(there, "path", "left_semi")
         gone = live.join(there, "path", "left_anti").join(state.select("path"), "path", "left_anti")
         state = state.join(there, "path", "left_semi").union(index.tombstones(gone.union(live.join(state.join(there, "path", "left_anti").select("path"), "path", "left_semi"))))
-    index.commit(spark, folder, units_of(files, F.col("path")), state, spark.createDataFrame([], SHEET), (stream, number))
+    index.commit(spark, folder, units_of(files, F.col("path")), state, spark.createDataFrame([], SHEET), (stream, number), ordered=True)
     index.compact(spark, folder)
     return True
 
