@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.model import SHEET
-from textloom.operators import context, index, ranking, search
+from textloom.operators import context, index, ranges, ranking, search, spelling
 from textloom.plans.request import Batch, Conditions, NamedTerm, Scope, SearchRequest, parse_batch, parse_conditions, without_nested
 from textloom.plans.run import events
 from textloom.session import Scratch, reachable
@@ -516,6 +516,31 @@ def q61_compaction(spark, sf):
     return of.files().join(lines, "path", "left").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("hits").alias("hits"), F.lit(len(of.manifest.segments) <= 4).alias("few_segments"))
 
 
+def q62_typo_words(spark, sf):
+    """Of all words of the benchmark the tokens of the documents that are a typing error away."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    tokens = index.tokens_of(docs(spark, sf), exact=False).select("token")
+    return spelling.near(words, tokens).select("word", "token", F.col("distance").cast("long").alias("distance"))
+
+
+def q63_range_join(spark, sf):
+    """Ranges of very different lengths made of the documents, and how many of others they overlap."""
+    d = table(spark, sf, "documents")
+    left = d.select("doc_id", (F.col("doc_id") * 7).alias("first"), (F.col("doc_id") * 7 + F.col("n_chars") % 90).alias("last"))
+    right = d.select(F.col("doc_id").alias("other"), (F.col("doc_id") * 6).alias("low"), (F.col("doc_id") * 6 + F.when(F.col("doc_id") % 50 == 0, F.col("n_chars") % 3000).otherwise(F.col("n_chars") % 12)).alias("high"))
+    return ranges.overlapping(left, right, [], ("first", "last"), ("low", "high")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("others"))
+
+
+def q64_many_contexts(spark, sf):
+    """The cells around every cell that holds the term, and the merged ranges that meet its window."""
+    cells = sheet(spark, sf)
+    hits = search.plain(cells, "brand#1")
+    targets = hits.select(F.col("row").cast("long").alias("target"), "path", "part_key", "row", "column")
+    around = context.cells_of(targets, cells).groupBy("target").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text").cast("long")).alias("chars"), F.count_if("truncated").alias("cut"))
+    met = context.merges_of(targets, merged(spark, sf).select(F.lit("part.xlsx").alias("path"), F.lit("part").alias("part_key"), "*"))
+    return around.join(met.groupBy("target").agg(F.count(F.lit(1)).alias("merges")), "target", "left").select("target", "cells", "chars", "cut", F.coalesce("merges", F.lit(0)).alias("merges"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 __all__ = ["QUERIES", "Batch"]

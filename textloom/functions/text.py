@@ -37,6 +37,14 @@ def _ranges(kept=_usual) -> str:
 UNUSUAL = rf"[[^\x00-\x0C\x0E-\x7F]&&[^{_ranges()}]]"
 
 
+def _tokens_usual(c: str) -> bool:
+    return _usual(c) and unicodedata.normalize("NFKC", c) == c
+
+
+#: A character that width forms and tokens change to more than its lower case (but for ß, which is ss there).
+UNTOKENED = rf"[[^\x00-\x0C\x0E-\x7F]&&[^\r{_ranges(_tokens_usual)}ß]]"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -68,7 +76,7 @@ def width(c: Column | str) -> Column:
     """Full case folding of the NFKC form, as ``forms.width``."""
     t = col(c)
     wide = _java("com.ibm.icu.text.Normalizer", "compose", t, F.lit(True))
-    return F.when(~t.rlike(r"[^\x00-\x7F]"), F.lower(t)).when(t.isNotNull(), _java("com.ibm.icu.lang.UCharacter", "foldCase", wide, F.lit(True)))
+    return F.when(~t.rlike(UNTOKENED), F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))).when(t.isNotNull(), _java("com.ibm.icu.lang.UCharacter", "foldCase", wide, F.lit(True)))
 
 
 def kana(c: Column | str) -> Column:
@@ -139,19 +147,20 @@ def tokens(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(c), F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[A-Z])"), 1), F.lower)
 
 
-def _tokens_usual(c: str) -> bool:
-    return _usual(c) and unicodedata.normalize("NFKC", c) == c
-
-
-#: A character whose folding in a token isn't its lower case (but for ß).
-UNTOKENED = rf"[[^\x00-\x0C\x0E-\x7F]&&[^\r{_ranges(_tokens_usual)}ß]]"
+#: Stands between tokens, as it is in none.
+JOINT = "\x1f"
 _LETTER = rf"[[{WORD}]&&[^0-9]]"
 _TOKEN = rf"[0-9]+|(?={_LETTER})(?:(?![a-z][A-Z]|[A-Z][A-Z][a-z]){_LETTER})*+{_LETTER}?"
 
 
+def joined_tokens(c: Column | str) -> Column:
+    """Identifier tokens of a text without ``UNTOKENED`` characters, folded, as ``forms.tokens``, with ``JOINT`` between."""
+    return F.replace(F.lower(F.array_join(F.regexp_extract_all(col(c), F.lit(_TOKEN), F.lit(0)), JOINT)), F.lit("ß"), F.lit("ss"))
+
+
 def tokens_of_scripts(c: Column | str) -> Column:
-    """Identifier tokens of a text without ``UNTOKENED`` characters, folded, as ``forms.tokens``."""
-    return F.transform(F.regexp_extract_all(col(c), F.lit(_TOKEN), F.lit(0)), lambda t: F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
+    """The same as an array."""
+    return F.filter(F.split(joined_tokens(c), JOINT), lambda t: t != "")
 
 
 def preview(text: Column | str, start: Column, end: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.model import MAX_COLUMN, MAX_ROW, MERGE_CAP, WINDOW_SIDE
+from textloom.operators.ranges import overlapping
+
+#: Rows and columns of a tile: a window touches four at most.
+TILE = 2 * WINDOW_SIDE + 1
 
 
 @dataclass(frozen=True)
@@ -135,6 +139,33 @@ def cells(units: DataFrame, part: str, r: Range) -> DataFrame:
     return first.select("row", "column", X.clip("text").alias("c")).select("row", "column", "c.*")
 
 
+def windows(targets: DataFrame) -> DataFrame:
+    """``targets(target, path, part_key, row, column)`` with the range around each, as ``Range.around``."""
+    edge = lambda c, most: F.greatest(F.lit(1), F.least(F.col(c) - WINDOW_SIDE, F.lit(most - 2 * WINDOW_SIDE)))
+    out = targets.withColumns({"first_row": edge("row", MAX_ROW), "first_column": edge("column", MAX_COLUMN)})
+    return out.select("target", "path", "part_key", "first_row", "first_column", (F.col("first_row") + 2 * WINDOW_SIDE).alias("last_row"), (F.col("first_column") + 2 * WINDOW_SIDE).alias("last_column"))
+
+
+def cells_of(targets: DataFrame, units: DataFrame) -> DataFrame:
+    """``target, row, column, text, truncated``: the cells around many targets, by a join on tiles of a window's size."""
+    tile = lambda c: F.floor((F.col(c) - 1) / TILE)
+    each = windows(targets).withColumn("_r", F.explode(F.sequence(tile("first_row"), tile("last_row")))).withColumn("_c", F.explode(F.sequence(tile("first_column"), tile("last_column"))))
+    there = units.where((F.col("source_kind") == "cell") & F.col("row").isNotNull() & F.col("column").isNotNull())
+    first = there.groupBy("path", "part_key", "row", "column").agg(F.min_by("text", "unit_seq").alias("text")).withColumns({"_r": tile("row"), "_c": tile("column")})
+    met = each.join(first, ["path", "part_key", "_r", "_c"]).where(F.col("row").between(F.col("first_row"), F.col("last_row")) & F.col("column").between(F.col("first_column"), F.col("last_column")))
+    return met.select("target", "row", "column", X.clip("text").alias("c")).select("target", "row", "column", "c.*")
+
+
+def merges_of(targets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``target`` and the merged ranges ``path, part_key, first_row, ..., last_column`` that meet its window, for many targets; their
+    number isn't capped, as no result shows them all."""
+    names = ("first_row", "first_column", "last_row", "last_column")
+    mine = windows(targets).withColumnsRenamed({c: f"w_{c}" for c in names})
+    met = overlapping(mine, ranges, ["path", "part_key"], ("w_first_row", "w_last_row"), ("first_row", "last_row"))
+    met = met.where((F.col("first_column") <= F.col("w_last_column")) & (F.col("last_column") >= F.col("w_first_column")))
+    return met.select("target", "path", "part_key", *names)
+
+
 def merges(ranges: DataFrame, r: Range) -> DataFrame:
     """Merged ranges that meet the window: ``first_row, first_column, last_row, last_column``. Over ``MERGE_CAP`` is an error."""
     met = ranges.where((F.col("first_row") <= r.last_row) & (F.col("last_row") >= r.first_row) & (F.col("first_column") <= r.last_column) & (F.col("last_column") >= r.first_column))
@@ -157,8 +188,9 @@ def hidden(ranges: DataFrame, low: int, high: int) -> DataFrame:
 
 def styles(grid: DataFrame, cell: DataFrame, row: DataFrame, column: DataFrame) -> DataFrame:
     """The style of each ``row, column``: the cell's, else the row's, else the last column rule's that holds it, else 0."""
-    rules = grid.join(column, F.col("column").between(F.col("first"), F.col("last"))).groupBy("row", "column").agg(F.max_by("column_style", "ord").alias("column_style"))
-    return grid.join(cell, ["row", "column"], "left").join(row, "row", "left").join(rules, ["row", "column"], "left").select("row", "column", F.coalesce("cell_style", "row_style", "column_style", F.lit(0)).alias("style"))
+    columns = grid.select("column").distinct()
+    rules = overlapping(columns, column, [], ("column", "column"), ("first", "last")).groupBy("column").agg(F.max_by("column_style", "ord").alias("column_style"))
+    return grid.join(cell, ["row", "column"], "left").join(row, "row", "left").join(rules, "column", "left").select("row", "column", F.coalesce("cell_style", "row_style", "column_style", F.lit(0)).alias("style"))
 
 
 def merge_table(sheets: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def write(units: DataFrame, files: DataFrame, sheets: DataFrame, store: Store, s
     # As many blocks of rows as zones, so that the few units of a look-up are a small part of a file.
     numbered.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).option("compression", "zstd").parquet(f"{at}/units")
     held = spark.read.schema(NUMBERED).parquet(f"{at}/units")
-    postings.write(held, _words(F.col("text"), spark), X.loose("text"), f"{at}/postings")
+    postings.write(held, f"{at}/postings")
     sheets.select(*model.SHEET.names).write.mode("overwrite").parquet(f"{at}/sheets")
     files.select(*_FILE.names).write.mode("overwrite").parquet(f"{at}/files")
     return held.count() + spark.read.schema(_FILE).parquet(f"{at}/files").where("gone").count()

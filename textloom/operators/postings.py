@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions import forms
+from textloom.functions import text as X
+from textloom.session import reachable
+
 #: Bits of the numbers of units in a page, and of pages in a zone.
 PAGE_BITS, ZONE_BITS = 4, 12
 PAGE, ZONE = 1 << PAGE_BITS, 1 << ZONE_BITS
@@ -93,10 +97,17 @@ class _Zone:
             key = ids[at] << POINT_BITS | ids[at + 1]
             self.add(str(n), key << POINT_BITS | ids[at + 2] if n == 3 else key, pages[at])
 
-    def tokens(self, lists: pa.ListArray, pages: np.ndarray) -> None:
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-        self.words.append((lists.flatten(), np.repeat(pages, sizes)))
-        self.size += int(sizes.sum())
+    def tokens(self, joined: pa.Array, odd: pa.Array, pages: np.ndarray) -> None:
+        """``joined``: tokens with ``X.JOINT`` between; where it is null, those of the ``odd`` text."""
+        lists = pc.split_pattern(pc.fill_null(joined, ""), X.JOINT)
+        sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        words, at = lists.flatten(), np.repeat(pages, sizes)
+        kept = pc.not_equal(words, "")
+        self.words.append((words.filter(kept), at[np.asarray(kept)]))
+        more = [(w, p) for t, p in zip(odd.to_pylist(), pages.tolist(), strict=True) if t is not None for w in forms.tokens(t)]
+        if more:
+            self.words.append((pa.array([w for w, _ in more]), np.array([p for _, p in more], dtype=np.int64)))
+        self.size += len(at) + len(more)
 
     def names(self, n: int, keys: np.ndarray) -> list[str]:
         ids = np.stack([keys >> POINT_BITS * i & (1 << POINT_BITS) - 1 for i in range(n - 1, -1, -1)], axis=1)
@@ -140,7 +151,7 @@ class _Zone:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``unit_no, loose, tokens`` in the order of ``unit_no`` → blocks; at most ``PAIRS`` and a batch's pairs are in memory."""
+    """``unit_no, loose, tokens, odd`` in the order of ``unit_no`` → blocks; at most ``PAIRS`` and a batch's pairs are in memory."""
     zone: _Zone | None = None
     for batch in batches:
         numbers = np.asarray(batch.column("unit_no"), dtype=np.int64)
@@ -155,7 +166,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             size = np.array([len(t) for t in texts], dtype=np.int64)
             zone.grams(points, np.repeat(own, size), np.repeat(np.cumsum(size), size) - np.arange(len(points)))
-            zone.tokens(batch.column("tokens").slice(a, b - a), own)
+            zone.tokens(*(batch.column(c).slice(a, b - a) for c in ("tokens", "odd")), own)
     if zone:
         yield from zone.blocks()
 
@@ -169,10 +180,11 @@ def buckets(values: list[str]) -> list[int]:
     return sorted({zlib.crc32(v.encode()) % BUCKETS for v in values})
 
 
-def write(units: DataFrame, words: Column, loose: Column, folder: str) -> None:
+def write(units: DataFrame, folder: str) -> None:
     """The blocks of ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
-    units.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    made = units.select("unit_no", loose.alias("loose"), words.alias("tokens")).mapInArrow(blocks_of, POSTING)
+    reachable(units.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    odd = F.col("text").rlike(X.UNTOKENED)
+    made = units.select("unit_no", X.loose("text").alias("loose"), F.when(~odd, X.joined_tokens("text")).alias("tokens"), F.when(odd, F.col("text")).alias("odd")).mapInArrow(blocks_of, POSTING)
     made = made.withColumn("bucket", bucket(F.col("kind"), F.col("key")))
     # The second key splits a bucket's blocks over tasks.
     dealt = made.repartition("bucket", F.pmod(F.xxhash64("zone"), F.lit(8))).sortWithinPartitions("bucket", "kind", "key", "zone")
