@@ -52,9 +52,13 @@ def reasons() -> Column:
 
 def ranked(hits: DataFrame, same_row: DataFrame | None = None) -> DataFrame:
     """Files by quality, terms, same-row terms, body places, places, folded path, path."""
+    return in_order(file_evidence(hits, same_row)).withColumn("reasons", reasons())
+
+
+def in_order(evidence: DataFrame) -> DataFrame:
+    """``file_evidence`` with ``file_rank``."""
     order = [F.desc(c) for c in ("quality", "matched_terms", "same_row_terms", "body_evidence", "distinct_evidence")]
-    told = file_evidence(hits, same_row).withColumn("_folded", X.fold("path"))
-    return numbered(told, [*order, F.asc("_folded"), F.asc("path")], "file_rank").drop("_folded").withColumn("reasons", reasons())
+    return numbered(evidence.withColumn("_folded", X.fold("path")), [*order, F.asc("_folded"), F.asc("path")], "file_rank").drop("_folded")
 
 
 def in_file_order(hits: DataFrame) -> DataFrame:

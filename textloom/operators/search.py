@@ -162,12 +162,25 @@ def batch_hits(units: DataFrame, batch: Batch, fuzzy: bool = False) -> DataFrame
     return matched(units, batch.terms, fuzzy, batch.identifiers)
 
 
+def batch_counts(hits: DataFrame) -> DataFrame:
+    """``term_id, file_count, hit_count`` of the terms that have hits."""
+    by_file = hits.groupBy("term_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return by_file.groupBy("term_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("n").alias("hit_count"))
+
+
 def batch_summary(hits: DataFrame, batch: Batch, issues: int = 0, cancelled: bool = False) -> DataFrame:
     """``term_ord, term_id, term, file_count, hit_count, status`` of every term, zero-hit ones included."""
-    spark = hits.sparkSession
-    by_file = hits.groupBy("term_id", "path").agg(F.count(F.lit(1)).alias("n"))
-    counts = by_file.groupBy("term_id").agg(F.sum("n").alias("hit_count"), F.count(F.lit(1)).alias("file_count"))
+    return _summary(batch_counts(hits), batch, issues, cancelled)
+
+
+def summary_of(counts: list[tuple[str, int, int]], batch: Batch, issues: int, cancelled: bool, spark: SparkSession) -> DataFrame:
+    """The same from counts ``term_id, file_count, hit_count`` that were summed before."""
+    return _summary(spark.createDataFrame(counts, "term_id string, file_count long, hit_count long"), batch, issues, cancelled)
+
+
+def _summary(counts: DataFrame, batch: Batch, issues: int, cancelled: bool) -> DataFrame:
     status = "未確定（中断）" if cancelled else "未確定（一部エラーあり）" if issues else "確認完了"
     n = F.coalesce("hit_count", F.lit(0))
     told = F.when((n == 0) & F.lit(status == "確認完了"), "指定範囲内で該当なし").otherwise(status)
-    return F.broadcast(term_table(spark, batch)).select("term_ord", "term_id", "term").join(counts, "term_id", "left").select("term_ord", "term_id", "term", F.coalesce("file_count", F.lit(0)).alias("file_count"), n.alias("hit_count"), told.alias("status"))
+    terms = F.broadcast(term_table(counts.sparkSession, batch)).select("term_ord", "term_id", "term")
+    return terms.join(counts, "term_id", "left").select("term_ord", "term_id", "term", F.coalesce("file_count", F.lit(0)).alias("file_count"), n.alias("hit_count"), told.alias("status"))

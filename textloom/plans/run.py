@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -18,10 +19,13 @@ from textloom.functions.matcher import Term
 from textloom.model import ISSUE
 from textloom.operators import index, ranking, search
 from textloom.plans.request import Batch, Conditions, Scope, SearchRequest
+from textloom.session import Scratch, numbered
 from textloom.sources import files as sources
 
-#: Files that are found or read between two reports of progress.
+#: Files that are found between two reports of progress.
 PROGRESS = 32
+#: Files of a wave, and bytes after which the next begins: what a wave finds is given before the next one is read.
+WAVE_FILES, WAVE_BYTES = 256, 256 << 20
 
 
 @dataclass
@@ -62,49 +66,70 @@ def condition_hits(units: DataFrame, spec: Conditions, fuzzy: bool) -> tuple[Dat
     return hits, each
 
 
-def search_files(spark: SparkSession, request: SearchRequest, index_folder: str | None = None) -> Result:
-    """Lazy DataFrames of a validated request; an index changes what is read, never what is found."""
-    request = request.validated()
-    spec = request.spec()
-    where = (request.roots, request.excluded_directories, request.extensions)
-    stored = any("://" in r for r in request.roots)
+class Source:
+    """The files that a request names: listed, and read into units."""
+
+    def __init__(self, spark: SparkSession, request: SearchRequest):
+        self.spark, self.request = spark, request
+        self.where = (request.roots, request.excluded_directories, request.extensions)
+        self.stored = any("://" in r for r in request.roots)
+
+    def listing(self) -> tuple[DataFrame, DataFrame]:
+        if self.stored:
+            return sources.scan(self.spark, *self.where).drop("content"), self.spark.createDataFrame([], ISSUE)
+        return sources.discover(self.spark, *self.where)
+
+    def extract(self, some: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        contents = sources.scan(self.spark, *self.where).join(some.select("path"), "path", "left_semi") if self.stored else sources.read_contents(self.spark, some)
+        return sources.extract_files(contents, self.request.include_formulas, self.request.include_notes)
+
+    def refreshed(self, files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, int, int, list[DataFrame]]:
+        bits = index.scope_bits(self.request.include_notes, self.request.include_formulas)
+        return index.refresh(self.spark, folder, files, self.extract, bits, lambda: self.listing()[0])
+
+    def candidates(self, units: DataFrame, files: DataFrame, folder: str, term: str) -> DataFrame:
+        """Of the units of ``files`` those that an index can't rule out, and those of files that it doesn't hold."""
+        held = index.Index(self.spark, folder)
+        live = held.candidates(Term(term)).join(files.select("path"), "path", "left_semi")
+        return live.unionByName(units.join(held.files().select("path"), "path", "left_anti"))
+
 
-    def listing() -> tuple[DataFrame, DataFrame]:
-        return (sources.scan(spark, *where).drop("content"), spark.createDataFrame([], ISSUE)) if stored else sources.discover(spark, *where)
+def matches(units: DataFrame, read_issues: DataFrame, spec, fuzzy: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Hits of a query form, the evidence that files are ranked by, and terms that meet in a row of a sheet."""
+    same_row = None
+    if isinstance(spec, Batch):
+        hits = evidence = search.batch_hits(units, spec, fuzzy)
+    elif isinstance(spec, Conditions):
+        if spec.scope is Scope.FILE:  # a file that wasn't read whole can't satisfy a condition on all of it
+            units = units.join(read_issues.select("path").distinct(), "path", "left_anti")
+            same_row = search.same_row_terms(units.where(F.col("file_type").isin("xlsx", "xlsm")), (*spec.all, *spec.any))
+        hits, evidence = condition_hits(units, spec, fuzzy)
+    else:
+        hits = evidence = search.plain(units, spec.text, fuzzy)
+    term_key = X.fold("term") if "term" in evidence.columns else F.lit("query")
+    keyed = evidence.select("path", term_key.alias("term_key"), F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind")
+    return hits, keyed, same_row
 
-    def extract(some: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        contents = sources.scan(spark, *where).join(some.select("path"), "path", "left_semi") if stored else sources.read_contents(spark, some)
-        return sources.extract_files(contents, request.include_formulas, request.include_notes)
 
-    files, found_issues = listing()
-    sheets = None
+def search_files(spark: SparkSession, request: SearchRequest, index_folder: str | None = None) -> Result:
+    """Lazy DataFrames of a validated request; an index changes what is read, never what is found."""
+    request = request.validated()
+    spec, of = request.spec(), Source(spark, request)
+    files, found_issues = of.listing()
+    sheets, terms = None, None
     if index_folder:
-        bits = index.scope_bits(request.include_notes, request.include_formulas)
-        units, read_issues, extracted, reused, held = index.refresh(spark, index_folder, files, extract, bits, lambda: listing()[0])
+        units, read_issues, extracted, reused, held = of.refreshed(files, index_folder)
     else:
-        units, sheets, read_issues = extract(files)
+        units, sheets, read_issues = of.extract(files)
         units, read_issues = units.persist(), read_issues.persist()
         held, extracted, reused = [units, read_issues], files.count(), 0
     issues = found_issues.unionByName(read_issues)
-    terms, same_row = None, None
+    looked = units
+    if index_folder and request.fuzzy and not isinstance(spec, (Batch, Conditions)):
+        looked = of.candidates(units, files, index_folder, spec.text)
+    hits, keyed, same_row = matches(looked, read_issues, spec, request.fuzzy)
     if isinstance(spec, Batch):
-        hits = evidence = search.batch_hits(units, spec, request.fuzzy)
         terms = search.batch_summary(hits, spec, issues.count())
-    elif isinstance(spec, Conditions):
-        of = units
-        if spec.scope is Scope.FILE:  # a file that wasn't read whole can't satisfy a condition on all of it
-            of = units.join(read_issues.select("path").distinct(), "path", "left_anti")
-            same_row = search.same_row_terms(of.where(F.col("file_type").isin("xlsx", "xlsm")), (*spec.all, *spec.any))
-        hits, evidence = condition_hits(of, spec, request.fuzzy)
-    else:
-        of = units
-        if index_folder and request.fuzzy:
-            stored_ = index.Index(spark, index_folder)
-            live = stored_.candidates(Term(spec.text)).join(files.select("path"), "path", "left_semi")
-            of = live.unionByName(units.join(stored_.files().select("path"), "path", "left_anti"))
-        hits = evidence = search.plain(of, spec.text, request.fuzzy)
-    term_key = X.fold("term") if "term" in evidence.columns else F.lit("query")
-    keyed = evidence.select("path", term_key.alias("term_key"), F.col("hit.score").alias("score"), "part_key", "unit_key", "row", "content_class", "source_kind")
     return Result(files, units, sheets, issues, hits, ranking.ranked(keyed, same_row), terms, extracted, reused, held)
 
 
@@ -167,58 +192,145 @@ class Session:
             self.spark.sparkContext.cancelJobsWithTag(tag)
 
 
+class Waves:
+    """A search wave by wave, in the order of the paths. The driver holds what one wave gives; of earlier ones it holds counts."""
+
+    def __init__(self, spark: SparkSession, request: SearchRequest, index_folder: str | None):
+        self.spark, self.request, self.spec = spark, request, request.spec()
+        self.source, self.scratch = Source(spark, request), Scratch(spark, "waves")
+        self.extracted = self.reused = 0
+        self.held: list[DataFrame] = []
+        files, self.issues = self.source.listing()
+        order = [F.split("path", "/").asc()]
+        placed = numbered(numbered(files, order, "place"), order, "bytes_before", "size")
+        wave = F.floor((F.col("place") - 1) / WAVE_FILES) + F.floor(F.col("bytes_before") / WAVE_BYTES)
+        self.files = self.scratch.save(placed.select(*files.columns, wave.cast("long").alias("wave")), "files")
+        self.units = self.read_issues = None
+        if index_folder:
+            self._indexed(index_folder)
+
+    def _indexed(self, folder: str) -> None:
+        """Units of all files, from the index and from files that it lacks, lie by wave."""
+        units, issues, self.extracted, self.reused, self.held = self.source.refreshed(self.files.drop("wave"), folder)
+        if self.request.fuzzy and not isinstance(self.spec, (Batch, Conditions)):
+            units = self.source.candidates(units, self.files, folder, self.spec.text)
+        at = f"{self.scratch.root}/units"
+        units.join(self.files.select("path", "wave"), "path").write.partitionBy("wave").parquet(at)
+        self.units = self.spark.read.schema(units.schema.add("wave", "long")).parquet(at)
+        self.read_issues = issues.join(self.files.select("path", "wave"), "path")
+
+    def numbers(self) -> Iterator[int]:
+        for r in self.files.select("wave").distinct().orderBy("wave").toLocalIterator():
+            yield r.wave
+
+    def of(self, number: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+        """A wave's files, issues, hits and the evidence of its files; and what it keeps in memory."""
+        files = self.files.where(F.col("wave") == number).drop("wave")
+        if self.units is None:
+            units, _, issues = self.source.extract(files)
+            units, issues = units.persist(), issues.persist()
+            held = [units, issues]
+            self.extracted += files.count()
+        else:
+            units, issues = (df.where(F.col("wave") == number).drop("wave") for df in (self.units, self.read_issues))
+            held = []
+        hits, keyed, same_row = matches(units, issues, self.spec, self.request.fuzzy)
+        told = self.scratch.save(ranking.file_evidence(keyed, same_row), f"ranks/{number}")
+        return files, issues.select(*ISSUE.names), hits, told, held
+
+    def ranks(self, numbers: list[int]) -> Iterator[str]:
+        """Paths in the order of all ranks: what the waves wrote is put in one order by Spark."""
+        each = [self.spark.read.parquet(f"{self.scratch.root}/ranks/{n}") for n in numbers]
+        if each:
+            for r in ranking.in_order(reduce(DataFrame.union, each)).orderBy("file_rank").select("path").toLocalIterator():
+                yield r.path
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.scratch.close()
+
+
 def events(spark: SparkSession, request: SearchRequest, cancelled: Callable[[], bool] = lambda: False, index_folder: str | None = None, tag: str | None = None) -> Iterator[dict]:
     """The ordered protocol: started, progress, issues, results and rankings by file, ranking and execution summaries, a batch's
     summary, finished. Results that were given before a cancellation stay; nothing follows ``finished``.
 
-    Results stream from the executors a partition at a time; of paths and rankings the driver holds what the last events list.
+    Files are searched in waves, so the first results are given before later files are read. A file's ranking tells its evidence; its
+    place among all files is in the summary.
     """
     number = itertools.count(1)
     event = lambda kind, **more: {"sequence": next(number), "type": kind} | more
     counts = {"discovered": 0, "processed": 0, "results": 0, "issues": 0}
+    request = request.validated()
     yield event("started")
     yield event("progress", phase="discovery", counts=dict(counts))
     if tag:
         spark.sparkContext.addJobTag(tag)
-    found = search_files(spark, request, index_folder)
+    waves = None
     try:
-        for _ in found.files.select("path").toLocalIterator():
-            counts["discovered"] += 1
-            if counts["discovered"] % PROGRESS == 0:
-                yield event("progress", phase="discovery", counts=dict(counts))
+        waves = Waves(spark, request, index_folder)
+        total = waves.files.count()
+        for n in range(PROGRESS, total + 1, PROGRESS):
+            counts["discovered"] = n
+            yield event("progress", phase="discovery", counts=dict(counts))
+        counts["discovered"] = total
         yield event("progress", phase="search", counts=dict(counts))
-        for r in found.issues.toLocalIterator():
-            counts["issues"] += 1
-            yield event("issue", **r.asDict())
-        ranks = {r.path: r.asDict() for r in found.rankings.toLocalIterator()}
-        hits = projected(found.hits, found.files)
-        reason, results = "completed", hits.orderBy("result_id").toLocalIterator()
-        r = next(results, None)
-        for f in found.files.select("path").orderBy(F.split("path", "/")).toLocalIterator():  # in the order of the results
-            while r is not None and r.path == f.path and not cancelled():
-                counts["results"] += 1
-                yield event("result", **result_event(r))
-                r = next(results, None)
+
+        def issue_events(issues: DataFrame) -> Iterator[dict]:
+            for r in issues.toLocalIterator():
+                counts["issues"] += 1
+                yield event("issue", **r.asDict())
+
+        yield from issue_events(waves.issues)
+        reason, done, by_term = "completed", [], {}
+        for w in waves.numbers():
             if cancelled():
                 reason = "cancelled"
                 break
-            counts["processed"] += 1
-            if f.path in ranks:
-                yield event("fileRanked", path=f.path, rank=ranks[f.path]["file_rank"], reasons=ranks[f.path]["reasons"])
-            yield event("progress", phase="search", counts=dict(counts))
-        yield event("rankingSummary", files=[p for p, _ in sorted(ranks.items(), key=lambda x: x[1]["file_rank"])])
-        yield event("executionSummary", extractedFiles=found.extracted, reusedFiles=found.reused)
-        if found.terms is not None:
-            yield event("batchSummary", terms=[r.asDict() for r in found.terms.orderBy("term_ord").toLocalIterator()])
+            files, issues, hits, evidence, held = waves.of(w)
+            done.append(w)
+            try:
+                yield from issue_events(issues)
+                if isinstance(waves.spec, Batch):
+                    for r in search.batch_counts(hits).collect():  # 256 terms at most
+                        a, b = by_term.get(r.term_id, (0, 0))
+                        by_term[r.term_id] = a + r.file_count, b + r.hit_count
+                ranks = {r.path: r.asDict() for r in evidence.withColumn("reasons", ranking.reasons()).collect()}  # a wave's files at most
+                before, results = counts["results"], projected(hits, files).orderBy("result_id").toLocalIterator()
+                r = next(results, None)
+                for f in files.select("path").orderBy(F.split("path", "/")).collect():
+                    while r is not None and r.path == f.path and not cancelled():
+                        counts["results"] += 1
+                        yield event("result", **(result_event(r) | {"resultId": before + r["result_id"]}))
+                        r = next(results, None)
+                    if cancelled():
+                        reason = "cancelled"
+                        break
+                    counts["processed"] += 1
+                    if f.path in ranks:
+                        of = ranks[f.path]
+                        yield event("fileRanked", path=f.path, quality=of["quality"], matchedTerms=of["matched_terms"], sameRowTerms=of["same_row_terms"], bodyEvidence=of["body_evidence"], distinctEvidence=of["distinct_evidence"], reasons=of["reasons"])
+                    yield event("progress", phase="search", counts=dict(counts))
+            finally:
+                for df in held:
+                    df.unpersist()
+            if reason != "completed":
+                break
+        yield event("rankingSummary", files=list(waves.ranks(done)))
+        yield event("executionSummary", extractedFiles=waves.extracted, reusedFiles=waves.reused)
+        if isinstance(waves.spec, Batch):
+            told = search.summary_of([(t, *n) for t, n in by_term.items()], waves.spec, counts["issues"], reason == "cancelled", spark)
+            yield event("batchSummary", terms=[r.asDict() for r in told.orderBy("term_ord").collect()])
         yield event("finished", reason=reason, counts=dict(counts))
     except (Py4JJavaError, PySparkException):
         if not cancelled():
             raise
         yield event("finished", reason="cancelled", counts=dict(counts))  # its jobs were stopped
     finally:
-        found.close()
+        if waves:
+            waves.close()
         if tag:
             spark.sparkContext.removeJobTag(tag)
 
 
-__all__ = ["Result", "Session", "condition_hits", "events", "projected", "result_event", "search_files"]
+__all__ = ["Result", "Session", "Waves", "condition_hits", "events", "projected", "result_event", "search_files"]
