@@ -4,12 +4,14 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import forms
+from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.operators import index, postings, search, segments
 from textloom.operators.segments import Manifest, Segment, Store
@@ -70,6 +72,40 @@ def test_candidates_against_the_texts(spark, tmp_path):
         assert {(r.path, r.unit_seq) for r in of.candidates(Term(term)).collect()} == brute(rows, term), term
 
 
+def odd(text):
+    """Whether a text has characters that don't fold by themselves, told without the pattern."""
+    known = lambda c: c.isascii() or c in "ß\r" or X._tokens_usual(c) and any(a <= ord(c) <= b for a, b in X._BLOCKS)
+    return not all(map(known, text))
+
+
+def test_blocks_are_those_of_the_forms():
+    rnd = random.Random(1)
+    letters = "abABcdZ019 _-./éÉßüÄ漢字かカñжЖ\tｱ☃Σﬁ"
+    texts_ = ["".join(rnd.choice(letters[: rnd.choice([30, 36])]) for _ in range(rnd.randint(0, 40))) for _ in range(2500)] + ["ß", "ßß", "aßB", ""]
+    first = postings.PAGE * postings.ZONE - 500
+    rows = pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts_))), pa.array(texts_), pa.array(list(map(odd, texts_)))], ["unit_no", "text", "odd"])
+    got, want = {}, {}
+    for out in postings.blocks_of(iter([rows.slice(0, 1111), rows.slice(1111)])):
+        for r in out.to_pylist():
+            pages = postings.unpacked(r["pages"])
+            assert r["pages"] == postings.packed(pages) and (r["first"], r["last"], r["n"]) == (pages[0], pages[-1], len(pages))
+            got.setdefault((r["kind"], r["key"]), set()).update((pages + (r["zone"] << postings.ZONE_BITS)).tolist())
+    for i, t in enumerate(texts_):
+        page, loose = first + i >> postings.PAGE_BITS, forms.loose(t)
+        keys = [(str(n), g) for n in (2, 3) for g in forms.grams(loose, n)] + [("t", w) for w in forms.tokens(t)]
+        for k in keys:
+            want.setdefault(k, set()).add(page)
+    assert got == want and len(want) > 5000
+
+
+def test_native_tokens_and_the_pattern_of_odd_texts(spark):
+    rnd = random.Random(2)
+    letters = "abAB19 _-.éßÉüÄ漢字かカñΣσжЖ½١ｱ"
+    rows = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(1500)] + ["a" * 20000, "A" * 20000 + "b", "aB" * 10000, "ﬁ x", "İstanbul"]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", X.tokens_of_scripts("t").alias("w"), F.col("t").rlike(X.UNTOKENED).alias("odd")).collect()
+    assert all(r.odd == odd(r.t) and (r.odd or r.w == forms.tokens(r.t)) for r in got) and 100 < sum(r.odd for r in got) < 1400
+
+
 def bytes_of(folder: Path) -> int:
     return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
 

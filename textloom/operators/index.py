@@ -24,6 +24,8 @@ from textloom.operators import postings
 from textloom.operators.segments import GRACE, LARGEST, Manifest, Store, due
 from textloom.session import Scratch, reachable, remove
 
+#: Largest side that is broadcast, in bytes of its rows.
+BROADCAST_BYTES = 32 << 20
 #: Zones with candidates up to which the scan of units is told of them.
 FEW_ZONES = 256
 _FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_type", T.StringType()), T.StructField("size", T.LongType()), T.StructField("modified_ns", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("scope", T.IntegerType()), T.StructField("gone", T.BooleanType())])
@@ -86,6 +88,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.store = spark, Store(spark, root(folder))
         self.manifest = self.store.read() or Manifest()
+        self._dead: tuple[DataFrame, int, int] | None = None
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         """A table of all live segments, with the number of each."""
@@ -105,7 +108,18 @@ class Index:
         return self.latest().where("not gone")
 
     def _live(self, name: str, schema: T.StructType) -> DataFrame:
-        return self._table(name, schema).join(self.files().select("path", "segment"), ["path", "segment"], "left_semi")
+        """A table without the rows of files that a newer segment tells anew, or that are gone."""
+        if self._dead is None:
+            every = self._table("files", _FILE).select("path", "segment")
+            dead = every.join(self.files().select("path", "segment"), ["path", "segment"], "left_anti")
+            dead = Scratch(self.spark, "dead").save(dead, "dead")
+            n, chars = dead.agg(F.count(F.lit(1)), F.sum(F.octet_length("path"))).first()
+            self._dead = dead, n, 64 * n + (chars or 0)
+        dead, n, size = self._dead
+        rows = self._table(name, schema)
+        if not n:
+            return rows
+        return rows.join(F.broadcast(dead) if size <= BROADCAST_BYTES else dead, ["path", "segment"], "left_anti")
 
     def units(self) -> DataFrame:
         return self._live("units", NUMBERED).select(*model.UNIT.names)
@@ -147,7 +161,7 @@ class Index:
             for segment, first, last in _runs(sorted((r.segment, r.zone) for r in zones)):
                 near = near | ((F.col("segment") == segment) & F.col("unit_no").between(first << size, ((last + 1) << size) - 1))
             units = units.where(near)
-        held = units.join(pages, ["segment", "page"], "left_semi")
+        held = units.join(F.broadcast(pages) if 64 * pages.count() <= BROADCAST_BYTES else pages, ["segment", "page"], "left_semi")
         return held.where(_test(term, X.loose("text"), _words(F.col("text"), self.spark))).select(*model.UNIT.names)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ PAGE, ZONE = 1 << PAGE_BITS, 1 << ZONE_BITS
 BUCKETS = 64
 #: Bits of a character's number in a zone, and characters with which a zone is told early; pairs with which it is.
 POINT_BITS, MOST_POINTS, PAIRS = 17, 1 << 16, 4_000_000
+#: The letter that folds to two.
+ESZETT = 0xDF
 POSTING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("zone", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "n")), T.StructField("pages", T.BinaryType())])
 
 
@@ -70,6 +73,54 @@ def _firsts(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], values[1:] != values[:-1]))
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters that fold by themselves: lower case, the same in katakana, whether a letter or number, whether a separator."""
+    lower, kana = (np.zeros(1 << 16, dtype=np.uint32) for _ in range(2))
+    word, between = (np.zeros(1 << 16, dtype=bool) for _ in range(2))
+    for low, high in X._BLOCKS:
+        for i in range(low, high + 1):
+            c = chr(i)
+            lower[i] = ord(c.lower()[0])
+            kana[i] = ord(forms.kana(c)[0]) if len(forms.kana(c)) == 1 else lower[i]
+            word[i], between[i] = forms.alphanumeric(c), forms.separator(c)
+    for table in (lower, kana):
+        table[ESZETT] = ord("s")  # twice
+    return lower, kana, word, between
+
+
+def _loose(points: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The loose forms of all units, and the unit of each character."""
+    _, kana, _, between = _tables()
+    kept = ~between[points]
+    points, unit = points[kept], unit[kept]
+    twice = 1 + (points == ESZETT)
+    return np.repeat(kana[points], twice), np.repeat(unit, twice)
+
+
+def _tokens(points: np.ndarray, unit: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all units (as ``forms.tokens``), and the unit of each."""
+    lower, _, word, _ = _tables()
+    if not len(points):
+        return pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
+    inside = word[points]
+    small, capital, digit = ((points >= a) & (points <= b) for a, b in ((97, 122), (65, 90), (48, 57)))
+    before = lambda x: np.concatenate(([False], x[:-1]))
+    new = np.concatenate(([True], unit[1:] != unit[:-1]))
+    small_next = np.append(small[1:] & ~new[1:], False)
+    camel = before(small) & capital | before(capital) & capital & small_next
+    starts = inside & (new | ~before(inside) | camel | (before(digit) != digit))
+    own = points[inside]
+    twice = 1 + (own == ESZETT)
+    at = np.repeat(np.arange(len(own)), twice)
+    text = lower[own][at]
+    size = 1 + (text >= 0x80) + (text >= 0x800)
+    first = starts[inside][at] & np.concatenate(([True], at[1:] != at[:-1]))
+    off = np.append((np.cumsum(size) - size)[first], size.sum()).astype(np.int32)
+    raw = text.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(raw)), unit[starts]
+
+
 class _Zone:
     """Distinct pairs of key and page of one zone, gathered batch by batch; a pair is one number, its low bits the page."""
 
@@ -97,17 +148,29 @@ class _Zone:
             key = ids[at] << POINT_BITS | ids[at + 1]
             self.add(str(n), key << POINT_BITS | ids[at + 2] if n == 3 else key, pages[at])
 
-    def tokens(self, joined: pa.Array, odd: pa.Array, pages: np.ndarray) -> None:
-        """``joined``: tokens with ``X.JOINT`` between; where it is null, those of the ``odd`` text."""
-        lists = pc.split_pattern(pc.fill_null(joined, ""), X.JOINT)
-        sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-        words, at = lists.flatten(), np.repeat(pages, sizes)
-        kept = pc.not_equal(words, "")
-        self.words.append((words.filter(kept), at[np.asarray(kept)]))
-        more = [(w, p) for t, p in zip(odd.to_pylist(), pages.tolist(), strict=True) if t is not None for w in forms.tokens(t)]
-        if more:
-            self.words.append((pa.array([w for w, _ in more]), np.array([p for _, p in more], dtype=np.int64)))
-        self.size += len(at) + len(more)
+    def tokens(self, words: pa.Array, pages: np.ndarray) -> None:
+        self.words.append((words, pages))
+        self.size += len(pages)
+
+    def units(self, texts: list[str], odd: np.ndarray, pages: np.ndarray) -> None:
+        """Adds units of this zone. Texts of characters that fold by themselves are folded and cut as one array of all; ``odd`` ones
+        by the functions for all of Unicode."""
+        many = [("" if o else t) for t, o in zip(texts, odd.tolist(), strict=True)]
+        points = np.frombuffer("".join(many).encode("utf-32-le"), dtype=np.uint32)
+        unit = np.repeat(np.arange(len(many)), [len(t) for t in many])
+        loose, of = _loose(points, unit)
+        others = [(i, forms.loose(texts[i])) for i in np.flatnonzero(odd).tolist()]
+        if others:
+            more = np.frombuffer("".join(t for _, t in others).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            loose, of = np.concatenate([loose, more]), np.concatenate([of, np.repeat([i for i, _ in others], [len(t) for _, t in others])])
+        if len(of):
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+            self.grams(loose, pages[of], np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(of)))
+        words, own = _tokens(points, unit)
+        self.tokens(words, pages[own])
+        rest = [(w, int(pages[i])) for i, _ in others for w in forms.tokens(texts[i])]
+        if rest:
+            self.tokens(pa.array([w for w, _ in rest]), np.array([p for _, p in rest], dtype=np.int64))
 
     def names(self, n: int, keys: np.ndarray) -> list[str]:
         ids = np.stack([keys >> POINT_BITS * i & (1 << POINT_BITS) - 1 for i in range(n - 1, -1, -1)], axis=1)
@@ -151,7 +214,7 @@ class _Zone:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``unit_no, loose, tokens, odd`` in the order of ``unit_no`` → blocks; at most ``PAIRS`` and a batch's pairs are in memory."""
+    """``unit_no, text, odd`` in the order of ``unit_no`` → blocks; at most ``PAIRS`` and a batch's pairs are in memory."""
     zone: _Zone | None = None
     for batch in batches:
         numbers = np.asarray(batch.column("unit_no"), dtype=np.int64)
@@ -162,11 +225,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if zone:
                     yield from zone.blocks()
                 zone = _Zone(int(zones[a]))
-            texts, own = [t or "" for t in batch.column("loose").slice(a, b - a).to_pylist()], pages[a:b] & ZONE - 1
-            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            size = np.array([len(t) for t in texts], dtype=np.int64)
-            zone.grams(points, np.repeat(own, size), np.repeat(np.cumsum(size), size) - np.arange(len(points)))
-            zone.tokens(*(batch.column(c).slice(a, b - a) for c in ("tokens", "odd")), own)
+            texts = [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]
+            zone.units(texts, np.asarray(batch.column("odd").slice(a, b - a).fill_null(False)), pages[a:b] & ZONE - 1)
     if zone:
         yield from zone.blocks()
 
@@ -183,8 +243,7 @@ def buckets(values: list[str]) -> list[int]:
 def write(units: DataFrame, folder: str) -> None:
     """The blocks of ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
     reachable(units.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    odd = F.col("text").rlike(X.UNTOKENED)
-    made = units.select("unit_no", X.loose("text").alias("loose"), F.when(~odd, X.joined_tokens("text")).alias("tokens"), F.when(odd, F.col("text")).alias("odd")).mapInArrow(blocks_of, POSTING)
+    made = units.select("unit_no", "text", F.col("text").rlike(X.UNTOKENED).alias("odd")).mapInArrow(blocks_of, POSTING)
     made = made.withColumn("bucket", bucket(F.col("kind"), F.col("key")))
     # The second key splits a bucket's blocks over tasks.
     dealt = made.repartition("bucket", F.pmod(F.xxhash64("zone"), F.lit(8))).sortWithinPartitions("bucket", "kind", "key", "zone")
