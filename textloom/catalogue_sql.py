@@ -105,6 +105,7 @@ ORACLE: dict[str, str] = {
     "q62_typo_words": f"with {LOOSE}, k as (select distinct unnest(ws) as token from lt), q as (select distinct word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark) where length(word) >= 6), e as (select *, case when length(word) >= 11 then 2 else 1 end as most from q) select word, token, distance from (select word, token, levenshtein(word, token) as distance, most from e join k on word[1] = token[1] and abs(length(word) - length(token)) <= most) z where distance between 1 and most and distance * 5 <= length(word)",
     "q63_range_join": "with l as (select doc_id, doc_id * 7 as a, doc_id * 7 + n_chars % 90 as b from documents), r as (select doc_id as other, doc_id * 6 as c, doc_id * 6 + case when doc_id % 50 = 0 then n_chars % 3000 else n_chars % 12 end as d from documents) select doc_id, count(*) as n, cast(sum(other) as bigint) as others from l join r on a <= d and c <= b group by doc_id",
     "q64_many_contexts": f"with {CELLS}, f as (select * from cells where t <> ''), h as (select r as target, greatest(r - 2, 1) as a, greatest(c - 2, 1) as b from f where contains(lower(t), 'brand#1')), x as (select target, count(*) as cells, cast(sum(length(substr(t, 1, 300))) as bigint) as chars, count(*) filter (where length(t) > 300) as cut from h join f on r between a and a + 4 and c between b and b + 4 group by target), k as (select p_partkey + 1 as k from part), m as (select k as fr, k % 4 + 1 as fc, k + k % 3 as lr, k % 4 + 1 + k % 2 as lc from k), y as (select target, count(*) as merges from h join m on fr <= a + 4 and lr >= a and fc <= b + 4 and lc >= b group by target) select cast(target as bigint) as target, cells, chars, cut, coalesce(merges, 0) as merges from x left join y using (target)",
+    "q46_event_protocol": "with f as (select row_number() over (order by cast(n_nationkey as varchar)) as k, contains(lower(n_name), 'an') as h from nation), e as (select * from (values (0, 1, 'started'), (0, 2, 'progress'), (0, 3, 'progress'), (1000000, 1, 'rankingSummary'), (1000000, 2, 'executionSummary'), (1000000, 3, 'finished')) v(k, j, type) union all select k, 1, 'result' from f where h union all select k, 2, 'fileRanked' from f where h union all select k, 3, 'progress' from f) select row_number() over (order by k, j) as sequence, type from e",
     "q59_index_blocks": f"with {SCRIPTS} select path, line from lt where {INGTHEA}",
     "q60_index_stream": f"with {SCRIPTS.replace('from documents where', "from (select source, lang, doc_id, case when doc_id % 11 = 0 then concat(text, chr(10), 'ingthea ', doc_id) else text end as text from documents where text is not null and doc_id % 7 <> 0) where")} select path, line from lt where {INGTHEA}",
     "q61_compaction": f"with {LINES} select (select count(*) from documents) as files, cast(count(*) as bigint) as lines, count(*) filter (where contains(b, 'thtion')) as hits, true as few_segments from units",
