@@ -162,7 +162,12 @@ class Index:
                 near = near | ((F.col("segment") == segment) & F.col("unit_no").between(first << size, ((last + 1) << size) - 1))
             units = units.where(near)
         held = units.join(F.broadcast(pages) if 64 * pages.count() <= BROADCAST_BYTES else pages, ["segment", "page"], "left_semi")
-        return held.where(_test(term, X.loose("text"), _words(F.col("text"), self.spark))).select(*model.UNIT.names)
+        # Few texts have characters that only Python cuts into tokens; the others aren't shown to it.
+        odd = F.col("text").rlike(X.UNTOKENED)
+        usual = held.where(~odd).where(_test(term, X.loose("text"), X.tokens_of_scripts("text"), _may_have_token(term)))
+        other = held.where(odd).where(_test(term, X.loose("text"), matcher.tokens_column(F.col("text"))))
+        reachable(self.spark)
+        return usual.unionByName(other).select(*model.UNIT.names)
 
 
 def _runs(zones: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -285,13 +290,30 @@ def _token_test(term: Term, token, first, length) -> Column:
     return ok
 
 
-def _test(term: Term, loose: Column, words: Column) -> Column:
-    """Whether a unit has the first three grams of the term, or its token, or one a typing error away."""
+def _may_have_token(term: Term) -> Column:
+    """A cheap test that every text passes which has a token of the term or one a typing error away and none of ``X.UNTOKENED``.
+
+    A token begins after what is no letter or number, with a capital, or after a digit; ß counts as two characters in it.
+    """
+    text, ok = F.col("text"), F.lit(False)
+    if len(term.tokens) == 1:
+        ok = ok | X.width("text").contains(term.tokens[0])
+    if term.typo:
+        c, n = term.typo[0], len(term.typo) - term.edits - 1
+        longer = lambda least: text.rlike(f"(?:(?<![{X.WORD}])[{c}{c.upper()}]|{c.upper()}|(?<=[0-9]){c})[{X.WORD}]{{{least}}}")
+        ok = ok | F.when(text.contains("ß"), longer((n + 1) // 2)).otherwise(longer(n))
+    return ok
+
+
+def _test(term: Term, loose: Column, words: Column, first: Column | None = None) -> Column:
+    """Whether a unit has the first three grams of the term, or its token, or one a typing error away; tokens are looked at where
+    ``first`` holds."""
     ok = F.lit(True)
     for g in wanted_grams(term):
         ok = ok & loose.contains(g)
     if len(term.tokens) == 1 or term.typo:
-        ok = ok | F.exists(words, lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t)))
+        has = F.exists(words, lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t)))
+        ok = ok | (has if first is None else F.when(first, has).otherwise(F.lit(False)))
     return ok
 
 
