@@ -29,7 +29,7 @@ PAGE_BITS, ZONE_BITS = 4, 12
 PAGE, ZONE = 1 << PAGE_BITS, 1 << ZONE_BITS
 BUCKETS = 64
 #: Bits of a character's number in a zone, and characters with which a zone is told early; pairs with which it is.
-POINT_BITS, MOST_POINTS, PAIRS = 17, 1 << 16, 4_000_000
+POINT_BITS, MOST_POINTS, PAIRS = 17, 1 << 16, 2_000_000
 #: The letter that folds to two.
 ESZETT = 0xDF
 POSTING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("zone", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "n")), T.StructField("pages", T.BinaryType())])
@@ -242,7 +242,9 @@ def buckets(values: list[str]) -> list[int]:
 
 def write(units: DataFrame, folder: str) -> None:
     """The blocks of ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
-    reachable(units.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf = reachable(units.sparkSession).conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # the arrays of a batch take many times its text
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     made = units.select("unit_no", "text", F.col("text").rlike(X.UNTOKENED).alias("odd")).mapInArrow(blocks_of, POSTING)
     made = made.withColumn("bucket", bucket(F.col("kind"), F.col("key")))
     # The second key splits a bucket's blocks over tasks.
