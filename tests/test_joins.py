@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textloom import catalogue
 from textloom.operators import context, ranges, spelling
 from textloom.sources import files
 
@@ -86,3 +87,18 @@ def test_contexts_of_many_results(spark):
         here = [m for m in merges if m[1] == "s" and m[2] <= one.last_row and m[4] >= one.first_row and m[3] <= one.last_column and m[5] >= one.first_column]
         assert sorted(tuple(x)[1:] for x in met if x.target == i) == sorted(here)
     assert context.cells_of(targets.where(F.lit(False)), units).count() == 0
+
+
+def test_threads_of_any_length_and_with_gaps(spark):
+    long = [(1, t, "A1" if t == 0 else None) for t in range(40)]
+    rest = [(2, 1, None), (2, 2, None), (3, 0, "B1"), (3, 1, None), (3, 3, None), (3, 4, "B4"), (3, 5, None), (4, 0, "C1"), (4, 1, None), (4, 1, None), (None, 1, None), (5, None, None)]
+    made = spark.createDataFrame(long + rest, "thread long, turn long, ref string")
+    want = [(1, t, "A1") for t in range(40)] + [(3, 0, "B1"), (3, 1, "B1"), (3, 4, "B4"), (3, 5, "B4"), (4, 0, "C1"), (4, 1, "C1"), (4, 1, "C1")]
+    assert sorted(map(tuple, context.threads(made, "thread", "turn", "ref").collect())) == want
+
+
+def test_comment_query_over_a_million_steps(spark, tmp_path):
+    made = spark.range(70_000).select(F.col("id").alias("conv_id"), F.explode(F.expr("sequence(0L, 19L)")).alias("turn"))
+    made.withColumns({"role": F.lit("user"), "text": F.lit("")}).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.q36_comment_threads(spark, str(tmp_path))
+    assert got.agg(F.count("address"), F.sum((F.col("address") == F.concat(F.lit("A"), F.col("conv_id") + 1)).cast("long"))).first() == (1_400_000, 1_400_000)

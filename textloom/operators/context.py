@@ -86,6 +86,17 @@ def joined_ranges(ranges: DataFrame, keys: list[str], start: str = "start_at", e
     return part.groupBy(*keys, "_part").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_part")
 
 
+def threads(comments: DataFrame, thread: str, turn: str, ref: str) -> DataFrame:
+    """``thread, turn, ref``: the comments that have a reference, or a parent (the turn before) that has or inherits one. A chain of
+    any length is followed in one pass, and a comment is told once."""
+    w = Window.partitionBy(thread).orderBy(turn)  # a thread's own comments
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = comments.where(F.col(turn).isNotNull()).withColumn("_cut", F.when(F.col(turn) - F.lag(turn).over(w) > 1, F.col(turn)))
+    near = F.when(F.col(ref).isNotNull(), F.struct(F.col(turn).alias("turn"), F.col(ref).alias("ref")))
+    told = cut.withColumns({"_near": F.max(near).over(upto), "_cut": F.max("_cut").over(upto)})
+    return told.where(F.col("_near.turn") >= F.coalesce("_cut", "_near.turn")).select(thread, turn, F.coalesce(ref, "_near.ref").alias(ref))
+
+
 def target(result: dict, revision: str | None = None) -> Target | None:
     """The target of a result event of a sheet's cell, formula, row or shape; None for all others.
 
