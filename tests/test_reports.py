@@ -6,6 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import catalogue
+from textloom.functions import text as X
 from textloom.functions.matcher import bounded_distance
 from textloom.operators import ranking, report, search
 from textloom.plans.request import parse_batch, remembered
@@ -93,3 +95,15 @@ def test_group_category_is_fuzzy_where_a_term_is(spark):
     d = files.line_units(spark.createDataFrame([("x", "receve it"), ("y", "receive it")], "p string, text string"), F.col("p"))
     got = search.where(d, parse_conditions({"mode": "conditions", "all": ["receive"]}), fuzzy=True).collect()
     assert {r.path: r.category for r in got} == {"x": "fuzzy", "y": "standard"} and bounded_distance("receive", "receve", 1) == 1
+
+
+def test_addresses_in_a_sheet_and_below_its_last_row(spark, tmp_path):
+    named = ["A1", "XFD1048576", "XFD1048577", "ABC99999999", "XFE1", "A0", "a1", "A", "7", "A12B", None, "B123456789012345678"]
+    got = spark.createDataFrame([(n,) for n in named], "a string").select(X.address("a").alias("inside"), X.address_parts("a").alias("any")).collect()
+    pair = lambda x: x and tuple(x)
+    assert [pair(r["any"]) for r in got] == [(1, 1), (1048576, 16384), (1048577, 16384), (99999999, 731), *[None] * 7, (123456789012345678, 2)]
+    assert [pair(r.inside) for r in got] == [(1, 1), (1048576, 16384), *[None] * 10]
+    keys = [0, 1_048_575, 1_048_576, 400_000_000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    told = sorted(tuple(r)[1:] for r in catalogue.q38_a1_address(spark, str(tmp_path)).collect())
+    assert told == [(k + 1, (k + 1) * 7 % 16384 + 1) for k in keys]

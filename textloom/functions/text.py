@@ -214,13 +214,18 @@ def column_letters(n: Column | str) -> Column:
     return F.concat(F.when(t > 702, letter(high)).otherwise(""), F.when(t > 26, letter(mid)).otherwise(""), letter(low))
 
 
+def address_parts(c: Column | str) -> Column:
+    """``struct<row, column>`` (``long``, ``int``) of an upper-case A1 address whose column is in a sheet, its row any number of up to 18 digits; else null."""
+    t = col(c)
+    shape = r"^([A-Z]{1,3})([1-9][0-9]{0,17})$"
+    row, column = F.regexp_extract(t, shape, 2), column_number(F.regexp_extract(t, shape, 1))
+    return F.when((row != "") & column.isNotNull(), F.struct(F.when(row != "", row.cast("long")).alias("row"), column.alias("column")))
+
+
 def address(c: Column | str) -> Column:
     """``struct<row, column>`` of an upper-case A1 address inside a sheet, else null."""
-    t = col(c)
-    row = F.regexp_extract(t, r"^[A-Z]{1,3}([1-9][0-9]{0,6})$", 1)
-    column = column_number(F.regexp_extract(t, r"^([A-Z]{1,3})[1-9][0-9]{0,6}$", 1))
-    r = F.when(row != "", row.cast("int"))
-    return F.when((r <= 1_048_576) & column.isNotNull(), F.struct(r.alias("row"), column.alias("column")))
+    parts = address_parts(c)
+    return F.when(parts["row"] <= 1_048_576, F.struct(parts["row"].cast("int").alias("row"), parts["column"].alias("column")))
 
 
 # Labels of reports.
