@@ -279,14 +279,16 @@ def wanted_grams(term: Term, fuzzy: bool = True) -> list[str]:
     return list(dict.fromkeys(wanted))[:3]
 
 
-def _token_test(term: Term, token, first, length) -> Column:
-    """Whether a token makes its unit a candidate: the term's own, one that it begins, or one a typing error away."""
+def _token_test(term: Term, token, first, length, measured: bool = False) -> Column:
+    """Whether a token makes its unit a candidate: the term's own, one that it begins, or one a typing error away (``measured``: by its
+    distance, not by its length alone)."""
     ok = F.lit(False)
     if len(term.tokens) == 1:
         one = term.tokens[0]
         ok = ok | (token == one) | (F.lit(len(one) >= 3) & token.startswith(one))
     if term.typo:
-        ok = ok | ((first == term.typo[0]) & length.between(len(term.typo) - term.edits, len(term.typo) + term.edits))
+        near = (first == term.typo[0]) & length.between(len(term.typo) - term.edits, len(term.typo) + term.edits)
+        ok = ok | (near & (F.levenshtein(token, F.lit(term.typo), term.edits) >= 0) if measured else near)
     return ok
 
 
@@ -323,6 +325,22 @@ def candidate(text: str, term: Term, fuzzy: bool = True) -> Column:
     return _test(term, X.loose(text), X.tokens(text)) if wanted_grams(term, fuzzy) else F.lit(True)
 
 
+def possible(text: str, term: Term) -> Column:
+    """Whether a text of any script can have a fuzzy match: as ``candidate``, but the distance of typing errors is measured. Texts with
+    characters that only Python cuts into tokens, and all texts of terms without grams or with separators, can."""
+    if not wanted_grams(term):
+        return F.lit(True)
+    ok = F.col(text).rlike(X.UNTOKENED)
+    grams = F.lit(True)
+    for g in wanted_grams(term):
+        grams = grams & X.loose(text).contains(g)
+    ok = ok | grams
+    if len(term.tokens) == 1 or term.typo:
+        has = F.exists(X.tokens_of_scripts(text), lambda t: _token_test(term, t, F.substring(t, 1, 1), F.length(t), measured=True))
+        ok = ok | F.when(_may_have_token(term), has).otherwise(F.lit(False))
+    return ok
+
+
 def freshness(files: DataFrame, indexed: DataFrame, bits: int) -> DataFrame:
     """``files`` with ``reuse``: whether the index holds this size, time, extraction version and scope."""
     held = indexed.select("path", F.col("size").alias("i_size"), F.col("modified_ns").alias("i_ns"), F.col("version").alias("i_version"), F.col("scope").alias("i_scope"))

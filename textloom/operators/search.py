@@ -60,10 +60,9 @@ def matched(units: DataFrame, terms: tuple[NamedTerm, ...], fuzzy: bool = False,
     text, base, usual, term_ord = F.col("text"), F.col("_base"), F.col("_usual"), F.col("term_ord")
     if fuzzy and not identifiers:
         reachable(spark)
-        # Whatever is no candidate of a term has no match; texts with other than ASCII characters are all candidates.
-        likely = text.rlike(r"[^\x00-\x7F]")
+        likely = F.lit(False)  # whatever can't match isn't shown to Python
         for t in terms:
-            likely = likely | index.candidate("text", Term(t.text))
+            likely = likely | index.possible("text", Term(t.text))
         for t in excluded:
             likely = likely | X.held(text, base, usual, t.text)
         based = based.where(likely)
