@@ -233,3 +233,20 @@ def test_manifests_swap_and_refuse_a_second_writer(spark, tmp_path):
     (tmp_path / "r/manifest/000000000009.json").write_text("{}")
     with pytest.raises(ValueError):
         store.read()
+
+
+def test_compaction_copies_postings_until_most_are_stale(spark, tmp_path, monkeypatch):
+    folder, made = str(tmp_path), []
+    rows = [(f"f{i}.txt", "txt", 1, 0, f"userName {i}\nplain line") for i in range(40)]
+    usual = postings.write
+    monkeypatch.setattr(postings, "write", lambda units, *a: (made.append(units.count()), usual(units, *a)))
+    now = {}
+    for number, (a, b) in enumerate([(0, 20), (15, 40), (0, 12)]):
+        batch = [(*r[:3], number, r[4] + f"\nstep{number}") for r in rows[a:b]]
+        now |= {r[0]: r for r in batch}
+        incremental.index_batch(spark.createDataFrame(batch, FILES), number, folder)
+    of = index.Index(spark, folder)
+    assert made == [60, 75, 36]  # each text is cut once, when it comes
+    assert sum(s.stale for s in of.manifest.segments) > 0
+    for word in ("username", "thtion"):
+        assert {(r.path, r.unit_seq) for r in of.candidates(Term(word)).collect()} == brute(now.values(), word)

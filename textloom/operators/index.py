@@ -21,7 +21,7 @@ from textloom.functions import text as X
 from textloom.functions.matcher import Term
 from textloom.model import EXTRACTION_VERSION, INDEX_VERSION
 from textloom.operators import postings
-from textloom.operators.segments import GRACE, LARGEST, Manifest, Store, due
+from textloom.operators.segments import GRACE, LARGEST, Manifest, Segment, Store, due
 from textloom.session import Scratch, reachable, remove
 
 #: Largest side that is broadcast, in bytes of its rows.
@@ -72,14 +72,48 @@ def write(units: DataFrame, files: DataFrame, sheets: DataFrame, store: Store, s
     dealt = units.select(*model.UNIT.names)
     if not ordered:
         dealt = dealt.repartitionByRange("path", "unit_seq").sortWithinPartitions("path", "unit_seq")
-    numbered = dealt.withColumn("unit_no", F.monotonically_increasing_id())
+    held = _write_units(dealt.withColumn("unit_no", F.monotonically_increasing_id()), at)
+    n = held.count()
+    postings.write(held, f"{at}/postings", n)
+    return n + _write_rest(files, sheets, at)
+
+
+def _write_units(numbered: DataFrame, at: str) -> DataFrame:
     # As many blocks of rows as zones, so that the few units of a look-up are a small part of a file.
     numbered.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).option("compression", "zstd").parquet(f"{at}/units")
-    held = spark.read.schema(NUMBERED).parquet(f"{at}/units")
-    postings.write(held, f"{at}/postings")
+    return numbered.sparkSession.read.schema(NUMBERED).parquet(f"{at}/units")
+
+
+def _write_rest(files: DataFrame, sheets: DataFrame, at: str) -> int:
+    """Sheets and files of a segment; how many tombstones it has."""
     sheets.select(*model.SHEET.names).write.mode("overwrite").parquet(f"{at}/sheets")
     files.select(*_FILE.names).write.mode("overwrite").parquet(f"{at}/files")
-    return held.count() + spark.read.schema(_FILE).parquet(f"{at}/files").where("gone").count()
+    return files.sparkSession.read.schema(_FILE).parquet(f"{at}/files").where("gone").count()
+
+
+def joined(of: Index, merged: list[Segment], units: DataFrame, files: DataFrame, sheets: DataFrame, segment: int) -> tuple[int, int] | None:
+    """The segments ``merged`` as one whose units keep their order and whose postings are copied: zones get new numbers, no text is cut
+    again. Returns its size and stale units; None, before postings are written, if more of them would be stale than live.
+
+    Postings of units that are gone stay until then: a page that holds none of the others is found and its units aren't there.
+    """
+    at, zone = of.store.folder(segment), 1 << postings.PAGE_BITS + postings.ZONE_BITS
+    ids = [s.id for s in merged]
+    own = of._table("units", NUMBERED).where(F.col("segment").isin(ids)).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.max("unit_no").alias("last"))
+    told, base, before = {r.segment: r for r in own.collect()}, {}, 0  # a row for each segment
+    for i in ids:
+        base[i] = before
+        before += (told[i].last // zone + 1) * zone if i in told else 0
+    first = F.element_at(F.create_map(*(F.lit(x) for i in ids for x in (i, base[i]))), F.col("segment")).cast("long")
+    held = _write_units(units.withColumn("unit_no", F.col("unit_no") + first).select(*NUMBERED.names).sortWithinPartitions("unit_no"), at)
+    live = held.count()
+    stale = sum(s.stale for s in merged) + sum(r.n for r in told.values()) - live
+    if stale > live:
+        return None
+    there = held.select(F.shiftright("unit_no", postings.PAGE_BITS + postings.ZONE_BITS).alias("zone")).distinct()
+    blocks = of.postings().where(F.col("segment").isin(ids)).withColumn("zone", F.col("zone") + F.shiftright(first, postings.PAGE_BITS + postings.ZONE_BITS))
+    postings.copy(blocks.join(F.broadcast(there), "zone", "left_semi") if stale else blocks, f"{at}/postings", live + stale)  # a row for each 65,536 units
+    return live + _write_rest(files, sheets, at), stale
 
 
 class Index:
@@ -202,7 +236,8 @@ def commit(spark: SparkSession, folder: str, units: DataFrame, files: DataFrame,
 def compact(spark: SparkSession, folder: str, grace: float = GRACE, largest: int = LARGEST) -> Manifest:
     """Merges the newest segments until each is at least twice the next, and removes what was replaced before the grace time.
 
-    Only live rows are copied. A tombstone stays while an older segment holds its file.
+    Only live rows are copied; postings are copied, too, and made anew where most of them would be stale. A tombstone stays while an older
+    segment holds its file.
     """
     store = Store(spark, root(folder))
     while True:
@@ -216,8 +251,10 @@ def compact(spark: SparkSession, folder: str, grace: float = GRACE, largest: int
         older = of._table("files", _FILE).where(~F.col("segment").isin(merged)).select("path").distinct()
         files = latest.where("not gone").union(latest.where("gone").join(older, "path", "left_semi"))
         part = lambda name, schema: of._live(name, schema).where(F.col("segment").isin(merged))
-        size = write(part("units", NUMBERED), files, part("sheets", model.SHEET), store, m.next)
-        store.commit(m.with_segment(size, tuple(merged)))
+        units, sheets = part("units", NUMBERED), part("sheets", model.SHEET)
+        done = joined(of, m.segments[at:], units, files, sheets, m.next)
+        size, stale = done or (write(units, files, sheets, store, m.next), 0)
+        store.commit(m.with_segment(size, tuple(merged), stale=stale))
 
 
 def refresh(spark: SparkSession, folder: str, files: DataFrame, extract, bits: int, again=None) -> tuple[DataFrame, DataFrame, int, int, list[DataFrame]]:

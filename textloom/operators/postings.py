@@ -28,6 +28,8 @@ from textloom.session import reachable
 PAGE_BITS, ZONE_BITS = 4, 12
 PAGE, ZONE = 1 << PAGE_BITS, 1 << ZONE_BITS
 BUCKETS = 64
+#: Units for which a bucket's blocks have one file more, up to eight.
+SPLIT = 1 << 19
 #: Bits of a character's number in a zone, and characters with which a zone is told early; pairs with which it is.
 POINT_BITS, MOST_POINTS, PAIRS = 17, 1 << 16, 2_000_000
 #: The letter that folds to two.
@@ -240,15 +242,23 @@ def buckets(values: list[str]) -> list[int]:
     return sorted({zlib.crc32(v.encode()) % BUCKETS for v in values})
 
 
-def write(units: DataFrame, folder: str) -> None:
-    """The blocks of ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
+def write(units: DataFrame, folder: str, size: int) -> None:
+    """The blocks of ``size`` ``units``, which lie in the order of ``unit_no``. Blocks move, single postings never do."""
     conf = reachable(units.sparkSession).conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # the arrays of a batch take many times its text
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     made = units.select("unit_no", "text", F.col("text").rlike(X.UNTOKENED).alias("odd")).mapInArrow(blocks_of, POSTING)
-    made = made.withColumn("bucket", bucket(F.col("kind"), F.col("key")))
-    # The second key splits a bucket's blocks over tasks.
-    dealt = made.repartition("bucket", F.pmod(F.xxhash64("zone"), F.lit(8))).sortWithinPartitions("bucket", "kind", "key", "zone")
+    _store(made.withColumn("bucket", bucket(F.col("kind"), F.col("key"))), folder, size)
+
+
+def copy(blocks: DataFrame, folder: str, size: int) -> None:
+    """Blocks that were made before, of zones with new numbers; no text is read. ``size``: units that they are of."""
+    _store(blocks.select(*POSTING.names, "bucket"), folder, size)
+
+
+def _store(made: DataFrame, folder: str, size: int) -> None:
+    # The second key splits a bucket's blocks over tasks; a small segment's aren't, as a file costs more than its few rows.
+    dealt = made.repartition("bucket", F.pmod(F.xxhash64("zone"), F.lit(min(8, 1 + size // SPLIT)))).sortWithinPartitions("bucket", "kind", "key", "zone")
     dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", str(1 << 20)).option("compression", "zstd").parquet(folder)
 
 

@@ -27,6 +27,7 @@ LARGEST = 1 << 32
 class Segment:
     id: int
     size: int  # units and tombstones
+    stale: int = 0  # units that are no longer there, but still have postings
 
 
 @dataclass(frozen=True)
@@ -37,11 +38,11 @@ class Manifest:
     gone: tuple[tuple[int, float], ...] = ()  # replaced segments, and when
     batches: dict[str, int] = field(default_factory=dict)  # last micro-batch of each stream
 
-    def with_segment(self, size: int, replaces: tuple[int, ...] = (), now: float | None = None) -> Manifest:
+    def with_segment(self, size: int, replaces: tuple[int, ...] = (), now: float | None = None, stale: int = 0) -> Manifest:
         """The manifest with the segment ``next``, in the place of the newest ones that it ``replaces``."""
         kept = tuple(s for s in self.segments if s.id not in replaces)
         at = time.time() if now is None else now
-        return Manifest(self.version, self.next + 1, (*kept, Segment(self.next, size)), (*self.gone, *((i, at) for i in replaces)), self.batches)
+        return Manifest(self.version, self.next + 1, (*kept, Segment(self.next, size, stale)), (*self.gone, *((i, at) for i in replaces)), self.batches)
 
 
 class Store:
